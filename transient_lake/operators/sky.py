@@ -24,7 +24,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.sky import acos_sep_arcsec, angular_sep_arcsec, angular_sep_deg, dec_bucket
 
@@ -184,10 +183,3 @@ def nearest_match(objects: DataFrame, catalogue: DataFrame, radius_arcsec: float
     best = j.groupBy("_oid").agg(F.min_by(F.struct("match_id", "match_ra", "match_dec", "sep_arcsec"),
                                           F.struct("sep_arcsec", "match_id")).alias("m"))
     return best.select(F.col("_oid").alias(obj_id), "m.*")
-
-
-def first_per_group(df: DataFrame, keys, order) -> DataFrame:
-    """The first row per group under ``order`` (a list of Columns that
-    must make the order total)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

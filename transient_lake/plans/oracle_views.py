@@ -84,9 +84,9 @@ select user_id as obj_id,
 from events where event_id % 4 = 3""",
     "mjd_windows": """
 select c_custkey as obj_id,
-       59000.0::DOUBLE + (c_custkey * 37) % 400 as discovery_mjd,
-       case when c_custkey % 3 = 0 then cast(10 + c_custkey % 20 as int) end as prior_days,
-       case when c_custkey % 3 = 0 then cast(40 + c_custkey % 50 as int) end as active_days
+       60310.0::DOUBLE + (c_custkey * 37) % 30 as discovery_mjd,
+       case when c_custkey % 3 = 0 then cast(1 + c_custkey % 10 as int) end as prior_days,
+       case when c_custkey % 3 = 0 then cast(2 + c_custkey % 20 as int) end as active_days
 from customer""",
     "objects": """
 select cast(o_orderkey as varchar) as source_id,

@@ -143,9 +143,9 @@ def mjd_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     are the light-curve owners; every third object has its own settings."""
     return table(spark, sf_dir, "customer").selectExpr(
         "c_custkey as obj_id",
-        "59000.0D + (c_custkey * 37) % 400 as discovery_mjd",
-        "case when c_custkey % 3 = 0 then cast(10 + c_custkey % 20 as int) end as prior_days",
-        "case when c_custkey % 3 = 0 then cast(40 + c_custkey % 50 as int) end as active_days",
+        "60310.0D + (c_custkey * 37) % 30 as discovery_mjd",
+        "case when c_custkey % 3 = 0 then cast(1 + c_custkey % 10 as int) end as prior_days",
+        "case when c_custkey % 3 = 0 then cast(2 + c_custkey % 20 as int) end as active_days",
     )
 
 
