@@ -96,6 +96,7 @@ select cast(o_orderkey as varchar) as source_id,
        180 + ((o_orderkey * 7919) % 36000) / 3600.0::DOUBLE as ra_deg,
        20 + ((o_orderkey * 104729) % 36000) / 3600.0::DOUBLE as dec_deg,
        o_orderdate as discovery_date,
+       o_orderdate + to_days(cast((o_orderkey * 13) % 200 as int)) as update_date,
        case when o_orderkey % 7 = 0 then null else o_totalprice / 10000000 end as redshift,
        o_orderpriority as object_type,
        o_orderstatus as reporting_group,
@@ -107,6 +108,22 @@ select s_suppkey as cone_id,
        20 + (((s_suppkey * 37) * 104729) % 36000) / 3600.0::DOUBLE as dec_c,
        cast((s_suppkey % 4) * 400 + 100 as double) as radius_arcsec
 from supplier""",
+    "sherlock_xm": """
+select cast(l_orderkey as varchar) as source_id, concat('T', cast(l_orderkey as varchar)) as transient_object_id,
+       l_linenumber as rank, concat('CAT', cast(l_partkey as varchar)) as catalogue_object_id,
+       l_discount as z, 180 + ((l_partkey * 7919) % 36000) / 3600.0::DOUBLE as raDeg,
+       20 + ((l_partkey * 104729) % 36000) / 3600.0::DOUBLE as decDeg,
+       case l_returnflag when 'R' then 'SN' when 'A' then 'NT' else 'VS' end as classification,
+       l_quantity as separationArcsec
+from lineitem where l_orderkey % 3 = 0""",
+    "public_catalogue": """
+select cast(l_orderkey + l_linenumber - 1 as varchar) as name,
+       case when l_linenumber = 3 then 'FRB' else 'SN' end as type, l_shipdate as discoverydate
+from lineitem""",
+    "active_settings": """
+select concat('TXV-', substr(cast(o_orderdate as varchar), 1, 4), '-', lpad(cast(o_orderkey as varchar), 6, '0'))
+         as tarxiv_id, cast(10 + o_orderkey % 90 as int) as active_days
+from orders where o_orderkey % 5 = 0""",
     "users": """
 select c_custkey as user_id, c_name as username, c_mktsegment as segment,
        case when c_custkey % 9 = 0 then null else concat(lower(c_name), '@example.org') end as email

@@ -161,6 +161,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         "180 + ((o_orderkey * 7919) % 36000) / 3600.0D as ra_deg",
         "20 + ((o_orderkey * 104729) % 36000) / 3600.0D as dec_deg",
         "o_orderdate as discovery_date",
+        "timestampadd(DAY, cast((o_orderkey * 13) % 200 as int), o_orderdate) as update_date",
         "case when o_orderkey % 7 = 0 then null else o_totalprice / 10000000 end as redshift",
         "o_orderpriority as object_type",
         "o_orderstatus as reporting_group",
@@ -178,6 +179,33 @@ def cones(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sherlock_xm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contextual crossmatches (several per object, ranked)."""
+    return table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").selectExpr(
+        "cast(l_orderkey as string) as source_id", "concat('T', cast(l_orderkey as string)) as transient_object_id",
+        "l_linenumber as rank", "concat('CAT', cast(l_partkey as string)) as catalogue_object_id",
+        "l_discount as z", "180 + ((l_partkey * 7919) % 36000) / 3600.0D as raDeg",
+        "20 + ((l_partkey * 104729) % 36000) / 3600.0D as decDeg",
+        "case l_returnflag when 'R' then 'SN' when 'A' then 'NT' else 'VS' end as classification",
+        "l_quantity as separationArcsec")
+
+
+def public_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public object list (names, types, discovery dates)."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "cast(l_orderkey + l_linenumber - 1 as string) as name",
+        "case when l_linenumber = 3 then 'FRB' else 'SN' end as type",
+        "l_shipdate as discoverydate")
+
+
+def active_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-object active settings for every fifth catalogue object."""
+    return table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").selectExpr(
+        "concat('TXV-', substr(cast(o_orderdate as string), 1, 4), '-', lpad(cast(o_orderkey as string), 6, '0'))"
+        " as tarxiv_id",
+        "cast(10 + o_orderkey % 90 as int) as active_days")
+
+
 # --- collaboration -------------------------------------------------------
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
