@@ -161,6 +161,8 @@ def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with ``WITH`` definitions for the named adapter views."""
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
     body = sql.strip()
+    if body[:15].lower() == "with recursive ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].lower() == "with ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
