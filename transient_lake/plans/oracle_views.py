@@ -124,6 +124,34 @@ from lineitem""",
 select concat('TXV-', substr(cast(o_orderdate as varchar), 1, 4), '-', lpad(cast(o_orderkey as varchar), 6, '0'))
          as tarxiv_id, cast(10 + o_orderkey % 90 as int) as active_days
 from orders where o_orderkey % 5 = 0""",
+    "legacy_objects": """
+select obj_id,
+       list(struct_pack(value := mag, source := survey, filter := filter, mjd := mjd)) filter (where detection = 1)
+         as mags,
+       list(struct_pack(value := "limit", source := survey, filter := filter, mjd := mjd)) filter (where detection = 0)
+         as limits
+from lc_points group by obj_id""",
+    "alert_docs": """
+select c.c_custkey as obj_id,
+       [struct_pack(value := c_acctbal / 100000.0::DOUBLE, source := 'tns'),
+        struct_pack(value := (c_custkey % 50) / 1000.0::DOUBLE, source := 'sherlock')] as redshift,
+       [struct_pack(value := cast(date '2024-01-01' + cast(c_custkey % 30 as int) as varchar), source := 'tns')]
+         as discovery_date,
+       [struct_pack(value := c_mktsegment, source := 'tns')] as discovery_source,
+       p.latest_detection
+from customer c left join (
+  select obj_id, list(struct_pack(value := mag, source := survey, filter := filter, mag_rate := mag_err * 10))
+         as latest_detection
+  from lc_points where detection = 1 group by obj_id) p on p.obj_id = c.c_custkey""",
+    "cone_requests": """
+select s_suppkey as request_id,
+       case when s_suppkey % 23 = 0 or s_suppkey % 11 = 0 then null when s_suppkey % 13 = 0 then 'abc'
+            else cast(s_suppkey * 4 as varchar) end as ra,
+       case when s_suppkey % 23 = 0 then null when s_suppkey % 17 = 0 then ' ' else cast(s_suppkey - 60 as varchar) end
+         as dec,
+       case when s_suppkey % 23 = 0 then '' when s_suppkey % 19 = 0 then '0' else cast(s_suppkey % 30 as varchar) end
+         as radius
+from supplier""",
     "users": """
 select c_custkey as user_id, c_name as username, c_mktsegment as segment,
        case when c_custkey % 9 = 0 then null else concat(lower(c_name), '@example.org') end as email

@@ -106,18 +106,23 @@ def q_nearest_match(spark, sf_dir):
     return out.withColumn("sep_arcsec", F.round("sep_arcsec", 6))
 
 
-@register("sexagesimal_format", sql="""
-select tarxiv_id,
-       lpad(cast((u // 36000000) as varchar), 2, '0') || ':' || lpad(cast(((u % 36000000) // 600000) as varchar), 2, '0')
-       || ':' || lpad(cast(((u % 600000) // 10000) as varchar), 2, '0') || '.' || lpad(cast((u % 10000) as varchar), 4, '0')
-       as ra_hms,
-       (case when dec_deg < 0 then '-' else '+' end)
-       || lpad(cast((v // 36000000) as varchar), 2, '0') || ':' || lpad(cast(((v % 36000000) // 600000) as varchar), 2, '0')
-       || ':' || lpad(cast(((v % 600000) // 10000) as varchar), 2, '0') || '.' || lpad(cast((v % 10000) as varchar), 4, '0')
-       as dec_dms
-from (select tarxiv_id, dec_deg,
-             cast(round(ra_deg / 15.0 * 36000000) as bigint) % 864000000 as u,
-             cast(round(abs(dec_deg) * 36000000) as bigint) as v from objects)
+def hms_sql(ra: str) -> str:
+    u = f"(cast(round({ra} / 15.0 * 36000000) as bigint) % 864000000)"
+    return (f"lpad(cast(({u} // 36000000) as varchar), 2, '0') || ':' || "
+            f"lpad(cast((({u} % 36000000) // 600000) as varchar), 2, '0') || ':' || "
+            f"lpad(cast((({u} % 600000) // 10000) as varchar), 2, '0') || '.' || lpad(cast(({u} % 10000) as varchar), 4, '0')")
+
+
+def dms_sql(dec: str) -> str:
+    v = f"cast(round(abs({dec}) * 36000000) as bigint)"
+    return (f"(case when {dec} < 0 then '-' else '+' end) || "
+            f"lpad(cast(({v} // 36000000) as varchar), 2, '0') || ':' || "
+            f"lpad(cast((({v} % 36000000) // 600000) as varchar), 2, '0') || ':' || "
+            f"lpad(cast((({v} % 600000) // 10000) as varchar), 2, '0') || '.' || lpad(cast(({v} % 10000) as varchar), 4, '0')")
+
+
+@register("sexagesimal_format", sql=f"""
+select tarxiv_id, {hms_sql('ra_deg')} as ra_hms, {dms_sql('dec_deg')} as dec_dms from objects
 """, views=("objects",))
 def q_sexagesimal_format(spark, sf_dir):
     """Catalogue coordinates in sexagesimal notation."""

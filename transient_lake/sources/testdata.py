@@ -260,3 +260,43 @@ def adapter_names() -> tuple[str, ...]:
     return ("sky_alerts", "sky_chain", "lc_points", "ztf_raw", "asassn_raw", "atlas_raw", "lsst_raw",
             "mjd_windows", "objects", "cones", "users", "teams", "memberships", "tags", "assignments",
             "notices")
+
+
+# --- documents for searches ----------------------------------------------
+
+def legacy_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7-style documents: per object, arrays of (value, source, filter, mjd)
+    for detections (``mags``) and upper limits (``limits``)."""
+    lc = lc_points(spark, sf_dir)
+    def arr(cond, value):
+        return F.collect_list(F.when(cond, F.struct(F.col(value).alias("value"), F.col("survey").alias("source"),
+                                                     "filter", "mjd")))
+    return lc.groupBy("obj_id").agg(arr(F.col("detection") == 1, "mag").alias("mags"),
+                                    arr(F.col("detection") == 0, "limit").alias("limits"))
+
+
+def alert_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Object documents for alert monitoring: per-source arrays of values."""
+    pts = (lc_points(spark, sf_dir).where("detection = 1").groupBy("obj_id")
+           .agg(F.collect_list(F.struct(F.col("mag").alias("value"), F.col("survey").alias("source"), "filter",
+                                        (F.col("mag_err") * 10).alias("mag_rate"))).alias("latest_detection")))
+    c = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as obj_id",
+        "array(named_struct('value', c_acctbal / 100000.0D, 'source', 'tns'),"
+        " named_struct('value', (c_custkey % 50) / 1000.0D, 'source', 'sherlock')) as redshift",
+        "array(named_struct('value', cast(date_add(date'2024-01-01', cast(c_custkey % 30 as int)) as string),"
+        " 'source', 'tns')) as discovery_date",
+        "array(named_struct('value', c_mktsegment, 'source', 'tns')) as discovery_source")
+    return c.join(pts, "obj_id", "left")
+
+
+def cone_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text cone requests with missing, unreadable and out-of-range parts."""
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey as request_id",
+        "case when s_suppkey % 23 = 0 or s_suppkey % 11 = 0 then null when s_suppkey % 13 = 0 then 'abc'"
+        " else cast(s_suppkey * 4 as string) end as ra",
+        "case when s_suppkey % 23 = 0 then null when s_suppkey % 17 = 0 then ' ' else cast(s_suppkey - 60 as string) end"
+        " as dec",
+        "case when s_suppkey % 23 = 0 then '' when s_suppkey % 19 = 0 then '0' else cast(s_suppkey % 30 as string) end"
+        " as radius")
