@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import dense_number
+
 # --- N7, N8, N13-N15 -----------------------------------------------------
 
 
@@ -204,28 +206,19 @@ def base36(n, width: int = ID_LEN) -> Column:
     return F.substring(F.lpad(F.conv(c.cast("string"), 10, 36), width, "0"), 1, width)
 
 
-def assign_ids(new: DataFrame, registry: DataFrame, buckets: int = 64) -> DataFrame:
+def assign_ids(new: DataFrame, registry: DataFrame, buckets: int = 512) -> DataFrame:
     """Reuse the id of a known source_id, else the next yearly counter.
 
     ``new``: (source_id, year); ``registry``: (year, idx, tarxiv_id,
-    source_id).  New rows per year get consecutive numbers after the year's
-    maximum without a one-partition row_number: rows are split into
-    ``buckets`` hash buckets per year, bucket sizes are counted (a small
-    table: years x buckets), turned into offsets with a window over that
-    small table, and each row is numbered inside its own bucket."""
+    source_id).  New rows of a year get consecutive numbers after the
+    year's maximum through ``dense_number`` (hash buckets + offsets), so a
+    year holding most of the rows is still numbered by many tasks."""
     reg_latest = registry.groupBy("source_id").agg(F.max_by("tarxiv_id", "idx").alias("known_id"))
     cand = new.select("source_id", "year").distinct().join(reg_latest, "source_id", "left")
-    fresh = cand.where("known_id is null").withColumn(
-        "_b", F.pmod(F.xxhash64("source_id"), F.lit(buckets)))
-    sizes = fresh.groupBy("year", "_b").agg(F.count("*").alias("_n"))
-    from pyspark.sql.window import Window
-    wy = Window.partitionBy("year").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = registry.groupBy("year").agg(F.max("idx").alias("_max"))
-    offs = (sizes.withColumn("_off", F.coalesce(F.sum("_n").over(wy), F.lit(0)))
-            .join(base, "year", "left").withColumn("_off", F.col("_off") + F.coalesce("_max", F.lit(0))))
-    wb = Window.partitionBy("year", "_b").orderBy("source_id")
-    numbered = (fresh.join(F.broadcast(offs.select("year", "_b", "_off")), ["year", "_b"])
-                .withColumn("idx", F.col("_off") + F.row_number().over(wb)))
+    fresh = dense_number(cand.where("known_id is null"), ["year"], ["source_id"], "_k", buckets)
+    numbered = (fresh.join(base, "year", "left")
+                .withColumn("idx", F.col("_k") + F.coalesce("_max", F.lit(0))))
     new_ids = numbered.select("source_id", "year", "idx",
                               F.concat(F.lit("TXV-"), F.col("year").cast("string"), F.lit("-"),
                                        base36("idx")).alias("tarxiv_id"),

@@ -153,8 +153,16 @@ select s_suppkey as request_id,
          as radius
 from supplier""",
     "users": """
-select c_custkey as user_id, c_name as username, c_mktsegment as segment,
+select c_custkey as user_id,
+       case when c_custkey % 11 = 0 then null else c_name end as username,
+       case when c_custkey % 5 = 0 then '' end as nickname,
+       case when c_custkey % 4 = 0 then null else concat('Ann', cast(c_custkey % 10 as varchar)) end as forename,
+       upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) as surname,
        case when c_custkey % 9 = 0 then null else concat(lower(c_name), '@example.org') end as email
+from customer""",
+    "identities": """
+select case when c_custkey % 2 = 0 then 'orcid' else 'github' end as provider,
+       lpad(cast(c_custkey as varchar), 8, '0') as provider_user_id, c_custkey as user_id
 from customer""",
     "teams": """
 select n_nationkey as team_id, n_name as name, concat('region ', cast(n_regionkey as varchar)) as description

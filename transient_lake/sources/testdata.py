@@ -210,11 +210,21 @@ def active_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr(
-        "c_custkey as user_id", "c_name as username", "c_mktsegment as segment",
+        "c_custkey as user_id",
+        "case when c_custkey % 11 = 0 then null else c_name end as username",
+        "case when c_custkey % 5 = 0 then '' end as nickname",
+        "case when c_custkey % 4 = 0 then null else concat('Ann', cast(c_custkey % 10 as string)) end as forename",
+        "initcap(lower(c_mktsegment)) as surname",
         "case when c_custkey % 9 = 0 then null else concat(lower(c_name), '@example.org') end as email",
     )
 
 
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr(
+        "case when c_custkey % 2 = 0 then 'orcid' else 'github' end as provider",
+        "lpad(cast(c_custkey as string), 8, '0') as provider_user_id", "c_custkey as user_id")
+
+
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").selectExpr(
         "n_nationkey as team_id", "n_name as name", "concat('region ', cast(n_regionkey as string)) as description")
