@@ -25,6 +25,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from ..functions.numeric import round_half_up
 from pyspark.sql.window import Window
 
 from ..functions.time import jd_to_mjd, mjd_to_iso
@@ -242,14 +244,14 @@ def nightly_rate(lc: DataFrame, summary: DataFrame | None = None) -> DataFrame:
 def peak_mags(lc: DataFrame) -> DataFrame:
     """A1: brightest detection per group (value rounded to 8 digits)."""
     s = summarize(lc).where(F.col("peak").isNotNull())
-    return s.select(*G, F.round("peak.mag", 8).alias("peak_mag"), F.col("peak.mjd").alias("peak_mjd"),
+    return s.select(*G, round_half_up("peak.mag", 8).alias("peak_mag"), F.col("peak.mjd").alias("peak_mjd"),
                     mjd_to_iso(F.col("peak.mjd")).alias("date"))
 
 
 def latest_non_detections(lc: DataFrame) -> DataFrame:
     """A2: limit and date of the latest upper limit per group."""
     s = summarize(lc).where(F.col("non_det").isNotNull())
-    return s.select(*G, F.round("non_det.limit", 8).alias("mag"), F.col("non_det.mjd").alias("mjd"),
+    return s.select(*G, round_half_up("non_det.limit", 8).alias("mag"), F.col("non_det.mjd").alias("mjd"),
                     mjd_to_iso(F.col("non_det.mjd")).alias("date"))
 
 
@@ -266,9 +268,9 @@ def latest_detections(lc: DataFrame, nightly: bool = False, compat: bool = False
         latest, rate = F.col("_lmag"), F.col("_rate")
     else:
         latest, rate = F.col("last.mag"), F.col("mag_rate")
-    peak = F.round("peak.mag", 8)
-    return s.select(*G, (peak if compat else F.round(latest, 8)).alias("mag"), peak.alias("peak_mag"),
-                    F.round(rate, 6).alias("mag_rate"), F.col("last.mjd").alias("mjd"),
+    peak = round_half_up("peak.mag", 8)
+    return s.select(*G, (peak if compat else round_half_up(latest, 8)).alias("mag"), peak.alias("peak_mag"),
+                    round_half_up(rate, 6).alias("mag_rate"), F.col("last.mjd").alias("mjd"),
                     mjd_to_iso(F.col("last.mjd")).alias("date"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_half_up
+
 from ..operators import catalogue as cat
 from ..operators import photometry as ph
 from ..sources import config as cfg
@@ -77,7 +79,7 @@ def q_assemble_metadata(spark, sf_dir):
     return m.select(
         "source_id", "tarxiv_id", F.array_join(F.array_sort(F.map_keys(ds)), ",").alias("sources"),
         F.size(ds).alias("n_sources"),
-        F.round(F.get_json_object(ds["sherlock"], "$.redshift").cast("double"), 6).alias("sherlock_redshift"),
+        round_half_up(F.get_json_object(ds["sherlock"], "$.redshift").cast("double"), 6).alias("sherlock_redshift"),
         F.get_json_object(ds["tns"], "$.object_type").alias("tns_type"))
 
 
@@ -360,7 +362,7 @@ def q_export_frame(spark, sf_dir):
     light-curve array; checked through the array's size and first epoch."""
     meta = td.mjd_windows(spark, sf_dir)
     f = cat.export_frame(meta, td.lc_points(spark, sf_dir), key="obj_id")
-    return f.select("obj_id", F.round("meta.discovery_mjd", 6).alias("discovery_mjd"),
+    return f.select("obj_id", round_half_up("meta.discovery_mjd", 6).alias("discovery_mjd"),
                     F.size("lc").cast("long").alias("n_points"), F.array_min(F.transform("lc", lambda x: x["mjd"])).alias("first_mjd")) \
         .withColumn("n_points", F.when(F.col("n_points") >= 0, F.col("n_points")))
 

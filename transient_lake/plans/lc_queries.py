@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_half_up
+
 from ..operators import photometry as ph
 from ..sources import testdata as td
 from .registry import register
@@ -118,7 +120,7 @@ from pts where detection = 1 group by all
 """, views=("lc_points",))
 def q_nightly_means(spark, sf_dir):
     """A3: mean detected magnitude per night."""
-    return ph.nightly_means(_lc(spark, sf_dir)).withColumn("mean_mag", F.round("mean_mag", 6))
+    return ph.nightly_means(_lc(spark, sf_dir)).withColumn("mean_mag", round_half_up("mean_mag", 6))
 
 
 @register("detection_summary", sql="""
@@ -213,7 +215,7 @@ from lsst_raw
 def q_normalise_lsst(spark, sf_dir):
     """LSST fluxes to magnitudes."""
     lc = ph.normalise_lsst_lc(td.lsst_raw(spark, sf_dir))
-    return lc.withColumn("mag", F.round("mag", 6)).withColumn("mag_err", F.round("mag_err", 6))
+    return lc.withColumn("mag", round_half_up("mag", 6)).withColumn("mag_err", round_half_up("mag_err", 6))
 
 
 @register("cut_mjd_window", sql="""
@@ -280,4 +282,4 @@ def q_lightcurve_ingest(spark, sf_dir):
     cut = ph.cut_mjd_window(lc, td.mjd_windows(spark, sf_dir))
     return cut.groupBy("survey").agg(
         F.count("*").alias("n_points"), F.countDistinct("obj_id").alias("n_objects"),
-        F.expr("count_if(detection = 1)").alias("n_detections"), F.round(F.min("mag"), 6).alias("min_mag"))
+        F.expr("count_if(detection = 1)").alias("n_detections"), round_half_up(F.min("mag"), 6).alias("min_mag"))

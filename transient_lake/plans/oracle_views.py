@@ -152,6 +152,34 @@ select s_suppkey as request_id,
        case when s_suppkey % 23 = 0 then '' when s_suppkey % 19 = 0 then '0' else cast(s_suppkey % 30 as varchar) end
          as radius
 from supplier""",
+    "fink_ztf_rows": """
+select user_id as obj_id, epoch_us(ts) / 86400000000.0::DOUBLE + 40587 + 2400000.5::DOUBLE as "i:jd",
+       event_type as "d:classification",
+       case when event_id % 3 = 0 then 'nan' else cast(event_id % 7 as varchar) end as "d:gcvs",
+       case when event_id % 5 = 0 then null else concat('TNS', cast(user_id as varchar)) end as "d:tns",
+       cast(event_id % 11 as varchar) as "d:not_listed"
+from events where event_id % 4 = 0""",
+    "lsst_meta_rows": """
+select user_id as obj_id, epoch_us(ts) / 86400000000.0::DOUBLE + 40587 as "r:midpointMjdTai",
+       event_type as "f:classification",
+       case when event_id % 3 = 0 then 'nan' else cast(event_id % 9 as varchar) end as "f:score",
+       concat('tns', cast(event_id as varchar)) as "f:tns_name", 'v1' as "f:model_version"
+from events where event_id % 4 = 3""",
+    "alerce_probabilities": """
+select l_orderkey as oid, case when l_linenumber % 2 = 0 then 'lsst' else 'ztf' end as survey,
+       case when l_partkey % 3 = 0 then 'other_classifier' when l_linenumber % 2 = 0
+            then 'stamp_classifier_rubin_beta_20260421' else 'lc_classifier_BHRF_forced_phot' end as classifier_name,
+       concat('v', cast(l_suppkey % 3 as varchar)) as classifier_version,
+       case l_returnflag when 'R' then 'SNIa' when 'A' then 'AGN' else 'SNII' end as class_name,
+       case when l_tax = 0 then 'NaN'::DOUBLE else l_discount * 10 end as probability,
+       case when l_linenumber <= 2 then 1 else l_linenumber end as ranking
+from lineitem""",
+    "alerce_features": """
+select l_orderkey as oid,
+       concat(case when l_partkey % 2 = 0 then 'SPM_' else 'GP_' end, cast(l_linenumber as varchar)) as name,
+       case when l_tax = 0 then 'NaN'::DOUBLE else l_quantity end as value,
+       cast(l_suppkey % 4 as int) as fid, concat('1.', cast(l_orderkey % 3 as varchar)) as version
+from lineitem""",
     "users": """
 select c_custkey as user_id,
        case when c_custkey % 11 = 0 then null else c_name end as username,

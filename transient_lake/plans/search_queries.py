@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_half_up
+
 from ..functions import sky as fsky
 from ..operators import search as S
 from ..operators import sky
@@ -146,5 +148,5 @@ def q_cone_page(spark, sf_dir):
     """T3 + T1: page 2 (20 per page) of every cone's hits, nearest first,
     with each cone's page count."""
     hits = sky.cone_search(td.objects(spark, sf_dir), td.cones(spark, sf_dir), max_radius_arcsec=1300.0)
-    hits = hits.withColumn("distance_deg", F.round("distance_deg", 8))
+    hits = hits.withColumn("distance_deg", round_half_up("distance_deg", 8))
     return S.page_slice(hits, page=2, size=20)

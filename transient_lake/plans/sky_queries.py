@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_half_up
+
 from ..functions import sky as fsky
 from ..operators import sky
 from ..sources import testdata as td
@@ -23,7 +25,7 @@ b.obj_id as obj_id_2, b.source as source_2, b.ra_deg as ra_deg_2, b.dec_deg as d
 
 
 def _round_sep(df):
-    return df.withColumn("sep_arcsec", F.round("sep_arcsec", 6))
+    return df.withColumn("sep_arcsec", round_half_up("sep_arcsec", 6))
 
 
 @register("crossmatch_exact", sql=f"""
@@ -84,7 +86,7 @@ where d <= r
 def q_cone_search(spark, sf_dir):
     """All catalogue objects inside each of the cone requests."""
     out = sky.cone_search(td.objects(spark, sf_dir), td.cones(spark, sf_dir), max_radius_arcsec=1300.0)
-    return out.withColumn("distance_deg", F.round("distance_deg", 8))
+    return out.withColumn("distance_deg", round_half_up("distance_deg", 8))
 
 
 @register("nearest_match", sql=f"""
@@ -103,7 +105,7 @@ def q_nearest_match(spark, sf_dir):
     a = td.sky_alerts(spark, sf_dir)
     out = sky.nearest_match(a.where("source = 'ztf'"), a.where("source = 'lsst'").withColumnRenamed("obj_id", "cat_id"),
                             5.0)
-    return out.withColumn("sep_arcsec", F.round("sep_arcsec", 6))
+    return out.withColumn("sep_arcsec", round_half_up("sep_arcsec", 6))
 
 
 def hms_sql(ra: str) -> str:

@@ -310,3 +310,99 @@ def cone_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         " as dec",
         "case when s_suppkey % 23 = 0 then '' when s_suppkey % 19 = 0 then '0' else cast(s_suppkey % 30 as string) end"
         " as radius")
+
+
+# --- object documents (source-keyed metadata) ------------------------------
+
+def meta_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source-keyed documents per light-curve object: ``tns`` and
+    ``sherlock`` payloads, one payload per survey with its ``peak_mags``
+    array (from the points), and a ``fink`` payload with an unreadable
+    peak for every seventh object."""
+    from ..operators.photometry import peak_mags
+
+    keep_nulls = {"ignoreNullFields": "false"}
+    c = table(spark, sf_dir, "customer")
+    tns = F.to_json(F.struct(
+        F.col("c_mktsegment").alias("object_type"),
+        F.when(F.col("c_custkey") % 3 != 0, (F.col("c_custkey") % 97 + 3) / 100.0).alias("redshift"),
+        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("NGC"), F.col("c_custkey").cast("string"))).alias("hostname"),
+        F.concat(F.lit("2024-01-"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"), F.lit("T12:00:00"))
+        .alias("discovery_date"),
+        F.col("c_mktsegment").alias("reporting_group")), keep_nulls)
+    sher_num = F.to_json(F.struct(((F.col("c_custkey") % 50 + 2) / 1000.0).alias("redshift"),
+                                  F.concat(F.lit("CAT"), F.col("c_custkey").cast("string")).alias("catalogue_object_id"),
+                                  ((F.col("c_custkey") % 900) / 10.0 + 1).alias("best_distance")))
+    sher_txt = F.to_json(F.struct(((F.col("c_custkey") % 50 + 2) / 1000.0).alias("redshift"),
+                                  F.concat(F.lit("CAT"), F.col("c_custkey").cast("string")).alias("catalogue_object_id"),
+                                  F.lit("unknown").alias("best_distance")))
+    sher = F.when(F.col("c_custkey") % 4 == 0, None).when(F.col("c_custkey") % 10 == 5, sher_txt).otherwise(sher_num)
+    fink = F.when(F.col("c_custkey") % 7 == 0, F.lit('{"peak_mag":{"mag":"junk","filter":"r"}}'))
+    base = c.select(F.col("c_custkey").alias("tarxiv_id"), F.map_filter(F.create_map(
+        F.lit("tns"), tns, F.lit("sherlock"), sher, F.lit("fink"), fink), lambda k, v: v.isNotNull()).alias("_b"))
+    key = F.when(F.col("survey") == "asas-sn", F.lit("asas_sn")).otherwise(F.col("survey"))
+    pk = peak_mags(lc_points(spark, sf_dir))
+    surveys = (pk.groupBy(F.col("obj_id").alias("tarxiv_id"), key.alias("key"))
+               .agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(
+                   "filter", F.col("peak_mag").alias("limit"), "date"))).alias("peak_mags"))).alias("payload"))
+               .groupBy("tarxiv_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "payload"))))
+                                         .alias("_s")))
+    out = base.join(surveys, "tarxiv_id", "left")
+    return out.select("tarxiv_id", F.lit(None).cast("string").alias("discovery_date"),
+                      F.map_concat("_b", F.coalesce("_s", F.create_map().cast("map<string,string>")))
+                      .alias("data_sources"))
+
+
+def fink_ztf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fink-style ZTF alert rows (``i:``/``d:`` prefixed), several per object."""
+    return _events(spark, sf_dir).where("event_id % 4 = 0").selectExpr(
+        "user_id as obj_id", "unix_micros(ts) / 86400000000.0D + 40587 + 2400000.5D as `i:jd`",
+        "event_type as `d:classification`",
+        "case when event_id % 3 = 0 then 'nan' else cast(event_id % 7 as string) end as `d:gcvs`",
+        "case when event_id % 5 = 0 then null else concat('TNS', cast(user_id as string)) end as `d:tns`",
+        "cast(event_id % 11 as string) as `d:not_listed`")
+
+
+def lsst_meta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LSST-style rows with ``f:`` metadata fields (some named tns/version)."""
+    return _events(spark, sf_dir).where("event_id % 4 = 3").selectExpr(
+        "user_id as obj_id", "unix_micros(ts) / 86400000000.0D + 40587 as `r:midpointMjdTai`",
+        "event_type as `f:classification`",
+        "case when event_id % 3 = 0 then 'nan' else cast(event_id % 9 as string) end as `f:score`",
+        "concat('tns', cast(event_id as string)) as `f:tns_name`", "'v1' as `f:model_version`")
+
+
+def alerce_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classifier outputs per object and survey (ranked)."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey as oid", "case when l_linenumber % 2 = 0 then 'lsst' else 'ztf' end as survey",
+        "case when l_partkey % 3 = 0 then 'other_classifier' when l_linenumber % 2 = 0 "
+        "then 'stamp_classifier_rubin_beta_20260421' else 'lc_classifier_BHRF_forced_phot' end as classifier_name",
+        "concat('v', cast(l_suppkey % 3 as string)) as classifier_version",
+        "case l_returnflag when 'R' then 'SNIa' when 'A' then 'AGN' else 'SNII' end as class_name",
+        "case when l_tax = 0 then cast('NaN' as double) else l_discount * 10 end as probability",
+        "case when l_linenumber <= 2 then 1 else l_linenumber end as ranking")
+
+
+def alerce_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Light-curve features per object (only SPM* are kept downstream)."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey as oid", "concat(case when l_partkey % 2 = 0 then 'SPM_' else 'GP_' end, cast(l_linenumber as string))"
+        " as name", "case when l_tax = 0 then cast('NaN' as double) else l_quantity end as value",
+        "cast(l_suppkey % 4 as int) as fid", "concat('1.', cast(l_orderkey % 3 as string)) as version")
+
+
+def antares_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broker loci (the LSST-side alerts) with tag arrays."""
+    return sky_alerts(spark, sf_dir).where("source = 'lsst'").select(
+        F.col("obj_id").alias("locus_id"), "ra_deg", "dec_deg",
+        F.array_sort(F.array_distinct(F.array(F.lit("in_tns"), F.when(F.col("dec_deg") > 0, F.lit("north"))
+                                              .otherwise(F.lit("south"))))).alias("tags"))
+
+
+def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backup file names, one per order: ``<prefix>-YYYYMMDD-HHMMSS.json``."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('/backups/', case o_orderkey % 3 when 0 then 'tarxiv_meta' when 1 then 'tarxiv_lc' else 'pg' end,"
+        " '-', date_format(timestampadd(HOUR, cast(o_orderkey % 24 as int), o_orderdate), 'yyyyMMdd-HHmmss'),"
+        " case when o_orderkey % 97 = 0 then '.tmp' else '.json' end) as path").distinct()
