@@ -14,11 +14,12 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @lru_cache(maxsize=None)
 def _formatter(spec: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def fmt(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None or pd.isna(v) else format(float(v), spec))
     return fmt

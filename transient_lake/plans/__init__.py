@@ -2,6 +2,6 @@
 
 from .registry import ORACLE, QUERIES
 from . import (catalogue_queries, display_queries, hit_queries, lc_queries, people_queries,  # noqa: F401
-               search_queries, sky_queries)  # noqa: F401  (registers)
+               search_queries, sky_queries, stream_queries)  # noqa: F401  (registers)
 
 __all__ = ["QUERIES", "ORACLE"]

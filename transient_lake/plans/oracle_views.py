@@ -215,7 +215,7 @@ select object_id, tag_id, min(applied_by) as applied_by from (
 group by object_id, tag_id""",
     "notices": """
 select page_id as message_id,
-       case when page_id % 3 = 0 then 'other@example.org' else 'TNS <tns@wis-tns.org>' end as "from",
+       case when page_id % 3 = 0 then 'other@example.org' else 'TNS <tns@weizmann.ac.il>' end as "from",
        url as subject, 'text/html' as content_type, html as body
 from pages""",
 }

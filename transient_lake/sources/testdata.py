@@ -22,17 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _events(spark, sf_dir):
+def _events(spark, sf_dir, stream: bool = False):
     # Parquet timestamps load as timestamp_ntz; the archive works in UTC instants.
-    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    if stream:
+        path = f"{sf_dir.rstrip('/')}/events.parquet"
+        # a file stream source watches a directory; keep only this table's file
+        base = (spark.readStream.schema(spark.read.parquet(path).schema)
+                .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    else:
+        base = table(spark, sf_dir, "events")
+    return base.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 # --- sky -----------------------------------------------------------------
 
-def sky_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sky_alerts(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """M1 detections from two surveys; even ids ZTF, odd ids LSST jittered
-    by up to 4.2 arcsec so that about 40% of points have a counterpart."""
-    return _events(spark, sf_dir).selectExpr(
+    by up to 4.2 arcsec so that about 40% of points have a counterpart.
+    ``stream=True`` gives the same rows as a streaming frame."""
+    return _events(spark, sf_dir, stream).selectExpr(
         "concat(case when event_id % 2 = 0 then 'Z' else 'L' end, event_id) as obj_id",
         "case when event_id % 2 = 0 then 'ztf' else 'lsst' end as source",
         "(((div(event_id, 2)) * 137 * 3600 + (event_id % 2) * (((event_id * 7919) % 13) - 6) * 700"
@@ -43,10 +51,10 @@ def sky_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sky_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sky_chain(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Chains of six detections 3 arcsec apart in declination (three surveys),
     so collation needs several rounds to settle."""
-    return _events(spark, sf_dir).selectExpr(
+    return _events(spark, sf_dir, stream).selectExpr(
         "concat('C', event_id) as obj_id",
         "case event_id % 3 when 0 then 'ztf' when 1 then 'lsst' else 'atlas' end as source",
         "(((div(event_id, 6)) * 137) % 360000) / 1000.0D as ra_deg",
@@ -261,7 +269,7 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notice messages: web pages re-used as mail bodies."""
     return table(spark, sf_dir, "pages").selectExpr(
         "page_id as message_id",
-        "case when page_id % 3 = 0 then 'other@example.org' else 'TNS <tns@wis-tns.org>' end as `from`",
+        "case when page_id % 3 = 0 then 'other@example.org' else 'TNS <tns@weizmann.ac.il>' end as `from`",
         "url as subject", "'text/html' as content_type", "html as body")
 
 
