@@ -141,7 +141,7 @@ def topic_offsets(messages: DataFrame) -> DataFrame:
 
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
     """One citation text per ``.bib`` file, keyed by the file stem."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.bib$", 1)
     return df.select(stem.alias("stem"), F.col("value").alias("text"))
 
