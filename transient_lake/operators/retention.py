@@ -22,13 +22,16 @@ SNAPSHOT_PATTERN = r"^(.*)-(\d{8})-(\d{6})\.json$"
 
 def snapshot_table(paths: DataFrame, path_col: str = "path") -> DataFrame:
     """File names -> (path, prefix, snapshot_date, ts); others dropped."""
-    name = F.regexp_extract(F.col(path_col), r"([^/]*)$", 1)
+    name = F.substring_index(F.col(path_col), "/", -1)
+    # one pattern test; the stamp has a fixed width at the end of the name
     ok = name.rlike(SNAPSHOT_PATTERN)
-    stamp = F.concat(F.regexp_extract(name, SNAPSHOT_PATTERN, 2), F.regexp_extract(name, SNAPSHOT_PATTERN, 3))
+    n = F.length(name)
+    day = F.substring(name, -20, 8)
+    clock = F.substring(name, -11, 6)
     return paths.where(ok).select(
-        F.col(path_col).alias("path"), F.regexp_extract(name, SNAPSHOT_PATTERN, 1).alias("prefix"),
-        F.to_date(F.regexp_extract(name, SNAPSHOT_PATTERN, 2), "yyyyMMdd").alias("snapshot_date"),
-        F.to_timestamp(stamp, "yyyyMMddHHmmss").alias("ts"))
+        F.col(path_col).alias("path"), name.substr(F.lit(1), n - 21).alias("prefix"),
+        F.to_date(day, "yyyyMMdd").alias("snapshot_date"),
+        F.to_timestamp(F.concat(day, clock), "yyyyMMddHHmmss").alias("ts"))
 
 
 def snapshot_retention(snaps: DataFrame, today: str, daily: int = KEEP_DAILY_DAYS, weekly: int = KEEP_WEEKLY_DAYS,
