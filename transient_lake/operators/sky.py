@@ -27,13 +27,25 @@ from pyspark.sql import functions as F
 
 from ..functions.sky import acos_sep_arcsec, angular_sep_arcsec, angular_sep_deg, dec_bucket
 
-MIN_CELL_DEG = 60.0 / 3600.0
+MIN_CELL_DEG = 1e-6
 
 
 def cell_size_deg(radius_deg: float) -> float:
+    """Cells of twice the radius: a search circle touches at most 2 x 2
+    cells, and a dense field never puts far-apart points in one bucket."""
     return max(MIN_CELL_DEG, 2.0 * radius_deg)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Batch inputs with fewer partitions than the cluster has cores (small
+    or unsplittable files) are spread out before the per-row sky work;
+    large inputs already have enough partitions and are left alone."""
+    if df.isStreaming:
+        return df
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def _n_ra_cells(zone: Column, cell: float) -> Column:
     lo = zone * cell - 90.0
     hi = (zone + 1) * cell - 90.0
@@ -75,9 +87,9 @@ def cover_cells(df: DataFrame, ra: str, dec: str, radius, cell: float) -> DataFr
     lo = F.floor((ra - delta) / w).cast("long")
     hi = F.floor((ra + delta) / w).cast("long")
     every = polar | ((hi - lo + 1) >= n)
-    cells = F.when(every, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(
-        F.array_distinct(F.transform(F.sequence(lo, hi), lambda c: F.pmod(c, n))))
-    return out.withColumn("_cell", F.explode(cells))
+    # fewer than n consecutive cells stay distinct after the RA wrap (pmod)
+    cells = F.when(every, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.sequence(lo, hi))
+    return out.withColumn("_cell", F.explode(cells)).withColumn("_cell", F.pmod(F.col("_cell"), n))
 
 
 # --- J1 -------------------------------------------------------------------
@@ -118,8 +130,8 @@ def crossmatch(alerts: DataFrame, radius_arcsec: float = 4.0, mode: str = "exact
         raise ValueError(f"unknown crossmatch mode {mode!r}")
     r = radius_arcsec / 3600.0
     cell = cell_size_deg(r)
-    a = home_cell(_suffix(alerts, "_1"), "ra_deg_1", "dec_deg_1", cell)
-    b = cover_cells(_suffix(other, "_2"), "ra_deg_2", "dec_deg_2", r, cell)
+    a = home_cell(_suffix(spread(alerts), "_1"), "ra_deg_1", "dec_deg_1", cell)
+    b = cover_cells(_suffix(spread(other), "_2"), "ra_deg_2", "dec_deg_2", r, cell)
     sep = angular_sep_arcsec("ra_deg_1", "dec_deg_1", "ra_deg_2", "dec_deg_2")
     j = a.join(b, ["_zone", "_cell"]).where(
         (F.col("obj_id_1") < F.col("obj_id_2")) & (F.col("source_1") != F.col("source_2"))
@@ -149,8 +161,8 @@ def cone_search(objects: DataFrame, cones: DataFrame, *, obj_id="tarxiv_id", ra=
     if max_radius_arcsec is None:
         max_radius_arcsec = cones.agg(F.max(radius_col)).first()[0] or 0.0
     cell = cell_size_deg(max_radius_arcsec / 3600.0)
-    o = home_cell(objects.select(F.col(obj_id).alias("obj_name"), F.col(ra).alias("ra"),
-                                 F.col(dec).alias("dec")), "ra", "dec", cell)
+    o = home_cell(spread(objects).select(F.col(obj_id).alias("obj_name"), F.col(ra).alias("ra"),
+                                         F.col(dec).alias("dec")), "ra", "dec", cell)
     c = cones.select(F.col(cone_id).alias("cone_id"), F.col(cone_ra).alias("_cra"),
                      F.col(cone_dec).alias("_cdec"), (F.col(radius_col) / 3600.0).alias("_r"))
     c = cover_cells(c, "_cra", "_cdec", F.col("_r"), cell)
@@ -172,9 +184,9 @@ def nearest_match(objects: DataFrame, catalogue: DataFrame, radius_arcsec: float
     a ``min_by`` aggregate, so partial aggregation runs map-side."""
     r = radius_arcsec / 3600.0
     cell = cell_size_deg(r)
-    o = home_cell(objects.select(F.col(obj_id).alias("_oid"), F.col(ra).alias("_ora"),
-                                 F.col(dec).alias("_odec")), "_ora", "_odec", cell)
-    c = cover_cells(catalogue.select(F.col(cat_id).alias("match_id"), F.col(cat_ra).alias("match_ra"),
+    o = home_cell(spread(objects).select(F.col(obj_id).alias("_oid"), F.col(ra).alias("_ora"),
+                                         F.col(dec).alias("_odec")), "_ora", "_odec", cell)
+    c = cover_cells(spread(catalogue).select(F.col(cat_id).alias("match_id"), F.col(cat_ra).alias("match_ra"),
                                      F.col(cat_dec).alias("match_dec")), "match_ra", "match_dec", r, cell)
     sep = angular_sep_arcsec("_ora", "_odec", "match_ra", "match_dec")
     j = (o.join(c, ["_zone", "_cell"])
