@@ -377,3 +377,24 @@ def tags_grouped_by_owner(tags_with_owner: DataFrame) -> DataFrame:
         F.count("*").alias("n_tags"), F.min("name").alias("first_tag"), F.max("name").alias("last_tag"))
     return g.withColumn("section_order", F.when(F.col("owner_type") == "user", 0).otherwise(1)).withColumn(
         "sort_name", F.lower("owner_name"))
+
+
+def apply_profile_updates(users: DataFrame, updates: DataFrame,
+                          fields=("nickname", "forename", "surname", "email")) -> DataFrame:
+    """Partial profile updates: a field changes only when its
+    ``set_<field>`` flag is true (so a field can be set to NULL)."""
+    u = updates.select("user_id", *[F.col(f).alias(f"_n_{f}") for f in fields],
+                       *[F.col(f"set_{f}").alias(f"_s_{f}") for f in fields]).dropDuplicates(["user_id"])
+    j = users.join(u, "user_id", "left")
+    return j.select(*[F.when(F.col(f"_s_{c}") == True, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)  # noqa: E712
+                      if c in fields else F.col(c) for c in users.columns])
+
+
+def insert_assignments(assignments: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tag an object idempotently - an existing (object, tag) pair is
+    rejected, not overwritten; new pairs are appended."""
+    key = ["object_id", "tag_id"]
+    req = requests.groupBy(*key).agg(F.min("applied_by").alias("applied_by"))
+    new = req.join(assignments.select(*key), key, "left_anti")
+    rejected = req.join(assignments.select(*key), key, "left_semi").withColumn("error", F.lit("already tagged"))
+    return assignments.unionByName(new.select(*assignments.columns)), rejected

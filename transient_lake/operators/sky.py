@@ -195,3 +195,24 @@ def nearest_match(objects: DataFrame, catalogue: DataFrame, radius_arcsec: float
     best = j.groupBy("_oid").agg(F.min_by(F.struct("match_id", "match_ra", "match_dec", "sep_arcsec"),
                                           F.struct("sep_arcsec", "match_id")).alias("m"))
     return best.select(F.col("_oid").alias(obj_id), "m.*")
+
+
+# --- N1, N2 ----------------------------------------------------------------
+
+def normalise_ztf_alert(alerts: DataFrame) -> DataFrame:
+    """ZTF alert (objectId, candidate.ra/dec/jd) -> M1 detection; the
+    time is the candidate's JD at millisecond precision (ISO ``isot``)."""
+    from ..functions.time import jd_to_mjd, mjd_to_timestamp
+    return alerts.select(F.col("objectId").cast("string").alias("obj_id"), F.lit("ztf").alias("source"),
+                         F.col("candidate.ra").cast("double").alias("ra_deg"),
+                         F.col("candidate.dec").cast("double").alias("dec_deg"),
+                         mjd_to_timestamp(jd_to_mjd(F.col("candidate.jd"))).alias("timestamp"))
+
+
+def normalise_lsst_alert(alerts: DataFrame) -> DataFrame:
+    """LSST alert (diaObjectId, ra, decl, lastDiaSourceMjdTai) -> M1; the
+    TAI MJD is read as UTC like the reference (D17)."""
+    from ..functions.time import mjd_to_timestamp
+    return alerts.select(F.col("diaObjectId").cast("string").alias("obj_id"), F.lit("lsst").alias("source"),
+                         F.col("ra").cast("double").alias("ra_deg"), F.col("decl").cast("double").alias("dec_deg"),
+                         mjd_to_timestamp(F.col("lastDiaSourceMjdTai")).alias("timestamp"))

@@ -377,3 +377,14 @@ def q_union_lightcurves(spark, sf_dir):
     u = ph.union_lightcurves(ph.normalise_ztf_lc(td.ztf_raw(spark, sf_dir)),
                              ph.normalise_lsst_lc(td.lsst_raw(spark, sf_dir)))
     return u.groupBy("survey").agg(F.count("*").alias("n"))
+
+
+@register("sql_id_listing", sql="""
+select tarxiv_id, source_id from objects where source = 'tns' and discovery_date >= timestamp '1997-01-01'
+""", views=("objects",))
+def q_sql_id_listing(spark, sf_dir):
+    """free SQL over a named view with bound parameter markers (the
+    dump's id listing)."""
+    cat.register_views({"tl_meta": td.objects(spark, sf_dir)})
+    return cat.run_sql(spark, "SELECT tarxiv_id, source_id FROM tl_meta WHERE source = :source "
+                              "AND discovery_date >= CAST(:since AS TIMESTAMP_NTZ)", source="tns", since="1997-01-01")

@@ -426,3 +426,38 @@ def q_tag_option_labels(spark, sf_dir):
     users, teams, mem, tags, _ = _t(spark, sf_dir)
     tw = P._tag_owner(tags, users, teams)
     return tw.select("tag_id", P.tag_option_label(tw).alias("label"))
+
+
+@register("apply_profile_updates", sql="""
+with upd as (select distinct on (o_custkey) o_custkey as user_id, 'nick' || cast(o_custkey % 10 as varchar) as nickname,
+                    o_custkey % 2 = 0 as set_nickname, null as email, o_custkey % 5 = 0 as set_email
+             from orders order by o_custkey)
+select u.user_id, u.username,
+       case when p.set_nickname then p.nickname else u.nickname end as nickname, u.forename, u.surname,
+       case when p.set_email then null else u.email end as email
+from users u left join upd p using (user_id)
+""", views=("users",))
+def q_apply_profile_updates(spark, sf_dir):
+    """Reporters update their profiles; only flagged fields change and
+    an email can be cleared (set to NULL)."""
+    o = td.table(spark, sf_dir, "orders")
+    upd = o.selectExpr("o_custkey as user_id", "concat('nick', cast(o_custkey % 10 as string)) as nickname",
+                       "o_custkey % 2 = 0 as set_nickname", "cast(null as string) as forename", "false as set_forename",
+                       "cast(null as string) as surname", "false as set_surname", "cast(null as string) as email",
+                       "o_custkey % 5 = 0 as set_email")
+    return P.apply_profile_updates(td.users(spark, sf_dir), upd)
+
+
+@register("insert_assignments", sql="""
+with req as (select cast(l_orderkey as varchar) as object_id, l_partkey as tag_id, min(l_suppkey) as applied_by
+             from lineitem where l_linenumber in (2, 3) group by 1, 2)
+select * from assignments
+union all
+select * from req where (object_id, tag_id) not in (select (object_id, tag_id) from assignments)
+""", views=("assignments",))
+def q_insert_assignments(spark, sf_dir):
+    """Tagging requests applied idempotently (existing tags rejected)."""
+    req = td.table(spark, sf_dir, "lineitem").where("l_linenumber in (2, 3)").selectExpr(
+        "cast(l_orderkey as string) as object_id", "l_partkey as tag_id", "l_suppkey as applied_by")
+    out, _ = P.insert_assignments(td.assignments(spark, sf_dir), req)
+    return out

@@ -130,3 +130,70 @@ def q_sexagesimal_format(spark, sf_dir):
     """Catalogue coordinates in sexagesimal notation."""
     o = td.objects(spark, sf_dir)
     return o.select("tarxiv_id", fsky.deg_to_hms("ra_deg").alias("ra_hms"), fsky.deg_to_dms("dec_deg").alias("dec_dms"))
+
+
+_TS_FROM_MJD = "epoch_ms(cast(round(({m} - 40587) * 86400000.0) as bigint))"
+
+
+@register("normalise_alerts", sql=f"""
+select 'ZTF' || obj_id as obj_id, 'ztf' as source, ra_deg, dec_deg,
+       {_TS_FROM_MJD.format(m="(epoch_us(timestamp) / 86400000000.0 + 40587 + 2400000.5 - 2400000.5)")} as timestamp
+from sky_alerts where source = 'ztf'
+union all
+select obj_id, 'lsst', ra_deg, dec_deg, {_TS_FROM_MJD.format(m="(epoch_us(timestamp) / 86400000000.0 + 40587)")}
+from sky_alerts where source = 'lsst'
+""", views=("sky_alerts",))
+def q_normalise_alerts(spark, sf_dir):
+    """N1 + N2: ZTF and LSST alert packets to detections (M1)."""
+    return sky.normalise_ztf_alert(td.ztf_alerts(spark, sf_dir)).unionByName(
+        sky.normalise_lsst_alert(td.lsst_alerts(spark, sf_dir)))
+
+
+_SEX = r"^\s*([+-]?)\s*(\d+(?:\.\d*)?)[\s:]+(\d+(?:\.\d*)?)[\s:]+(\d+(?:\.\d*)?)\s*$"
+
+
+def _parse_sql(t: str, hours: bool) -> str:
+    g = [f"try_cast(regexp_extract({t}, '{_SEX}', {i}) as double)" for i in (2, 3, 4)]
+    mag = f"({g[0]} + {g[1]} / 60.0 + {g[2]} / 3600.0)" + (" * 15.0" if hours else "")
+    return (f"case when regexp_matches({t}, '{_SEX}') then (case when regexp_extract({t}, '{_SEX}', 1) = '-' "
+            f"then -{mag} else {mag} end) else try_cast(trim({t}) as double) end")
+
+
+@register("parse_coordinates", sql=f"""
+with t as (
+  select tarxiv_id,
+         case cast(source_id as bigint) % 3
+           when 0 then replace({hms_sql('ra_deg')}, ':', ' ') || '  ' || replace({dms_sql('dec_deg')}, ':', ' ')
+           when 1 then cast(ra_deg as varchar) || ', ' || cast(dec_deg as varchar)
+           else cast(ra_deg as varchar) || ' ' || cast(dec_deg as varchar) end as text
+  from objects),
+s as (select tarxiv_id, trim(text) as t, regexp_split_to_array(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' ') as toks
+      from t),
+p as (select tarxiv_id,
+             case when contains(t, ',') then trim(split_part(t, ',', 1))
+                  when len(toks) = 2 then toks[1] when len(toks) = 6 then array_to_string(toks[1:3], ' ') end as ra_txt,
+             case when contains(t, ',') then trim(split_part(t, ',', 2))
+                  when len(toks) = 2 then toks[2] when len(toks) = 6 then array_to_string(toks[4:6], ' ') end as dec_txt,
+             contains(t, ',') or len(toks) = 2 as plain
+      from s)
+select tarxiv_id, ra_txt, dec_txt,
+       round(case when plain then try_cast(ra_txt as double) else {_parse_sql('ra_txt', True)} end, 8) as ra_deg,
+       round({_parse_sql('dec_txt', False)}, 8) as dec_deg
+from p
+""", views=("objects",))
+def q_parse_coordinates(spark, sf_dir):
+    """C7 + C6: typed ``RA Dec`` text (sexagesimal with spaces, decimal with
+    a comma or a space) split and parsed back to degrees."""
+    o = td.objects(spark, sf_dir)
+    n = F.col("source_id").cast("long") % 3
+    sexa = F.concat(F.regexp_replace(fsky.deg_to_hms("ra_deg"), ":", " "), F.lit("  "),
+                    F.regexp_replace(fsky.deg_to_dms("dec_deg"), ":", " "))
+    text = (F.when(n == 0, sexa)
+            .when(n == 1, F.concat(F.col("ra_deg").cast("string"), F.lit(", "), F.col("dec_deg").cast("string")))
+            .otherwise(F.concat(F.col("ra_deg").cast("string"), F.lit(" "), F.col("dec_deg").cast("string"))))
+    parts = o.select("tarxiv_id", fsky.split_coordinates(text).alias("p"), (n != 0).alias("plain"))
+    ra_txt, dec_txt = F.col("p")[0], F.col("p")[1]
+    ra = F.when(F.col("plain"), ra_txt.try_cast("double")).otherwise(fsky.sexagesimal_to_deg(ra_txt, True))
+    return parts.select("tarxiv_id", ra_txt.alias("ra_txt"), dec_txt.alias("dec_txt"),
+                        round_half_up(ra, 8).alias("ra_deg"),
+                        round_half_up(fsky.sexagesimal_to_deg(dec_txt, False), 8).alias("dec_deg"))

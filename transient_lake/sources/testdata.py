@@ -414,3 +414,18 @@ def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('/backups/', case o_orderkey % 3 when 0 then 'tarxiv_meta' when 1 then 'tarxiv_lc' else 'pg' end,"
         " '-', date_format(timestampadd(HOUR, cast(o_orderkey % 24 as int), o_orderdate), 'yyyyMMdd-HHmmss'),"
         " case when o_orderkey % 97 = 0 then '.tmp' else '.json' end) as path").distinct()
+
+
+def ztf_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ZTF-style alert packets (nested candidate) for the even events."""
+    a = sky_alerts(spark, sf_dir).where("source = 'ztf'")
+    return a.select(F.concat(F.lit("ZTF"), F.col("obj_id")).alias("objectId"), F.struct(
+        F.col("ra_deg").alias("ra"), F.col("dec_deg").alias("dec"),
+        (F.unix_micros("timestamp") / 86400000000.0 + 40587 + 2400000.5).alias("jd")).alias("candidate"))
+
+
+def lsst_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LSST-style alert packets for the odd events."""
+    a = sky_alerts(spark, sf_dir).where("source = 'lsst'")
+    return a.select(F.col("obj_id").alias("diaObjectId"), F.col("ra_deg").alias("ra"), F.col("dec_deg").alias("decl"),
+                    (F.unix_micros("timestamp") / 86400000000.0 + 40587).alias("lastDiaSourceMjdTai"))
