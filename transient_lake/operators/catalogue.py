@@ -206,7 +206,7 @@ def base36(n, width: int = ID_LEN) -> Column:
     return F.substring(F.lpad(F.conv(c.cast("string"), 10, 36), width, "0"), 1, width)
 
 
-def assign_ids(new: DataFrame, registry: DataFrame, buckets: int = 512) -> DataFrame:
+def assign_ids(new: DataFrame, registry: DataFrame, buckets: int | None = None) -> DataFrame:
     """Reuse the id of a known source_id, else the next yearly counter.
 
     ``new``: (source_id, year); ``registry``: (year, idx, tarxiv_id,
@@ -248,19 +248,22 @@ def active_objects(meta: DataFrame, settings: DataFrame, source: str, now: str,
             .select("tarxiv_id", "source", "source_id"))
 
 
-def due_sources(meta: DataFrame, source_config: DataFrame, now: str, compat: bool = False) -> DataFrame:
+def due_sources(meta: DataFrame, source_config, now: str, compat: bool = False) -> DataFrame:
     """(object, source) pairs due for a refresh: update_date plus the
     source's update_frequency days has passed.  ``compat=True`` keeps the
     reference's inverted test (refresh while still fresh, D5).
 
-    ``source_config`` holds one row per configured source (a handful), so
-    the cross product is object count x sources and the config side is
-    broadcast by its measured size."""
+    ``source_config`` is the list of configuration rows (name, meta_only,
+    survey_name, update_frequency) - a handful of constants - so each object
+    row is expanded in place by an ``explode`` of those rows: no join and no
+    shuffle."""
+    rows = F.array(*[F.struct(F.lit(n).alias("source_name"), F.lit(m).alias("meta_only"),
+                              F.lit(f).alias("update_frequency")) for n, m, _s, f in source_config])
+    x = meta.select("tarxiv_id", "update_date", F.inline(rows))
     due_at = F.expr("timestampadd(DAY, update_frequency, cast(update_date as timestamp))")
     t_now = F.lit(now).cast("timestamp")
     cond = (due_at >= t_now) if compat else (due_at <= t_now)
-    return (meta.select("tarxiv_id", "update_date").crossJoin(F.broadcast(source_config))
-            .where(cond).select("tarxiv_id", "source_name", "meta_only"))
+    return x.where(cond).select("tarxiv_id", "source_name", "meta_only")
 
 
 def refresh_requests(all_ids: DataFrame, meta: DataFrame, settings: DataFrame, source_config: DataFrame,

@@ -184,9 +184,8 @@ def merge_identities(users: DataFrame, identities: DataFrame, incoming: DataFram
         *[F.when(_empty(F.col(f)), F.col(f"_in_{f}")).otherwise(F.col(f)).alias(f) if f in profile_fields
           else F.col(f) for f in users.columns])
     new = inc.join(identities.select(*key), key, "left_anti")
-    base = users.agg(F.max("user_id").alias("_m"))  # one row
-    new = (dense_number(new, [], key, "_k").crossJoin(base)
-           .withColumn("user_id", F.col("_m") + F.col("_k")).drop("_m", "_k"))
+    top = users.agg(F.max("user_id")).first()[0] or 0  # one scalar
+    new = dense_number(new, [], key, "_k").withColumn("user_id", F.lit(top) + F.col("_k")).drop("_k")
     new_users = new.select("user_id", *[F.col(f) if f in new.columns else F.lit(None).cast(users.schema[f].dataType).alias(f)
                                         for f in users.columns if f != "user_id"])
     users_out = u.unionByName(new_users.select(*users.columns))

@@ -284,7 +284,7 @@ where o.update_date + to_days(c.update_frequency) <= timestamp '{NOW}'
 """, views=("objects",))
 def q_due_sources(spark, sf_dir):
     """(object, source) pairs due for a refresh at ``NOW``."""
-    return cat.due_sources(td.objects(spark, sf_dir), cfg.source_config(spark), NOW)
+    return cat.due_sources(td.objects(spark, sf_dir), cfg.SOURCE_CONFIG, NOW)
 
 
 @register("refresh_requests", sql=f"""
@@ -303,7 +303,7 @@ def q_refresh_requests(spark, sf_dir):
     """ST6 (batch): bulk / update / refresh work list, counted per queue."""
     allv = td.public_catalogue(spark, sf_dir).select(F.col("name").alias("source_id"))
     req = cat.refresh_requests(allv, td.objects(spark, sf_dir), td.active_settings(spark, sf_dir),
-                               cfg.source_config(spark), NOW)
+                               cfg.SOURCE_CONFIG, NOW)
     return req.groupBy("queue").agg(F.count("*").alias("n"), F.countDistinct("object_id").alias("n_objects"))
 
 
