@@ -112,3 +112,28 @@ def test_deg_to_sexagesimal_golden(spark):
 ])
 def test_split_coordinates(spark, text, want):
     assert spark.range(1).select(fsky.split_coordinates(F.lit(text)).alias("v")).first().v == want
+
+
+def test_hot_spot_third_of_rows(spark):
+    """One spot on the sky holds a third of all detections (repeated alerts
+    of one object): every cross-survey pair inside it is found, nothing
+    outside it is lost, and collation puts the spot into one hit."""
+    from transient_lake.operators import hits as H
+
+    rnd = random.Random(11)
+    rows = []
+    for i in range(300):  # the hot spot: within 1 arcsec of (150, 2)
+        rows.append((f"h{i:04d}", "ztf" if i % 2 else "lsst", 150.0 + rnd.uniform(-1, 1) / 3600,
+                     2.0 + rnd.uniform(-1, 1) / 3600))
+    for i in range(600):  # the rest of the sky, sparse
+        rows.append((f"s{i:04d}", "ztf" if i % 2 else "lsst", rnd.uniform(0, 360), rnd.uniform(-80, 80)))
+    df = spark.createDataFrame(rows, "obj_id string, source string, ra_deg double, dec_deg double") \
+        .withColumn("timestamp", F.current_timestamp())
+    pairs = sky.crossmatch(df, 4.0)
+    got = {(r.obj_id_1, r.obj_id_2) for r in pairs.select("obj_id_1", "obj_id_2").collect()}
+    want = {(min(a[0], b[0]), max(a[0], b[0])) for i, a in enumerate(rows) for b in rows[i + 1:]
+            if a[1] != b[1] and _sep_arcsec(a, b) <= 4.0}
+    assert got == want and len(got) >= 150 * 150
+    members, hits, _ = H.collate_hits(pairs)
+    big = hits.orderBy(F.desc("n_members")).first()
+    assert big.n_members == 300 and big.xmatch_id == "h0000"
