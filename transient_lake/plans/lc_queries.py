@@ -124,7 +124,7 @@ def q_nightly_means(spark, sf_dir):
 
 
 @register("detection_summary", sql="""
-select obj_id, count_if(detection = 1) as n_detections,
+select obj_id, cast(count_if(detection = 1) as bigint) as n_detections,
        array_to_string(list_sort(list_distinct(list(upper(survey)))), ' + ') as surveys
 from lc_points group by obj_id
 """, views=("lc_points",))
@@ -134,7 +134,7 @@ def q_detection_summary(spark, sf_dir):
 
 
 @register("lightcurve_series", sql="""
-select obj_id, survey, filter, count_if(detection = 1) as n_points, count_if(detection = 0) as n_limits,
+select obj_id, survey, filter, cast(count_if(detection = 1) as bigint) as n_points, cast(count_if(detection = 0) as bigint) as n_limits,
        min(mjd) as mjd_first, max(mjd) as mjd_last,
        concat_ws(' ', upper(coalesce(survey, 'unknown')), coalesce(filter, 'Unknown')) as label
 from lc_points
@@ -147,7 +147,7 @@ def q_lightcurve_series(spark, sf_dir):
 
 
 @register("count_per_source", sql="""
-select survey, sum(n) as lc_count, count(*) as n_objs, count_if(det) as n_with_detection from (
+select survey, cast(sum(n) as bigint) as lc_count, count(*) as n_objs, cast(count_if(det) as bigint) as n_with_detection from (
   select survey, obj_id, count(*) as n, max(detection = 1) as det from lc_points group by all)
 group by survey
 """, views=("lc_points",))
@@ -268,7 +268,7 @@ l as (select obj_id, 'lsst' as survey, "r:band" as filter, "r:midpointMjdTai" as
       from lsst_raw),
 u as (select * from z union all select * from s union all select * from a union all select * from l)
 select u.survey, count(*) as n_points, count(distinct u.obj_id) as n_objects,
-       count_if(u.detection = 1) as n_detections, round(min(u.mag), 6) as min_mag
+       cast(count_if(u.detection = 1) as bigint) as n_detections, round(min(u.mag), 6) as min_mag
 from u join mjd_windows w using (obj_id)
 where u.mjd between w.discovery_mjd - coalesce(w.prior_days, 30) and w.discovery_mjd + coalesce(w.active_days, 60)
 group by u.survey

@@ -263,7 +263,7 @@ def q_audit_constraints(spark, sf_dir):
 @register("insert_memberships", sql="""
 with req as (select distinct cast(o_orderkey % 25 as int) as team_id, o_custkey as user_id, 'member' as role
              from orders where o_orderkey % 7 = 0)
-select team_id, count(*) as n_members, count_if(role = 'owner') as n_owners from (
+select team_id, count(*) as n_members, cast(count_if(role = 'owner') as bigint) as n_owners from (
   select * from memberships
   union all select * from req where (team_id, user_id) not in (select (team_id, user_id) from memberships))
 group by team_id
@@ -370,7 +370,7 @@ def q_resolve_tag(spark, sf_dir):
 
 @register("leave_team_check", sql="""
 with req as (select distinct c_nationkey as team_id, c_custkey as user_id from customer where c_custkey % 20 in (0, 7)),
-oc as (select team_id, count_if(role = 'owner') as n_owners from memberships group by team_id),
+oc as (select team_id, cast(count_if(role = 'owner') as bigint) as n_owners from memberships group by team_id),
 j as (select r.*, m.role, oc.n_owners from req r left join memberships m using (team_id, user_id) left join oc using (team_id))
 select team_id, user_id, role,
        case when role is null then 'not a member' when role = 'owner' and n_owners <= 1 then 'sole owner' end is null

@@ -172,4 +172,4 @@ def notice_object_names(messages: DataFrame, body: str = "body") -> DataFrame:
     tokens = F.regexp_extract_all(F.col(body), F.lit(NAME_PATTERN), 1)
     names = F.when(F.size(anchors) > 0, anchors).otherwise(tokens)
     out = messages.select("message_id", F.posexplode(names).alias("pos", "raw"))
-    return out.select("message_id", "pos", html_text("raw").alias("name"))
+    return out.select("message_id", F.col("pos").cast("long").alias("pos"), html_text("raw").alias("name"))
