@@ -102,8 +102,8 @@ def objects_for_tag(requests: DataFrame, memberships: DataFrame, tags: DataFrame
     ok = _visible_requests(requests, memberships, tags)
     j = ok.join(assignments.select("tag_id", "object_id"), "tag_id")
     w = Window.partitionBy("user_id", "tag_id").orderBy("object_id")
-    ranked = j.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= offset + limit)
-    return ranked.where(F.col("rank") > offset)
+    ranked = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= offset + limit)
+    return ranked.where(F.col("rank") > offset).withColumn("rank", F.col("rank").cast("long"))
 
 
 def user_teams(requests: DataFrame, memberships: DataFrame, teams: DataFrame) -> DataFrame:

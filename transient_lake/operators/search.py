@@ -216,7 +216,8 @@ def page_slice(results: DataFrame, page: int, size: int = CONES_PER_PAGE, group:
     lets Spark insert a per-partition group limit before the shuffle, so a
     huge group sends only its first page*size rows."""
     w = Window.partitionBy(group).orderBy(*order)
-    ranked = results.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= page * size)
+    ranked = (results.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= page * size)
+              .withColumn("rank", F.col("rank").cast("long")))
     counts = results.groupBy(group).agg(
         F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(size))).cast("long").alias("n_pages"))
     return ranked.where(F.col("rank") > (page - 1) * size).join(counts, group)
