@@ -130,3 +130,29 @@ def test_retention_matches_day_by_day_rule(spark):
     paths = spark.createDataFrame([(f"/b/db-{d:%Y%m%d}-010203.json",) for d in dates] + [("/b/notes.txt",)], "path string")
     out = R.snapshot_retention(R.snapshot_table(paths), today.isoformat()).where("keep").collect()
     assert {r.snapshot_date for r in out} == _gfs_reference(dates, today)
+
+
+def test_document_and_long_forms_agree(spark):
+    from transient_lake.operators import search as S
+    from transient_lake.plans.search_queries import CONDITIONS, SEARCH, SEARCH_IN_LIKE
+    from transient_lake.sources import testdata as td
+
+    from .conftest import SF_SMALL
+    docs, rows = td.legacy_objects(spark, SF_SMALL), td.legacy_rows(spark, SF_SMALL)
+    for q in (SEARCH, SEARCH_IN_LIKE, {}):
+        a = {r.obj_id for r in S.search_objects(docs, q).collect()}
+        b = {r.obj_id for r in S.search_objects_long(rows, q).collect()}
+        assert a == b
+    a = {r.obj_id for r in S.match_alert_conditions(td.alert_docs(spark, SF_SMALL), CONDITIONS).collect()}
+    b = {r.obj_id for r in S.match_alert_conditions_long(td.alert_rows(spark, SF_SMALL), CONDITIONS).collect()}
+    assert a == b
+
+
+def test_search_rejects_bad_requests(spark):
+    import pytest as _pytest
+
+    from transient_lake.operators import search as S
+    for bad in ({"mags": [{"value": 1, "operator": "!="}]}, {"mags": [{"colour": 1, "operator": "<"}]},
+                {"mags": [{"value": "1; drop", "operator": "="}]}, {"mags": [{"value": {"a": 1}, "operator": "="}]}):
+        with _pytest.raises(ValueError):
+            S.search_condition(bad)

@@ -221,3 +221,80 @@ def page_slice(results: DataFrame, page: int, size: int = CONES_PER_PAGE, group:
     counts = results.groupBy(group).agg(
         F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(size))).cast("long").alias("n_pages"))
     return ranked.where(F.col("rank") > (page - 1) * size).join(counts, group)
+
+
+# --- long forms (one row per array element) -------------------------------
+
+def _compare_text(x: Column, op: str, v) -> Column:
+    """Compare a text value column with a literal: numbers numerically."""
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return _compare(x.try_cast("double"), op, float(v))
+    if isinstance(v, (list, tuple)):
+        return _compare(x, op, [str(i) for i in v])
+    return _compare(x, op, v)
+
+
+def search_objects_long(rows: DataFrame, search: dict, id_col: str = "obj_id", field_col: str = "field") -> DataFrame:
+    """F4 over long rows ``(id, field, value, filter, mjd)``: the same answer
+    as ``search_objects`` on documents, computed without building arrays.
+    Matching rows are reduced to (id, field) pairs and counted per id, so an
+    object with a huge array is handled by partial aggregation."""
+    ids = rows.select(id_col).distinct()
+    if not search:
+        return ids
+    conds = []
+    for field, params in search.items():
+        preds = []
+        for p in params:
+            key = next((k for k in SEARCH_PARAMS if k in p), None)
+            if key is None:
+                raise ValueError(f"bad search option {p}")
+            if p.get("operator") not in VALID_OPERATORS:
+                raise ValueError(f"bad operator {p.get('operator')}")
+            _check_value(p[key])
+            preds.append(_compare(F.col(key), p["operator"], p[key]))
+        conds.append((F.col(field_col) == field) & reduce(lambda a, b: a & b, preds))
+    hit = rows.where(reduce(lambda a, b: a | b, conds)).select(id_col, field_col).distinct()
+    return hit.groupBy(id_col).agg(F.count("*").alias("_n")).where(F.col("_n") == len(search)).select(id_col)
+
+
+def _row_check(cond: dict) -> Column:
+    op = cond.get("operator")
+    if not ({"date_limit", "value", "mag_rate", "filter"} & set(cond)):
+        return F.lit(False)
+    checks = []
+    if "date_limit" in cond:
+        checks.append(_compare(F.to_timestamp(F.col("value")), op, cond["date_limit"]))
+    if "value" in cond:
+        v = cond["value"]
+        checks.append(F.col("value").isin([str(i) for i in v]) if isinstance(v, list) else _compare_text(F.col("value"), op, v))
+    if "mag_rate" in cond:
+        checks.append(_compare(F.col("mag_rate"), op, cond["mag_rate"]))
+    if "filter" in cond:
+        checks.append(F.col("filter") == F.lit(cond["filter"]))
+    return F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
+
+
+def match_alert_conditions_long(rows: DataFrame, conditions: dict, id_col: str = "obj_id",
+                                field_col: str = "field") -> DataFrame:
+    """F5 over long rows ``(id, field, source, value, filter, mag_rate)``:
+    ``any`` = some row passes, ``all`` = no row fails, a source name = no row
+    of that source fails; a field without rows fails.  One aggregate of
+    ``count_if`` terms per id."""
+    aggs, tests = [], []
+    for i, (field, conds) in enumerate(conditions.items()):
+        in_f = F.col(field_col) == field
+        aggs.append(F.count_if(in_f).alias(f"_p{i}"))
+        tests.append(F.col(f"_p{i}") > 0)
+        for j, cond in enumerate(conds):
+            src, ok = cond.get("source", "any"), _row_check(cond)
+            name = f"_c{i}_{j}"
+            if src == "any":
+                aggs.append(F.count_if(in_f & ok).alias(name))
+                tests.append(F.col(name) > 0)
+            else:
+                scope = in_f if src == "all" else in_f & (F.col("source") == src)
+                aggs.append(F.count_if(scope & ~ok).alias(name))
+                tests.append(F.col(name) == 0)
+    per = rows.groupBy(id_col).agg(*aggs)
+    return per.where(reduce(lambda a, b: a & b, tests)).select(id_col)

@@ -26,7 +26,7 @@ where coalesce(len(list_filter(mags, lambda x: x.value < 15.0 and x.filter = 'g'
 """, views=("lc_points", "legacy_objects"))
 def q_search_objects(spark, sf_dir):
     """objects with a g detection brighter than 15 and a deep late limit."""
-    return S.search_objects(td.legacy_objects(spark, sf_dir), SEARCH)
+    return S.search_objects_long(td.legacy_rows(spark, sf_dir), SEARCH)
 
 
 SEARCH_IN_LIKE = {
@@ -42,7 +42,7 @@ where coalesce(len(list_filter(mags, lambda x: x.filter in ('r', 'i') and x.valu
 """, views=("lc_points", "legacy_objects"))
 def q_search_objects_in_like(spark, sf_dir):
     """F4 with the IN and LIKE operators."""
-    return S.search_objects(td.legacy_objects(spark, sf_dir), SEARCH_IN_LIKE)
+    return S.search_objects_long(td.legacy_rows(spark, sf_dir), SEARCH_IN_LIKE)
 
 
 CONDITIONS = {
@@ -69,7 +69,7 @@ where coalesce(len(list_filter(redshift, lambda x: x.value < 0.03)) > 0, false)
 """, views=("lc_points", "alert_docs"))
 def q_alert_conditions(spark, sf_dir):
     """F5/ST4 (batch form): documents meeting the monitoring conditions."""
-    return S.match_alert_conditions(td.alert_docs(spark, sf_dir), CONDITIONS).select("obj_id")
+    return S.match_alert_conditions_long(td.alert_rows(spark, sf_dir), CONDITIONS)
 
 
 @register("validate_cones", sql="""

@@ -429,3 +429,31 @@ def lsst_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = sky_alerts(spark, sf_dir).where("source = 'lsst'")
     return a.select(F.col("obj_id").alias("diaObjectId"), F.col("ra_deg").alias("ra"), F.col("dec_deg").alias("decl"),
                     (F.unix_micros("timestamp") / 86400000000.0 + 40587).alias("lastDiaSourceMjdTai"))
+
+
+def legacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7 in long form: one row per array element of ``legacy_objects``."""
+    lc = lc_points(spark, sf_dir)
+    return lc.where("detection in (0, 1)").select(
+        "obj_id", F.when(F.col("detection") == 1, "mags").otherwise("limits").alias("field"),
+        F.when(F.col("detection") == 1, F.col("mag")).otherwise(F.col("limit")).alias("value"),
+        F.col("survey").alias("source"), "filter", "mjd")
+
+
+def alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``alert_docs`` in long form (text values)."""
+    c = table(spark, sf_dir, "customer")
+    red = c.selectExpr("c_custkey as obj_id", "'redshift' as field", "inline(array("
+                       "named_struct('source', 'tns', 'value', cast(c_acctbal / 100000.0D as string)),"
+                       "named_struct('source', 'sherlock', 'value', cast((c_custkey % 50) / 1000.0D as string))))")
+    disc = c.selectExpr("c_custkey as obj_id", "'discovery_date' as field", "'tns' as source",
+                        "cast(date_add(date'2024-01-01', cast(c_custkey % 30 as int)) as string) as value")
+    dsrc = c.selectExpr("c_custkey as obj_id", "'discovery_source' as field", "'tns' as source",
+                        "c_mktsegment as value")
+    base = red.unionByName(disc).unionByName(dsrc).select(
+        "obj_id", "field", "source", "value", F.lit(None).cast("string").alias("filter"),
+        F.lit(None).cast("double").alias("mag_rate"))
+    det = lc_points(spark, sf_dir).where("detection = 1").select(
+        "obj_id", F.lit("latest_detection").alias("field"), F.col("survey").alias("source"),
+        F.col("mag").cast("string").alias("value"), "filter", (F.col("mag_err") * 10).alias("mag_rate"))
+    return base.unionByName(det)
