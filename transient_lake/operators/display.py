@@ -200,7 +200,7 @@ def first_present(data_sources: Column, sources: list[str], field: str) -> Colum
 
 
 def _is_number_field(data_sources: Column, source: str, field: str) -> Column:
-    return data_sources[F.lit(source)].rlike(f'"{field}":-?[0-9]')
+    return data_sources[F.lit(source)].rlike(f'"{field}"\\s*:\\s*-?[0-9]')
 
 
 def key_facts(docs: DataFrame, lc: DataFrame | None = None) -> DataFrame:
