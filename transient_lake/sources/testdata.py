@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The driver's tables are single small files, which Spark reads as one
+    partition; the per-row sky work would then run on one core.  A bare
+    scan with fewer partitions than cores is spread out (counting the scan's
+    partitions only lists the file).  Real inputs span many files."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def _events(spark, sf_dir, stream: bool = False):
     # Parquet timestamps load as timestamp_ntz; the archive works in UTC instants.
     if stream:
@@ -40,7 +49,8 @@ def sky_alerts(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFr
     """M1 detections from two surveys; even ids ZTF, odd ids LSST jittered
     by up to 4.2 arcsec so that about 40% of points have a counterpart.
     ``stream=True`` gives the same rows as a streaming frame."""
-    return _events(spark, sf_dir, stream).selectExpr(
+    ev = _events(spark, sf_dir, stream)
+    return (ev if stream else spread(ev)).selectExpr(
         "concat(case when event_id % 2 = 0 then 'Z' else 'L' end, event_id) as obj_id",
         "case when event_id % 2 = 0 then 'ztf' else 'lsst' end as source",
         "(((div(event_id, 2)) * 137 * 3600 + (event_id % 2) * (((event_id * 7919) % 13) - 6) * 700"
@@ -54,7 +64,8 @@ def sky_alerts(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFr
 def sky_chain(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Chains of six detections 3 arcsec apart in declination (three surveys),
     so collation needs several rounds to settle."""
-    return _events(spark, sf_dir, stream).selectExpr(
+    ev = _events(spark, sf_dir, stream)
+    return (ev if stream else spread(ev)).selectExpr(
         "concat('C', event_id) as obj_id",
         "case event_id % 3 when 0 then 'ztf' when 1 then 'lsst' else 'atlas' end as source",
         "(((div(event_id, 6)) * 137) % 360000) / 1000.0D as ra_deg",
@@ -161,7 +172,7 @@ def mjd_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6 envelope: one catalogue object per order."""
-    return table(spark, sf_dir, "orders").selectExpr(
+    return spread(table(spark, sf_dir, "orders")).selectExpr(
         "cast(o_orderkey as string) as source_id",
         "concat('TXV-', substr(cast(o_orderdate as string), 1, 4), '-', lpad(cast(o_orderkey as string), 6, '0'))"
         " as tarxiv_id",
