@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from transient_lake.operators import display as D
 from transient_lake.operators import photometry as ph
