@@ -119,3 +119,31 @@ def test_incremental_collation_over_many_batches_equals_batch(spark):
     members, _, _ = H.collate_hits(J.crossmatch_stream(td.sky_chain(spark, SF_SMALL), 4.0))
     as_set = lambda df: {(r.xmatch_id, r.obj_id) for r in df.select("xmatch_id", "obj_id").collect()}
     assert as_set(streamed) == as_set(members)
+
+
+def test_stream_join_state_is_evicted(spark):
+    """Replayed week by week, the cross-match stream drops join state older
+    than the watermark and still finds every bounded pair."""
+    src = _tmp()
+    ev = td.table(spark, SF_SMALL, "events")
+    for k in range(5):
+        week = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 7)
+        ev.where(week == k).coalesce(1).write.parquet(os.path.join(src, f"week{k}"))
+    base = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True) \
+        .parquet(src).withColumn("ts", F.col("ts").cast("timestamp"))
+    alerts = base.selectExpr(
+        "concat(case when event_id % 2 = 0 then 'Z' else 'L' end, event_id) as obj_id",
+        "case when event_id % 2 = 0 then 'ztf' else 'lsst' end as source",
+        "(((div(event_id, 2)) * 137 * 3600 + (event_id % 2) * (((event_id * 7919) % 13) - 6) * 700"
+        " + 2592000000000) % 1296000000) / 3600000.0D as ra_deg",
+        "((((div(event_id, 2)) * 71) % 140001) * 3600 + (event_id % 2) * (((event_id * 104729) % 11) - 5) * 700)"
+        " / 3600000.0D - 70.0D as dec_deg", "ts as timestamp")
+    d = _tmp()
+    q = (J.crossmatch_stream(alerts, 4.0).writeStream.format("parquet").option("checkpointLocation", d + "/ck")
+         .trigger(availableNow=True).start(d + "/out"))
+    q.awaitTermination()
+    removed = sum(p["stateOperators"][0]["numRowsRemoved"] for p in q.recentProgress if p["stateOperators"])
+    assert removed > 0
+    got = {(r.obj_id_1, r.obj_id_2) for r in spark.read.parquet(d + "/out").collect()}
+    want = {(r.obj_id_1, r.obj_id_2) for r in J.crossmatch_stream(td.sky_alerts(spark, SF_SMALL), 4.0).collect()}
+    assert got == want

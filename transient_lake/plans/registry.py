@@ -34,6 +34,8 @@ def _finish(df: DataFrame) -> DataFrame:
 def register(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # instants are UTC throughout (naive parquet timestamps are UTC)
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return _finish(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
