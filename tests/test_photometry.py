@@ -102,3 +102,20 @@ def test_asassn_null_quality_is_kept(spark):
                                 "phot_filter string, quality string, camera string")
     out = ph.normalise_asassn_lc(raw).collect()
     assert len(out) == 1 and out[0].mjd == 60000.0 and out[0].detection == 1
+
+
+def test_bucketed_store_summaries_need_no_shuffle(spark):
+    from transient_lake.sources import store
+    from transient_lake.sources import testdata as td
+
+    from .conftest import SF_SMALL
+    lc = td.lc_points(spark, SF_SMALL)
+    name = store.write_lightcurves(lc, "tl_test_lc", buckets=4)
+    stored = store.read_lightcurves(spark, name)
+    summary = ph.summarize(stored).select("obj_id", "survey", "filter", "n_det")
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan or "bucketed" in plan.lower()
+    # grouping by the object needs no exchange of the points
+    first_stage = ph.summarize(stored).groupBy("obj_id").count()
+    assert "Exchange hashpartitioning(obj_id" not in first_stage._jdf.queryExecution().executedPlan().toString()
+    assert sorted(summary.collect()) == sorted(ph.summarize(lc).select("obj_id", "survey", "filter", "n_det").collect())
