@@ -165,19 +165,19 @@ def q_citations_for(spark, sf_dir):
 
 @register("upsert_documents", sql="""
 with ch as (
-  select tarxiv_id, 'CHANGED' as object_type, ra_deg, dec_deg from objects where cast(source_id as bigint) % 10 = 0
+  select tarxiv_id, 'CHANGED' as object_type, ra_deg, dec_deg from objects where object_type = '1-URGENT'
   union all
-  select concat('TXV-2000-', lpad(cast(c_custkey as varchar), 6, '0')), 'NEW', 0.0, 0.0 from customer
-  where c_custkey % 7 = 0)
+  select concat('TXV-2000-', lpad(cast(c_custkey as varchar), 6, '0')), 'NEW', 0.0, 0.0 from customer)
 select tarxiv_id, object_type, ra_deg, dec_deg from objects where tarxiv_id not in (select tarxiv_id from ch)
 union all select * from ch
 """, views=("objects",))
 def q_upsert_documents(spark, sf_dir):
-    """Insert-or-replace whole documents by id."""
+    """Urgent objects re-typed and every customer's new document
+    inserted: insert-or-replace of whole documents by id."""
     o = td.objects(spark, sf_dir).select("tarxiv_id", "object_type", "ra_deg", "dec_deg", "source_id")
-    changed = o.where("cast(source_id as bigint) % 10 = 0").select(
+    changed = o.where("object_type = '1-URGENT'").select(
         "tarxiv_id", F.lit("CHANGED").alias("object_type"), "ra_deg", "dec_deg")
-    new = td.table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(
+    new = td.table(spark, sf_dir, "customer").select(
         F.concat(F.lit("TXV-2000-"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("tarxiv_id"),
         F.lit("NEW").alias("object_type"), F.lit(0.0).alias("ra_deg"), F.lit(0.0).alias("dec_deg"))
     return cat.upsert(o.drop("source_id"), changed.unionByName(new), "tarxiv_id")
@@ -185,35 +185,38 @@ def q_upsert_documents(spark, sf_dir):
 
 @register("set_fields", sql="""
 select o.tarxiv_id,
-       case when cast(o.source_id as bigint) % 6 = 0 then null
-            when cast(o.source_id as bigint) % 4 = 0 then 0.5 else o.redshift end as redshift,
+       case when o.object_type = '1-URGENT' then null
+            when o.object_type = '2-HIGH' then 0.5 else o.redshift end as redshift,
        o.object_type
 from objects o
 """, views=("objects",))
 def q_set_fields(spark, sf_dir):
-    """Sub-document overwrite; a presence flag lets NULL be set."""
+    """Sub-document overwrite of the redshift of urgent (cleared to
+    NULL) and high-priority (set) objects; a presence flag lets NULL be set."""
     o = td.objects(spark, sf_dir)
-    n = F.col("source_id").cast("long")
-    ch = o.where((n % 6 == 0) | (n % 4 == 0)).select(
-        "tarxiv_id", F.when(n % 6 == 0, F.lit(None).cast("double")).otherwise(F.lit(0.5)).alias("redshift"),
+    t = F.col("object_type")
+    ch = o.where(t.isin("1-URGENT", "2-HIGH")).select(
+        "tarxiv_id", F.when(t == "1-URGENT", F.lit(None).cast("double")).otherwise(F.lit(0.5)).alias("redshift"),
         F.lit(True).alias("set_redshift"))
     return cat.set_fields(o.select("tarxiv_id", "redshift", "object_type"), ch, "tarxiv_id", ["redshift"])
 
 
 @register("replace_survey_points", sql="""
-with refreshed as (select c_custkey as obj_id from customer where c_custkey % 4 = 0),
+with refreshed as (select c_custkey as obj_id from customer where c_mktsegment = 'BUILDING'),
 new as (select obj_id, survey, filter, mjd, mag + 0.5 as mag, mag_err, "limit", fwhm, detection, camera
-        from lc_points where survey = 'ztf' and obj_id % 8 = 0)
+        from lc_points where survey = 'ztf' and mag < 18 and obj_id in (select obj_id from refreshed))
 select * from lc_points where not (survey = 'ztf' and obj_id in (select obj_id from refreshed))
 union all select * from new
 """, views=("lc_points",))
 def q_replace_survey_points(spark, sf_dir):
-    """Refreshed objects get their ZTF points replaced (objects whose
-    pull returned no points lose the old ones)."""
+    """The BUILDING segment's objects are refreshed: their ZTF points are
+    replaced by the new pull (objects whose pull returned no points lose
+    the old ones)."""
     lc = td.lc_points(spark, sf_dir)
-    refreshed = td.table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(
+    refreshed = td.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(
         F.col("c_custkey").alias("obj_id"))
-    new = lc.where("survey = 'ztf' and obj_id % 8 = 0").withColumn("mag", F.col("mag") + 0.5)
+    new = (lc.where("survey = 'ztf' and mag < 18").join(refreshed, "obj_id", "left_semi")
+           .withColumn("mag", F.col("mag") + 0.5))
     return cat.replace_survey_points(lc, new, refreshed, "ztf")
 
 

@@ -171,7 +171,7 @@ with inc as (
   select distinct case when o_custkey % 2 = 0 then 'orcid' else 'github' end as provider,
          lpad(cast(o_custkey as varchar), 8, '0') as provider_user_id, cast(null as varchar) as username,
          'Bo' as forename, cast(null as varchar) as surname, 'new' || cast(o_custkey as varchar) || '@x.org' as email
-  from orders where o_orderkey % 5 = 0
+  from orders
   union all
   select distinct 'orcid', 'S' || cast(s_suppkey as varchar), s_name, 'Cy', 'Supplier', null from supplier),
 known as (select i.user_id, inc.* exclude (provider, provider_user_id) from inc join identities i using (provider, provider_user_id)),
@@ -189,7 +189,7 @@ def q_merge_identities(spark, sf_dir):
     """Sign-in profiles merged into users (empty fields filled only),
     unknown identities become new users (their new id left out here)."""
     users = td.users(spark, sf_dir).select("user_id", "username", "forename", "surname", "email")
-    o = td.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
+    o = td.table(spark, sf_dir, "orders")
     inc = o.selectExpr("case when o_custkey % 2 = 0 then 'orcid' else 'github' end as provider",
                        "lpad(cast(o_custkey as string), 8, '0') as provider_user_id", "cast(null as string) as username",
                        "'Bo' as forename", "cast(null as string) as surname",
@@ -262,16 +262,16 @@ def q_audit_constraints(spark, sf_dir):
 
 @register("insert_memberships", sql="""
 with req as (select distinct cast(o_orderkey % 25 as int) as team_id, o_custkey as user_id, 'member' as role
-             from orders where o_orderkey % 7 = 0)
+             from orders)
 select team_id, count(*) as n_members, cast(count_if(role = 'owner') as bigint) as n_owners from (
   select * from memberships
   union all select * from req where (team_id, user_id) not in (select (team_id, user_id) from memberships))
 group by team_id
 """, views=("memberships",))
 def q_insert_memberships(spark, sf_dir):
-    """Join requests added idempotently (existing members rejected);
-    members and owners per team afterwards."""
-    req = td.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").selectExpr(
+    """Every order's reporter asks to join a team; requests are added
+    idempotently (existing members rejected); members and owners per team."""
+    req = td.table(spark, sf_dir, "orders").selectExpr(
         "cast(o_orderkey % 25 as int) as team_id", "o_custkey as user_id", "'member' as role").distinct()
     mem, _ = P.insert_memberships(td.memberships(spark, sf_dir), req)
     return P.owner_counts(mem).select("team_id", "n_members", "n_owners")
@@ -369,7 +369,7 @@ def q_resolve_tag(spark, sf_dir):
 
 
 @register("leave_team_check", sql="""
-with req as (select distinct c_nationkey as team_id, c_custkey as user_id from customer where c_custkey % 20 in (0, 7)),
+with req as (select distinct c_nationkey as team_id, c_custkey as user_id from customer),
 oc as (select team_id, cast(count_if(role = 'owner') as bigint) as n_owners from memberships group by team_id),
 j as (select r.*, m.role, oc.n_owners from req r left join memberships m using (team_id, user_id) left join oc using (team_id))
 select team_id, user_id, role,
@@ -379,8 +379,8 @@ select team_id, user_id, role,
 from j
 """, views=("memberships",))
 def q_leave_team_check(spark, sf_dir):
-    """Owners and members asking to leave their team; sole owners may not."""
-    req = td.table(spark, sf_dir, "customer").where("c_custkey % 20 in (0, 7)").select(
+    """Every customer asks to leave their home team; sole owners may not."""
+    req = td.table(spark, sf_dir, "customer").select(
         F.col("c_nationkey").alias("team_id"), F.col("c_custkey").alias("user_id"))
     return P.leave_team_check(req, td.memberships(spark, sf_dir))
 
