@@ -49,6 +49,9 @@ def test_crossmatch_exact_equals_brute_force(spark):
                 want.add((lo[0], hi[0]))
     assert got == want
     assert ("dupA", "dupB") in got and ("pole1", "pole2") in got
+    # a wider cell gives the same pairs
+    wide = {(r.obj_id_1, r.obj_id_2) for r in sky.crossmatch(df, 4.0, cell_arcsec=60.0).collect()}
+    assert wide == want
     # no pair reported twice
     assert sky.crossmatch(df, 4.0).count() == len(want)
 

@@ -92,7 +92,7 @@ def _suffix(df: DataFrame, sfx: str, cols=PAIR_COLS) -> DataFrame:
 
 
 def crossmatch(alerts: DataFrame, radius_arcsec: float = 4.0, mode: str = "exact",
-               other: DataFrame | None = None) -> DataFrame:
+               other: DataFrame | None = None, cell_arcsec: float | None = None) -> DataFrame:
     """Pairs of detections from different surveys within ``radius_arcsec``.
 
     ``alerts`` has M1 columns.  Pairs are ordered ``obj_id_1 < obj_id_2``.
@@ -102,6 +102,10 @@ def crossmatch(alerts: DataFrame, radius_arcsec: float = 4.0, mode: str = "exact
     ``mode="decimal_bucket"``: the legacy predicate, dec rounded to 3
     decimals must be equal and the arccos distance must be <= radius; it
     misses pairs across a bucket edge and coincident points (kept for parity).
+
+    ``cell_arcsec`` (default 2 x radius, the smallest valid) trades build-side
+    copies (about (1 + 2r/cell)^2 per row) against candidates per cell in
+    dense fields; any value >= 2 x radius gives the same pairs.
     """
     other = alerts if other is None else other
     if mode == "decimal_bucket":
@@ -119,7 +123,7 @@ def crossmatch(alerts: DataFrame, radius_arcsec: float = 4.0, mode: str = "exact
     if mode != "exact":
         raise ValueError(f"unknown crossmatch mode {mode!r}")
     r = radius_arcsec / 3600.0
-    cell = cell_size_deg(r)
+    cell = max(cell_size_deg(r), (cell_arcsec or 0.0) / 3600.0)
     a = home_cell(_suffix(alerts, "_1"), "ra_deg_1", "dec_deg_1", cell)
     b = cover_cells(_suffix(other, "_2"), "ra_deg_2", "dec_deg_2", r, cell)
     sep = angular_sep_arcsec("ra_deg_1", "dec_deg_1", "ra_deg_2", "dec_deg_2")
