@@ -27,8 +27,12 @@ def spread(df: DataFrame) -> DataFrame:
     partition; the per-row sky work would then run on one core.  A bare
     scan with fewer partitions than cores is spread out (counting the scan's
     partitions only lists the file).  Real inputs span many files."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (sessions without RDD access)
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def _events(spark, sf_dir, stream: bool = False):
