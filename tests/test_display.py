@@ -82,8 +82,10 @@ def test_unplottable_points_make_no_series(spark):
 
 
 def test_paging_values_must_be_integers(spark):
-    meta = spark.createDataFrame([], "tarxiv_id string, source string, discovery_date string")
-    for bad in (("25", 0), (25, 1.5), (-1, 0), (True, 0)):
+    meta = spark.createDataFrame([], "source_id string, source string, discovery_date string, ra_hms string, "
+                                     "dec_dms string, data_sources map<string,string>")
+    assert S.alerts_page(meta, True, 0).count() == 0  # a bool is an int, as in Python
+    for bad in (("25", 0), (25, 1.5), (-1, 0), (None, 0)):
         with pytest.raises(ValueError):
             S.alerts_page(meta, *bad)
 

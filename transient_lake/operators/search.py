@@ -196,17 +196,26 @@ CONES_PER_PAGE = 20
 
 def alerts_page(meta: DataFrame, n_rows, offset) -> DataFrame:
     """One page of the TNS alert list, newest discovery first.
-    Non-integer paging is rejected.  Spark plans ``orderBy + offset +
-    limit`` as a top-k (TakeOrderedAndProject), so only offset+n rows per
-    task are kept; deep pages should use keyset paging on (date, id)."""
+
+    ``meta`` has the envelope (source, source_id, discovery_date, ra_hms,
+    dec_dms) and ``data_sources`` (source -> JSON payload); type, redshift,
+    reporting group and discovery source come from the ``tns`` payload.
+    Paging values must be integers (as in Python, booleans count).  Spark
+    plans ``orderBy + offset + limit`` as a top-k (TakeOrderedAndProject),
+    so only offset+n rows per task are kept; deep pages should use keyset
+    paging on (discovery_date, source_id)."""
     for v in (n_rows, offset):
-        if isinstance(v, bool) or not isinstance(v, int) or v < 0:
-            raise ValueError(f"paging values must be non-negative integers, got {v!r}")
+        if not isinstance(v, int) or v < 0:
+            raise ValueError("n_rows/offset must be an integer")
+    tns = F.col("data_sources")["tns"]
     page = (meta.where(F.col("source") == "tns")
-            .orderBy(F.col("discovery_date").desc(), F.col("tarxiv_id"))
-            .offset(offset).limit(n_rows))
-    return page.select("discovery_date", F.col("tarxiv_id").alias("obj_name"), "object_type", "ra_hms", "dec_dms",
-                       "redshift", "reporting_group", F.col("discovery_data_source").alias("discovery_source"))
+            .orderBy(F.col("discovery_date").desc(), F.col("source_id"))
+            .offset(int(offset)).limit(int(n_rows)))
+    return page.select("discovery_date", F.col("source_id").alias("obj_name"),
+                       F.get_json_object(tns, "$.object_type").alias("object_type"), "ra_hms", "dec_dms",
+                       F.get_json_object(tns, "$.redshift").cast("double").alias("redshift"),
+                       F.get_json_object(tns, "$.reporting_group").alias("reporting_group"),
+                       F.get_json_object(tns, "$.discovery_data_source").alias("discovery_source"))
 
 
 def page_slice(results: DataFrame, page: int, size: int = CONES_PER_PAGE, group: str = "cone_id",

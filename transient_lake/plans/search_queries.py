@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import round_half_up
 
 from ..functions import sky as fsky
+from ..operators import catalogue as cat
 from ..operators import search as S
 from ..operators import sky
 from ..sources import testdata as td
@@ -119,17 +120,21 @@ def q_cone_links(spark, sf_dir):
 
 
 @register("alerts_page", sql=f"""
-select discovery_date, tarxiv_id as obj_name, object_type, {hms_sql('ra_deg')} as ra_hms, {dms_sql('dec_deg')} as dec_dms,
+select discovery_date, source_id as obj_name, object_type, {hms_sql('ra_deg')} as ra_hms, {dms_sql('dec_deg')} as dec_dms,
        redshift, reporting_group, 'ZTF' as discovery_source
 from objects where source = 'tns'
-order by discovery_date desc, tarxiv_id limit 25 offset 50
+order by discovery_date desc, source_id limit 25 offset 50
 """, views=("objects",))
 def q_alerts_page(spark, sf_dir):
-    """The third page (25 rows) of the TNS alert list."""
-    o = td.objects(spark, sf_dir).select(
-        "*", fsky.deg_to_hms("ra_deg").alias("ra_hms"), fsky.deg_to_dms("dec_deg").alias("dec_dms"),
-        F.lit("ZTF").alias("discovery_data_source"))
-    return S.alerts_page(o, 25, 50)
+    """The third page (25 rows) of the TNS alert list, read from
+    assembled source-keyed documents (J4)."""
+    o = td.objects(spark, sf_dir)
+    env = o.select("source_id", "source", "discovery_date", fsky.deg_to_hms("ra_deg").alias("ra_hms"),
+                   fsky.deg_to_dms("dec_deg").alias("dec_dms"))
+    tns = o.select("source_id", "object_type", "redshift", "reporting_group",
+                   F.lit("ZTF").alias("discovery_data_source"))
+    meta = cat.assemble_metadata(env, {"tns": tns}, key="source_id")
+    return S.alerts_page(meta, 25, 50)
 
 
 @register("cone_page", sql=f"""
