@@ -143,12 +143,13 @@ def split_pair(pairs: DataFrame) -> DataFrame:
 
 # --- J2 -------------------------------------------------------------------
 
-def cone_search(objects: DataFrame, cones: DataFrame, *, obj_id="tarxiv_id", ra="ra_deg",
+def cone_search(objects: DataFrame, cones: DataFrame, *, obj_id="source_id", ra="ra_deg",
                 dec="dec_deg", cone_id="cone_id", cone_ra="ra", cone_dec="dec_c",
                 radius_col="radius_arcsec", max_radius_arcsec: float | None = None) -> DataFrame:
     """Every object within each cone (set-at-a-time cone search).
 
-    Output ``cone_id, obj_name, ra, dec, distance_deg``.  Cones are the
+    Output ``cone_id, obj_name, ra, dec, distance_deg``; ``obj_name`` is the
+    object's source id (the name the object page resolves).  Cones are the
     exploded build side (a cone table is small and its radius is per row);
     the cell size comes from the largest radius, which the caller may state
     or which is read with one aggregate."""

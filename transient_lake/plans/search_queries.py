@@ -140,7 +140,7 @@ def q_alerts_page(spark, sf_dir):
 @register("cone_page", sql=f"""
 with hits as (
   select * exclude (d, r), round(d, 8) as distance_deg from (
-    select c.cone_id, o.tarxiv_id as obj_name, o.ra_deg as ra, o.dec_deg as dec,
+    select c.cone_id, o.source_id as obj_name, o.ra_deg as ra, o.dec_deg as dec,
            {_hav_sql('c.ra', 'c.dec_c', 'o.ra_deg', 'o.dec_deg', unit='1')} as d, c.radius_arcsec / 3600.0 as r
     from cones c join objects o on o.dec_deg between c.dec_c - c.radius_arcsec / 3600.0
                                                  and c.dec_c + c.radius_arcsec / 3600.0)
