@@ -281,38 +281,62 @@ def refresh_requests(all_ids: DataFrame, meta: DataFrame, settings: DataFrame, s
 
 # --- S6, S7 --------------------------------------------------------------
 
-def export_frame(meta: DataFrame, lc: DataFrame, key: str = "tarxiv_id", limit: int | None = None,
-                 layout: str = "new") -> DataFrame:
-    """S6 (pre-write frame): one row per object with its metadata and its
-    light curve as an array of points.  ``layout="old"`` nests both under
-    the id.  The light-curve array is built by a grouped ``collect_list``
-    whose size is one object's light curve (what the dump writes anyway)."""
+# Where each schema generation keeps the two collections
+# (scope, metadata collection, light-curve collection).
+SCHEMA_LAYOUTS = {
+    "new": ("objects", "meta", "lightcurves"),
+    "old": ("tns", "objects", "lightcurves"),
+}
+
+
+def layout_tables(layout: str) -> tuple[str, str]:
+    """Table names of a layout's metadata and light-curve collections."""
+    scope, meta, lc = SCHEMA_LAYOUTS[layout]
+    return f"{scope}_{meta}", f"{scope}_{lc}"
+
+
+def export_frame(meta: DataFrame, lc: DataFrame, key: str = "tarxiv_id", limit: int | None = None) -> DataFrame:
+    """S6 (pre-write frame): one row per object ``{id, meta, lc}``; ``limit``
+    keeps the first N ids.  The light-curve array is one object's light
+    curve - the document the dump writes - built by a grouped
+    ``collect_list``."""
     m = meta.orderBy(key).limit(limit) if limit else meta
     pts = lc.withColumnRenamed("obj_id", key)
     cols = [c for c in pts.columns if c != key]
     per = pts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("lc"))
     meta_cols = [c for c in m.columns if c != key]
-    out = m.join(per, key, "left").select(key, F.struct(*meta_cols).alias("meta"), "lc")
-    if layout == "old":
-        return out.select(key, F.struct("meta", "lc").alias("doc"))
-    return out
+    return m.join(per, key, "left").select(key, F.struct(*meta_cols).alias("meta"), "lc")
 
 
-def export_archive(meta: DataFrame, lc: DataFrame, path: str, **kw) -> None:
-    """Write the dump as JSON lines, one object per line."""
-    export_frame(meta, lc, **kw).write.mode("overwrite").json(path)
+def export_archive(meta: DataFrame, lc: DataFrame, path: str, key: str = "tarxiv_id", limit: int | None = None) -> None:
+    """Write the dump as JSON lines, one ``{id, meta, lc}`` per object."""
+    export_frame(meta, lc, key, limit).write.mode("overwrite").json(path)
 
 
-def import_archive(spark, path: str, layout: str = "new", key: str = "tarxiv_id"):
+def export_layout(spark, path: str, layout: str = "new", key: str = "tarxiv_id", limit: int | None = None) -> None:
+    """S6 from a layout's tables in the session catalog."""
+    meta_t, lc_t = layout_tables(layout)
+    export_archive(spark.table(meta_t), spark.table(lc_t), path, key, limit)
+
+
+def import_archive(spark, path: str, key: str = "tarxiv_id"):
     """Inverse of S6 -> (meta, lc) DataFrames."""
     df = spark.read.json(path)
-    if layout == "old":
-        df = df.select(key, "doc.meta", "doc.lc")
     meta = df.select(key, "meta.*")
-    lc = df.select(key, F.inline_outer("lc"))
+    lc = df.select(key, F.inline("lc"))
     return meta, lc
 
 
+def load_layout(spark, path: str, base: str, layout: str = "new", key: str = "tarxiv_id") -> tuple[str, str]:
+    """S7 into a layout: the dump's metadata and light curves are written as
+    the layout's two tables (under ``base``) and registered by name."""
+    meta, lc = import_archive(spark, path, key)
+    names = layout_tables(layout)
+    for df, name in zip((meta, lc), names):
+        df.write.mode("overwrite").option("path", f"{base.rstrip('/')}/{name}").saveAsTable(name)
+    return names
+
+
 # --- F9 ------------------------------------------------------------------
 
 def register_views(frames: dict[str, DataFrame]) -> None:
