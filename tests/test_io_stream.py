@@ -152,3 +152,16 @@ def test_stream_join_state_is_evicted(spark):
     got = {(r.obj_id_1, r.obj_id_2) for r in spark.read.parquet(d + "/out").collect()}
     want = {(r.obj_id_1, r.obj_id_2) for r in J.crossmatch_stream(td.sky_alerts(spark, SF_SMALL), 4.0).collect()}
     assert got == want
+
+
+def test_refresh_requests_published_as_messages(spark):
+    from transient_lake.sources import config as cfg
+    reqs = cat.refresh_requests(td.public_catalogue(spark, SF_SMALL).select(F.col("name").alias("source_id")),
+                                td.objects(spark, SF_SMALL), td.active_settings(spark, SF_SMALL), cfg.SOURCE_CONFIG,
+                                "1998-08-01")
+    out = os.path.join(_tmp(), "outbox")
+    J.publish_requests(reqs, fmt="json", path=out)
+    msgs = spark.read.json(out)
+    assert msgs.count() == reqs.count()
+    queues = {r.q for r in msgs.select(F.get_json_object("value", "$.queue").alias("q")).distinct().collect()}
+    assert queues <= {"bulk", "update", "refresh"} and "bulk" in queues

@@ -151,3 +151,15 @@ def ingest_alert_stream(alert_ids: DataFrame, lc: DataFrame, table: str, outbox:
 def filter_alert_stream(docs: DataFrame, conditions: dict) -> DataFrame:
     """ST4: alert documents (stream or batch) that meet the conditions."""
     return match_alert_conditions(docs, conditions)
+
+
+def publish_requests(requests: DataFrame, fmt: str = "kafka", path: str | None = None, **options) -> None:
+    """ST6 output: the refresh work list (``object_id, queue, source_name``)
+    sent as keyed JSON messages, one per request - to a topic
+    (``topic=...``, ``kafka.bootstrap.servers=...``) or to JSON files."""
+    from ..sources.io import encode_messages
+    msgs = encode_messages(requests, key="object_id")
+    if fmt == "kafka":
+        msgs.write.format("kafka").options(**options).save()
+    else:
+        msgs.write.mode("overwrite").json(path)
