@@ -461,3 +461,32 @@ def q_insert_assignments(spark, sf_dir):
         "cast(l_orderkey as string) as object_id", "l_partkey as tag_id", "l_suppkey as applied_by")
     out, _ = P.insert_assignments(td.assignments(spark, sf_dir), req)
     return out
+
+
+@register("cascade_delete_users", sql="""
+with d as (select c_custkey as user_id from customer where c_acctbal < 0),
+dt as (select tag_id from tags where owner_user_id in (select user_id from d)),
+a as (select object_id, tag_id, case when applied_by in (select user_id from d) then null else applied_by end as applied_by
+      from assignments where tag_id not in (select tag_id from dt))
+select 'users' as tbl, count(*) as n, cast(null as bigint) as n_null_applied_by from users
+  where user_id not in (select user_id from d)
+union all select 'memberships', count(*), null from memberships where user_id not in (select user_id from d)
+union all select 'tags', count(*), null from tags where tag_id not in (select tag_id from dt)
+union all select 'assignments', count(*), count(*) - count(applied_by) from a
+""", views=V)
+def q_cascade_delete_users(spark, sf_dir):
+    """Deleting the users with a negative balance: their memberships
+    and personal tags (and those tags' assignments) go, and assignments
+    they applied keep existing with ``applied_by`` set to NULL."""
+    users, teams, mem, tags, asg = _t(spark, sf_dir)
+    d = td.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
+    u2, m2, t2, a2 = P.cascade_delete_users(d, users, mem, tags, asg)
+    def count(df, name, nulls=None):
+        return df.agg(F.count("*").alias("n"), (nulls if nulls is not None else F.lit(None).cast("long"))
+                      .alias("n_null_applied_by")).select(F.lit(name).alias("tbl"), "n", "n_null_applied_by")
+    parts = [count(u2, "users"), count(m2, "memberships"), count(t2, "tags"),
+             count(a2, "assignments", F.count("*") - F.count("applied_by"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
