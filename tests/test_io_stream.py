@@ -97,6 +97,8 @@ def test_stream_crossmatch_equals_batch(spark):
     got = {(r.obj_id_1, r.obj_id_2) for r in spark.read.parquet(J.run_available_now(stream, "t")).collect()}
     batch = J.crossmatch_stream(td.sky_alerts(spark, SF_SMALL), 4.0)
     assert got == {(r.obj_id_1, r.obj_id_2) for r in batch.collect()}
+    salted = J.crossmatch_stream(td.sky_alerts(spark, SF_SMALL, stream=True), 4.0, salt=4)
+    assert got == {(r.obj_id_1, r.obj_id_2) for r in spark.read.parquet(J.run_available_now(salted, "t")).collect()}
 
 
 def test_incremental_collation_over_many_batches_equals_batch(spark):

@@ -137,6 +137,8 @@ def test_hot_spot_third_of_rows(spark):
     want = {(min(a[0], b[0]), max(a[0], b[0])) for i, a in enumerate(rows) for b in rows[i + 1:]
             if a[1] != b[1] and _sep_arcsec(a, b) <= 4.0}
     assert got == want and len(got) >= 150 * 150
+    salted = {(r.obj_id_1, r.obj_id_2) for r in sky.crossmatch(df, 4.0, salt=8).select("obj_id_1", "obj_id_2").collect()}
+    assert salted == want
     members, hits, _ = H.collate_hits(pairs)
     big = hits.orderBy(F.desc("n_members")).first()
     assert big.n_members == 300 and big.xmatch_id == "h0000"

@@ -91,8 +91,22 @@ def _suffix(df: DataFrame, sfx: str, cols=PAIR_COLS) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{c}{sfx}") for c in cols])
 
 
+def salt_cells(probe: DataFrame, build: DataFrame, id_col: str, salt: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Split every cell into ``salt`` sub-keys: probe rows take one sub-key
+    from a hash of their id, build rows are copied to all of them.  Each
+    probe row still meets every build row of its cell, but a hot cell is
+    spread over ``salt`` tasks - the skew remedy for streams, where AQE does
+    not split partitions."""
+    keys = ["_zone", "_cell"]
+    if salt <= 1:
+        return probe, build, keys
+    probe = probe.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salt)).cast("int"))
+    build = build.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return probe, build, keys + ["_salt"]
+
+
 def crossmatch(alerts: DataFrame, radius_arcsec: float = 4.0, mode: str = "exact",
-               other: DataFrame | None = None, cell_arcsec: float | None = None) -> DataFrame:
+               other: DataFrame | None = None, cell_arcsec: float | None = None, salt: int = 1) -> DataFrame:
     """Pairs of detections from different surveys within ``radius_arcsec``.
 
     ``alerts`` has M1 columns.  Pairs are ordered ``obj_id_1 < obj_id_2``.
@@ -105,7 +119,8 @@ def crossmatch(alerts: DataFrame, radius_arcsec: float = 4.0, mode: str = "exact
 
     ``cell_arcsec`` (default 2 x radius, the smallest valid) trades build-side
     copies (about (1 + 2r/cell)^2 per row) against candidates per cell in
-    dense fields; any value >= 2 x radius gives the same pairs.
+    dense fields; any value >= 2 x radius gives the same pairs.  ``salt``
+    spreads hot cells over more tasks (see ``salt_cells``).
     """
     other = alerts if other is None else other
     if mode == "decimal_bucket":
@@ -126,8 +141,9 @@ def crossmatch(alerts: DataFrame, radius_arcsec: float = 4.0, mode: str = "exact
     cell = max(cell_size_deg(r), (cell_arcsec or 0.0) / 3600.0)
     a = home_cell(_suffix(alerts, "_1"), "ra_deg_1", "dec_deg_1", cell)
     b = cover_cells(_suffix(other, "_2"), "ra_deg_2", "dec_deg_2", r, cell)
+    a, b, keys = salt_cells(a, b, "obj_id_1", salt)
     sep = angular_sep_arcsec("ra_deg_1", "dec_deg_1", "ra_deg_2", "dec_deg_2")
-    j = a.join(b, ["_zone", "_cell"]).where(
+    j = a.join(b, keys).where(
         (F.col("obj_id_1") < F.col("obj_id_2")) & (F.col("source_1") != F.col("source_2"))
         & (F.abs(F.col("dec_deg_1") - F.col("dec_deg_2")) <= r) & (sep <= radius_arcsec))
     return j.select(*[f"{c}_1" for c in PAIR_COLS], *[f"{c}_2" for c in PAIR_COLS],

@@ -35,17 +35,20 @@ XMATCH_WINDOW = "120 hours"
 
 
 def crossmatch_stream(alerts: DataFrame, radius_arcsec: float = 4.0, window: str = XMATCH_WINDOW,
-                      other: DataFrame | None = None) -> DataFrame:
+                      other: DataFrame | None = None, salt: int = 1) -> DataFrame:
     """ST1: cross-survey pairs within the radius whose detection times lie
-    within ``window`` of each other.  Works on streaming and batch frames."""
+    within ``window`` of each other.  Works on streaming and batch frames.
+    ``salt`` > 1 spreads hot sky cells over more state partitions (AQE does
+    not split skewed partitions in streaming)."""
     other = alerts if other is None else other
     r = radius_arcsec / 3600.0
     cell = sky.cell_size_deg(r)
     a = sky.home_cell(sky._suffix(alerts, "_1"), "ra_deg_1", "dec_deg_1", cell).withWatermark("timestamp_1", window)
     b = sky.cover_cells(sky._suffix(other, "_2"), "ra_deg_2", "dec_deg_2", r, cell).withWatermark("timestamp_2", window)
+    a, b, keys = sky.salt_cells(a, b, "obj_id_1", salt)
     sep = sky.angular_sep_arcsec("ra_deg_1", "dec_deg_1", "ra_deg_2", "dec_deg_2")
     bound = F.expr(f"timestamp_2 between timestamp_1 - interval {window} and timestamp_1 + interval {window}")
-    j = a.join(b, ["_zone", "_cell"]).where(
+    j = a.join(b, keys).where(
         (F.col("obj_id_1") < F.col("obj_id_2")) & (F.col("source_1") != F.col("source_2"))
         & (F.abs(F.col("dec_deg_1") - F.col("dec_deg_2")) <= r) & (sep <= radius_arcsec) & bound)
     return j.select(*[f"{c}_1" for c in sky.PAIR_COLS], *[f"{c}_2" for c in sky.PAIR_COLS], sep.alias("sep_arcsec"))
