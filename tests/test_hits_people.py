@@ -156,3 +156,48 @@ def test_search_rejects_bad_requests(spark):
                 {"mags": [{"value": "1; drop", "operator": "="}]}, {"mags": [{"value": {"a": 1}, "operator": "="}]}):
         with _pytest.raises(ValueError):
             S.search_condition(bad)
+
+
+def test_membership_inserts_and_team_creation(spark):
+    users, teams, mem, tags, asg = _collab(spark)
+    req = spark.createDataFrame([(10, 2, "member"), (11, 2, "member")], "team_id long, user_id long, role string")
+    mem2, rejected = P.insert_memberships(mem, req)
+    assert [(r.team_id, r.user_id) for r in rejected.collect()] == [(10, 2)]
+    assert mem2.where("team_id = 11 and user_id = 2").count() == 1 and mem2.count() == 4
+    new = spark.createDataFrame([(12, "lensing", None, 4)], "team_id long, name string, description string, creator_id long")
+    t2, m2 = P.create_teams(teams, mem, new)
+    assert t2.count() == 3 and [r.role for r in m2.where("team_id = 12").collect()] == ["owner"]
+
+
+def test_user_cascade_and_applied_by(spark):
+    users, teams, mem, tags, asg = _collab(spark)
+    gone = spark.createDataFrame([(1,)], "user_id long")
+    u2, m2, t2, a2 = P.cascade_delete_users(gone, users, mem, tags, asg)
+    assert 1 not in {r.user_id for r in u2.collect()} and m2.where("user_id = 1").count() == 0
+    assert {r.tag_id for r in t2.collect()} == {101}
+    # the personal tag's assignment is gone; the team tag's assignment applied by user 1 keeps a NULL author
+    assert {(r.object_id, r.tag_id, r.applied_by) for r in a2.collect()} == {("2024abc", 101, 2), ("2024xyz", 101, None)}
+
+
+def test_permissions_and_sole_owner(spark):
+    users, teams, mem, tags, asg = _collab(spark)
+    mem = mem.unionByName(spark.createDataFrame([(10, 4, "admin")], "team_id long, user_id long, role string"))
+    req = spark.createDataFrame([(4, 10, "manage_members"), (2, 10, "delete_team"), (3, 10, "view_members"),
+                                 (1, 10, "rename_everything")], "user_id long, team_id long, action string")
+    got = {(r.user_id, r.action): (r.allowed, r.reason) for r in P.permission_check(req, mem).collect()}
+    assert got[(4, "manage_members")] == (True, None)
+    assert got[(2, "delete_team")] == (False, "role member may not delete_team")
+    assert got[(3, "view_members")] == (False, "not a member")
+    assert got[(1, "rename_everything")] == (False, "unknown action")
+    leave = spark.createDataFrame([(10, 1), (10, 2)], "team_id long, user_id long")
+    res = {r.user_id: (r.allowed, r.reason) for r in P.leave_team_check(leave, mem).collect()}
+    assert res == {1: (False, "sole owner"), 2: (True, None)}
+
+
+def test_resolve_tag_requires_visibility(spark):
+    users, teams, mem, tags, asg = _collab(spark)
+    req = spark.createDataFrame([(1, 2, None, "follow-up", 10), (2, 3, None, "follow-up", 10), (3, 1, None, "interesting", None),
+                                 (4, 2, 100, None, None)],
+                                "request_id long, user_id long, tag_id long, tag_name string, owner_team_id long")
+    got = {r.request_id: (r.tag_id, r.error) for r in P.resolve_tag(req, mem, tags).collect()}
+    assert got == {1: (101, None), 2: (None, "Tag not found."), 3: (100, None), 4: (None, "Tag not found.")}
