@@ -13,7 +13,9 @@ SF_CHECK = "/root/testdata/sf0.01"
 def spark():
     from transient_lake.session import checkpoint_dir, get_spark
 
-    s = get_spark("local[4]", 4)
+    import tempfile
+
+    s = get_spark("local[4]", 4, extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tl-wh-")})
     checkpoint_dir(s)  # sets a local folder only because none is configured
     yield s
     s.stop()
