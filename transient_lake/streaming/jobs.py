@@ -138,8 +138,8 @@ def ingest_alert_stream(alert_ids: DataFrame, lc: DataFrame, table: str, outbox:
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         target = _batch_dir(table, batch_id)
-        if _done(spark, target):
-            return
+        if _done(spark, _batch_dir(outbox, batch_id)):
+            return  # the outbox is written last: its marker means the batch is complete
         ids = batch.select("obj_id").distinct()
         pts = lc.join(ids, "obj_id", "left_semi")
         summ = ph.latest_detections(pts)
