@@ -108,8 +108,9 @@ HIT_SCHEMA = ("xmatch_id string, obj_id string, source string, ra_deg double, de
               "dec_dms string, timestamp timestamp")
 
 
-def collate_hits_stream(pairs: DataFrame, table: str, checkpoint: str):
-    """ST2: fold every micro-batch of pairs into the hit membership log."""
+def hit_folder(table: str):
+    """The ``foreachBatch`` function of ST2: fold one micro-batch of pairs
+    into the hit membership log; a replayed batch id is skipped."""
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         target = _batch_dir(table, batch_id)
@@ -122,7 +123,12 @@ def collate_hits_stream(pairs: DataFrame, table: str, checkpoint: str):
         existing = current_state(spark, table, ["obj_id"], HIT_SCHEMA)
         changed, _merges = H.update_hits(existing, new_pairs)
         changed.withColumn("_deleted", F.lit(False)).write.mode("overwrite").parquet(target)
-    return (pairs.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    return fold
+
+
+def collate_hits_stream(pairs: DataFrame, table: str, checkpoint: str):
+    """ST2: fold every micro-batch of pairs into the hit membership log."""
+    return (pairs.writeStream.foreachBatch(hit_folder(table)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
