@@ -201,3 +201,15 @@ def test_resolve_tag_requires_visibility(spark):
                                 "request_id long, user_id long, tag_id long, tag_name string, owner_team_id long")
     got = {r.request_id: (r.tag_id, r.error) for r in P.resolve_tag(req, mem, tags).collect()}
     assert got == {1: (101, None), 2: (None, "Tag not found."), 3: (100, None), 4: (None, "Tag not found.")}
+
+
+def test_bad_dates_are_skipped_not_fatal(spark):
+    from transient_lake.operators import search as S
+    paths = spark.createDataFrame([("/b/db-20240231-010203.json",), ("/b/db-20240228-010203.json",)], "path string")
+    snaps = R.snapshot_table(paths).collect()
+    assert [str(r.snapshot_date) for r in snaps] == ["2024-02-28"]
+    rows = spark.createDataFrame([(1, "discovery_date", "tns", "unknown", None, None),
+                                  (2, "discovery_date", "tns", "2024-03-01", None, None)],
+                                 "obj_id long, field string, source string, value string, filter string, mag_rate double")
+    cond = {"discovery_date": [{"source": "tns", "date_limit": "2024-01-10", "operator": ">"}]}
+    assert [r.obj_id for r in S.match_alert_conditions_long(rows, cond).collect()] == [2]

@@ -122,3 +122,17 @@ def test_bucketed_store_summaries_need_no_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+
+
+def test_zero_divisors_do_not_fail(spark):
+    raw = spark.createDataFrame([(1, 60000.0, 18.0, 0.1, 10.0, 0.0, "o", 1.0, 19.0, "01a1"),
+                                 (1, 60001.0, 18.0, 0.1, 60.0, 2.0, "o", 1.0, 19.0, "01a2")],
+                                "obj_id long, MJD double, m double, dm double, uJy double, duJy double, F string, "
+                                "maj double, mag5sig double, Obs string")
+    dets = {r.mjd: r.detection for r in ph.normalise_atlas_lc(raw).collect()}
+    assert dets == {60000.0: 0, 60001.0: 1}
+    lsst = spark.createDataFrame([(1, 60000.0, "g", 0.0, 5.0, 1.0)],
+                                 "obj_id long, `r:midpointMjdTai` double, `r:band` string, `r:psfFlux` double, "
+                                 "`r:psfFluxErr` double, `r:snr` double")
+    r = ph.normalise_lsst_lc(lsst).first()
+    assert r.mag is None and r.mag_err is None

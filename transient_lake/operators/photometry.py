@@ -101,7 +101,7 @@ def normalise_atlas_lc(raw: DataFrame, sigma: float = 5.0, compat: bool = False)
     uJy/duJy >= sigma.  An unknown ratio (NULL flux or zero error) is a
     non-detection, or a detection with ``compat=True`` as in the reference.
     Objects without any detection contribute no rows."""
-    ratio = F.col("uJy") / F.col("duJy")
+    ratio = F.try_divide(F.col("uJy"), F.col("duJy"))  # zero error -> unknown ratio
     det = F.when(ratio.isNull(), F.lit(1 if compat else 0)).when(ratio < sigma, 0).otherwise(1)
     lc = raw.select(
         "obj_id",
@@ -134,7 +134,7 @@ def normalise_lsst_lc(raw: DataFrame) -> DataFrame:
         F.col("`r:band`").alias("filter"),
         F.col("`r:midpointMjdTai`").alias("mjd"),
         F.when(flux > 0, F.log10(flux) * -2.5 + LSST_ZP).alias("mag"),
-        F.abs(F.col("`r:psfFluxErr`") * MAG_ERR_FACTOR / flux).alias("mag_err"),
+        F.abs(F.try_divide(F.col("`r:psfFluxErr`") * MAG_ERR_FACTOR, flux)).alias("mag_err"),
         F.lit(None).cast("double").alias("limit"),
         F.lit(None).cast("double").alias("fwhm"),
         F.lit(1).alias("detection"),

@@ -30,8 +30,9 @@ def snapshot_table(paths: DataFrame, path_col: str = "path") -> DataFrame:
     clock = F.substring(name, -11, 6)
     return paths.where(ok).select(
         F.col(path_col).alias("path"), name.substr(F.lit(1), n - 21).alias("prefix"),
-        F.to_date(day, "yyyyMMdd").alias("snapshot_date"),
-        F.to_timestamp(F.concat(day, clock), "yyyyMMddHHmmss").alias("ts"))
+        F.try_to_timestamp(day, F.lit("yyyyMMdd")).cast("date").alias("snapshot_date"),
+        F.try_to_timestamp(F.concat(day, clock), F.lit("yyyyMMddHHmmss")).alias("ts")).where(
+        F.col("snapshot_date").isNotNull())
 
 
 def snapshot_retention(snaps: DataFrame, today: str, daily: int = KEEP_DAILY_DAYS, weekly: int = KEEP_WEEKLY_DAYS,

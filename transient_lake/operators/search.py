@@ -88,7 +88,7 @@ def _field_check(x: Column, cond: dict) -> Column:
         return F.lit(False)
     if "date_limit" in cond:
         # Compare the parsed date with the cutoff
-        checks.append(_compare(F.to_timestamp(x["value"].cast("string")), op, cond["date_limit"]))
+        checks.append(_compare(F.try_to_timestamp(x["value"].cast("string")), op, cond["date_limit"]))
     if "value" in cond:
         v = cond["value"]
         checks.append(x["value"].isin(v) if isinstance(v, list) else _compare(x["value"], op, v))
@@ -273,7 +273,7 @@ def _row_check(cond: dict) -> Column:
         return F.lit(False)
     checks = []
     if "date_limit" in cond:
-        checks.append(_compare(F.to_timestamp(F.col("value")), op, cond["date_limit"]))
+        checks.append(_compare(F.try_to_timestamp(F.col("value")), op, cond["date_limit"]))
     if "value" in cond:
         v = cond["value"]
         checks.append(F.col("value").isin([str(i) for i in v]) if isinstance(v, list) else _compare_text(F.col("value"), op, v))
