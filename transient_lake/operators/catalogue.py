@@ -243,7 +243,7 @@ def active_objects(meta: DataFrame, settings: DataFrame, source: str, now: str,
     whole days before ``now`` (a parameter, not the wall clock)."""
     m = meta.where(F.col("source") == source)
     j = m.join(settings.select("tarxiv_id", "active_days"), "tarxiv_id", "left")
-    days = F.datediff(F.to_date(F.lit(now)), F.to_date("discovery_date"))
+    days = F.datediff(F.to_date(F.lit(now)), F.col("discovery_date").try_cast("date"))
     return (j.where(days < F.coalesce("active_days", F.lit(default_active_days)))
             .select("tarxiv_id", "source", "source_id"))
 

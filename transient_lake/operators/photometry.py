@@ -64,7 +64,7 @@ def normalise_ztf_lc(raw: DataFrame) -> DataFrame:
     out = raw.select(
         "obj_id",
         F.lit("ztf").alias("survey"),
-        _lookup(ZTF_FILTERS, F.col("`i:fid`").cast("int")).alias("filter"),
+        _lookup(ZTF_FILTERS, F.col("`i:fid`").try_cast("int")).alias("filter"),
         jd_to_mjd(F.col("`i:jd`")).alias("mjd"),
         F.col("`i:magpsf`").alias("mag"),
         F.col("`i:sigmapsf`").alias("mag_err"),

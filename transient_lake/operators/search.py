@@ -213,7 +213,7 @@ def alerts_page(meta: DataFrame, n_rows, offset) -> DataFrame:
             .offset(int(offset)).limit(int(n_rows)))
     return page.select("discovery_date", F.col("source_id").alias("obj_name"),
                        F.get_json_object(tns, "$.object_type").alias("object_type"), "ra_hms", "dec_dms",
-                       F.get_json_object(tns, "$.redshift").cast("double").alias("redshift"),
+                       F.get_json_object(tns, "$.redshift").try_cast("double").alias("redshift"),
                        F.get_json_object(tns, "$.reporting_group").alias("reporting_group"),
                        F.get_json_object(tns, "$.discovery_data_source").alias("discovery_source"))
 
