@@ -142,3 +142,12 @@ def test_hot_spot_third_of_rows(spark):
     members, hits, _ = H.collate_hits(pairs)
     big = hits.orderBy(F.desc("n_members")).first()
     assert big.n_members == 300 and big.xmatch_id == "h0000"
+
+
+def test_lsst_alert_time_scale(spark):
+    import datetime as dt
+    a = spark.createDataFrame([("123", 10.0, -5.0, 60000.5)],
+                              "diaObjectId string, ra double, decl double, lastDiaSourceMjdTai double")
+    t_ref = sky.normalise_lsst_alert(a).first().timestamp
+    t_utc = sky.normalise_lsst_alert(a, tai_to_utc=True).first().timestamp
+    assert (t_ref - t_utc) == dt.timedelta(seconds=37)

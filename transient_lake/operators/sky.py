@@ -220,10 +220,16 @@ def normalise_ztf_alert(alerts: DataFrame) -> DataFrame:
                          mjd_to_timestamp(jd_to_mjd(F.col("candidate.jd"))).alias("timestamp"))
 
 
-def normalise_lsst_alert(alerts: DataFrame) -> DataFrame:
-    """LSST alert (diaObjectId, ra, decl, lastDiaSourceMjdTai) -> M1; the
-    TAI MJD is read as UTC like the reference (D17)."""
+# Fixed value: TAI - UTC in seconds since 2017.
+TAI_MINUS_UTC_S = 37
+
+
+def normalise_lsst_alert(alerts: DataFrame, tai_to_utc: bool = False) -> DataFrame:
+    """LSST alert (diaObjectId, ra, decl, lastDiaSourceMjdTai) -> M1.  The
+    TAI MJD is read as UTC like the reference (D17); ``tai_to_utc=True``
+    subtracts the 37 s offset instead."""
     from ..functions.time import mjd_to_timestamp
+    mjd = F.col("lastDiaSourceMjdTai") - (TAI_MINUS_UTC_S / 86400.0 if tai_to_utc else 0.0)
     return alerts.select(F.col("diaObjectId").cast("string").alias("obj_id"), F.lit("lsst").alias("source"),
                          F.col("ra").cast("double").alias("ra_deg"), F.col("decl").cast("double").alias("dec_deg"),
-                         mjd_to_timestamp(F.col("lastDiaSourceMjdTai")).alias("timestamp"))
+                         mjd_to_timestamp(mjd).alias("timestamp"))
