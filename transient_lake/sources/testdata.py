@@ -9,15 +9,9 @@ and the DuckDB oracle (``plans/oracle_views.py``) produce identical doubles.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("region nation customer supplier part orders lineitem events documents "
-          "embeddings pages benchmark labels conversations").split()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -288,12 +282,6 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "url as subject", "'text/html' as content_type", "html as body")
 
 
-@lru_cache(maxsize=None)
-def adapter_names() -> tuple[str, ...]:
-    return ("sky_alerts", "sky_chain", "lc_points", "ztf_raw", "asassn_raw", "atlas_raw", "lsst_raw",
-            "mjd_windows", "objects", "cones", "users", "teams", "memberships", "tags", "assignments",
-            "notices")
-
 
 # --- documents for searches ----------------------------------------------
 
