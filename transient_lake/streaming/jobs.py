@@ -12,7 +12,8 @@
 * ST4 ``filter_alert_stream``: the alert conditions as a stateless filter.
 
 Tables written by ``foreachBatch`` are append-only logs with one folder per
-batch id (``batch=<id>``): a replayed batch finds its folder and is skipped,
+batch id (``batch=<id>``) and a commit row per finished batch: a replayed
+batch finds its commit and is skipped, and a batch cut short is rewritten,
 so output is exactly-once even when a batch is retried after an executor
 loss.  The current state is the newest row per key across the log.
 Checkpoints and tables live under the cluster's shared checkpoint folder.
@@ -84,11 +85,20 @@ def _batch_dir(table: str, batch_id: int) -> str:
     return os.path.join(table, f"batch={batch_id}")
 
 
-def _done(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+def _committed(spark: SparkSession, table: str, batch_id: int) -> bool:
+    """Was ``batch_id`` fully written to ``table``?  Each batch appends one
+    row to ``<table>/_commits`` after its data (folders starting with ``_``
+    are ignored by readers of the table)."""
+    try:
+        log = spark.read.parquet(os.path.join(table, "_commits"))
+    except Exception:  # noqa: BLE001  (nothing committed yet)
+        return False
+    return not log.where(F.col("batch_id") == batch_id).isEmpty()
+
+
+def _commit(spark: SparkSession, table: str, batch_id: int) -> None:
+    spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(
+        os.path.join(table, "_commits"))
 
 
 def current_state(spark: SparkSession, table: str, key: list[str], schema: str) -> DataFrame:
@@ -114,7 +124,7 @@ def hit_folder(table: str):
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         target = _batch_dir(table, batch_id)
-        if _done(spark, target):
+        if _committed(spark, table, batch_id):
             return  # replayed batch: already written
         new_pairs = batch.select(*[f"{c}_1" for c in sky.PAIR_COLS], *[f"{c}_2" for c in sky.PAIR_COLS]) \
             .dropDuplicates(["obj_id_1", "obj_id_2"])
@@ -123,6 +133,7 @@ def hit_folder(table: str):
         existing = current_state(spark, table, ["obj_id"], HIT_SCHEMA)
         changed, _merges = H.update_hits(existing, new_pairs)
         changed.withColumn("_deleted", F.lit(False)).write.mode("overwrite").parquet(target)
+        _commit(spark, table, batch_id)
     return fold
 
 
@@ -144,8 +155,8 @@ def ingest_alert_stream(alert_ids: DataFrame, lc: DataFrame, table: str, outbox:
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         target = _batch_dir(table, batch_id)
-        if _done(spark, _batch_dir(outbox, batch_id)):
-            return  # the outbox is written last: its marker means the batch is complete
+        if _committed(spark, outbox, batch_id):
+            return  # the outbox is written last: its commit means the batch is complete
         ids = batch.select("obj_id").distinct()
         pts = lc.join(ids, "obj_id", "left_semi")
         summ = ph.latest_detections(pts)
@@ -153,6 +164,7 @@ def ingest_alert_stream(alert_ids: DataFrame, lc: DataFrame, table: str, outbox:
         msgs = summ.groupBy("obj_id").agg(F.count("*").alias("n_filters"), F.max("mjd").alias("latest_mjd"))
         msgs.select(F.col("obj_id").cast("string").alias("key"), F.to_json(F.struct("*")).alias("value")) \
             .write.mode("overwrite").parquet(_batch_dir(outbox, batch_id))
+        _commit(spark, outbox, batch_id)
     return (alert_ids.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
