@@ -114,6 +114,27 @@ def current_state(spark: SparkSession, table: str, key: list[str], schema: str)
     return latest.where(~F.col("_deleted")).drop("_deleted")
 
 
+def touched_hits(spark: SparkSession, table: str, ids: DataFrame) -> DataFrame:
+    """Current members of the hits that contain any of ``ids``, read from
+    the hit log without aggregating the whole log: the log is first
+    narrowed to the touched objects, then to the members of their hits,
+    and only those rows are reduced to their newest version."""
+    try:
+        log = spark.read.parquet(table)
+    except Exception:  # noqa: BLE001  (no batch written yet)
+        return spark.createDataFrame([], HIT_SCHEMA)
+    cols = [c for c in log.columns if c not in ("obj_id", "batch")]
+
+    def newest(rows):
+        return (rows.groupBy("obj_id").agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_r"))
+                .select("obj_id", "_r.*").where(~F.col("_deleted")).drop("_deleted"))
+    hit_ids = newest(log.join(ids.select("obj_id").distinct(), "obj_id", "left_semi")).select("xmatch_id").distinct()
+    members = log.join(hit_ids, "xmatch_id", "left_semi").select("obj_id").distinct()
+    current = newest(log.join(members, "obj_id", "left_semi"))
+    # an object may have moved to another hit since; keep current members only
+    return current.join(hit_ids, "xmatch_id", "left_semi")
+
+
 HIT_SCHEMA = ("xmatch_id string, obj_id string, source string, ra_deg double, dec_deg double, ra_hms string, "
               "dec_dms string, timestamp timestamp")
 
@@ -130,7 +151,8 @@ def hit_folder(table: str):
             .dropDuplicates(["obj_id_1", "obj_id_2"])
         if new_pairs.isEmpty():
             return
-        existing = current_state(spark, table, ["obj_id"], HIT_SCHEMA)
+        ids = sky.split_pair(new_pairs).select("obj_id")
+        existing = touched_hits(spark, table, ids)
         changed, _merges = H.update_hits(existing, new_pairs)
         changed.withColumn("_deleted", F.lit(False)).write.mode("overwrite").parquet(target)
         _commit(spark, table, batch_id)
