@@ -188,3 +188,26 @@ def test_replayed_batch_is_skipped(spark):
     fold(b1, 1)  # replay
     assert state() == before == [("a", "a"), ("a", "b"), ("a", "c")]
     assert len(spark.read.parquet(table).select("batch").distinct().collect()) == 2
+
+
+def test_compacted_log_reads_the_same_state(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    schema = ("obj_id_1 string, source_1 string, ra_deg_1 double, dec_deg_1 double, timestamp_1 timestamp, "
+              "obj_id_2 string, source_2 string, ra_deg_2 double, dec_deg_2 double, timestamp_2 timestamp, "
+              "sep_arcsec double")
+    batches = [[("a", "ztf", 1.0, 1.0, t0, "b", "lsst", 1.0, 1.0, t0, 0.0)],
+               [("c", "ztf", 2.0, 2.0, t0, "d", "lsst", 2.0, 2.0, t0, 0.0)],
+               [("b", "lsst", 1.0, 1.0, t0, "c", "ztf", 2.0, 2.0, t0, 0.0)],
+               [("e", "ztf", 3.0, 3.0, t0, "f", "lsst", 3.0, 3.0, t0, 0.0)]]
+    table = os.path.join(_tmp(), "hits")
+    fold = J.hit_folder(table)
+    state = lambda: sorted((r.xmatch_id, r.obj_id) for r in J.current_state(spark, table, ["obj_id"], J.HIT_SCHEMA).collect())
+    for i, rows in enumerate(batches[:2]):
+        fold(spark.createDataFrame(rows, schema), i)
+    assert J.compact_log(spark, table, ["obj_id"]) == 1
+    for i, rows in enumerate(batches[2:], start=2):
+        fold(spark.createDataFrame(rows, schema), i)
+    assert state() == [("a", "a"), ("a", "b"), ("a", "c"), ("a", "d"), ("e", "e"), ("e", "f")]
+    J.compact_log(spark, table, ["obj_id"])
+    assert state() == [("a", "a"), ("a", "b"), ("a", "c"), ("a", "d"), ("e", "e"), ("e", "f")]

@@ -101,12 +101,43 @@ def _commit(spark: SparkSession, table: str, batch_id: int) -> None:
         os.path.join(table, "_commits"))
 
 
+def _snapshots(table: str) -> str:
+    return table.rstrip("/") + "_snapshots"
+
+
+def read_log(spark: SparkSession, table: str) -> DataFrame:
+    """The effective log: the latest compaction snapshot (if any) plus the
+    batch folders written after it.  Older folders are skipped by partition
+    pruning (``batch > upto``), so compaction bounds what readers scan."""
+    log = spark.read.parquet(table)
+    try:
+        snaps = spark.read.parquet(_snapshots(table))
+    except Exception:  # noqa: BLE001  (never compacted)
+        return log
+    upto = snaps.agg(F.max("upto")).first()[0]
+    snap = snaps.where(F.col("upto") == upto).drop("upto").withColumn("batch", F.lit(upto).cast(log.schema["batch"].dataType))
+    return log.where(F.col("batch") > upto).unionByName(snap.select(*log.columns))
+
+
+def compact_log(spark: SparkSession, table: str, key: list[str]) -> int:
+    """Write the newest row of every live key of the log as a snapshot
+    ``upto=<last batch>``; returns that batch id.  Run between micro-batches
+    (or from the stream's own ``foreachBatch`` every N batches)."""
+    log = read_log(spark, table)
+    upto = log.agg(F.max("batch")).first()[0]
+    cols = [c for c in log.columns if c not in key and c != "batch"]
+    newest = (log.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_r"))
+              .select(*key, "_r.*").where(~F.col("_deleted")))
+    newest.write.mode("overwrite").parquet(os.path.join(_snapshots(table), f"upto={upto}"))
+    return upto
+
+
 def current_state(spark: SparkSession, table: str, key: list[str], schema: str) -> DataFrame:
     """Newest row per ``key`` across all batch folders of a log table
     (a ``max_by`` aggregate, partial per task).  Rows flagged ``_deleted``
     are tombstones."""
     try:
-        log = spark.read.parquet(table)
+        log = read_log(spark, table)
     except Exception:  # noqa: BLE001  (no batch written yet)
         return spark.createDataFrame([], schema)
     cols = [c for c in log.columns if c not in key and c != "batch"]
@@ -120,7 +151,7 @@ def touched_hits(spark: SparkSession, table: str, ids: DataFrame) -> DataFrame:
     narrowed to the touched objects, then to the members of their hits,
     and only those rows are reduced to their newest version."""
     try:
-        log = spark.read.parquet(table)
+        log = read_log(spark, table)
     except Exception:  # noqa: BLE001  (no batch written yet)
         return spark.createDataFrame([], HIT_SCHEMA)
     cols = [c for c in log.columns if c not in ("obj_id", "batch")]
