@@ -8,7 +8,7 @@ from transient_lake.operators import display as D
 from transient_lake.operators import photometry as ph
 from transient_lake.operators import search as S
 
-DOC = "tarxiv_id string, discovery_date string, data_sources map<string,string>"
+DOC = "archive_id string, discovery_date string, data_sources map<string,string>"
 LC = ("obj_id string, survey string, filter string, mjd double, mag double, mag_err double, `limit` double, "
       "fwhm double, detection int, camera string")
 
@@ -19,7 +19,7 @@ def _docs(spark, *docs):
 
 
 def _facts(spark, *docs, lc=None):
-    return {r.tarxiv_id: r for r in D.key_facts(_docs(spark, *docs), lc).collect()}
+    return {r.archive_id: r for r in D.key_facts(_docs(spark, *docs), lc).collect()}
 
 
 def test_redshift_prefers_tns_then_sherlock(spark):

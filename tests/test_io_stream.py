@@ -68,8 +68,8 @@ def test_bibtex_stems(spark):
 
 def test_notice_names_fallback_to_tokens(spark):
     msgs = spark.createDataFrame([
-        (1, "TNS <tns@weizmann.ac.il>", "<p>New: <a href='x'>2023abc</a> and <a href='y'>2025sae</a></p>"),
-        (2, "TNS <tns@weizmann.ac.il>", "<p>objects 2024xyz and 2024qq reported; 1999aa not</p>"),
+        (1, "TNS <notices@example.org>", "<p>New: <a href='x'>2023abc</a> and <a href='y'>2025sae</a></p>"),
+        (2, "TNS <notices@example.org>", "<p>objects 2024xyz and 2024qq reported; 1999aa not</p>"),
         (3, "spam@example.org", "<a href='z'>2024zzz</a>")], "message_id long, `from` string, body string")
     got = [(r.message_id, r.name) for r in sio.notice_object_names(sio.message_scan(msgs)).orderBy("message_id", "pos")
            .collect()]
@@ -77,19 +77,19 @@ def test_notice_names_fallback_to_tokens(spark):
 
 
 def test_archive_export_import_round_trip(spark):
-    meta = spark.createDataFrame([("TXV-1", 1.0, "SN"), ("TXV-2", 2.0, None)], "tarxiv_id string, ra_deg double, t string")
+    meta = spark.createDataFrame([("TXV-1", 1.0, "SN"), ("TXV-2", 2.0, None)], "archive_id string, ra_deg double, t string")
     lc = spark.createDataFrame([("TXV-1", 60000.0, 18.0), ("TXV-1", 60001.0, 17.5)], "obj_id string, mjd double, mag double")
     d = os.path.join(_tmp(), "dump")
     cat.export_archive(meta, lc, d)
     for layout in ("new", "old"):
         meta_t, lc_t = cat.load_layout(spark, d, _tmp(), layout)
         assert (meta_t, lc_t) == cat.layout_tables(layout)
-        assert {(r.tarxiv_id, r.ra_deg) for r in spark.table(meta_t).collect()} == {("TXV-1", 1.0), ("TXV-2", 2.0)}
+        assert {(r.archive_id, r.ra_deg) for r in spark.table(meta_t).collect()} == {("TXV-1", 1.0), ("TXV-2", 2.0)}
         assert spark.table(lc_t).count() == 2
         d2 = os.path.join(_tmp(), "dump2")
         cat.export_layout(spark, d2, layout, limit=1)
         m2, lc2 = cat.import_archive(spark, d2)
-        assert [r.tarxiv_id for r in m2.collect()] == ["TXV-1"] and lc2.count() == 2
+        assert [r.archive_id for r in m2.collect()] == ["TXV-1"] and lc2.count() == 2
 
 
 def test_stream_crossmatch_equals_batch(spark):

@@ -69,10 +69,10 @@ def test_decimal_bucket_misses_edge_pairs(spark):
 
 def test_cone_search_equals_brute_force(spark):
     rows = _fixture(600, seed=3)
-    objs = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "tarxiv_id string, ra_deg double, dec_deg double")
+    objs = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "archive_id string, ra_deg double, dec_deg double")
     cones = [(1, 0.0, 0.0, 6.0), (2, 359.9999, 10.0, 10.0), (3, 123.0, 89.999, 30.0), (4, 45.0, -90.0, 12.0)]
     cdf = spark.createDataFrame(cones, "cone_id int, ra double, dec_c double, radius_arcsec double")
-    got = {(r.cone_id, r.obj_name) for r in sky.cone_search(objs, cdf, obj_id="tarxiv_id").collect()}
+    got = {(r.cone_id, r.obj_name) for r in sky.cone_search(objs, cdf, obj_id="archive_id").collect()}
     want = {(c[0], r[0]) for c in cones for r in rows
             if _sep_arcsec(("", "", c[1], c[2]), r) <= c[3]}
     assert got == want

@@ -2,7 +2,7 @@
 F2/F3/F6, N7/N8/N13-N15 and the refresh work list (ST6, batch form).
 
 The reference builds one object document per call; here every operator
-works on whole tables: source tables are joined on ``tarxiv_id`` and the
+works on whole tables: source tables are joined on ``archive_id`` and the
 open ``data_sources`` part of a document is a ``map<string, string>`` of
 JSON payloads, one entry per source that matched.
 """
@@ -23,12 +23,12 @@ from .numbering import dense_number
 def tns_metadata(raw: DataFrame) -> DataFrame:
     """TNS fields of interest; discovery date in ISO ``T`` form."""
     return raw.select(
-        "tarxiv_id", "object_id", "source_id_name", "ra_deg", "dec_deg", "object_type", "redshift",
+        "archive_id", "object_id", "source_id_name", "ra_deg", "dec_deg", "object_type", "redshift",
         "hostname", F.regexp_replace("discovery_date", " ", "T").alias("discovery_date"),
         "reporting_group", "discovery_data_source")
 
 
-def sherlock_metadata(crossmatches: DataFrame, key: str = "tarxiv_id") -> DataFrame:
+def sherlock_metadata(crossmatches: DataFrame, key: str = "archive_id") -> DataFrame:
     """The best-ranked contextual crossmatch per object; raDeg/decDeg/z
     renamed, the transient id dropped.  ``min_by`` on rank is an aggregate
     (map-side partial), so one object with many crossmatches stays cheap."""
@@ -82,7 +82,7 @@ def snake_case_columns(df: DataFrame) -> DataFrame:
 
 # --- J4 ------------------------------------------------------------------
 
-def assemble_metadata(envelope: DataFrame, sources: dict[str, DataFrame], key: str = "tarxiv_id") -> DataFrame:
+def assemble_metadata(envelope: DataFrame, sources: dict[str, DataFrame], key: str = "archive_id") -> DataFrame:
     """Envelope + one JSON payload per matching source.
 
     Each source table has one row per ``key``; it is left-joined and packed
@@ -114,15 +114,15 @@ def restrict_to_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 # --- J8 / T4, J9 ---------------------------------------------------------
 
 def resolve_source_ids(requests: DataFrame, meta: DataFrame) -> DataFrame:
-    """Each requested source_id -> tarxiv_id of its most recently
+    """Each requested source_id -> archive_id of its most recently
     updated document (NULL when unknown).  The newest-per-source_id step is
     a ``max_by`` aggregate, so duplicated source ids reduce map-side."""
     latest = meta.groupBy("source_id").agg(
-        F.max_by("tarxiv_id", F.struct("update_date", "tarxiv_id")).alias("tarxiv_id"))
+        F.max_by("archive_id", F.struct("update_date", "archive_id")).alias("archive_id"))
     return requests.select("source_id").join(latest, "source_id", "left")
 
 
-def get_documents(ids: DataFrame, meta: DataFrame, key: str = "tarxiv_id", fields=None) -> DataFrame:
+def get_documents(ids: DataFrame, meta: DataFrame, key: str = "archive_id", fields=None) -> DataFrame:
     """Documents for a list of ids; unknown ids give NULL fields.
     ``fields`` restricts to sub-fields (Catalyst prunes the scan)."""
     m = meta if fields is None else meta.select(key, *fields)
@@ -138,17 +138,17 @@ def citations_for(meta: DataFrame, stems: DataFrame, bibtex: DataFrame) -> DataF
     ``stems``: (source, stem) registry, ``bibtex``: (stem, text).  Both are
     dimension tables with one row per source / file, small by construction,
     so Spark broadcasts them by measured size."""
-    keys = meta.select("tarxiv_id", F.posexplode(F.map_keys("data_sources")).alias("pos", "source"))
+    keys = meta.select("archive_id", F.posexplode(F.map_keys("data_sources")).alias("pos", "source"))
     j = keys.join(stems, "source", "left").join(bibtex, "stem", "left")
     # one entry per stem, at the position of its first source
-    per_stem = (j.where(F.col("text").isNotNull()).groupBy("tarxiv_id", "stem")
+    per_stem = (j.where(F.col("text").isNotNull()).groupBy("archive_id", "stem")
                 .agg(F.min("pos").alias("pos"), F.first("text").alias("text")))
-    texts = per_stem.groupBy("tarxiv_id").agg(
+    texts = per_stem.groupBy("archive_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]),
                      "\n").alias("citations"))
-    unmapped = j.groupBy("tarxiv_id").agg(
+    unmapped = j.groupBy("archive_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("stem").isNull(), F.col("source")))).alias("unmapped"))
-    return unmapped.join(texts, "tarxiv_id", "left")
+    return unmapped.join(texts, "archive_id", "left")
 
 
 def hit_source_citations(members: DataFrame, associated: DataFrame, registry: DataFrame) -> DataFrame:
@@ -209,11 +209,11 @@ def base36(n, width: int = ID_LEN) -> Column:
 def assign_ids(new: DataFrame, registry: DataFrame, buckets: int | None = None) -> DataFrame:
     """Reuse the id of a known source_id, else the next yearly counter.
 
-    ``new``: (source_id, year); ``registry``: (year, idx, tarxiv_id,
+    ``new``: (source_id, year); ``registry``: (year, idx, archive_id,
     source_id).  New rows of a year get consecutive numbers after the
     year's maximum through ``dense_number`` (hash buckets + offsets), so a
     year holding most of the rows is still numbered by many tasks."""
-    reg_latest = registry.groupBy("source_id").agg(F.max_by("tarxiv_id", "idx").alias("known_id"))
+    reg_latest = registry.groupBy("source_id").agg(F.max_by("archive_id", "idx").alias("known_id"))
     cand = new.select("source_id", "year").distinct().join(reg_latest, "source_id", "left")
     base = registry.groupBy("year").agg(F.max("idx").alias("_max"))
     fresh = dense_number(cand.where("known_id is null"), ["year"], ["source_id"], "_k", buckets)
@@ -221,11 +221,11 @@ def assign_ids(new: DataFrame, registry: DataFrame, buckets: int | None = None)
                 .withColumn("idx", F.col("_k") + F.coalesce("_max", F.lit(0))))
     new_ids = numbered.select("source_id", "year", "idx",
                               F.concat(F.lit("TXV-"), F.col("year").cast("string"), F.lit("-"),
-                                       base36("idx")).alias("tarxiv_id"),
+                                       base36("idx")).alias("archive_id"),
                               (F.col("idx") >= F.lit(36 ** ID_LEN)).alias("overflow"),
                               F.lit(True).alias("is_new"))
     known = cand.where("known_id is not null").select(
-        "source_id", "year", F.lit(None).cast("long").alias("idx"), F.col("known_id").alias("tarxiv_id"),
+        "source_id", "year", F.lit(None).cast("long").alias("idx"), F.col("known_id").alias("archive_id"),
         F.lit(False).alias("overflow"), F.lit(False).alias("is_new"))
     return new_ids.unionByName(known)
 
@@ -233,8 +233,8 @@ def assign_ids(new: DataFrame, registry: DataFrame, buckets: int | None = None)
 # --- F2, F3, F6 ----------------------------------------------------------
 
 def catalogue_objects(meta: DataFrame, source: str) -> DataFrame:
-    """(tarxiv_id, source_id) of one catalogue source."""
-    return meta.where(F.col("source") == source).select("tarxiv_id", "source_id")
+    """(archive_id, source_id) of one catalogue source."""
+    return meta.where(F.col("source") == source).select("archive_id", "source_id")
 
 
 def active_objects(meta: DataFrame, settings: DataFrame, source: str, now: str,
@@ -242,10 +242,10 @@ def active_objects(meta: DataFrame, settings: DataFrame, source: str, now: str,
     """objects of ``source`` discovered fewer than ``active_days``
     whole days before ``now`` (a parameter, not the wall clock)."""
     m = meta.where(F.col("source") == source)
-    j = m.join(settings.select("tarxiv_id", "active_days"), "tarxiv_id", "left")
+    j = m.join(settings.select("archive_id", "active_days"), "archive_id", "left")
     days = F.datediff(F.to_date(F.lit(now)), F.col("discovery_date").try_cast("date"))
     return (j.where(days < F.coalesce("active_days", F.lit(default_active_days)))
-            .select("tarxiv_id", "source", "source_id"))
+            .select("archive_id", "source", "source_id"))
 
 
 def due_sources(meta: DataFrame, source_config, now: str, compat: bool = False) -> DataFrame:
@@ -259,11 +259,11 @@ def due_sources(meta: DataFrame, source_config, now: str, compat: bool = False)
     shuffle."""
     rows = F.array(*[F.struct(F.lit(n).alias("source_name"), F.lit(m).alias("meta_only"),
                               F.lit(f).alias("update_frequency")) for n, m, _s, f in source_config])
-    x = meta.select("tarxiv_id", "update_date", F.inline(rows))
+    x = meta.select("archive_id", "update_date", F.inline(rows))
     due_at = F.expr("timestampadd(DAY, update_frequency, cast(update_date as timestamp))")
     t_now = F.lit(now).cast("timestamp")
     cond = (due_at >= t_now) if compat else (due_at <= t_now)
-    return x.where(cond).select("tarxiv_id", "source_name", "meta_only")
+    return x.where(cond).select("archive_id", "source_name", "meta_only")
 
 
 def refresh_requests(all_ids: DataFrame, meta: DataFrame, settings: DataFrame, source_config: DataFrame,
@@ -274,7 +274,7 @@ def refresh_requests(all_ids: DataFrame, meta: DataFrame, settings: DataFrame, s
         F.col("source_id").alias("object_id"), F.lit("bulk").alias("queue"), F.lit(None).cast("string").alias("source_name"))
     act = active_objects(meta, settings, "tns", now).select(
         F.col("source_id").alias("object_id"), F.lit("update").alias("queue"), F.lit(None).cast("string").alias("source_name"))
-    due = due_sources(meta, source_config, now).join(meta.select("tarxiv_id", "source_id"), "tarxiv_id").select(
+    due = due_sources(meta, source_config, now).join(meta.select("archive_id", "source_id"), "archive_id").select(
         F.col("source_id").alias("object_id"), F.lit("refresh").alias("queue"), "source_name")
     return reduce(DataFrame.unionByName, [miss, act, due])
 
@@ -295,7 +295,7 @@ def layout_tables(layout: str) -> tuple[str, str]:
     return f"{scope}_{meta}", f"{scope}_{lc}"
 
 
-def export_frame(meta: DataFrame, lc: DataFrame, key: str = "tarxiv_id", limit: int | None = None) -> DataFrame:
+def export_frame(meta: DataFrame, lc: DataFrame, key: str = "archive_id", limit: int | None = None) -> DataFrame:
     """S6 (pre-write frame): one row per object ``{id, meta, lc}``; ``limit``
     keeps the first N ids.  The light-curve array is one object's light
     curve - the document the dump writes - built by a grouped
@@ -308,18 +308,18 @@ def export_frame(meta: DataFrame, lc: DataFrame, key: str = "tarxiv_id", limit:
     return m.join(per, key, "left").select(key, F.struct(*meta_cols).alias("meta"), "lc")
 
 
-def export_archive(meta: DataFrame, lc: DataFrame, path: str, key: str = "tarxiv_id", limit: int | None = None) -> None:
+def export_archive(meta: DataFrame, lc: DataFrame, path: str, key: str = "archive_id", limit: int | None = None) -> None:
     """Write the dump as JSON lines, one ``{id, meta, lc}`` per object."""
     export_frame(meta, lc, key, limit).write.mode("overwrite").json(path)
 
 
-def export_layout(spark, path: str, layout: str = "new", key: str = "tarxiv_id", limit: int | None = None) -> None:
+def export_layout(spark, path: str, layout: str = "new", key: str = "archive_id", limit: int | None = None) -> None:
     """S6 from a layout's tables in the session catalog."""
     meta_t, lc_t = layout_tables(layout)
     export_archive(spark.table(meta_t), spark.table(lc_t), path, key, limit)
 
 
-def import_archive(spark, path: str, key: str = "tarxiv_id"):
+def import_archive(spark, path: str, key: str = "archive_id"):
     """Inverse of S6 -> (meta, lc) DataFrames."""
     df = spark.read.json(path)
     meta = df.select(key, "meta.*")
@@ -327,7 +327,7 @@ def import_archive(spark, path: str, key: str = "tarxiv_id"):
     return meta, lc
 
 
-def load_layout(spark, path: str, base: str, layout: str = "new", key: str = "tarxiv_id") -> tuple[str, str]:
+def load_layout(spark, path: str, base: str, layout: str = "new", key: str = "archive_id") -> tuple[str, str]:
     """S7 into a layout: the dump's metadata and light curves are written as
     the layout's two tables (under ``base``) and registered by name."""
     meta, lc = import_archive(spark, path, key)

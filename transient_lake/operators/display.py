@@ -2,7 +2,7 @@
 brightest peak across sources (A6), source preference and ordering (C11,
 C14), canonical bands (C13) and the six key facts (C12, C20).
 
-Documents are ``(tarxiv_id, data_sources map<string, json-string>)``; every
+Documents are ``(archive_id, data_sources map<string, json-string>)``; every
 function works on all objects at once and returns long rows or columns.
 """
 
@@ -127,14 +127,14 @@ def metadata_unpivot(docs: DataFrame) -> DataFrame:
     """Scalar fields of every source payload as (field, label, value)
     rows; list fields are left to N19; nested objects are kept as compact
     JSON; JSON nulls show as an em dash."""
-    per_src = docs.select("tarxiv_id", F.posexplode(ordered_sources(F.col("data_sources"))).alias("source_pos", "source"),
+    per_src = docs.select("archive_id", F.posexplode(ordered_sources(F.col("data_sources"))).alias("source_pos", "source"),
                           "data_sources")
-    per_src = per_src.select("tarxiv_id", "source_pos", "source", source_label(F.col("source")).alias("source_label"),
+    per_src = per_src.select("archive_id", "source_pos", "source", source_label(F.col("source")).alias("source_label"),
                              F.col("data_sources")[F.col("source")].alias("payload"))
-    fields = per_src.select("tarxiv_id", "source_pos", "source", "source_label",
+    fields = per_src.select("archive_id", "source_pos", "source", "source_label",
                             F.posexplode(F.from_json("payload", "map<string,string>")).alias("field_pos", "field", "raw"))
     scalars = fields.where(F.col("raw").isNull() | ~F.col("raw").startswith("["))
-    return scalars.select("tarxiv_id", "source_pos", "source", "source_label", "field_pos", "field",
+    return scalars.select("archive_id", "source_pos", "source", "source_label", "field_pos", "field",
                           field_label(F.col("field")).alias("label"),
                           F.coalesce("raw", F.lit(EM_DASH)).alias("value"))
 
@@ -143,19 +143,19 @@ def list_field_rows(docs: DataFrame) -> DataFrame:
     """List fields as long rows (field, row, column, value).  Object
     entries give one row per key; a bare scalar entry sits in the first
     column (``column`` NULL)."""
-    per_src = docs.select("tarxiv_id", F.explode("data_sources").alias("source", "payload"))
-    fields = per_src.select("tarxiv_id", "source", F.explode(F.from_json("payload", "map<string,string>"))
+    per_src = docs.select("archive_id", F.explode("data_sources").alias("source", "payload"))
+    fields = per_src.select("archive_id", "source", F.explode(F.from_json("payload", "map<string,string>"))
                             .alias("field", "raw")).where(F.col("raw").startswith("["))
-    entries = fields.select("tarxiv_id", "source", "field",
+    entries = fields.select("archive_id", "source", "field",
                             F.posexplode(F.from_json("raw", "array<string>")).alias("row", "entry"))
     obj = entries.where(F.col("entry").startswith("{")).select(
-        "tarxiv_id", "source", "field", "row",
+        "archive_id", "source", "field", "row",
         F.posexplode(F.from_json("entry", "map<string,string>")).alias("col_pos", "column", "value"))
     scal = entries.where(~F.col("entry").startswith("{") | F.col("entry").isNull()).select(
-        "tarxiv_id", "source", "field", "row", F.lit(0).alias("col_pos"), F.lit(None).cast("string").alias("column"),
+        "archive_id", "source", "field", "row", F.lit(0).alias("col_pos"), F.lit(None).cast("string").alias("column"),
         F.col("entry").alias("value"))
     out = obj.unionByName(scal)
-    return out.select("tarxiv_id", "source", "field", field_label(F.col("field")).alias("field_label"), "row",
+    return out.select("archive_id", "source", "field", field_label(F.col("field")).alias("field_label"), "row",
                       "col_pos", "column", F.when(F.col("column").isNotNull(), field_label(F.col("column")))
                       .alias("column_label"), F.coalesce("value", F.lit(EM_DASH)).alias("value"))
 
@@ -172,13 +172,13 @@ def photometry_table(lc: DataFrame) -> DataFrame:
 
 
 def _peak_entries(docs: DataFrame) -> DataFrame:
-    """Every peak entry of every source payload: (tarxiv_id, source, entry)."""
-    per_src = docs.select("tarxiv_id", F.explode("data_sources").alias("source", "payload"))
-    fields = per_src.select("tarxiv_id", "source", F.from_json("payload", "map<string,string>").alias("m"))
+    """Every peak entry of every source payload: (archive_id, source, entry)."""
+    per_src = docs.select("archive_id", F.explode("data_sources").alias("source", "payload"))
+    fields = per_src.select("archive_id", "source", F.from_json("payload", "map<string,string>").alias("m"))
     raw = F.coalesce(F.nullif(F.col("m")["peak_mags"], F.lit("[]")), F.col("m")["peak_mag"])
     arr = F.when(raw.startswith("{"), F.array(raw)).otherwise(F.from_json(raw, "array<string>"))
-    return fields.select("tarxiv_id", "source", F.explode(arr).alias("entry")).select(
-        "tarxiv_id", "source", F.from_json("entry", "map<string,string>").alias("e"))
+    return fields.select("archive_id", "source", F.explode(arr).alias("entry")).select(
+        "archive_id", "source", F.from_json("entry", "map<string,string>").alias("e"))
 
 
 def brightest_across_sources(docs: DataFrame) -> DataFrame:
@@ -187,11 +187,11 @@ def brightest_across_sources(docs: DataFrame) -> DataFrame:
     e = F.col("e")
     raw = (F.when(F.map_contains_key(e, "limit"), e["limit"]).when(F.map_contains_key(e, "mag"), e["mag"])
            .otherwise(e["value"]))
-    vals = _peak_entries(docs).select("tarxiv_id", "source", raw.try_cast("double").alias("mag"),
+    vals = _peak_entries(docs).select("archive_id", "source", raw.try_cast("double").alias("mag"),
                                       e["filter"].alias("filter")).where(F.col("mag").isNotNull() & ~F.isnan("mag"))
-    best = vals.groupBy("tarxiv_id").agg(F.min_by(F.struct("mag", "filter"), F.struct("mag", "source", "filter"))
+    best = vals.groupBy("archive_id").agg(F.min_by(F.struct("mag", "filter"), F.struct("mag", "source", "filter"))
                                          .alias("b"))
-    return best.select("tarxiv_id", F.col("b.mag").alias("peak_mag"), F.col("b.filter").alias("peak_filter"))
+    return best.select("archive_id", F.col("b.mag").alias("peak_mag"), F.col("b.filter").alias("peak_filter"))
 
 
 def first_present(data_sources: Column, sources: list[str], field: str) -> Column:
@@ -219,7 +219,7 @@ def key_facts(docs: DataFrame, lc: DataFrame | None = None) -> DataFrame:
     dist = first_present(ds, ["sherlock"], "best_distance")
     dist_num = dist.try_cast("double")
     facts = docs.select(
-        "tarxiv_id",
+        "archive_id",
         F.coalesce(F.when((red_num.isNotNull()) & (red_num != 0), py_format(red_num, ".4g"))
                    .when(red_num.isNull() & (F.coalesce(red, F.lit("")) != ""), red), F.lit(EM_DASH)).alias("redshift"),
         F.coalesce(F.nullif(host, F.lit("")), F.lit(EM_DASH)).alias("host"),
@@ -229,15 +229,15 @@ def key_facts(docs: DataFrame, lc: DataFrame | None = None) -> DataFrame:
         .alias("distance"),
         F.when(_is_number_field(ds, "sherlock", "best_distance"), F.lit("Mpc")).alias("distance_unit"))
     peak = brightest_across_sources(docs)
-    out = facts.join(peak, "tarxiv_id", "left").select(
+    out = facts.join(peak, "archive_id", "left").select(
         *facts.columns, F.coalesce(py_format("peak_mag", ".1f"), F.lit(EM_DASH)).alias("peak_mag"),
         F.col("peak_filter").alias("peak_unit"))
     if lc is not None:
-        det = lc.groupBy(F.col("obj_id").alias("tarxiv_id")).agg(
+        det = lc.groupBy(F.col("obj_id").alias("archive_id")).agg(
             F.expr("count_if(detection = 1)").alias("_n"),
             F.array_join(F.array_sort(F.collect_set(F.when(F.col("detection") == 1, F.upper("survey")))), " + ")
             .alias("_s"))
-        out = out.join(det, "tarxiv_id", "left").select(
+        out = out.join(det, "archive_id", "left").select(
             *out.columns, F.coalesce(F.col("_n").cast("string"), F.lit(EM_DASH)).alias("detections"),
             F.nullif(F.col("_s"), F.lit("")).alias("detections_unit"))
     return out

@@ -17,7 +17,7 @@ NOW = "1998-08-01"
 
 
 def _tns_source(o):
-    return o.select("source_id", "tarxiv_id", F.col("source_id").alias("object_id"),
+    return o.select("source_id", "archive_id", F.col("source_id").alias("object_id"),
                     F.lit("objname").alias("source_id_name"), "ra_deg", "dec_deg", "object_type", "redshift",
                     F.lit(None).cast("string").alias("hostname"),
                     F.col("discovery_date").cast("string").alias("discovery_date"), "reporting_group",
@@ -25,7 +25,7 @@ def _tns_source(o):
 
 
 @register("tns_metadata", sql="""
-select tarxiv_id, source_id as object_id, 'objname' as source_id_name, ra_deg, dec_deg, object_type, redshift,
+select archive_id, source_id as object_id, 'objname' as source_id_name, ra_deg, dec_deg, object_type, redshift,
        cast(null as varchar) as hostname, replace(cast(discovery_date as varchar), ' ', 'T') as discovery_date,
        reporting_group, 'ZTF' as discovery_data_source
 from objects
@@ -51,7 +51,7 @@ def q_sherlock_metadata(spark, sf_dir):
 def _sources(spark, sf_dir):
     o = td.objects(spark, sf_dir)
     return {
-        "tns": _tns_source(o).drop("tarxiv_id"),
+        "tns": _tns_source(o).drop("archive_id"),
         "sherlock": cat.sherlock_metadata(td.sherlock_xm(spark, sf_dir), key="source_id"),
         "fink_ztf": o.where("cast(source_id as bigint) % 2 = 0").select(
             "source_id", F.concat(F.lit("ZTF"), "source_id").alias("object_id"), F.col("redshift").alias("score")),
@@ -62,7 +62,7 @@ def _sources(spark, sf_dir):
 
 @register("assemble_metadata", sql=f"""
 with sh as ({_SHERLOCK_SQL})
-select o.source_id, o.tarxiv_id,
+select o.source_id, o.archive_id,
        concat_ws(',', case when o.source_id::bigint % 5 = 0 then 'asas_sn' end,
                       case when o.source_id::bigint % 2 = 0 then 'fink_ztf' end,
                       case when sh.source_id is not null then 'sherlock' end, 'tns') as sources,
@@ -73,11 +73,11 @@ from objects o left join sh using (source_id)
 """, views=("objects", "sherlock_xm"))
 def q_assemble_metadata(spark, sf_dir):
     """Envelope + source-keyed payloads of every source that matched."""
-    env = td.objects(spark, sf_dir).select("source_id", "tarxiv_id")
+    env = td.objects(spark, sf_dir).select("source_id", "archive_id")
     m = cat.assemble_metadata(env, _sources(spark, sf_dir), key="source_id")
     ds = F.col("data_sources")
     return m.select(
-        "source_id", "tarxiv_id", F.array_join(F.array_sort(F.map_keys(ds)), ",").alias("sources"),
+        "source_id", "archive_id", F.array_join(F.array_sort(F.map_keys(ds)), ",").alias("sources"),
         F.size(ds).alias("n_sources"),
         round_half_up(F.get_json_object(ds["sherlock"], "$.redshift").cast("double"), 6).alias("sherlock_redshift"),
         F.get_json_object(ds["tns"], "$.object_type").alias("tns_type"))
@@ -103,47 +103,47 @@ def q_restrict_to_ids(spark, sf_dir):
 
 
 @register("resolve_source_ids", sql="""
-with m as (select cast(reporter_id as varchar) as source_id, tarxiv_id, update_date from objects),
-latest as (select source_id, arg_max(tarxiv_id, (update_date, tarxiv_id)) as tarxiv_id from m group by source_id)
-select r.source_id, latest.tarxiv_id
+with m as (select cast(reporter_id as varchar) as source_id, archive_id, update_date from objects),
+latest as (select source_id, arg_max(archive_id, (update_date, archive_id)) as archive_id from m group by source_id)
+select r.source_id, latest.archive_id
 from (select cast(c_custkey as varchar) as source_id from customer) r left join latest using (source_id)
 """, views=("objects",))
 def q_resolve_source_ids(spark, sf_dir):
-    """Requested source ids -> newest tarxiv id (NULL when unknown);
+    """Requested source ids -> newest archive id (NULL when unknown);
     source ids repeat across documents here (one per reporter)."""
     meta = td.objects(spark, sf_dir).select(F.col("reporter_id").cast("string").alias("source_id"),
-                                             "tarxiv_id", "update_date")
+                                             "archive_id", "update_date")
     req = td.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("source_id"))
     return cat.resolve_source_ids(req, meta)
 
 
 @register("get_documents", sql="""
-select i.tarxiv_id, o.ra_deg, o.dec_deg, o.object_type
-from (select distinct concat('TXV-1995-', lpad(cast(l_orderkey as varchar), 6, '0')) as tarxiv_id
+select i.archive_id, o.ra_deg, o.dec_deg, o.object_type
+from (select distinct concat('TXV-1995-', lpad(cast(l_orderkey as varchar), 6, '0')) as archive_id
       from lineitem where l_linenumber = 1) i
-left join objects o using (tarxiv_id)
+left join objects o using (archive_id)
 """, views=("objects",))
 def q_get_documents(spark, sf_dir):
     """Documents by id with sub-field selection; unknown ids give NULLs."""
     ids = (td.table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
            .select(F.concat(F.lit("TXV-1995-"), F.lpad(F.col("l_orderkey").cast("string"), 6, "0"))
-                   .alias("tarxiv_id")).distinct())
+                   .alias("archive_id")).distinct())
     return cat.get_documents(ids, td.objects(spark, sf_dir), fields=["ra_deg", "dec_deg", "object_type"])
 
 
 @register("citations_for", sql=f"""
 with stems as {cfg.CITATION_STEMS_SQL},
 keys as (
-  select o.tarxiv_id, k.source, k.pos from objects o,
+  select o.archive_id, k.source, k.pos from objects o,
   lateral (select * from (values (0, 'tns'), (1, 'sherlock'), (2, 'fink_ztf'), (3, 'asas_sn'))
            t(pos, source)) k
   where k.source = 'tns' or (k.source = 'sherlock' and o.source_id::bigint % 3 = 0)
         or (k.source = 'fink_ztf' and o.source_id::bigint % 2 = 0)
         or (k.source = 'asas_sn' and o.source_id::bigint % 5 = 0)),
 j as (select keys.*, stems.stem, '@misc{{' || stems.stem || '}}' as text from keys left join stems using (source))
-select tarxiv_id, string_agg(text, chr(10) order by pos) filter (where text is not null) as citations,
+select archive_id, string_agg(text, chr(10) order by pos) filter (where text is not null) as citations,
        coalesce(string_agg(case when stem is null then source end, ',' order by source), '') as unmapped
-from j group by tarxiv_id
+from j group by archive_id
 """, views=("objects",))
 def q_citations_for(spark, sf_dir):
     """Per object, the distinct citation texts of its sources in
@@ -155,36 +155,36 @@ def q_citations_for(spark, sf_dir):
         F.lit("sherlock"), F.when(n % 3 == 0, F.lit("{}")),
         F.lit("fink_ztf"), F.when(n % 2 == 0, F.lit("{}")),
         F.lit("asas_sn"), F.when(n % 5 == 0, F.lit("{}"))), lambda k, v: v.isNotNull())
-    meta = o.select("tarxiv_id", ds.alias("data_sources"))
+    meta = o.select("archive_id", ds.alias("data_sources"))
     stems = cfg.citation_stems(spark)
     bib = stems.select("stem").distinct().select("stem", F.concat(F.lit("@misc{"), "stem", F.lit("}")).alias("text"))
     out = cat.citations_for(meta, stems, bib)
-    return out.select("tarxiv_id", "citations",
+    return out.select("archive_id", "citations",
                       F.array_join("unmapped", ",").alias("unmapped"))
 
 
 @register("upsert_documents", sql="""
 with ch as (
-  select tarxiv_id, 'CHANGED' as object_type, ra_deg, dec_deg from objects where object_type = '1-URGENT'
+  select archive_id, 'CHANGED' as object_type, ra_deg, dec_deg from objects where object_type = '1-URGENT'
   union all
   select concat('TXV-2000-', lpad(cast(c_custkey as varchar), 6, '0')), 'NEW', 0.0, 0.0 from customer)
-select tarxiv_id, object_type, ra_deg, dec_deg from objects where tarxiv_id not in (select tarxiv_id from ch)
+select archive_id, object_type, ra_deg, dec_deg from objects where archive_id not in (select archive_id from ch)
 union all select * from ch
 """, views=("objects",))
 def q_upsert_documents(spark, sf_dir):
     """Urgent objects re-typed and every customer's new document
     inserted: insert-or-replace of whole documents by id."""
-    o = td.objects(spark, sf_dir).select("tarxiv_id", "object_type", "ra_deg", "dec_deg", "source_id")
+    o = td.objects(spark, sf_dir).select("archive_id", "object_type", "ra_deg", "dec_deg", "source_id")
     changed = o.where("object_type = '1-URGENT'").select(
-        "tarxiv_id", F.lit("CHANGED").alias("object_type"), "ra_deg", "dec_deg")
+        "archive_id", F.lit("CHANGED").alias("object_type"), "ra_deg", "dec_deg")
     new = td.table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("TXV-2000-"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("tarxiv_id"),
+        F.concat(F.lit("TXV-2000-"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("archive_id"),
         F.lit("NEW").alias("object_type"), F.lit(0.0).alias("ra_deg"), F.lit(0.0).alias("dec_deg"))
-    return cat.upsert(o.drop("source_id"), changed.unionByName(new), "tarxiv_id")
+    return cat.upsert(o.drop("source_id"), changed.unionByName(new), "archive_id")
 
 
 @register("set_fields", sql="""
-select o.tarxiv_id,
+select o.archive_id,
        case when o.object_type = '1-URGENT' then null
             when o.object_type = '2-HIGH' then 0.5 else o.redshift end as redshift,
        o.object_type
@@ -196,9 +196,9 @@ def q_set_fields(spark, sf_dir):
     o = td.objects(spark, sf_dir)
     t = F.col("object_type")
     ch = o.where(t.isin("1-URGENT", "2-HIGH")).select(
-        "tarxiv_id", F.when(t == "1-URGENT", F.lit(None).cast("double")).otherwise(F.lit(0.5)).alias("redshift"),
+        "archive_id", F.when(t == "1-URGENT", F.lit(None).cast("double")).otherwise(F.lit(0.5)).alias("redshift"),
         F.lit(True).alias("set_redshift"))
-    return cat.set_fields(o.select("tarxiv_id", "redshift", "object_type"), ch, "tarxiv_id", ["redshift"])
+    return cat.set_fields(o.select("archive_id", "redshift", "object_type"), ch, "archive_id", ["redshift"])
 
 
 @register("replace_survey_points", sql="""
@@ -237,7 +237,7 @@ def q_base36_ids(spark, sf_dir):
 
 @register("assign_ids", sql="""
 with reg as (select cast(substr(cast(discovery_date as varchar), 1, 4) as int) as year,
-                    cast(source_id as bigint) as idx, tarxiv_id, source_id from objects),
+                    cast(source_id as bigint) as idx, archive_id, source_id from objects),
 new as (select distinct name as source_id, cast(substr(cast(discoverydate as varchar), 1, 4) as int) as year
         from public_catalogue),
 known as (select distinct source_id from reg),
@@ -253,27 +253,27 @@ def q_assign_ids(spark, sf_dir):
     ones; per year: count, first/last index (dense) and distinct ids."""
     o = td.objects(spark, sf_dir)
     reg = o.select(F.substring(F.col("discovery_date").cast("string"), 1, 4).cast("int").alias("year"),
-                   F.col("source_id").cast("long").alias("idx"), "tarxiv_id", "source_id")
+                   F.col("source_id").cast("long").alias("idx"), "archive_id", "source_id")
     new = td.public_catalogue(spark, sf_dir).select(
         F.col("name").alias("source_id"),
         F.substring(F.col("discoverydate").cast("string"), 1, 4).cast("int").alias("year"))
     ids = cat.assign_ids(new, reg)
     return ids.groupBy("year").agg(
         F.expr("count_if(is_new)").alias("n_new"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"),
-        F.expr("count(distinct tarxiv_id) filter (where is_new)").alias("n_distinct_ids"),
+        F.expr("count(distinct archive_id) filter (where is_new)").alias("n_distinct_ids"),
         F.expr("count_if(not is_new)").alias("n_reused")).where("n_new > 0")
 
 
 @register("catalogue_objects", sql="""
-select tarxiv_id, source_id from objects where source = 'xmatch'
+select archive_id, source_id from objects where source = 'xmatch'
 """, views=("objects",))
 def q_catalogue_objects(spark, sf_dir):
-    """(tarxiv_id, source_id) of one catalogue source."""
+    """(archive_id, source_id) of one catalogue source."""
     return cat.catalogue_objects(td.objects(spark, sf_dir), "xmatch")
 
 
 @register("active_objects", sql=f"""
-select o.tarxiv_id, o.source, o.source_id from objects o left join active_settings s using (tarxiv_id)
+select o.archive_id, o.source, o.source_id from objects o left join active_settings s using (archive_id)
 where o.source = 'tns' and date_diff('day', cast(o.discovery_date as date), date '{NOW}') < coalesce(s.active_days, 60)
 """, views=("objects", "active_settings"))
 def q_active_objects(spark, sf_dir):
@@ -282,7 +282,7 @@ def q_active_objects(spark, sf_dir):
 
 
 @register("due_sources", sql=f"""
-select o.tarxiv_id, c.source_name, c.meta_only from objects o cross join {cfg.SOURCE_CONFIG_SQL} c
+select o.archive_id, c.source_name, c.meta_only from objects o cross join {cfg.SOURCE_CONFIG_SQL} c
 where o.update_date + to_days(c.update_frequency) <= timestamp '{NOW}'
 """, views=("objects",))
 def q_due_sources(spark, sf_dir):
@@ -295,7 +295,7 @@ select queue, count(*) as n, count(distinct object_id) as n_objects from (
   select distinct name as object_id, 'bulk' as queue from public_catalogue
   where name not in (select source_id from objects where source = 'tns')
   union all
-  select o.source_id, 'update' from objects o left join active_settings s using (tarxiv_id)
+  select o.source_id, 'update' from objects o left join active_settings s using (archive_id)
   where o.source = 'tns' and date_diff('day', cast(o.discovery_date as date), date '{NOW}') < coalesce(s.active_days, 60)
   union all
   select o.source_id, 'refresh' from objects o cross join {cfg.SOURCE_CONFIG_SQL} c
@@ -383,11 +383,11 @@ def q_union_lightcurves(spark, sf_dir):
 
 
 @register("sql_id_listing", sql="""
-select tarxiv_id, source_id from objects where source = 'tns' and discovery_date >= timestamp '1997-01-01'
+select archive_id, source_id from objects where source = 'tns' and discovery_date >= timestamp '1997-01-01'
 """, views=("objects",))
 def q_sql_id_listing(spark, sf_dir):
     """free SQL over a named view with bound parameter markers (the
     dump's id listing)."""
     cat.register_views({"tl_meta": td.objects(spark, sf_dir)})
-    return cat.run_sql(spark, "SELECT tarxiv_id, source_id FROM tl_meta WHERE source = :source "
+    return cat.run_sql(spark, "SELECT archive_id, source_id FROM tl_meta WHERE source = :source "
                               "AND discovery_date >= CAST(:since AS TIMESTAMP_NTZ)", source="tns", since="1997-01-01")

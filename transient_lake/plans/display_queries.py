@@ -26,7 +26,7 @@ _DOC_BASE = """
 has as (select obj_id, max(survey = 'ztf' and detection = 1)::int as z, max(survey = 'atlas' and detection = 1)::int as a,
                max(survey = 'asas-sn' and detection = 1)::int as s, max(survey = 'lsst' and detection = 1)::int as l
         from lc_points group by obj_id),
-c as (select c.c_custkey as tarxiv_id, c.c_custkey, c.c_mktsegment, coalesce(h.z, 0) as z, coalesce(h.a, 0) as a,
+c as (select c.c_custkey as archive_id, c.c_custkey, c.c_mktsegment, coalesce(h.z, 0) as z, coalesce(h.a, 0) as a,
              coalesce(h.s, 0) as s, coalesce(h.l, 0) as l, (c.c_custkey % 4 <> 0)::int as sh, (c.c_custkey % 7 = 0)::int as fk
       from customer c left join has h on h.obj_id = c.c_custkey)"""
 
@@ -34,23 +34,23 @@ c as (select c.c_custkey as tarxiv_id, c.c_custkey, c.c_mktsegment, coalesce(h.z
 @register("metadata_unpivot", sql=f"""
 with {_DOC_BASE},
 r as (
-  select tarxiv_id, 0 as source_pos, 'tns' as source, 'TNS' as source_label, 0 as field_pos, 'object_type' as field,
+  select archive_id, 0 as source_pos, 'tns' as source, 'TNS' as source_label, 0 as field_pos, 'object_type' as field,
          'Object Type' as label, c_mktsegment as value from c
-  union all select tarxiv_id, 0, 'tns', 'TNS', 1, 'redshift', 'Redshift',
+  union all select archive_id, 0, 'tns', 'TNS', 1, 'redshift', 'Redshift',
          case when c_custkey % 3 <> 0 then cast((c_custkey % 97 + 3) / 100.0::DOUBLE as varchar) else '—' end from c
-  union all select tarxiv_id, 0, 'tns', 'TNS', 2, 'hostname', 'Host Name',
+  union all select archive_id, 0, 'tns', 'TNS', 2, 'hostname', 'Host Name',
          case when c_custkey % 2 = 0 then 'NGC' || cast(c_custkey as varchar) else '—' end from c
-  union all select tarxiv_id, 0, 'tns', 'TNS', 3, 'discovery_date', 'Discovery Date',
+  union all select archive_id, 0, 'tns', 'TNS', 3, 'discovery_date', 'Discovery Date',
          '2024-01-' || lpad(cast(c_custkey % 28 + 1 as varchar), 2, '0') || 'T12:00:00' from c
-  union all select tarxiv_id, 0, 'tns', 'TNS', 4, 'reporting_group', 'Reporting Group', c_mktsegment from c
-  union all select tarxiv_id, 1 + z + a + s, 'sherlock', 'Lasair-Sherlock', 0, 'redshift', 'Redshift',
+  union all select archive_id, 0, 'tns', 'TNS', 4, 'reporting_group', 'Reporting Group', c_mktsegment from c
+  union all select archive_id, 1 + z + a + s, 'sherlock', 'Lasair-Sherlock', 0, 'redshift', 'Redshift',
          cast((c_custkey % 50 + 2) / 1000.0::DOUBLE as varchar) from c where sh = 1
-  union all select tarxiv_id, 1 + z + a + s, 'sherlock', 'Lasair-Sherlock', 1, 'catalogue_object_id',
+  union all select archive_id, 1 + z + a + s, 'sherlock', 'Lasair-Sherlock', 1, 'catalogue_object_id',
          'Catalogue Object ID', 'CAT' || cast(c_custkey as varchar) from c where sh = 1
-  union all select tarxiv_id, 1 + z + a + s, 'sherlock', 'Lasair-Sherlock', 2, 'best_distance', 'Best Distance',
+  union all select archive_id, 1 + z + a + s, 'sherlock', 'Lasair-Sherlock', 2, 'best_distance', 'Best Distance',
          case when c_custkey % 10 = 5 then 'unknown' else cast((c_custkey % 900) / 10.0::DOUBLE + 1 as varchar) end
          from c where sh = 1
-  union all select tarxiv_id, 1 + z + a + s + sh, 'fink', 'Fink', 0, 'peak_mag', 'Peak Magnitude',
+  union all select archive_id, 1 + z + a + s + sh, 'fink', 'Fink', 0, 'peak_mag', 'Peak Magnitude',
          '{{"mag":"junk","filter":"r"}}' from c where fk = 1)
 select * from r
 """, views=("lc_points",))
@@ -68,14 +68,14 @@ pk as (select obj_id, survey, filter, round(mag, 8) as peak_mag, mjd from (
 
 @register("list_field_rows", sql=f"""
 with {_PEAKS},
-e as (select obj_id as tarxiv_id, case when survey = 'asas-sn' then 'asas_sn' else survey end as source, filter,
+e as (select obj_id as archive_id, case when survey = 'asas-sn' then 'asas_sn' else survey end as source, filter,
              peak_mag, {iso_sql('mjd')} as date,
              row_number() over (partition by obj_id, survey order by filter) - 1 as row from pk)
-select tarxiv_id, source, 'peak_mags' as field, 'Peak Magnitudes' as field_label, row, 0 as col_pos, 'filter' as column,
+select archive_id, source, 'peak_mags' as field, 'Peak Magnitudes' as field_label, row, 0 as col_pos, 'filter' as column,
        'Filter' as column_label, filter as value from e
-union all select tarxiv_id, source, 'peak_mags', 'Peak Magnitudes', row, 1, 'limit', 'Magnitude',
+union all select archive_id, source, 'peak_mags', 'Peak Magnitudes', row, 1, 'limit', 'Magnitude',
        cast(peak_mag as varchar) from e
-union all select tarxiv_id, source, 'peak_mags', 'Peak Magnitudes', row, 2, 'date', 'Date', date from e
+union all select archive_id, source, 'peak_mags', 'Peak Magnitudes', row, 2, 'date', 'Date', date from e
 """, views=("lc_points",))
 def q_list_field_rows(spark, sf_dir):
     """List-valued metadata (per-survey peak arrays) as long rows."""
@@ -84,7 +84,7 @@ def q_list_field_rows(spark, sf_dir):
 
 @register("brightest_across_sources", sql=f"""
 with {_PEAKS}
-select obj_id as tarxiv_id, peak_mag, filter as peak_filter from (
+select obj_id as archive_id, peak_mag, filter as peak_filter from (
   select *, row_number() over (partition by obj_id order by peak_mag,
          case when survey = 'asas-sn' then 'asas_sn' else survey end, filter) as rn from pk)
 where rn = 1
@@ -102,7 +102,7 @@ best as (select obj_id, peak_mag, filter from (
 det as (select obj_id, count_if(detection = 1) as n,
                array_to_string(list_sort(list_distinct(list(upper(survey)) filter (where detection = 1))), ' + ') as s
         from lc_points group by obj_id)
-select c.tarxiv_id,
+select c.archive_id,
        case when c_custkey % 3 <> 0 then printf('%.4g', (c_custkey % 97 + 3) / 100.0::DOUBLE)
             when sh = 1 then printf('%.4g', (c_custkey % 50 + 2) / 1000.0::DOUBLE) else '—' end as redshift,
        case when c_custkey % 2 = 0 then 'NGC' || cast(c_custkey as varchar)
@@ -114,7 +114,7 @@ select c.tarxiv_id,
        case when sh = 1 and c_custkey % 10 <> 5 then 'Mpc' end as distance_unit,
        coalesce(printf('%.1f', best.peak_mag), '—') as peak_mag, best.filter as peak_unit,
        coalesce(cast(det.n as varchar), '—') as detections, nullif(det.s, '') as detections_unit
-from c left join best on best.obj_id = c.tarxiv_id left join det on det.obj_id = c.tarxiv_id
+from c left join best on best.obj_id = c.archive_id left join det on det.obj_id = c.archive_id
 """, views=("lc_points",))
 def q_key_facts(spark, sf_dir):
     """C11/C12/C20 + A4/A6: the six key facts of every object page."""
@@ -246,7 +246,7 @@ def q_antares_metadata(spark, sf_dir):
 @register("snapshot_retention", sql="""
 with f as (
   select path, regexp_extract(path, '([^/]*)$', 1) as name from (
-    select distinct concat('/backups/', case o_orderkey % 3 when 0 then 'tarxiv_meta' when 1 then 'tarxiv_lc' else 'pg' end, '-',
+    select distinct concat('/backups/', case o_orderkey % 3 when 0 then 'archive_meta' when 1 then 'archive_lc' else 'pg' end, '-',
                   strftime(o_orderdate + to_hours(cast(o_orderkey % 24 as int)), '%Y%m%d-%H%M%S'),
                   case when o_orderkey % 97 = 0 then '.tmp' else '.json' end) as path from orders)),
 s as (select path, regexp_extract(name, '^(.*)-(\\d{8})-(\\d{6})\\.json$', 1) as prefix,

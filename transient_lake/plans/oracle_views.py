@@ -91,7 +91,7 @@ from customer""",
     "objects": """
 select cast(o_orderkey as varchar) as source_id,
        concat('TXV-', substr(cast(o_orderdate as varchar), 1, 4), '-', lpad(cast(o_orderkey as varchar), 6, '0'))
-         as tarxiv_id,
+         as archive_id,
        case when o_orderkey % 4 = 0 then 'xmatch' else 'tns' end as source,
        180 + ((o_orderkey * 7919) % 36000) / 3600.0::DOUBLE as ra_deg,
        20 + ((o_orderkey * 104729) % 36000) / 3600.0::DOUBLE as dec_deg,
@@ -122,7 +122,7 @@ select cast(l_orderkey + l_linenumber - 1 as varchar) as name,
 from lineitem""",
     "active_settings": """
 select concat('TXV-', substr(cast(o_orderdate as varchar), 1, 4), '-', lpad(cast(o_orderkey as varchar), 6, '0'))
-         as tarxiv_id, cast(10 + o_orderkey % 90 as int) as active_days
+         as archive_id, cast(10 + o_orderkey % 90 as int) as active_days
 from orders where o_orderkey % 5 = 0""",
     "legacy_objects": """
 select obj_id,
@@ -215,7 +215,7 @@ select object_id, tag_id, min(applied_by) as applied_by from (
 group by object_id, tag_id""",
     "notices": """
 select page_id as message_id,
-       case when page_id % 3 = 0 then 'other@example.org' else 'TNS <tns@weizmann.ac.il>' end as "from",
+       case when page_id % 3 = 0 then 'other@example.org' else 'TNS <notices@example.org>' end as "from",
        url as subject, 'text/html' as content_type, html as body
 from pages""",
 }

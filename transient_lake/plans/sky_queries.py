@@ -124,12 +124,12 @@ def dms_sql(dec: str) -> str:
 
 
 @register("sexagesimal_format", sql=f"""
-select tarxiv_id, {hms_sql('ra_deg')} as ra_hms, {dms_sql('dec_deg')} as dec_dms from objects
+select archive_id, {hms_sql('ra_deg')} as ra_hms, {dms_sql('dec_deg')} as dec_dms from objects
 """, views=("objects",))
 def q_sexagesimal_format(spark, sf_dir):
     """Catalogue coordinates in sexagesimal notation."""
     o = td.objects(spark, sf_dir)
-    return o.select("tarxiv_id", fsky.deg_to_hms("ra_deg").alias("ra_hms"), fsky.deg_to_dms("dec_deg").alias("dec_dms"))
+    return o.select("archive_id", fsky.deg_to_hms("ra_deg").alias("ra_hms"), fsky.deg_to_dms("dec_deg").alias("dec_dms"))
 
 
 _TS_FROM_MJD = "epoch_ms(cast(round(({m} - 40587) * 86400000.0) as bigint))"
@@ -161,22 +161,22 @@ def _parse_sql(t: str, hours: bool) -> str:
 
 @register("parse_coordinates", sql=f"""
 with t as (
-  select tarxiv_id,
+  select archive_id,
          case cast(source_id as bigint) % 3
            when 0 then replace({hms_sql('ra_deg')}, ':', ' ') || '  ' || replace({dms_sql('dec_deg')}, ':', ' ')
            when 1 then cast(ra_deg as varchar) || ', ' || cast(dec_deg as varchar)
            else cast(ra_deg as varchar) || ' ' || cast(dec_deg as varchar) end as text
   from objects),
-s as (select tarxiv_id, trim(text) as t, regexp_split_to_array(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' ') as toks
+s as (select archive_id, trim(text) as t, regexp_split_to_array(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' ') as toks
       from t),
-p as (select tarxiv_id,
+p as (select archive_id,
              case when contains(t, ',') then trim(split_part(t, ',', 1))
                   when len(toks) = 2 then toks[1] when len(toks) = 6 then array_to_string(toks[1:3], ' ') end as ra_txt,
              case when contains(t, ',') then trim(split_part(t, ',', 2))
                   when len(toks) = 2 then toks[2] when len(toks) = 6 then array_to_string(toks[4:6], ' ') end as dec_txt,
              contains(t, ',') or len(toks) = 2 as plain
       from s)
-select tarxiv_id, ra_txt, dec_txt,
+select archive_id, ra_txt, dec_txt,
        round(case when plain then try_cast(ra_txt as double) else {_parse_sql('ra_txt', True)} end, 8) as ra_deg,
        round({_parse_sql('dec_txt', False)}, 8) as dec_deg
 from p
@@ -191,9 +191,9 @@ def q_parse_coordinates(spark, sf_dir):
     text = (F.when(n == 0, sexa)
             .when(n == 1, F.concat(F.col("ra_deg").cast("string"), F.lit(", "), F.col("dec_deg").cast("string")))
             .otherwise(F.concat(F.col("ra_deg").cast("string"), F.lit(" "), F.col("dec_deg").cast("string"))))
-    parts = o.select("tarxiv_id", fsky.split_coordinates(text).alias("p"), (n != 0).alias("plain"))
+    parts = o.select("archive_id", fsky.split_coordinates(text).alias("p"), (n != 0).alias("plain"))
     ra_txt, dec_txt = F.col("p")[0], F.col("p")[1]
     ra = F.when(F.col("plain"), ra_txt.try_cast("double")).otherwise(fsky.sexagesimal_to_deg(ra_txt, True))
-    return parts.select("tarxiv_id", ra_txt.alias("ra_txt"), dec_txt.alias("dec_txt"),
+    return parts.select("archive_id", ra_txt.alias("ra_txt"), dec_txt.alias("dec_txt"),
                         round_half_up(ra, 8).alias("ra_deg"),
                         round_half_up(fsky.sexagesimal_to_deg(dec_txt, False), 8).alias("dec_deg"))

@@ -148,8 +148,9 @@ def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
 
 # --- S13, C18 ------------------------------------------------------------
 
-# Sender address of the notice mails and the name pattern.
-NOTICE_SENDER = "tns@weizmann.ac.il"
+# Configuration: the notice service's sender address (set per deployment).
+NOTICE_SENDER = "notices@example.org"
+# Fixed value: the object-name pattern searched in notice bodies.
 NAME_PATTERN = r"\b(20\d{2}[a-z]{2,3})\b"
 ANCHOR_PATTERN = r"<a\s[^>]*href[^>]*>([^<]*)</a>"
 

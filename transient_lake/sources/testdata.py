@@ -173,7 +173,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "orders")).selectExpr(
         "cast(o_orderkey as string) as source_id",
         "concat('TXV-', substr(cast(o_orderdate as string), 1, 4), '-', lpad(cast(o_orderkey as string), 6, '0'))"
-        " as tarxiv_id",
+        " as archive_id",
         "case when o_orderkey % 4 = 0 then 'xmatch' else 'tns' end as source",
         "180 + ((o_orderkey * 7919) % 36000) / 3600.0D as ra_deg",
         "20 + ((o_orderkey * 104729) % 36000) / 3600.0D as dec_deg",
@@ -219,7 +219,7 @@ def active_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-object active settings for every fifth catalogue object."""
     return table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").selectExpr(
         "concat('TXV-', substr(cast(o_orderdate as string), 1, 4), '-', lpad(cast(o_orderkey as string), 6, '0'))"
-        " as tarxiv_id",
+        " as archive_id",
         "cast(10 + o_orderkey % 90 as int) as active_days")
 
 
@@ -278,7 +278,7 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notice messages: web pages re-used as mail bodies."""
     return table(spark, sf_dir, "pages").selectExpr(
         "page_id as message_id",
-        "case when page_id % 3 = 0 then 'other@example.org' else 'TNS <tns@weizmann.ac.il>' end as `from`",
+        "case when page_id % 3 = 0 then 'other@example.org' else 'TNS <notices@example.org>' end as `from`",
         "url as subject", "'text/html' as content_type", "html as body")
 
 
@@ -349,17 +349,17 @@ def meta_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.lit("unknown").alias("best_distance")))
     sher = F.when(F.col("c_custkey") % 4 == 0, None).when(F.col("c_custkey") % 10 == 5, sher_txt).otherwise(sher_num)
     fink = F.when(F.col("c_custkey") % 7 == 0, F.lit('{"peak_mag":{"mag":"junk","filter":"r"}}'))
-    base = c.select(F.col("c_custkey").alias("tarxiv_id"), F.map_filter(F.create_map(
+    base = c.select(F.col("c_custkey").alias("archive_id"), F.map_filter(F.create_map(
         F.lit("tns"), tns, F.lit("sherlock"), sher, F.lit("fink"), fink), lambda k, v: v.isNotNull()).alias("_b"))
     key = F.when(F.col("survey") == "asas-sn", F.lit("asas_sn")).otherwise(F.col("survey"))
     pk = peak_mags(lc_points(spark, sf_dir))
-    surveys = (pk.groupBy(F.col("obj_id").alias("tarxiv_id"), key.alias("key"))
+    surveys = (pk.groupBy(F.col("obj_id").alias("archive_id"), key.alias("key"))
                .agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(
                    "filter", F.col("peak_mag").alias("limit"), "date"))).alias("peak_mags"))).alias("payload"))
-               .groupBy("tarxiv_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "payload"))))
+               .groupBy("archive_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "payload"))))
                                          .alias("_s")))
-    out = base.join(surveys, "tarxiv_id", "left")
-    return out.select("tarxiv_id", F.lit(None).cast("string").alias("discovery_date"),
+    out = base.join(surveys, "archive_id", "left")
+    return out.select("archive_id", F.lit(None).cast("string").alias("discovery_date"),
                       F.map_concat("_b", F.coalesce("_s", F.create_map().cast("map<string,string>")))
                       .alias("data_sources"))
 
@@ -414,7 +414,7 @@ def antares_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backup file names, one per order: ``<prefix>-YYYYMMDD-HHMMSS.json``."""
     return table(spark, sf_dir, "orders").selectExpr(
-        "concat('/backups/', case o_orderkey % 3 when 0 then 'tarxiv_meta' when 1 then 'tarxiv_lc' else 'pg' end,"
+        "concat('/backups/', case o_orderkey % 3 when 0 then 'archive_meta' when 1 then 'archive_lc' else 'pg' end,"
         " '-', date_format(timestampadd(HOUR, cast(o_orderkey % 24 as int), o_orderdate), 'yyyyMMdd-HHmmss'),"
         " case when o_orderkey % 97 = 0 then '.tmp' else '.json' end) as path").distinct()
 
