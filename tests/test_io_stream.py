@@ -201,7 +201,7 @@ def test_compacted_log_reads_the_same_state(spark):
                [("b", "lsst", 1.0, 1.0, t0, "c", "ztf", 2.0, 2.0, t0, 0.0)],
                [("e", "ztf", 3.0, 3.0, t0, "f", "lsst", 3.0, 3.0, t0, 0.0)]]
     table = os.path.join(_tmp(), "hits")
-    fold = J.hit_folder(table)
+    fold = J.hit_folder(table, compact_every=3)  # also compacts by itself after batch 2
     state = lambda: sorted((r.xmatch_id, r.obj_id) for r in J.current_state(spark, table, ["obj_id"], J.HIT_SCHEMA).collect())
     for i, rows in enumerate(batches[:2]):
         fold(spark.createDataFrame(rows, schema), i)

@@ -170,9 +170,10 @@ HIT_SCHEMA = ("xmatch_id string, obj_id string, source string, ra_deg double, de
               "dec_dms string, timestamp timestamp")
 
 
-def hit_folder(table: str):
+def hit_folder(table: str, compact_every: int = 0):
     """The ``foreachBatch`` function of ST2: fold one micro-batch of pairs
-    into the hit membership log; a replayed batch id is skipped."""
+    into the hit membership log; a replayed batch id is skipped; with
+    ``compact_every`` = N the log is compacted after every N-th batch."""
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         target = _batch_dir(table, batch_id)
@@ -187,12 +188,15 @@ def hit_folder(table: str):
         changed, _merges = H.update_hits(existing, new_pairs)
         changed.withColumn("_deleted", F.lit(False)).write.mode("overwrite").parquet(target)
         _commit(spark, table, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact_log(spark, table, ["obj_id"])
     return fold
 
 
-def collate_hits_stream(pairs: DataFrame, table: str, checkpoint: str):
-    """ST2: fold every micro-batch of pairs into the hit membership log."""
-    return (pairs.writeStream.foreachBatch(hit_folder(table)).option("checkpointLocation", checkpoint)
+def collate_hits_stream(pairs: DataFrame, table: str, checkpoint: str, compact_every: int = 100):
+    """ST2: fold every micro-batch of pairs into the hit membership log
+    (compacted every ``compact_every`` batches)."""
+    return (pairs.writeStream.foreachBatch(hit_folder(table, compact_every)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
