@@ -205,10 +205,12 @@ SUMMARY_SCHEMA = ("obj_id long, survey string, filter string, mag double, peak_m
                   "mjd double, date string")
 
 
-def ingest_alert_stream(alert_ids: DataFrame, lc: DataFrame, table: str, outbox: str, checkpoint: str):
+def ingest_alert_stream(alert_ids: DataFrame, lc: DataFrame, table: str, outbox: str, checkpoint: str,
+                        compact_every: int = 100):
     """ST3: for every micro-batch of alerted object ids, recompute those
     objects' summaries from their full light curves, log them (upsert by
-    key) and append one outgoing message per object."""
+    key) and append one outgoing message per object; the summary log is
+    compacted every ``compact_every`` batches."""
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         target = _batch_dir(table, batch_id)
@@ -222,6 +224,8 @@ def ingest_alert_stream(alert_ids: DataFrame, lc: DataFrame, table: str, outbox:
         msgs.select(F.col("obj_id").cast("string").alias("key"), F.to_json(F.struct("*")).alias("value")) \
             .write.mode("overwrite").parquet(_batch_dir(outbox, batch_id))
         _commit(spark, outbox, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact_log(spark, table, SUMMARY_KEY)
     return (alert_ids.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
