@@ -73,7 +73,7 @@ f as (select w.doc_id, cast(len(w) as bigint) as n_words,
   cast(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
   cast(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
   cast(length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) as bigint) as n_capitals,
-  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as l,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l,
   coalesce(rep.n, 0) as n_repeat_words from w left join rep using (doc_id)),
 g as (select *, cast(len(l) as bigint) as n_lines, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines from f)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
