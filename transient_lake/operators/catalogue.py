@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numbering import dense_number
+from .numbering import DEFAULT_BUCKETS, dense_number
 
 # --- N7, N8, N13-N15 -----------------------------------------------------
 
@@ -140,23 +140,23 @@ def citations_for(meta: DataFrame, stems: DataFrame, bibtex: DataFrame) -> DataF
     so Spark broadcasts them by measured size."""
     keys = meta.select("archive_id", F.posexplode(F.map_keys("data_sources")).alias("pos", "source"))
     j = keys.join(stems, "source", "left").join(bibtex, "stem", "left")
-    # one entry per stem, at the position of its first source
-    per_stem = (j.where(F.col("text").isNotNull()).groupBy("archive_id", "stem")
-                .agg(F.min("pos").alias("pos"), F.first("text").alias("text")))
-    texts = per_stem.groupBy("archive_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]),
-                     "\n").alias("citations"))
-    unmapped = j.groupBy("archive_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("stem").isNull(), F.col("source")))).alias("unmapped"))
-    return unmapped.join(texts, "archive_id", "left")
+    # one entry per stem, at the position of its first source with a text
+    per_stem = j.groupBy("archive_id", "stem").agg(
+        F.min(F.when(F.col("text").isNotNull(), F.col("pos"))).alias("pos"), F.max("text").alias("text"),
+        F.collect_set(F.when(F.col("stem").isNull(), F.col("source"))).alias("sources"))
+    cited = F.when(F.col("text").isNotNull(), F.struct("pos", "text"))
+    per = per_stem.groupBy("archive_id").agg(F.array_sort(F.collect_list(cited)).alias("texts"),
+                                             F.array_sort(F.flatten(F.collect_list("sources"))).alias("unmapped"))
+    return per.select("archive_id", "unmapped", F.when(F.size("texts") > 0, F.array_join(
+        F.transform("texts", lambda x: x["text"]), "\n")).alias("citations"))
 
 
 def hit_source_citations(members: DataFrame, associated: DataFrame, registry: DataFrame) -> DataFrame:
     """Per hit, the citation entries of every survey among its members.
     The survey list per hit is a ``collect_set`` (bounded by the number of
-    surveys) and the registry is a fixed dimension table (broadcast)."""
+    surveys); the two dimension tables are broadcast by measured size."""
     per = members.select("xmatch_id", F.col("source").alias("survey")).distinct()
-    j = per.join(F.broadcast(associated), "survey").join(F.broadcast(registry), "key")
+    j = per.join(associated, "survey").join(registry, "key")
     return j.groupBy("xmatch_id").agg(F.array_sort(F.collect_set(
         F.struct("alias", "name", "bibcode", "reference"))).alias("sources"))
 
@@ -206,13 +206,14 @@ def base36(n, width: int = ID_LEN) -> Column:
     return F.substring(F.lpad(F.conv(c.cast("string"), 10, 36), width, "0"), 1, width)
 
 
-def assign_ids(new: DataFrame, registry: DataFrame, buckets: int | None = None) -> DataFrame:
+def assign_ids(new: DataFrame, registry: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Reuse the id of a known source_id, else the next yearly counter.
 
     ``new``: (source_id, year); ``registry``: (year, idx, archive_id,
     source_id).  New rows of a year get consecutive numbers after the
     year's maximum through ``dense_number`` (hash buckets + offsets), so a
-    year holding most of the rows is still numbered by many tasks."""
+    year holding most of the rows is still numbered by many tasks.  A year
+    out of numbers is flagged ``overflow`` and gets no id (NULL)."""
     reg_latest = registry.groupBy("source_id").agg(F.max_by("archive_id", "idx").alias("known_id"))
     cand = new.select("source_id", "year").distinct().join(reg_latest, "source_id", "left")
     base = registry.groupBy("year").agg(F.max("idx").alias("_max"))
@@ -220,8 +221,9 @@ def assign_ids(new: DataFrame, registry: DataFrame, buckets: int | None = None)
     numbered = (fresh.join(base, "year", "left")
                 .withColumn("idx", F.col("_k") + F.coalesce("_max", F.lit(0))))
     new_ids = numbered.select("source_id", "year", "idx",
-                              F.concat(F.lit("TXV-"), F.col("year").cast("string"), F.lit("-"),
-                                       base36("idx")).alias("archive_id"),
+                              F.when(F.col("idx") < F.lit(36 ** ID_LEN), F.concat(
+                                  F.lit("TXV-"), F.col("year").cast("string"), F.lit("-"), base36("idx")))
+                              .alias("archive_id"),
                               (F.col("idx") >= F.lit(36 ** ID_LEN)).alias("overflow"),
                               F.lit(True).alias("is_new"))
     known = cand.where("known_id is not null").select(

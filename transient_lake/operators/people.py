@@ -171,26 +171,48 @@ def _empty(c: Column) -> Column:
     return c.isNull() | (c.cast("string") == "")
 
 
+# Profile fields that a sign-in may fill, and what an identity keeps of its provider's profile.
+PROFILE_FIELDS = ("username", "nickname", "email", "institution", "forename", "surname", "picture_url", "bio")
+PROVIDER_FIELDS = {"provider_username": "username", "provider_email": "email",
+                   "provider_profile_json": "provider_profile_json"}
+
+
 def merge_identities(users: DataFrame, identities: DataFrame, incoming: DataFrame,
-                     profile_fields=("username", "forename", "surname", "email")) -> tuple[DataFrame, DataFrame]:
+                     profile_fields=PROFILE_FIELDS) -> tuple[DataFrame, DataFrame]:
     """Bulk sign-in merge.  ``incoming``: provider, provider_user_id and
-    profile fields.  Known identities fill only the user's empty fields;
-    unknown identities create a user (id = max id + rank) and an identity."""
+    profile fields.  Known identities fill only the user's empty fields and
+    refresh what the identity keeps of the provider's profile; unknown
+    identities create a user (id = max id + rank) and an identity.
+
+    Fields merge one by one: of several sign-ins of one identity the smallest
+    non-empty value counts, of several identities of one user the first
+    non-empty value by (provider, provider_user_id).  Fields absent from
+    ``users`` or ``incoming`` are left alone."""
     key = ["provider", "provider_user_id"]
-    inc = incoming.dropDuplicates(key)
+    fields = [f for f in profile_fields if f in users.columns and f in incoming.columns]
+    carried = [c for c in incoming.columns if c not in key]
+    inc = incoming.groupBy(*key).agg(*[F.min(F.when(~_empty(F.col(c)), F.col(c))).alias(c) for c in carried])
     known = inc.join(identities.select(*key, "user_id"), key)
-    upd = known.select("user_id", *[F.col(f).alias(f"_in_{f}") for f in profile_fields]).dropDuplicates(["user_id"])
+    upd = known.groupBy("user_id").agg(*[
+        F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.struct(*key))).alias(f"_in_{f}") for f in fields])
     u = users.join(upd, "user_id", "left").select(
-        *[F.when(_empty(F.col(f)), F.col(f"_in_{f}")).otherwise(F.col(f)).alias(f) if f in profile_fields
+        *[F.when(_empty(F.col(f)), F.coalesce(F.col(f"_in_{f}"), F.col(f))).otherwise(F.col(f)).alias(f) if f in fields
           else F.col(f) for f in users.columns])
     new = inc.join(identities.select(*key), key, "left_anti")
-    top = users.agg(F.max("user_id")).first()[0] or 0  # one scalar
-    new = dense_number(new, [], key, "_k").withColumn("user_id", F.lit(top) + F.col("_k")).drop("_k")
+    top = users.agg(F.coalesce(F.max("user_id"), F.lit(0)).alias("_top"))  # one row
+    new = (dense_number(new, [], key, "_k").join(F.broadcast(top), F.lit(True))
+           .withColumn("user_id", F.col("_top") + F.col("_k")).drop("_k", "_top"))
     new_users = new.select("user_id", *[F.col(f) if f in new.columns else F.lit(None).cast(users.schema[f].dataType).alias(f)
                                         for f in users.columns if f != "user_id"])
     users_out = u.unionByName(new_users.select(*users.columns))
-    idents_out = identities.unionByName(new.select(*[c for c in identities.columns]))
-    return users_out, idents_out
+    kept = {c: p for c, p in PROVIDER_FIELDS.items() if c in identities.columns and p in inc.columns}
+    seen = inc.select(*key, F.lit(True).alias("_seen"), *[F.col(p).alias(f"_p_{c}") for c, p in kept.items()])
+    refreshed = identities.join(seen, key, "left").select(
+        *[F.when(F.col("_seen"), F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c) if c in kept else F.col(c)
+          for c in identities.columns])
+    created = new.select(*[F.col(kept[c]).alias(c) if c in kept else F.col(c) if c in new.columns
+                           else F.lit(None).cast(identities.schema[c].dataType).alias(c) for c in identities.columns])
+    return users_out, refreshed.unionByName(created)
 
 
 def apply_team_updates(teams: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -272,7 +294,7 @@ def insert_memberships(memberships: DataFrame, requests: DataFrame) -> tuple[Dat
     """Add (team_id, user_id, role) rows; existing members are
     rejected, not overwritten."""
     key = ["team_id", "user_id"]
-    req = requests.dropDuplicates(key)
+    req = requests.groupBy(*key).agg(F.min("role").alias("role"))  # of differing roles the first by name
     existing = req.join(memberships.select(*key), key, "left_semi")
     new = req.join(memberships.select(*key), key, "left_anti")
     return memberships.unionByName(new.select(*memberships.columns)), existing.select(
@@ -382,8 +404,9 @@ def apply_profile_updates(users: DataFrame, updates: DataFrame,
                           fields=("nickname", "forename", "surname", "email")) -> DataFrame:
     """Partial profile updates: a field changes only when its
     ``set_<field>`` flag is true (so a field can be set to NULL)."""
-    u = updates.select("user_id", *[F.col(f).alias(f"_n_{f}") for f in fields],
-                       *[F.col(f"set_{f}").alias(f"_s_{f}") for f in fields]).dropDuplicates(["user_id"])
+    # of several updates of a user, a field that one of them sets takes the smallest set value
+    u = updates.groupBy("user_id").agg(*[F.min(F.when(F.col(f"set_{f}"), F.col(f))).alias(f"_n_{f}") for f in fields],
+                                       *[F.bool_or(f"set_{f}").alias(f"_s_{f}") for f in fields])
     j = users.join(u, "user_id", "left")
     return j.select(*[F.when(F.col(f"_s_{c}") == True, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)  # noqa: E712
                       if c in fields else F.col(c) for c in users.columns])

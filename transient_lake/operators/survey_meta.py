@@ -63,7 +63,7 @@ def alerce_best_class(probs: DataFrame, classifiers: DataFrame, key: str = "oid"
     (NaN probability -> NULL), pivoted to lsst_* / ztf_* columns.
 
     ``classifiers``: (survey, classifier_name) - one row per survey."""
-    p = (probs.join(F.broadcast(classifiers), ["survey", "classifier_name"]).where(F.col("ranking") == 1)
+    p = (probs.join(classifiers, ["survey", "classifier_name"]).where(F.col("ranking") == 1)
          .withColumn("probability", F.nanvl("probability", F.lit(None))))
     # several rank-1 rows: first by class name and version, then the most
     # probable (NULL last)

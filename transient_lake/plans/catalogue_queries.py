@@ -120,12 +120,12 @@ def q_resolve_source_ids(spark, sf_dir):
 @register("get_documents", sql="""
 select i.archive_id, o.ra_deg, o.dec_deg, o.object_type
 from (select distinct concat('TXV-1995-', lpad(cast(l_orderkey as varchar), 6, '0')) as archive_id
-      from lineitem where l_linenumber = 1) i
+      from lineitem) i
 left join objects o using (archive_id)
 """, views=("objects",))
 def q_get_documents(spark, sf_dir):
     """Documents by id with sub-field selection; unknown ids give NULLs."""
-    ids = (td.table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    ids = (td.table(spark, sf_dir, "lineitem")
            .select(F.concat(F.lit("TXV-1995-"), F.lpad(F.col("l_orderkey").cast("string"), 6, "0"))
                    .alias("archive_id")).distinct())
     return cat.get_documents(ids, td.objects(spark, sf_dir), fields=["ra_deg", "dec_deg", "object_type"])

@@ -109,21 +109,22 @@ select s_suppkey as cone_id,
        cast((s_suppkey % 4) * 400 + 100 as double) as radius_arcsec
 from supplier""",
     "sherlock_xm": """
-select cast(l_orderkey as varchar) as source_id, concat('T', cast(l_orderkey as varchar)) as transient_object_id,
-       l_linenumber as rank, concat('CAT', cast(l_partkey as varchar)) as catalogue_object_id,
+select cast(l_orderkey - l_orderkey % 3 as varchar) as source_id,
+       concat('T', cast(l_orderkey as varchar)) as transient_object_id,
+       l_linenumber + 10 * (l_orderkey % 3) as rank, concat('CAT', cast(l_partkey as varchar)) as catalogue_object_id,
        l_discount as z, 180 + ((l_partkey * 7919) % 36000) / 3600.0::DOUBLE as raDeg,
        20 + ((l_partkey * 104729) % 36000) / 3600.0::DOUBLE as decDeg,
        case l_returnflag when 'R' then 'SN' when 'A' then 'NT' else 'VS' end as classification,
        l_quantity as separationArcsec
-from lineitem where l_orderkey % 3 = 0""",
+from lineitem""",
     "public_catalogue": """
 select cast(l_orderkey + l_linenumber - 1 as varchar) as name,
        case when l_linenumber = 3 then 'FRB' else 'SN' end as type, l_shipdate as discoverydate
 from lineitem""",
     "active_settings": """
 select concat('TXV-', substr(cast(o_orderdate as varchar), 1, 4), '-', lpad(cast(o_orderkey as varchar), 6, '0'))
-         as archive_id, cast(10 + o_orderkey % 90 as int) as active_days
-from orders where o_orderkey % 5 = 0""",
+         as archive_id, case when o_orderkey % 5 = 0 then cast(10 + o_orderkey % 90 as int) end as active_days
+from orders""",
     "legacy_objects": """
 select obj_id,
        list(struct_pack(value := mag, source := survey, filter := filter, mjd := mjd)) filter (where detection = 1)
@@ -211,7 +212,7 @@ from part""",
     "assignments": """
 select object_id, tag_id, min(applied_by) as applied_by from (
   select cast(l_orderkey as varchar) as object_id, l_partkey as tag_id, l_suppkey as applied_by
-  from lineitem where l_linenumber <= 2)
+  from lineitem)
 group by object_id, tag_id""",
     "notices": """
 select page_id as message_id,

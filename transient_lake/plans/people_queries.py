@@ -449,16 +449,17 @@ def q_apply_profile_updates(spark, sf_dir):
 
 
 @register("insert_assignments", sql="""
-with req as (select cast(l_orderkey as varchar) as object_id, l_partkey as tag_id, min(l_suppkey) as applied_by
-             from lineitem where l_linenumber in (2, 3) group by 1, 2)
+with req as (select cast(l_orderkey as varchar) as object_id, l_partkey + l_linenumber % 2 as tag_id,
+                    min(l_suppkey) as applied_by from lineitem group by 1, 2)
 select * from assignments
 union all
 select * from req where (object_id, tag_id) not in (select (object_id, tag_id) from assignments)
 """, views=("assignments",))
 def q_insert_assignments(spark, sf_dir):
-    """Tagging requests applied idempotently (existing tags rejected)."""
-    req = td.table(spark, sf_dir, "lineitem").where("l_linenumber in (2, 3)").selectExpr(
-        "cast(l_orderkey as string) as object_id", "l_partkey as tag_id", "l_suppkey as applied_by")
+    """Tagging requests applied idempotently: those of even lines repeat
+    existing tags (rejected), those of odd lines ask for the next tag."""
+    req = td.table(spark, sf_dir, "lineitem").selectExpr(
+        "cast(l_orderkey as string) as object_id", "l_partkey + l_linenumber % 2 as tag_id", "l_suppkey as applied_by")
     out, _ = P.insert_assignments(td.assignments(spark, sf_dir), req)
     return out
 

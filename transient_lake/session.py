@@ -42,12 +42,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
-    (local tests) a fresh folder is made under the system temp dir and set as
-    the session value, so later calls agree on it.
+    and the master is local (tests) a fresh folder is made under the system
+    temp dir and set as the session value, so later calls agree on it; on a
+    cluster an unset folder is an error, for executors do not share temp dirs.
     """
     conf = spark.sparkContext.getConf()
     path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tl-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext

@@ -7,6 +7,7 @@ source in tests and on batch frames.
 
 from __future__ import annotations
 
+import email
 import html
 import io
 import zipfile
@@ -152,7 +153,7 @@ def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
 NOTICE_SENDER = "notices@example.org"
 # Fixed value: the object-name pattern searched in notice bodies.
 NAME_PATTERN = r"\b(20\d{2}[a-z]{2,3})\b"
-ANCHOR_PATTERN = r"<a\s[^>]*href[^>]*>([^<]*)</a>"
+ANCHOR_PATTERN = r"(?s)<a\s[^>]*href[^>]*>(.*?)</a>"
 
 
 def message_scan(messages: DataFrame, sender: str = NOTICE_SENDER) -> DataFrame:
@@ -167,10 +168,31 @@ def html_text(s: pd.Series) -> pd.Series:
 
 
 def notice_object_names(messages: DataFrame, body: str = "body") -> DataFrame:
-    """Object names in each notice: the texts of its links, or, when it
-    has none, every ``20YYabc`` token of the body.  One row per name."""
-    anchors = F.filter(F.regexp_extract_all(F.col(body), F.lit(ANCHOR_PATTERN), 1), lambda t: F.length(t) > 0)
+    """Object names in each notice: the texts of its links (markup inside
+    a link is dropped), or, when no link has text, every ``20YYabc`` token of
+    the body.  One row per name."""
+    links = F.regexp_extract_all(F.col(body), F.lit(ANCHOR_PATTERN), 1)
+    anchors = F.filter(F.transform(links, lambda t: F.regexp_replace(t, "<[^>]*>", "")), lambda t: F.length(t) > 0)
     tokens = F.regexp_extract_all(F.col(body), F.lit(NAME_PATTERN), 1)
     names = F.when(F.size(anchors) > 0, anchors).otherwise(tokens)
     out = messages.select("message_id", F.posexplode(names).alias("pos", "raw"))
     return out.select("message_id", F.col("pos").cast("long").alias("pos"), html_text("raw").alias("name"))
+
+
+@F.pandas_udf(T.StringType())
+def message_body(raw: pd.Series) -> pd.Series:
+    """The body of a raw mail: its first HTML or plain-text part, decoded
+    by the part's charset (UTF-8 without one) - a per-value helper."""
+    def body(data) -> str | None:
+        if data is None:
+            return None
+        for part in email.message_from_bytes(bytes(data)).walk():
+            if part.get_content_type() in ("text/html", "text/plain"):
+                payload = part.get_payload(decode=True)
+                if payload:
+                    try:
+                        return payload.decode(part.get_content_charset() or "utf-8", errors="replace")
+                    except LookupError:  # a charset that nobody knows
+                        return payload.decode("utf-8", errors="replace")
+        return ""
+    return raw.map(body)

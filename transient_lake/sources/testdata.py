@@ -16,19 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The driver's tables are single small files, which Spark reads as one
-    partition; the per-row sky work would then run on one core.  A bare
-    scan with fewer partitions than cores is spread out (counting the scan's
-    partitions only lists the file).  Real inputs span many files."""
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (sessions without RDD access)
-        return df
-    return df.repartition(want) if have < want else df
-
-
 def _events(spark, sf_dir, stream: bool = False):
     # Parquet timestamps load as timestamp_ntz; the archive works in UTC instants.
     if stream:
@@ -48,7 +35,7 @@ def sky_alerts(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFr
     by up to 4.2 arcsec so that about 40% of points have a counterpart.
     ``stream=True`` gives the same rows as a streaming frame."""
     ev = _events(spark, sf_dir, stream)
-    return (ev if stream else spread(ev)).selectExpr(
+    return ev.selectExpr(
         "concat(case when event_id % 2 = 0 then 'Z' else 'L' end, event_id) as obj_id",
         "case when event_id % 2 = 0 then 'ztf' else 'lsst' end as source",
         "(((div(event_id, 2)) * 137 * 3600 + (event_id % 2) * (((event_id * 7919) % 13) - 6) * 700"
@@ -63,7 +50,7 @@ def sky_chain(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFra
     """Chains of six detections 3 arcsec apart in declination (three surveys),
     so collation needs several rounds to settle."""
     ev = _events(spark, sf_dir, stream)
-    return (ev if stream else spread(ev)).selectExpr(
+    return ev.selectExpr(
         "concat('C', event_id) as obj_id",
         "case event_id % 3 when 0 then 'ztf' when 1 then 'lsst' else 'atlas' end as source",
         "(((div(event_id, 6)) * 137) % 360000) / 1000.0D as ra_deg",
@@ -170,7 +157,7 @@ def mjd_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6 envelope: one catalogue object per order."""
-    return spread(table(spark, sf_dir, "orders")).selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "cast(o_orderkey as string) as source_id",
         "concat('TXV-', substr(cast(o_orderdate as string), 1, 4), '-', lpad(cast(o_orderkey as string), 6, '0'))"
         " as archive_id",
@@ -197,10 +184,12 @@ def cones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sherlock_xm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contextual crossmatches (several per object, ranked)."""
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").selectExpr(
-        "cast(l_orderkey as string) as source_id", "concat('T', cast(l_orderkey as string)) as transient_object_id",
-        "l_linenumber as rank", "concat('CAT', cast(l_partkey as string)) as catalogue_object_id",
+    """Contextual crossmatches (several per object, ranked) of the objects
+    whose number divides by three."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "cast(l_orderkey - l_orderkey % 3 as string) as source_id",
+        "concat('T', cast(l_orderkey as string)) as transient_object_id",
+        "l_linenumber + 10 * (l_orderkey % 3) as rank", "concat('CAT', cast(l_partkey as string)) as catalogue_object_id",
         "l_discount as z", "180 + ((l_partkey * 7919) % 36000) / 3600.0D as raDeg",
         "20 + ((l_partkey * 104729) % 36000) / 3600.0D as decDeg",
         "case l_returnflag when 'R' then 'SN' when 'A' then 'NT' else 'VS' end as classification",
@@ -216,11 +205,11 @@ def public_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def active_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-object active settings for every fifth catalogue object."""
-    return table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").selectExpr(
+    """Per-object active settings; four of five objects leave them to the default."""
+    return table(spark, sf_dir, "orders").selectExpr(
         "concat('TXV-', substr(cast(o_orderdate as string), 1, 4), '-', lpad(cast(o_orderkey as string), 6, '0'))"
         " as archive_id",
-        "cast(10 + o_orderkey % 90 as int) as active_days")
+        "case when o_orderkey % 5 = 0 then cast(10 + o_orderkey % 90 as int) end as active_days")
 
 
 # --- collaboration -------------------------------------------------------
@@ -267,7 +256,7 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    return (table(spark, sf_dir, "lineitem")
             .selectExpr("cast(l_orderkey as string) as object_id", "l_partkey as tag_id", "l_suppkey")
             .groupBy("object_id", "tag_id").agg(F.min("l_suppkey").alias("applied_by")))
 

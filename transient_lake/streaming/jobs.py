@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +34,17 @@ from ..operators.search import match_alert_conditions
 from ..session import scratch_path
 
 XMATCH_WINDOW = "120 hours"
+#: Sub-keys of a sky cell in stream joins.
+STREAM_SALT = 4
 
 
 def crossmatch_stream(alerts: DataFrame, radius_arcsec: float = 4.0, window: str = XMATCH_WINDOW,
-                      other: DataFrame | None = None, salt: int = 1) -> DataFrame:
+                      other: DataFrame | None = None, salt: int = STREAM_SALT) -> DataFrame:
     """ST1: cross-survey pairs within the radius whose detection times lie
     within ``window`` of each other.  Works on streaming and batch frames.
-    ``salt`` > 1 spreads hot sky cells over more state partitions (AQE does
-    not split skewed partitions in streaming)."""
+    ``salt`` spreads each sky cell over so many state partitions (AQE does
+    not split skewed partitions in streaming), for as many copies of the
+    build side; 1 leaves cells whole."""
     other = alerts if other is None else other
     r = radius_arcsec / 3600.0
     cell = sky.cell_size_deg(r)
@@ -55,6 +59,12 @@ def crossmatch_stream(alerts: DataFrame, radius_arcsec: float = 4.0, window: str
     return j.select(*[f"{c}_1" for c in sky.PAIR_COLS], *[f"{c}_2" for c in sky.PAIR_COLS], sep.alias("sep_arcsec"))
 
 
+def dedupe_detections(alerts: DataFrame, window: str = XMATCH_WINDOW) -> DataFrame:
+    """ST5: drop re-delivered detections (same object, survey and time) before
+    the join, so that neither pairs nor join state multiply."""
+    return alerts.withWatermark("timestamp", window).dropDuplicatesWithinWatermark(["obj_id", "source", "timestamp"])
+
+
 def dedupe_pairs(pairs: DataFrame, window: str = XMATCH_WINDOW, define_watermark: bool = True) -> DataFrame:
     """ST5: drop re-delivered pairs (same id pair) within the watermark.
     Pairs read back from a topic need a watermark; pairs coming straight
@@ -85,19 +95,28 @@ def _batch_dir(table: str, batch_id: int) -> str:
     return os.path.join(table, f"batch={batch_id}")
 
 
-def _committed(spark: SparkSession, table: str, batch_id: int) -> bool:
-    """Was ``batch_id`` fully written to ``table``?  Each batch appends one
-    row to ``<table>/_commits`` after its data (folders starting with ``_``
-    are ignored by readers of the table)."""
+def _read_if_there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The Parquet data of a folder, or None if the folder does not exist.
+    Every other failure is raised: data that cannot be read is not no data."""
+    reader = spark.read.schema(schema) if schema else spark.read
     try:
-        log = spark.read.parquet(os.path.join(table, "_commits"))
-    except Exception:  # noqa: BLE001  (nothing committed yet)
-        return False
-    return not log.where(F.col("batch_id") == batch_id).isEmpty()
+        return reader.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def committed(spark: SparkSession, table: str) -> list[int]:
+    """Batches that were written in full.  Each batch appends one row to
+    ``<table>/_commits`` after its data (folders starting with ``_`` are
+    ignored by readers of the table)."""
+    log = _read_if_there(spark, os.path.join(table, "_commits"), "batch_id long")
+    return [] if log is None else sorted(r[0] for r in log.distinct().collect())
 
 
 def _commit(spark: SparkSession, table: str, batch_id: int) -> None:
-    spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(
+    spark.range(batch_id, batch_id + 1, 1, 1).withColumnRenamed("id", "batch_id").write.mode("append").parquet(
         os.path.join(table, "_commits"))
 
 
@@ -105,60 +124,68 @@ def _snapshots(table: str) -> str:
     return table.rstrip("/") + "_snapshots"
 
 
-def read_log(spark: SparkSession, table: str) -> DataFrame:
+def read_log(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
     """The effective log: the latest compaction snapshot (if any) plus the
-    batch folders written after it.  Older folders are skipped by partition
-    pruning (``batch > upto``), so compaction bounds what readers scan."""
-    log = spark.read.parquet(table)
-    try:
-        snaps = spark.read.parquet(_snapshots(table))
-    except Exception:  # noqa: BLE001  (never compacted)
-        return log
-    upto = snaps.agg(F.max("upto")).first()[0]
-    snap = snaps.where(F.col("upto") == upto).drop("upto").withColumn("batch", F.lit(upto).cast(log.schema["batch"].dataType))
-    return log.where(F.col("batch") > upto).unionByName(snap.select(*log.columns))
-
-
-def compact_log(spark: SparkSession, table: str, key: list[str]) -> int:
+    committed batch folders after it, by name, so folders below the snapshot
+    and folders of unfinished batches are not even listed.  ``before`` leaves
+    out that batch and later ones.  None if nothing was committed yet."""
+    done = [b for b in committed(spark, table) if before is None or b < before]
+    snaps, snap, upto = _read_if_there(spark, _snapshots(table)), None, -1
+    if snaps is not None:
+        known = [r[0] for r in snaps.select("upto").distinct().collect() if before is None or r[0] < before]
+        if known:
+            upto = max(known)
+            snap = snaps.where(F.col("upto") == upto).withColumnRenamed("upto", "batch").withColumn(
+                "batch", F.col("batch").cast("long"))
+    paths = [_batch_dir(table, b) for b in done if b > upto]
+    log = None
+    if paths:
+        log = spark.read.option("basePath", table).parquet(*paths).withColumn("batch", F.col("batch").cast("long"))
+    if log is None or snap is None:
+        return snap if log is None else log
+    return log.unionByName(snap)
+
+
+def compact_log(spark: SparkSession, table: str, key: list[str]) -> int | None:
     """Write the newest row of every live key of the log as a snapshot
     ``upto=<last batch>``; returns that batch id.  Run between micro-batches
     (or from the stream's own ``foreachBatch`` every N batches)."""
     log = read_log(spark, table)
-    upto = log.agg(F.max("batch")).first()[0]
-    cols = [c for c in log.columns if c not in key and c != "batch"]
-    newest = (log.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_r"))
-              .select(*key, "_r.*").where(~F.col("_deleted")))
+    if log is None:
+        return None
+    upto = max(committed(spark, table))
+    newest = _newest(log, key).where(~F.col("_deleted"))
     newest.write.mode("overwrite").parquet(os.path.join(_snapshots(table), f"upto={upto}"))
     return upto
 
 
+def _newest(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Newest row per ``key`` across the batches of a log (partial per task)."""
+    cols = [c for c in rows.columns if c not in key and c != "batch"]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_r")).select(*key, "_r.*")
+
+
 def current_state(spark: SparkSession, table: str, key: list[str], schema: str) -> DataFrame:
-    """Newest row per ``key`` across all batch folders of a log table
-    (a ``max_by`` aggregate, partial per task).  Rows flagged ``_deleted``
-    are tombstones."""
-    try:
-        log = read_log(spark, table)
-    except Exception:  # noqa: BLE001  (no batch written yet)
+    """Newest row per ``key`` across all committed batches of a log table.
+    Rows flagged ``_deleted`` are tombstones."""
+    log = read_log(spark, table)
+    if log is None:
         return spark.createDataFrame([], schema)
-    cols = [c for c in log.columns if c not in key and c != "batch"]
-    latest = log.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_r")).select(*key, "_r.*")
-    return latest.where(~F.col("_deleted")).drop("_deleted")
+    return _newest(log, key).where(~F.col("_deleted")).drop("_deleted")
 
 
-def touched_hits(spark: SparkSession, table: str, ids: DataFrame) -> DataFrame:
+def touched_hits(spark: SparkSession, table: str, ids: DataFrame, before: int | None = None) -> DataFrame:
     """Current members of the hits that contain any of ``ids``, read from
     the hit log without aggregating the whole log: the log is first
     narrowed to the touched objects, then to the members of their hits,
-    and only those rows are reduced to their newest version."""
-    try:
-        log = read_log(spark, table)
-    except Exception:  # noqa: BLE001  (no batch written yet)
+    and only those rows are reduced to their newest version.  ``before``
+    reads the state before that batch."""
+    log = read_log(spark, table, before)
+    if log is None:
         return spark.createDataFrame([], HIT_SCHEMA)
-    cols = [c for c in log.columns if c not in ("obj_id", "batch")]
 
     def newest(rows):
-        return (rows.groupBy("obj_id").agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_r"))
-                .select("obj_id", "_r.*").where(~F.col("_deleted")).drop("_deleted"))
+        return _newest(rows, ["obj_id"]).where(~F.col("_deleted")).drop("_deleted")
     hit_ids = newest(log.join(ids.select("obj_id").distinct(), "obj_id", "left_semi")).select("xmatch_id").distinct()
     members = log.join(hit_ids, "xmatch_id", "left_semi").select("obj_id").distinct()
     current = newest(log.join(members, "obj_id", "left_semi"))
@@ -172,32 +199,37 @@ HIT_SCHEMA = ("xmatch_id string, obj_id string, source string, ra_deg double, de
 
 def hit_folder(table: str, compact_every: int = 0):
     """The ``foreachBatch`` function of ST2: fold one micro-batch of pairs
-    into the hit membership log; a replayed batch id is skipped; with
+    into the hit membership log; a replayed batch id is skipped, and a batch
+    cut short is folded again into the state before it; with
     ``compact_every`` = N the log is compacted after every N-th batch."""
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = _batch_dir(table, batch_id)
-        if _committed(spark, table, batch_id):
+        if batch_id in committed(spark, table):
             return  # replayed batch: already written
-        new_pairs = batch.select(*[f"{c}_1" for c in sky.PAIR_COLS], *[f"{c}_2" for c in sky.PAIR_COLS]) \
-            .dropDuplicates(["obj_id_1", "obj_id_2"])
+        columns = [f"{c}_1" for c in sky.PAIR_COLS[1:]] + [f"{c}_2" for c in sky.PAIR_COLS[1:]]
+        new_pairs = (batch.groupBy("obj_id_1", "obj_id_2")
+                     .agg(F.min_by(F.struct(*columns), F.struct("timestamp_1", "timestamp_2", *columns)).alias("_p"))
+                     .select("obj_id_1", "obj_id_2", "_p.*"))
         if new_pairs.isEmpty():
             return
         ids = sky.split_pair(new_pairs).select("obj_id")
-        existing = touched_hits(spark, table, ids)
+        existing = touched_hits(spark, table, ids, before=batch_id)
         changed, _merges = H.update_hits(existing, new_pairs)
-        changed.withColumn("_deleted", F.lit(False)).write.mode("overwrite").parquet(target)
+        changed.withColumn("_deleted", F.lit(False)).write.mode("overwrite").parquet(_batch_dir(table, batch_id))
         _commit(spark, table, batch_id)
         if compact_every and (batch_id + 1) % compact_every == 0:
             compact_log(spark, table, ["obj_id"])
     return fold
 
 
-def collate_hits_stream(pairs: DataFrame, table: str, checkpoint: str, compact_every: int = 100):
+def collate_hits_stream(pairs: DataFrame, table: str, checkpoint: str, compact_every: int = 100,
+                        trigger: dict | None = None):
     """ST2: fold every micro-batch of pairs into the hit membership log
-    (compacted every ``compact_every`` batches)."""
+    (compacted every ``compact_every`` batches).  ``trigger``: arguments of
+    the stream's trigger; by default all that is available now, a service
+    passes ``{"processingTime": "1 minute"}``."""
     return (pairs.writeStream.foreachBatch(hit_folder(table, compact_every)).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 SUMMARY_KEY = ["obj_id", "survey", "filter"]
@@ -206,28 +238,31 @@ SUMMARY_SCHEMA = ("obj_id long, survey string, filter string, mag double, peak_m
 
 
 def ingest_alert_stream(alert_ids: DataFrame, lc: DataFrame, table: str, outbox: str, checkpoint: str,
-                        compact_every: int = 100):
+                        compact_every: int = 100, trigger: dict | None = None):
     """ST3: for every micro-batch of alerted object ids, recompute those
     objects' summaries from their full light curves, log them (upsert by
     key) and append one outgoing message per object; the summary log is
-    compacted every ``compact_every`` batches."""
+    compacted every ``compact_every`` batches.  The summaries are computed
+    once: the messages are built from the written batch.  With ``lc`` read
+    from the bucketed store only the touched buckets' rows are joined."""
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = _batch_dir(table, batch_id)
-        if _committed(spark, outbox, batch_id):
-            return  # the outbox is written last: its commit means the batch is complete
+        if batch_id in committed(spark, table):
+            return  # the table's commit comes last: the batch is complete
         ids = batch.select("obj_id").distinct()
-        pts = lc.join(ids, "obj_id", "left_semi")
-        summ = ph.latest_detections(pts)
-        summ.withColumn("_deleted", F.lit(False)).write.mode("overwrite").parquet(target)
-        msgs = summ.groupBy("obj_id").agg(F.count("*").alias("n_filters"), F.max("mjd").alias("latest_mjd"))
+        target = _batch_dir(table, batch_id)
+        summaries = ph.latest_detections(lc.join(ids, "obj_id", "left_semi"))
+        summaries.withColumn("_deleted", F.lit(False)).write.mode("overwrite").parquet(target)
+        written = spark.read.schema(summaries.schema).parquet(target)
+        msgs = written.groupBy("obj_id").agg(F.count("*").alias("n_filters"), F.max("mjd").alias("latest_mjd"))
         msgs.select(F.col("obj_id").cast("string").alias("key"), F.to_json(F.struct("*")).alias("value")) \
             .write.mode("overwrite").parquet(_batch_dir(outbox, batch_id))
         _commit(spark, outbox, batch_id)
+        _commit(spark, table, batch_id)
         if compact_every and (batch_id + 1) % compact_every == 0:
             compact_log(spark, table, SUMMARY_KEY)
     return (alert_ids.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def filter_alert_stream(docs: DataFrame, conditions: dict) -> DataFrame:
