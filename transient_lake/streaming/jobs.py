@@ -39,17 +39,21 @@ STREAM_SALT = 4
 
 
 def crossmatch_stream(alerts: DataFrame, radius_arcsec: float = 4.0, window: str = XMATCH_WINDOW,
-                      other: DataFrame | None = None, salt: int = STREAM_SALT) -> DataFrame:
+                      other: DataFrame | None = None, salt: int = STREAM_SALT,
+                      define_watermark: bool = True) -> DataFrame:
     """ST1: cross-survey pairs within the radius whose detection times lie
     within ``window`` of each other.  Works on streaming and batch frames.
     ``salt`` spreads each sky cell over so many state partitions (AQE does
     not split skewed partitions in streaming), for as many copies of the
-    build side; 1 leaves cells whole."""
+    build side; 1 leaves cells whole.  ``define_watermark=False`` is for
+    detections that carry a watermark already (``dedupe_detections``)."""
     other = alerts if other is None else other
     r = radius_arcsec / 3600.0
     cell = sky.cell_size_deg(r)
-    a = sky.home_cell(sky._suffix(alerts, "_1"), "ra_deg_1", "dec_deg_1", cell).withWatermark("timestamp_1", window)
-    b = sky.cover_cells(sky._suffix(other, "_2"), "ra_deg_2", "dec_deg_2", r, cell).withWatermark("timestamp_2", window)
+    a = sky.home_cell(sky._suffix(alerts, "_1"), "ra_deg_1", "dec_deg_1", cell)
+    b = sky.cover_cells(sky._suffix(other, "_2"), "ra_deg_2", "dec_deg_2", r, cell)
+    if define_watermark:
+        a, b = a.withWatermark("timestamp_1", window), b.withWatermark("timestamp_2", window)
     a, b, keys = sky.salt_cells(a, b, "obj_id_1", salt)
     sep = sky.angular_sep_arcsec("ra_deg_1", "dec_deg_1", "ra_deg_2", "dec_deg_2")
     bound = F.expr(f"timestamp_2 between timestamp_1 - interval {window} and timestamp_1 + interval {window}")
