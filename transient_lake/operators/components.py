@@ -42,7 +42,7 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
     of its component.  Self links count as nodes of their own.  Null ends are
     ignored.  The rounds taken are kept in ``LAST_RUN``."""
     checkpoint_dir(edges.sparkSession)
-    raw = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    raw = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").checkpoint()
     alone = raw.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
     now = (raw.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
            .distinct().checkpoint())

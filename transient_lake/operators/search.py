@@ -192,6 +192,8 @@ def parse_cone_query(df: DataFrame, qs: str = "query") -> DataFrame:
 
 ALERTS_PER_PAGE = 25
 CONES_PER_PAGE = 20
+#: Hash slices of a group that deep pages are cut in.
+SLICES = 64
 
 
 def alerts_page(meta: DataFrame, n_rows, offset) -> DataFrame:
@@ -221,15 +223,22 @@ def alerts_page(meta: DataFrame, n_rows, offset) -> DataFrame:
 def page_slice(results: DataFrame, page: int, size: int = CONES_PER_PAGE, group: str = "cone_id",
                order=("distance_deg", "obj_name")) -> DataFrame:
     """Page ``page`` (1-based) of each group's ordered results, with the
-    group's page count (at least 1).  The ``row_number <= page*size`` filter
-    lets Spark insert a per-partition group limit before the shuffle, so a
-    huge group sends only its first page*size rows."""
-    w = Window.partitionBy(group).orderBy(*order)
-    ranked = (results.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= page * size)
-              .withColumn("rank", F.col("rank").cast("long")))
+    group's page count (at least 1).
+
+    A first pass cuts every group to the rows that can be on the page within
+    ``SLICES`` hash slices, in parallel; the second ranks what is left.  A
+    row on the page is among the first ``page * size`` of its slice, so at
+    any depth a task gets one slice of a group and then at most
+    ``SLICES * page * size`` rows of it, never a whole group."""
+    last = page * size
+    sliced = results.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)))
+    first = Window.partitionBy(group, "_slice").orderBy(*order)
+    cut = sliced.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= last).drop("_nth", "_slice")
+    ranked = (cut.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+              .where(F.col("rank") <= last).withColumn("rank", F.col("rank").cast("long")))
     counts = results.groupBy(group).agg(
         F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(size))).cast("long").alias("n_pages"))
-    return ranked.where(F.col("rank") > (page - 1) * size).join(counts, group)
+    return ranked.where(F.col("rank") > last - size).join(counts, group)
 
 
 # --- long forms (one row per array element) -------------------------------

@@ -20,8 +20,6 @@ replicates the matching partition of the other side.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +34,7 @@ def cell_size_deg(radius_deg: float) -> float:
     return max(MIN_CELL_DEG, 2.0 * radius_deg)
 
 
-def _n_ra_cells(zone: Column, cell: float) -> Column:
+def _n_ra_cells(zone: Column, cell) -> Column:
     lo = zone * cell - 90.0
     hi = (zone + 1) * cell - 90.0
     max_abs = F.least(F.lit(90.0), F.greatest(F.abs(lo), F.abs(hi)))
@@ -44,25 +42,27 @@ def _n_ra_cells(zone: Column, cell: float) -> Column:
     return F.greatest(F.lit(1).cast("long"), n)
 
 
-def _zone(dec: Column, cell: float) -> Column:
-    zmax = int(math.floor(180.0 / cell))
-    return F.least(F.lit(zmax), F.greatest(F.lit(0), F.floor((dec + 90.0) / cell))).cast("long")
+def _zone(dec: Column, cell) -> Column:
+    zmax = F.floor(F.lit(180.0) / cell)
+    return F.least(zmax, F.greatest(F.lit(0).cast("long"), F.floor((dec + 90.0) / cell))).cast("long")
 
 
-def _ra_cell(ra: Column, zone: Column, cell: float) -> Column:
+def _ra_cell(ra: Column, zone: Column, cell) -> Column:
     n = _n_ra_cells(zone, cell)
     return F.pmod(F.floor(F.pmod(ra, F.lit(360.0)) / (F.lit(360.0) / n)), n).cast("long")
 
 
-def home_cell(df: DataFrame, ra: str, dec: str, cell: float) -> DataFrame:
-    """Add ``_zone``/``_cell`` columns: the one cell a point falls in."""
+def home_cell(df: DataFrame, ra: str, dec: str, cell) -> DataFrame:
+    """Add ``_zone``/``_cell`` columns: the one cell a point falls in.
+    ``cell``: size in degrees, a number or a per-row column."""
     z = _zone(F.col(dec), cell)
     return df.withColumn("_zone", z).withColumn("_cell", _ra_cell(F.col(ra), F.col("_zone"), cell))
 
 
-def cover_cells(df: DataFrame, ra: str, dec: str, radius, cell: float) -> DataFrame:
+def cover_cells(df: DataFrame, ra: str, dec: str, radius, cell) -> DataFrame:
     """Explode each row into every ``(_zone, _cell)`` its circle of
-    ``radius`` degrees (a literal or a per-row column) may touch."""
+    ``radius`` degrees (a literal or a per-row column) may touch; cells of
+    ``cell`` degrees (a number or a per-row column)."""
     r = radius if isinstance(radius, Column) else F.lit(float(radius))
     d = F.col(dec)
     zlo = _zone(d - r, cell)
@@ -124,10 +124,15 @@ def crossmatch(alerts: DataFrame, radius_arcsec: float = 4.0, mode: str = "exact
     """
     other = alerts if other is None else other
     if mode == "decimal_bucket":
-        a = _suffix(alerts, "_1").withColumn("_b", dec_bucket("dec_deg_1"))
-        b = _suffix(other, "_2").withColumn("_b", dec_bucket("dec_deg_2"))
+        # the bucket equality, on sky cells so that a bucket's strip round the sky is no key; cells are wide
+        # enough for the rounding of the arccos (about 2e-8 rad, 0.005 arcsec)
+        r = (radius_arcsec + 0.1) / 3600.0
+        cell = cell_size_deg(r)
+        a = home_cell(_suffix(alerts, "_1"), "ra_deg_1", "dec_deg_1", cell).withColumn("_b", dec_bucket("dec_deg_1"))
+        b = cover_cells(_suffix(other, "_2"), "ra_deg_2", "dec_deg_2", r, cell).withColumn("_b", dec_bucket("dec_deg_2"))
+        a, b, keys = salt_cells(a, b, "obj_id_1", salt)
         legacy = acos_sep_arcsec("ra_deg_1", "dec_deg_1", "ra_deg_2", "dec_deg_2")
-        j = a.join(b, "_b").where(
+        j = a.join(b, [*keys, "_b"]).where(
             (F.col("obj_id_1") < F.col("obj_id_2")) & (F.col("source_1") != F.col("source_2"))
             & (legacy <= radius_arcsec))
         # the predicate is the legacy one; the reported separation is the
@@ -159,26 +164,42 @@ def split_pair(pairs: DataFrame) -> DataFrame:
 
 # --- J2 -------------------------------------------------------------------
 
+#: Radius classes of cones: powers of two of a degree, from this exponent on.
+MIN_LEVEL = -24
+
+
+def _level(radius_deg: Column) -> Column:
+    """Class of a radius: 2^level degrees hold it (a negative or zero radius is in the least)."""
+    up = F.ceil(F.log2(F.when(radius_deg > 0, radius_deg))).cast("int")
+    return F.greatest(F.lit(MIN_LEVEL), F.coalesce(up, F.lit(MIN_LEVEL)))
+
+
+def _level_cell(level: Column) -> Column:
+    return F.pow(F.lit(2.0), (level + 1).cast("double"))
+
+
 def cone_search(objects: DataFrame, cones: DataFrame, *, obj_id="source_id", ra="ra_deg",
                 dec="dec_deg", cone_id="cone_id", cone_ra="ra", cone_dec="dec_c",
-                radius_col="radius_arcsec", max_radius_arcsec: float | None = None) -> DataFrame:
+                radius_col="radius_arcsec") -> DataFrame:
     """Every object within each cone (set-at-a-time cone search).
 
     Output ``cone_id, obj_name, ra, dec, distance_deg``; ``obj_name`` is the
-    object's source id (the name the object page resolves).  Cones are the
-    exploded build side (a cone table is small and its radius is per row);
-    the cell size comes from the largest radius, which the caller may state
-    or which is read with one aggregate."""
-    if max_radius_arcsec is None:
-        max_radius_arcsec = cones.agg(F.max(radius_col)).first()[0] or 0.0
-    cell = cell_size_deg(max_radius_arcsec / 3600.0)
-    o = home_cell(objects.select(F.col(obj_id).alias("obj_name"), F.col(ra).alias("ra"),
-                                 F.col(dec).alias("dec")), "ra", "dec", cell)
+    object's source id (the name the object page resolves).  Cones are grouped
+    by radius class (powers of two of a degree) and every class has its own
+    grid of cells of twice its radius, so a wide cone among narrow ones does
+    not widen their cells: a cone meets the objects of about four cells of its
+    own size.  Objects probe one cell for each class in use (at most 33; the
+    classes are one aggregated row).  Cones without a radius find nothing."""
     c = cones.select(F.col(cone_id).alias("cone_id"), F.col(cone_ra).alias("_cra"),
-                     F.col(cone_dec).alias("_cdec"), (F.col(radius_col) / 3600.0).alias("_r"))
-    c = cover_cells(c, "_cra", "_cdec", F.col("_r"), cell)
+                     F.col(cone_dec).alias("_cdec"), (F.col(radius_col) / 3600.0).alias("_r")).where("_r is not null")
+    c = c.withColumn("_level", _level(F.col("_r")))
+    levels = c.agg(F.collect_set("_level").alias("_levels"))
+    o = (objects.select(F.col(obj_id).alias("obj_name"), F.col(ra).alias("ra"), F.col(dec).alias("dec"))
+         .join(F.broadcast(levels), F.lit(True)).withColumn("_level", F.explode("_levels")).drop("_levels"))
+    o = home_cell(o, "ra", "dec", _level_cell(F.col("_level")))
+    c = cover_cells(c, "_cra", "_cdec", F.col("_r"), _level_cell(F.col("_level")))
     dist = angular_sep_deg("_cra", "_cdec", "ra", "dec")
-    j = o.join(c, ["_zone", "_cell"]).where(
+    j = o.join(c, ["_level", "_zone", "_cell"]).where(
         (F.abs(F.col("dec") - F.col("_cdec")) <= F.col("_r")) & (dist <= F.col("_r")))
     return j.select("cone_id", "obj_name", "ra", "dec", dist.alias("distance_deg"))
 

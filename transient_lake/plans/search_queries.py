@@ -152,6 +152,6 @@ select * from ranked where rank > 20 and rank <= 40
 def q_cone_page(spark, sf_dir):
     """T3 + T1: page 2 (20 per page) of every cone's hits, nearest first,
     with each cone's page count."""
-    hits = sky.cone_search(td.objects(spark, sf_dir), td.cones(spark, sf_dir), max_radius_arcsec=1300.0)
+    hits = sky.cone_search(td.objects(spark, sf_dir), td.cones(spark, sf_dir))
     hits = hits.withColumn("distance_deg", round_half_up("distance_deg", 8))
     return S.page_slice(hits, page=2, size=20)

@@ -85,10 +85,27 @@ where d <= r
 """.replace("exclude (d)", "exclude (d, r)"), views=("objects", "cones"))
 def q_cone_search(spark, sf_dir):
     """All catalogue objects inside each of the cone requests."""
-    out = sky.cone_search(td.objects(spark, sf_dir), td.cones(spark, sf_dir), max_radius_arcsec=1300.0)
+    out = sky.cone_search(td.objects(spark, sf_dir), td.cones(spark, sf_dir))
     return out.withColumn("distance_deg", round_half_up("distance_deg", 8))
 
 
+_MIXED_RADIUS = "case when cone_id % 50 = 0 then 648000.0 when cone_id % 10 = 1 then 3600.0 else 1.0 end"
+
+
+@register("cone_search_mixed", sql=f"""
+select * exclude (d, r), round(d, 8) as distance_deg from (
+  select c.cone_id, o.source_id as obj_name, o.ra_deg as ra, o.dec_deg as dec,
+         {_hav_sql('c.ra', 'c.dec_c', 'o.ra_deg', 'o.dec_deg', unit='1')} as d, c.r / 3600.0 as r
+  from (select *, ({_MIXED_RADIUS})::DOUBLE as r from cones) c join objects o
+    on o.dec_deg between c.dec_c - c.r / 3600.0 and c.dec_c + c.r / 3600.0)
+where d <= r
+""", views=("objects", "cones"))
+def q_cone_search_mixed(spark, sf_dir):
+    """Whole-sky cones, cones of a degree and of an arcsecond in one request."""
+    c = td.cones(spark, sf_dir).withColumn("radius_arcsec", F.expr(_MIXED_RADIUS).cast("double"))
+    return sky.cone_search(td.objects(spark, sf_dir), c).withColumn("distance_deg", round_half_up("distance_deg", 8))
+
+
 @register("nearest_match", sql=f"""
 select obj_id, match_id, match_ra, match_dec, round(sep, 6) as sep_arcsec from (
   select z.obj_id, l.obj_id as match_id, l.ra_deg as match_ra, l.dec_deg as match_dec, s.sep,
