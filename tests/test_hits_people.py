@@ -3,11 +3,14 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from transient_lake.operators import hits as H
 from transient_lake.operators import people as P
 from transient_lake.operators import retention as R
+from transient_lake.operators.components import LAST_RUN, star_components
 
 PAIR = ("obj_id_1 string, source_1 string, ra_deg_1 double, dec_deg_1 double, timestamp_1 timestamp, "
         "obj_id_2 string, source_2 string, ra_deg_2 double, dec_deg_2 double, timestamp_2 timestamp")
@@ -51,6 +54,26 @@ def test_long_chain_settles(spark):
     assert _components(m) == {frozenset(f"n{i:03d}" for i in range(41))}
 
 
+@pytest.mark.parametrize("order", ["random", "zigzag"])
+def test_chains_settle_in_any_id_order(spark, order):
+    n = 5000
+    ids = list(range(n))
+    if order == "random":
+        random.Random(4).shuffle(ids)
+    else:  # 0, n - 1, 1, n - 2, ...
+        ids = [i // 2 if i % 2 == 0 else n - 1 - i // 2 for i in range(n)]
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
+    out = star_components(edges)
+    assert out.count() == n and out.select("label").distinct().collect() == [(0,)]
+    assert LAST_RUN["rounds"] <= 20
+
+
+def test_components_of_a_hub_and_self_links(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(9000, 9000), (None, 1), (9001, 9002)], "src long, dst long")
+    out = {r.node: r.label for r in star_components(edges).collect()}
+    assert out[9000] == 9000 and out[9002] == 9001 and {out[i] for i in range(3000)} == {0} and len(out) == 3003
+
+
 def test_incremental_update_merges_hits(spark):
     members, _, _ = H.collate_hits(_pairs(spark, [("a", "b"), ("c", "d")]))
     changed, merges = H.update_hits(members, _pairs(spark, [("b", "c"), ("e", "f")]))
@@ -58,6 +81,45 @@ def test_incremental_update_merges_hits(spark):
     assert [(r.xmatch_id, r.merged_from) for r in merges.collect()] == [("a", ["a", "c"])]
 
 
+def test_a_published_hit_keeps_its_id(spark):
+    members, _, _ = H.collate_hits(_pairs(spark, [("m", "n")]))
+    changed, _ = H.update_hits(members, _pairs(spark, [("a", "m")]))
+    assert {(r.obj_id, r.xmatch_id) for r in changed.collect()} == {("a", "m"), ("m", "m"), ("n", "m")}
+
+
+def test_two_providers_fill_one_user(spark):
+    users = spark.createDataFrame([(1, "u", None, "", None)], "user_id long, username string, forename string, surname string, email string")
+    idents = spark.createDataFrame([("github", "g", 1, "old", None), ("orcid", "o", 1, None, None)],
+                                   "provider string, provider_user_id string, user_id long, provider_username string, provider_email string")
+    inc = spark.createDataFrame([("github", "g", "x", "Ann", None, None), ("orcid", "o", "y", None, "Lee", "a@x"), ("orcid", "o", "y", "Zoe", None, None),
+                                 ("orcid", "new", "z", "Bo", None, "b@x")],
+                                "provider string, provider_user_id string, username string, forename string, surname string, email string")
+    u, i = P.merge_identities(users, idents, inc)
+    assert {tuple(r) for r in u.collect()} == {(1, "u", "Ann", "Lee", "a@x"), (2, "z", "Bo", None, "b@x")}
+    assert {(r.provider_user_id, r.provider_username, r.provider_email) for r in i.collect()} == {
+        ("g", "x", None), ("o", "y", "a@x"), ("new", "z", "b@x")}
+
+
+def test_year_out_of_numbers_gets_no_id(spark):
+    from transient_lake.operators import catalogue as cat
+    reg = spark.createDataFrame([(2024, 36 ** 6 - 2, "TXV-2024-X", "s0")], "year int, idx long, archive_id string, source_id string")
+    new = spark.createDataFrame([("s1", 2024), ("s2", 2024), ("s0", 2024)], "source_id string, year int")
+    out = {r.source_id: r for r in cat.assign_ids(new, reg).collect()}
+    assert sorted((out["s1"].overflow, out["s2"].overflow)) == [False, True]
+    assert all((r.archive_id is None) == r.overflow for r in out.values()) and out["s0"].archive_id == "TXV-2024-X"
+
+
+def test_ids_do_not_follow_the_shuffle_width(spark):
+    from transient_lake.operators.numbering import dense_number
+    df = spark.range(3000).selectExpr("id % 3 as g", "id")
+    seen = []
+    for width in ("3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        seen.append(sorted(map(tuple, dense_number(df, ["g"], ["id"]).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0] == seen[1] and {r[2] for r in seen[0]} == set(range(1, 1001))
+
+
 def _collab(spark):
     users = spark.createDataFrame([(1, "owner", None, None, None, "o@x"), (2, "mate", None, None, None, "m@x"),
                                    (3, "outsider", None, None, None, "z@x"), (4, "joiner_b", None, "Jo", None, None)],
