@@ -43,18 +43,34 @@ SCHEMA = ("part int, block int, part_start long, n_docs int, doc_ids array<long>
           "rules binary, rule_lengths binary, body_bytes int, body binary, n_tokens long")
 BLOCK_TOKENS = 2_000_000
 MIN_COUNT = 24
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
 
 
-def _pairs(seq: np.ndarray) -> np.ndarray:
-    return (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+def _pairs(seq: np.ndarray, bits: int) -> np.ndarray:
+    kind = np.uint32 if bits == 16 else np.uint64
+    return (seq[:-1].astype(kind) << kind(bits)) | seq[1:].astype(kind)
+
+
+def _ranks(pairs: np.ndarray, by_rank: np.ndarray) -> np.ndarray:
+    """Rank of every pair among ``by_rank`` (best first), ``_NONE`` if it has
+    none.  Looked up in a hash table with one pair a slot; of pairs that share
+    a slot the best is found, the others wait for the next round."""
+    kind, log = by_rank.dtype.type, max(8, int(len(by_rank) * 8).bit_length())
+    odd, shift = (kind(0x9E3779B1), kind(32 - log)) if kind is np.uint32 else (kind(0x9E3779B97F4A7C15), kind(64 - log))
+    slot = (by_rank[::-1] * odd) >> shift
+    held, rank = np.zeros(1 << log, dtype=kind), np.full(1 << log, _NONE, dtype=np.int32)
+    held[slot] = by_rank[::-1]  # of equal slots the last, the best, stays
+    rank[slot] = np.arange(len(by_rank) - 1, -1, -1, dtype=np.int32)
+    at = (pairs * odd) >> shift
+    return np.where(held[at] == pairs, rank[at], _NONE)
 
 
 def compress(ids: np.ndarray, vocabulary: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """(body, rules) of a sequence of ids below ``vocabulary``; rules has two symbols a row."""
     seq, rules, next_symbol = ids.astype(np.uint32), [], vocabulary
     while len(seq) > 1:
-        pairs = _pairs(seq)
+        bits = 16 if next_symbol <= 1 << 16 else 32
+        pairs = _pairs(seq, bits)
         ordered = np.sort(pairs)
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         count = np.diff(np.append(first, len(ordered)))
@@ -62,28 +78,23 @@ def compress(ids: np.ndarray, vocabulary: int, min_count: int = MIN_COUNT) -> tu
         if not frequent.any():
             break
         known, count = ordered[first[frequent]], count[frequent]
-        rank_of = np.empty(len(known), dtype=np.int64)
-        rank_of[np.argsort(-count, kind="stable")] = np.arange(len(known))
-        at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
-        rank = np.where(known[at] == pairs, rank_of[at], _NONE)
+        by_rank = known[np.argsort(-count, kind="stable")]
+        rank = _ranks(pairs, by_rank)
         # an occurrence is replaced if no overlapping one has a better rank; runs of one id from their left
-        new_run = np.append(True, rank[1:] != rank[:-1])
-        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(rank)), 0))
+        place = np.arange(len(rank), dtype=np.int32)
+        run_start = np.maximum.accumulate(np.where(np.append(True, rank[1:] != rank[:-1]), place, 0))
         left = np.append(True, rank[:-1] >= rank[1:])
         right = np.append(rank[:-1] <= rank[1:], True)
-        chosen = (rank != _NONE) & left & right & ((np.arange(len(rank)) - run_start) % 2 == 0)
-        uses = np.bincount(rank[chosen], minlength=len(known))
-        kept = uses >= min_count // 2
+        chosen = (rank != _NONE) & left & right & ((place - run_start) % 2 == 0)
+        where = np.flatnonzero(chosen)
+        kept = np.bincount(rank[where], minlength=len(by_rank)) >= max(2, min_count // 2)
         if not kept.any():
             break
+        where = where[kept[rank[where]]]
         symbol = next_symbol + np.cumsum(kept) - 1  # by rank
-        by_rank = np.empty(len(known), dtype=np.uint64)
-        by_rank[rank_of] = known
-        by_rank = by_rank[kept]
-        rules.append(np.column_stack([by_rank >> np.uint64(32), by_rank & np.uint64(0xFFFFFFFF)]).astype(np.uint32))
+        pair = by_rank[kept].astype(np.uint64)
+        rules.append(np.column_stack([pair >> np.uint64(bits), pair & np.uint64((1 << bits) - 1)]).astype(np.uint32))
         next_symbol += int(kept.sum())
-        where = np.flatnonzero(chosen)
-        where = where[kept[rank[where]]]
         seq[where] = symbol[rank[where]]
         seq = np.delete(seq, where + 1)
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32)
@@ -106,24 +117,23 @@ class Grammar:
     """Expansion of the symbols of one block."""
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray, vocabulary: int):
-        self.vocabulary = vocabulary
         self.size = np.concatenate([np.ones(vocabulary, dtype=np.int64), lengths.astype(np.int64)])
-        self.rules = rules
-
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """All nonterminals are replaced by their two symbols until none is left."""
-        seq = symbols.astype(np.uint32)
-        while True:
-            deep = seq >= self.vocabulary
-            if not deep.any():
-                return seq
+        self.start = np.cumsum(self.size) - self.size
+        whole = np.arange(vocabulary + len(rules), dtype=np.uint32)  # every symbol, its nonterminals replaced until none is left
+        while (deep := whole >= vocabulary).any():
             ends = np.cumsum(deep + 1)
             out = np.empty(ends[-1], dtype=np.uint32)
-            out[ends[~deep] - 1] = seq[~deep]
-            both = self.rules[seq[deep] - self.vocabulary]
-            out[ends[deep] - 2] = both[:, 0]
-            out[ends[deep] - 1] = both[:, 1]
-            seq = out
+            out[ends[~deep] - 1] = whole[~deep]
+            out[ends[deep] - 2], out[ends[deep] - 1] = rules[whole[deep] - vocabulary].T
+            whole = out
+        self.ids = whole
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of a run of symbols."""
+        size = self.size[symbols]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.start[symbols] - (ends - size), size) + np.arange(total)]
 
     def slice(self, body: np.ndarray, start: int, length: int) -> np.ndarray:
         """Ids ``start`` to ``start + length`` of a body, expanding only the symbols over them."""

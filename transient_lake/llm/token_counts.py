@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenize import CACHE_ENTRIES, _RUNS, byte_pieces, encoder
+from .tokenize import _RUNS, RecentCache, _is_short, byte_pieces, encoder
 
 FREQUENT = 65_536
 LONGEST = 64
@@ -38,7 +38,7 @@ class CountEncoder:
     def __init__(self, path: str, frequent: dict[bytes, int]):
         self.ids = encoder(path)
         self.frequent = frequent
-        self.lengths = dict(frequent)
+        self.own = RecentCache()
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -46,23 +46,21 @@ class CountEncoder:
         e = self.ids
         if e.by_word:
             return sum(self._known(text.encode().split()))
-        if _RUNS.search(text) or (e.at_special is not None and e.at_special.search(text)):
+        if len(text) < 2 or _RUNS.search(text) or (e.at_special is not None and e.at_special.search(text)):
             return len(e.encode(text)) // 4
         return sum(self._known(byte_pieces(text))) - 1  # without the added line feed
 
     def _known(self, pieces: list[bytes]) -> list[int]:
-        got = list(map(self.lengths.get, pieces))
+        got = list(map(self.frequent.get, pieces))
         if None in got:
-            e = self.ids
-            new = list({p for p, v in zip(pieces, got) if v is None})
-            batch = e.tok.encode_batch_fast([e._text(p) for p in new], add_special_tokens=False)
-            fresh = dict(zip(new, map(len, batch)))
-            if len(self.lengths) + len(fresh) > CACHE_ENTRIES:
-                self.lengths = dict(self.frequent)
-            self.lengths.update((k, v) for k, v in fresh.items() if len(k) <= 2 * LONGEST)
-            got = [fresh[p] if v is None else v for p, v in zip(pieces, got)]
+            missed = [p for p, v in zip(pieces, got) if v is None]
+            own = self.own.all(missed, self._make, _is_short)
+            return [v for v in got if v is not None] + own
         return got
 
+    def _make(self, piece: bytes) -> int:
+        return len(self.ids.ids_of(piece)) // 4
+
 
 def frequent_lengths(docs: DataFrame, tokenizer: str, text: str = "text", rows: int = SAMPLE_ROWS,
                      fraction: float = 0.1, seed: int = 7) -> tuple[str, bytes, np.ndarray, np.ndarray]:

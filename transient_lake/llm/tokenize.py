@@ -3,7 +3,9 @@
 Both vocabularies split a text at white space before any merge, so the ids of
 a text are the concatenated ids of its white-space-led pieces.  A worker keeps
 the ids of the pieces it has met; only unknown pieces go to the library, and a
-text costs one dictionary lookup per word.
+text costs one dictionary lookup per word.  An unknown piece of Latin letters
+with punctuation behind it is two pre-tokens whatever stands around it: these
+go to the library's BPE model as they are; any other piece is encoded whole.
 
 Byte-level vocabulary: a piece is a word with the one blank or line feed that
 leads it.  Runs of two or more white-space characters are cut out first: all
@@ -21,19 +23,76 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: White space as the byte-level pattern sees it (Unicode White_Space).
 _WS = r"[\t-\r \x85\xa0  -     　]"
 _RUNS = re.compile(f"({_WS}{_WS}+)")
-#: Entries of a worker's cache; a full cache starts anew from its fixed part.
-CACHE_ENTRIES = 1_500_000
+#: Entries of a generation of a worker's cache; two generations are kept, about 120 MB.
+CACHE_ENTRIES = 300_000
 _LONGEST_CACHED = 128
+#: Letters that every Unicode version has and that are their own normal form, then ASCII punctuation but the apostrophe.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)\Z")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Characters that stand for bytes in byte-level vocabularies: printable
+    Latin-1 for itself, the others in order from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+class RecentCache:
+    """A bounded dictionary: when the young generation is full it becomes the
+    old one, whose entries come back when they are asked for."""
+
+    def __init__(self, entries: int | None = None):
+        self.entries = entries
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def find(self, key):
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= (self.entries or CACHE_ENTRIES):
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+    def all(self, keys: list, make, keep) -> list:
+        """Values of the keys; unknown ones are made, and kept if ``keep(key)``."""
+        got = list(map(self.young.get, keys))
+        if None in got:
+            new = {}
+            for k in {k for k, v in zip(keys, got) if v is None}:
+                new[k] = value = self.old.get(k)
+                if value is None:
+                    new[k] = value = make(k)
+                if keep(k):
+                    self.put(k, value)
+            got = [new[k] if v is None else v for k, v in zip(keys, got)]
+        return got
+
+    def __len__(self) -> int:
+        return len(self.young) + len(self.old)
+
 
 _WORKER: dict[str, "PieceEncoder"] = {}
 
 
+def _is_short(piece: bytes) -> bool:
+    return len(piece) <= _LONGEST_CACHED
+
+
 def _ids(encoding) -> bytes:
     return np.asarray(encoding.ids, dtype="<u4").tobytes()
 
@@ -50,7 +109,7 @@ class PieceEncoder:
         self.special = {s: np.asarray([i], dtype="<u4").tobytes() for s, i in specials.items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.by_word = self.tok.model.end_of_word_suffix is not None
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = RecentCache()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -76,23 +135,42 @@ class PieceEncoder:
         return b"".join(out)
 
     def _single_spaced(self, text: str) -> bytes:
-        if not text:
-            return b""
+        if len(text) < 2:  # one white-space character would join the added line feed
+            return _ids(self.tok.encode(text, add_special_tokens=False))
         # a led line feed is a token of its own: the first word gets one, which is taken off again
         return b"".join(self._known(byte_pieces(text)))[4:]
 
     def _known(self, pieces: list[bytes]) -> list[bytes]:
-        got = list(map(self.cache.get, pieces))
-        if None in got:
-            new = list({p for p, v in zip(pieces, got) if v is None})
-            texts = [self._text(p) for p in new]
-            fresh = dict(zip(new, map(_ids, self.tok.encode_batch_fast(texts, add_special_tokens=False))))
-            if len(self.cache) + len(fresh) > CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache.update((k, v) for k, v in fresh.items() if len(k) <= _LONGEST_CACHED)
-            got = [fresh[p] if v is None else v for p, v in zip(pieces, got)]
+        return self.cache.all(pieces, self.ids_of, _is_short)
+
+    def ids_of(self, piece: bytes) -> bytes:
+        """Ids of one piece, from the library."""
+        text = piece.decode()
+        plain = _PLAIN.match(text)
+        if plain is None or not text:
+            return _ids(self.tok.encode(self._text(piece), add_special_tokens=False))
+        word, marks = plain.groups()
+        if not word or not marks:
+            return self._pre_token(text, blank=True)
+        # the blank that leads the piece belongs to its first pre-token
+        return self._part(piece[:-len(marks)], word, True) + self._part(b" " + piece[-len(marks):], marks, False)
+
+    def _part(self, key: bytes, text: str, blank: bool) -> bytes:
+        got = self.cache.find(key)
+        if got is None:
+            got = self._pre_token(text, blank)
+            if _is_short(key):
+                self.cache.put(key, got)
         return got
 
+    def _pre_token(self, text: str, blank: bool) -> bytes:
+        if self.by_word:
+            text = text.lower()
+        elif blank:
+            text = " " + text
+        letters = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
+
     def _text(self, piece: bytes) -> str:
         return piece.decode() if self.by_word or piece[:1] == b"\n" else " " + piece.decode()
 
