@@ -107,7 +107,8 @@ def response_record(page_id: int | None, url: str | None, page: str | None) -> b
              + str(len(payload)).encode() + b"\r\n\r\n" + payload)
     url = one_line(url or "")
     return make_record({
-        "WARC-Type": "response", "WARC-Record-ID": record_id("response", str(page_id), url), "WARC-Target-URI": url,
+        "WARC-Type": "response", "WARC-Record-ID": record_id("response", str(page_id), url, digest(payload)),
+        "WARC-Target-URI": url,
         "WARC-Date": _DATE, "WARC-Block-Digest": digest(block), "WARC-Payload-Digest": digest(payload),
         "Content-Type": "application/http; msgtype=response"}, block)
 
