@@ -46,7 +46,7 @@ HEAVY = 1e-3
 KEEP_GOOD = 0.999
 _MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORDS: dict[bytes, bytes] = {}  # hashes of the words a worker has met
-_WORDS_KEPT = 1_500_000
+_WORDS_KEPT = 200_000
 
 
 def ngram_buckets(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
