@@ -450,3 +450,11 @@ def test_pipeline_against_brute_force(spark):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, run[key].values)) == sorted(map(tuple, after[key].values))
     assert zlib.crc32(b"") == 0
+
+
+def test_ngrams_do_not_depend_on_the_cache(monkeypatch):
+    texts = [" ".join(f"w{(i * j) % 311}" for j in range(60)) for i in range(60)]
+    want = [classifier.ngram_buckets(t).tolist() for t in texts]
+    monkeypatch.setattr(classifier, "_WORDS", tokenize.RecentCache(20))
+    assert [classifier.ngram_buckets(t).tolist() for t in texts] == want
+    assert len(classifier.ngram_buckets(None)) == 0 and len(want[0]) == 119

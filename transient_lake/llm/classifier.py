@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, scratch_path
+from .tokenize import RecentCache, is_short
 
 BUCKETS = 1 << 18
 SCALE = 200.0
@@ -45,8 +46,11 @@ LABELLED = 20_000
 HEAVY = 1e-3
 KEEP_GOOD = 0.999
 _MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_WORDS: dict[bytes, bytes] = {}  # hashes of the words a worker has met
-_WORDS_KEPT = 200_000
+_WORDS = RecentCache(100_000)  # hashes of the words a worker has met
+
+
+def _word_hash(word: bytes) -> bytes:
+    return xxhash.xxh64_digest(word, 7)
 
 
 def ngram_buckets(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
@@ -54,14 +58,7 @@ def ngram_buckets(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     w = (text or "").encode().split()
     if not w:
         return np.empty(0, dtype=np.int64)
-    got = list(map(_WORDS.get, w))
-    if None in got:
-        if len(_WORDS) > _WORDS_KEPT:
-            _WORDS.clear()
-        for x, h in zip(w, got):
-            if h is None:
-                _WORDS[x] = xxhash.xxh64_digest(x, 7)
-        got = [_WORDS[x] for x in w]
+    got = _WORDS.all(w, _word_hash, is_short)
     one = np.frombuffer(b"".join(got), dtype=">u8").astype(np.uint64)
     two = (one[:-1] * _MIX ^ one[1:]) * _SPREAD
     shift = np.uint64(64 - (buckets.bit_length() - 1))

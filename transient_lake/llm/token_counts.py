@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenize import _RUNS, RecentCache, _is_short, byte_pieces, encoder
+from .tokenize import _RUNS, RecentCache, is_short, byte_pieces, encoder
 
 FREQUENT = 65_536
 LONGEST = 64
@@ -54,7 +54,7 @@ class CountEncoder:
         got = list(map(self.frequent.get, pieces))
         if None in got:
             missed = [p for p, v in zip(pieces, got) if v is None]
-            own = self.own.all(missed, self._make, _is_short)
+            own = self.own.all(missed, self._make, is_short)
             return [v for v in got if v is not None] + own
         return got
 

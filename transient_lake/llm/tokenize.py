@@ -89,7 +89,7 @@ class RecentCache:
 _WORKER: dict[str, "PieceEncoder"] = {}
 
 
-def _is_short(piece: bytes) -> bool:
+def is_short(piece: bytes) -> bool:
     return len(piece) <= _LONGEST_CACHED
 
 
@@ -141,7 +141,7 @@ class PieceEncoder:
         return b"".join(self._known(byte_pieces(text)))[4:]
 
     def _known(self, pieces: list[bytes]) -> list[bytes]:
-        return self.cache.all(pieces, self.ids_of, _is_short)
+        return self.cache.all(pieces, self.ids_of, is_short)
 
     def ids_of(self, piece: bytes) -> bytes:
         """Ids of one piece, from the library."""
@@ -159,7 +159,7 @@ class PieceEncoder:
         got = self.cache.find(key)
         if got is None:
             got = self._pre_token(text, blank)
-            if _is_short(key):
+            if is_short(key):
                 self.cache.put(key, got)
         return got
 
