@@ -155,7 +155,6 @@ def test_classifier_held_out(spark):
     kept = {r["doc_id"]: r["kept"] for r in QUERIES["op6_quality_classifier"](spark, SF).collect()}
     good = [kept[d] for d, r in labels.items() if r["quality"] == 1 and not r["toxic"] and d in kept]
     low = [kept[d] for d, r in labels.items() if r["quality"] == 0 and d in kept]
-    print(np.mean(good), np.mean(low))
     assert np.mean(good) > 0.97
     assert np.mean(low) < 0.3
 

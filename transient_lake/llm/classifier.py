@@ -3,9 +3,10 @@
 Two generative models over hashed word n-grams (one and two words, ``BUCKETS``
 buckets, add-one smoothing): the target model from labelled good documents,
 the raw model from every document.  A document's weight is the mean log ratio
-of target to raw probability over its n-grams, times ``SCALE``: the log weight
-of a document of that many n-grams with its composition, so long documents are
-not judged by their length.  Documents are sampled without replacement by
+of target to raw probability over its n-grams and ``NEUTRAL`` n-grams of ratio
+one (so a few odd words don't condemn a short text), times ``SCALE``: the log
+weight of a document of that many n-grams with its composition, so documents
+are not judged by their length.  Documents are sampled without replacement by
 Gumbel top-k: a hash-seeded Gumbel number is added to every log weight and the
 k largest stay.
 
@@ -40,11 +41,12 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir, scratch_path
 from .tokenize import RecentCache, is_short
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 SCALE = 200.0
+NEUTRAL = 50
 LABELLED = 20_000
 HEAVY = 1e-3
-KEEP_GOOD = 0.999
+KEEP_GOOD = 0.995
 _MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORDS = RecentCache(100_000)  # hashes of the words a worker has met
 
@@ -150,7 +152,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
         ratio = table.value
         for texts in batches:
             found = (ngram_buckets(t, len(ratio)) for t in texts)
-            yield pd.Series([float(ratio[f].mean(dtype=np.float64)) * SCALE if len(f) else 0.0 for f in found], dtype="float64")
+            yield pd.Series([float(ratio[f].sum(dtype=np.float64)) / (len(f) + NEUTRAL) * SCALE for f in found], dtype="float64")
 
     scored = (docs.drop("log_weight", "gumbel_key", "kept").withColumn("log_weight", weight(F.col(text)))
               .withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col(doc_id), seed)))
