@@ -123,6 +123,11 @@ def canonical_band(filter_col) -> Column:
     return F.when(F.array_contains(known, cand), cand).otherwise(F.lit("Unknown"))
 
 
+def _is_list(raw: F.Column) -> F.Column:
+    """Is a field's JSON a list?  Text that merely begins with a bracket is not."""
+    return F.coalesce(raw.startswith("[") & F.from_json(raw, "array<string>").isNotNull(), F.lit(False))
+
+
 def metadata_unpivot(docs: DataFrame) -> DataFrame:
     """Scalar fields of every source payload as (field, label, value)
     rows; list fields are left to N19; nested objects are kept as compact
@@ -133,7 +138,7 @@ def metadata_unpivot(docs: DataFrame) -> DataFrame:
                              F.col("data_sources")[F.col("source")].alias("payload"))
     fields = per_src.select("archive_id", "source_pos", "source", "source_label",
                             F.posexplode(F.from_json("payload", "map<string,string>")).alias("field_pos", "field", "raw"))
-    scalars = fields.where(F.col("raw").isNull() | ~F.col("raw").startswith("["))
+    scalars = fields.where(~_is_list(F.col("raw")))
     return scalars.select("archive_id", "source_pos", "source", "source_label", "field_pos", "field",
                           field_label(F.col("field")).alias("label"),
                           F.coalesce("raw", F.lit(EM_DASH)).alias("value"))
@@ -145,7 +150,7 @@ def list_field_rows(docs: DataFrame) -> DataFrame:
     column (``column`` NULL)."""
     per_src = docs.select("archive_id", F.explode("data_sources").alias("source", "payload"))
     fields = per_src.select("archive_id", "source", F.explode(F.from_json("payload", "map<string,string>"))
-                            .alias("field", "raw")).where(F.col("raw").startswith("["))
+                            .alias("field", "raw")).where(_is_list(F.col("raw")))
     entries = fields.select("archive_id", "source", "field",
                             F.posexplode(F.from_json("raw", "array<string>")).alias("row", "entry"))
     obj = entries.where(F.col("entry").startswith("{")).select(

@@ -400,6 +400,25 @@ def tags_grouped_by_owner(tags_with_owner: DataFrame) -> DataFrame:
         "sort_name", F.lower("owner_name"))
 
 
+def tag_rows_by_owner(tags_with_owner: DataFrame) -> DataFrame:
+    """A10 as rows: every tag with its section (personal sections first, then
+    teams by lower-case name) and the columns that order it there.  A range
+    sort by these columns lists any number of tags of one owner."""
+    return tags_with_owner.select(
+        F.when(F.col("owner_type") == "user", 0).otherwise(1).alias("section_order"),
+        F.lower("owner_name").alias("sort_name"), "owner_type", "owner_id", "owner_name",
+        F.lower("name").alias("tag_order"), "tag_id", "name")
+
+
+def visible_tag_rows(requests: DataFrame, memberships: DataFrame, tags: DataFrame, users: DataFrame,
+                     teams: DataFrame) -> DataFrame:
+    """R1 as rows: each requested user's visible tags with owner type and
+    name, and the lower-case tag name that orders them."""
+    owned = _tag_owner(tags, users, teams)
+    return visible_tags(requests, memberships, owned).select(
+        "user_id", F.lower("name").alias("tag_order"), "tag_id", "name", "owner_type", "owner_id", "owner_name")
+
+
 def apply_profile_updates(users: DataFrame, updates: DataFrame,
                           fields=("nickname", "forename", "surname", "email")) -> DataFrame:
     """Partial profile updates: a field changes only when its

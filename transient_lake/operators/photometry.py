@@ -332,6 +332,18 @@ def lightcurve_series(lc: DataFrame) -> DataFrame:
                                       F.coalesce("filter", F.lit("Unknown"))))
 
 
+def lightcurve_points(lc: DataFrame) -> DataFrame:
+    """A5 as rows: the points of every plot series (detections with their
+    errors, limits without) in time order.  A series is one light curve in one
+    filter, so its numbering window is bounded by the survey."""
+    det = F.col("detection") == 1
+    p = plottable(lc).select(
+        "obj_id", "survey", "filter", F.when(det, "detection").otherwise("limit").alias("kind"), "mjd",
+        F.when(det, F.col("mag")).otherwise(F.col("limit")).alias("value"), F.when(det, F.col("mag_err")).alias("error"))
+    w = Window.partitionBy("obj_id", "survey", "filter", "kind").orderBy("mjd", "value", "error")
+    return p.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+
+
 def count_per_source(lc: DataFrame) -> DataFrame:
     """Points, objects and objects with a detection per survey."""
     per_obj = lc.groupBy("survey", "obj_id").agg(F.count("*").alias("n"),

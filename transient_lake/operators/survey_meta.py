@@ -25,8 +25,9 @@ ZTF_META_COLUMNS = [
     "rf_snia_vs_nonia", "slsn_score", "snn_sn_vs_all", "snn_snia_vs_nonia", "spicy_class", "spicy_id", "tns",
     "vsx", "x3hsp", "x4lac",
 ]
-# Text that counts as a missing value in survey payloads.
+# Text that counts as a missing value in ZTF and in LSST payloads.
 MISSING_TEXT = ["nan", "None"]
+MISSING_TEXT_LSST = ["nan"]
 
 
 def _newest(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
@@ -34,12 +35,12 @@ def _newest(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(packed, F.col(f"`{order}`")).alias("_r"))
 
 
-def _as_map(names: list[str], renamed: list[str]) -> F.Column:
+def _as_map(names: list[str], renamed: list[str], missing=MISSING_TEXT) -> F.Column:
     entries = []
     for src, dst in zip(names, renamed):
         entries += [F.lit(dst), F.col(f"_r.`{src}`")]
     m = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
-    return F.map_filter(m, lambda k, v: v.isNotNull() & ~v.isin(*MISSING_TEXT))
+    return F.map_filter(m, lambda k, v: v.isNotNull() & ~v.isin(*missing))
 
 
 def ztf_metadata(rows: DataFrame, key: str = "obj_id") -> DataFrame:
@@ -55,7 +56,7 @@ def lsst_metadata(rows: DataFrame, key: str = "obj_id") -> DataFrame:
     neither 'tns' nor 'version'; 'nan' values dropped."""
     keep = [c for c in rows.columns if c.startswith("f") and "tns" not in c and "version" not in c]
     newest = _newest(rows, key, "r:midpointMjdTai", keep)
-    return newest.select(key, _as_map(keep, [c[2:] for c in keep]).alias("meta"))
+    return newest.select(key, _as_map(keep, [c[2:] for c in keep], MISSING_TEXT_LSST).alias("meta"))
 
 
 def alerce_best_class(probs: DataFrame, classifiers: DataFrame, key: str = "oid") -> DataFrame:

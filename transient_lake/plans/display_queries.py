@@ -170,7 +170,7 @@ with newest as (select obj_id, arg_max({'classification': "f:classification", 's
                                        "r:midpointMjdTai") as r from lsst_meta_rows group by obj_id),
 kv as (select obj_id, 'classification' as key, r.classification as value from newest
        union all select obj_id, 'score', r.score from newest)
-select obj_id, key, value from kv where value is not null and value not in ('nan', 'None')
+select obj_id, key, value from kv where value is not null and value <> 'nan'
 """, views=("lsst_meta_rows",))
 def q_lsst_metadata(spark, sf_dir):
     """``f:`` fields (no tns / version names) of each newest LSST row."""

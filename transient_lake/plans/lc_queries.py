@@ -146,6 +146,20 @@ def q_lightcurve_series(spark, sf_dir):
     return ph.lightcurve_series(_lc(spark, sf_dir))
 
 
+@register("lightcurve_points", sql="""
+with p as (
+  select obj_id, survey, filter, case when detection = 1 then 'detection' else 'limit' end as kind, mjd,
+         case when detection = 1 then mag else "limit" end as value, case when detection = 1 then mag_err end as error
+  from lc_points
+  where mjd is not null and ((detection = 1 and mag is not null) or (detection = 0 and "limit" is not null)))
+select *, row_number() over (partition by obj_id, survey, filter, kind
+                             order by mjd nulls first, value nulls first, error nulls first) - 1 as position from p
+""", views=("lc_points",))
+def q_lightcurve_points(spark, sf_dir):
+    """A5: the points of every plot series in time order."""
+    return ph.lightcurve_points(_lc(spark, sf_dir))
+
+
 @register("count_per_source", sql="""
 select survey, cast(sum(n) as bigint) as lc_count, count(*) as n_objs, cast(count_if(det) as bigint) as n_with_detection from (
   select survey, obj_id, count(*) as n, max(detection = 1) as det from lc_points group by all)

@@ -41,6 +41,24 @@ def q_visible_tags(spark, sf_dir):
     return P.visible_tag_counts(users, mem, tags)
 
 
+@register("visible_tag_rows", sql="""
+with o as (
+  select t.*, case when t.owner_team_id is not null then 'team' else 'user' end as owner_type,
+         coalesce(cast(t.owner_team_id as bigint), t.owner_user_id) as owner_id,
+         case when t.owner_team_id is not null then tm.name else u.username end as owner_name
+  from tags t left join teams tm on tm.team_id = t.owner_team_id left join users u on u.user_id = t.owner_user_id)
+select u.user_id, lower(o.name) as tag_order, o.tag_id, o.name, o.owner_type, o.owner_id, o.owner_name
+from users u join o on o.owner_user_id = u.user_id
+union all
+select m.user_id, lower(o.name), o.tag_id, o.name, o.owner_type, o.owner_id, o.owner_name
+from memberships m join o on o.owner_team_id = m.team_id
+""", views=("users", "teams", "memberships", "tags"))
+def q_visible_tag_rows(spark, sf_dir):
+    """Every visible tag of every user, with its owner."""
+    users, teams, mem, tags, _ = _t(spark, sf_dir)
+    return P.visible_tag_rows(users, mem, tags, users, teams)
+
+
 @register("object_tags_for_user", sql="""
 with req as (select distinct cast(o_orderkey as varchar) as object_id, o_custkey as user_id from orders),
 j as (select r.object_id, r.user_id, a.tag_id, t.name, t.owner_user_id, t.owner_team_id, a.applied_by
@@ -401,6 +419,21 @@ def q_tags_grouped_by_owner(spark, sf_dir):
     return P.tags_grouped_by_owner(P._tag_owner(tags, users, teams))
 
 
+@register("tag_rows_by_owner", sql="""
+select case when t.owner_team_id is not null then 1 else 0 end as section_order,
+       lower(case when t.owner_team_id is not null then tm.name else u.username end) as sort_name,
+       case when t.owner_team_id is not null then 'team' else 'user' end as owner_type,
+       coalesce(cast(t.owner_team_id as bigint), t.owner_user_id) as owner_id,
+       case when t.owner_team_id is not null then tm.name else u.username end as owner_name,
+       lower(t.name) as tag_order, t.tag_id, t.name
+from tags t left join teams tm on tm.team_id = t.owner_team_id left join users u on u.user_id = t.owner_user_id
+""", views=("tags", "teams", "users"))
+def q_tag_rows_by_owner(spark, sf_dir):
+    """A10: every tag in its owner's section."""
+    users, teams, mem, tags, _ = _t(spark, sf_dir)
+    return P.tag_rows_by_owner(P._tag_owner(tags, users, teams))
+
+
 @register("user_labels", sql="""
 select user_id,
        coalesce(nullif(trim(username), ''), nullif(trim(concat_ws(' ', forename, surname)), ''),
