@@ -262,7 +262,7 @@ def test_resolve_tag_requires_visibility(spark):
                                  (4, 2, 100, None, None)],
                                 "request_id long, user_id long, tag_id long, tag_name string, owner_team_id long")
     got = {r.request_id: (r.tag_id, r.error) for r in P.resolve_tag(req, mem, tags).collect()}
-    assert got == {1: (101, None), 2: (None, "Tag not found."), 3: (100, None), 4: (None, "Tag not found.")}
+    assert got == {1: (101, None), 2: (None, "unknown_tag"), 3: (100, None), 4: (None, "unknown_tag")}
 
 
 def test_bad_dates_are_skipped_not_fatal(spark):

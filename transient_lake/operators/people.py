@@ -124,7 +124,7 @@ def team_members(requests: DataFrame, memberships: DataFrame, users: DataFrame)
     denied = r.join(mem_req, ["team_id", "requester_id"], "left_anti").select(
         "team_id", "requester_id", F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("role"),
         F.lit(None).cast("string").alias("username"), F.lit(None).cast("string").alias("email"),
-        F.lit("You are not a member of the requested team.").alias("error"))
+        F.lit("not_a_member").alias("error"))
     teams_ok = allowed.select("team_id").distinct()
     members = (memberships.join(teams_ok, "team_id", "left_semi")
                .join(users.select("user_id", "username", "email"), "user_id", "left")
@@ -268,7 +268,7 @@ def permission_check(requests: DataFrame, memberships: DataFrame) -> DataFrame:
 
 def resolve_tag(requests: DataFrame, memberships: DataFrame, tags: DataFrame) -> DataFrame:
     """(request_id, user_id, tag_id | tag_name [+ owner_team_id]) ->
-    the visible tag, else a 'Tag not found.' error."""
+    the visible tag, else a 'unknown_tag' error."""
     t = tags.select("tag_id", "name", "owner_user_id", "owner_team_id")
     by_id = requests.where(F.col("tag_id").isNotNull()).select("request_id", "user_id", "tag_id").join(t, "tag_id")
     by_team = (requests.where(F.col("tag_id").isNull() & F.col("owner_team_id").isNotNull())
@@ -287,7 +287,7 @@ def resolve_tag(requests: DataFrame, memberships: DataFrame, tags: DataFrame) ->
     missing = requests.select("request_id", "user_id").join(vis.select("request_id"), "request_id", "left_anti")
     return vis.withColumn("error", F.lit(None).cast("string")).unionByName(
         missing.select("request_id", "user_id", *[F.lit(None).cast(vis.schema[c].dataType).alias(c) for c in cols[2:]],
-                       F.lit("Tag not found.").alias("error")))
+                       F.lit("unknown_tag").alias("error")))
 
 
 def insert_memberships(memberships: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

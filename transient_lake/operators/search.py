@@ -147,21 +147,17 @@ def _blank(c: Column) -> Column:
 
 def validate_cones(req: DataFrame, ra="ra", dec="dec", radius="radius") -> DataFrame:
     """text cone requests -> parsed doubles plus ``status`` (``ok``,
-    ``none`` when all three are absent, ``error``) and an ``error`` message."""
+    ``none`` when all three are absent, ``error``) and an ``error`` code."""
     r, d, s = F.col(ra), F.col(dec), F.col(radius)
     rv, dv, sv = (F.trim(x).try_cast("double") for x in (r, d, s))
-    missing = F.concat_ws(", ", F.when(_blank(r), F.lit("ra")), F.when(_blank(d), F.lit("dec")),
+    missing = F.concat_ws(",", F.when(_blank(r), F.lit("ra")), F.when(_blank(d), F.lit("dec")),
                           F.when(_blank(s), F.lit("radius")))
     err = (F.when(_blank(r) & _blank(d) & _blank(s), F.lit(None))
-           .when(missing != "", F.concat(F.lit("Incomplete cone search link: missing "), missing,
-                                         F.lit(". A link needs ra, dec and radius.")))
-           .when(rv.isNull() | dv.isNull() | sv.isNull(),
-                 F.lit("Could not read the coordinates from the link. ra, dec and radius must all be numbers."))
-           .when((rv < 0) | (rv > 360), F.concat(F.lit("RA must be between 0 and 360 degrees (got "),
-                                                 rv.cast("string"), F.lit(").")))
-           .when((dv < -90) | (dv > 90), F.concat(F.lit("Dec must be between -90 and 90 degrees (got "),
-                                                  dv.cast("string"), F.lit(").")))
-           .when(sv <= 0, F.concat(F.lit("Radius must be greater than zero (got "), sv.cast("string"), F.lit(")."))))
+           .when(missing != "", F.concat(F.lit("missing:"), missing))
+           .when(rv.isNull() | dv.isNull() | sv.isNull(), F.lit("not_a_number"))
+           .when((rv < 0) | (rv > 360), F.lit("ra_out_of_range"))
+           .when((dv < -90) | (dv > 90), F.lit("dec_out_of_range"))
+           .when(sv <= 0, F.lit("radius_not_positive")))
     status = F.when(_blank(r) & _blank(d) & _blank(s), "none").when(err.isNotNull(), "error").otherwise("ok")
     ok = status == "ok"
     return req.select("*", F.when(ok, rv).alias("ra_deg"), F.when(ok, dv).alias("dec_deg"),

@@ -132,7 +132,7 @@ ok as (select * from req r where exists (select 1 from memberships m where m.tea
 select m.team_id, cast(null as bigint) as requester_id, m.user_id, m.role, u.username, u.email, cast(null as varchar) as error
 from memberships m left join users u on u.user_id = m.user_id where m.team_id in (select team_id from ok)
 union all
-select team_id, requester_id, null, null, null, null, 'You are not a member of the requested team.'
+select team_id, requester_id, null, null, null, null, 'not_a_member'
 from req where not exists (select 1 from ok where ok.team_id = req.team_id and ok.requester_id = req.requester_id)
 """, views=V)
 def q_team_members(spark, sf_dir):
@@ -372,7 +372,7 @@ vis as (select f.request_id, f.user_id, f.tag_id, f.name, f.owner_user_id, f.own
            or exists (select 1 from memberships m where m.user_id = f.user_id and m.team_id = f.owner_team_id))
 select *, cast(null as varchar) as error from vis
 union all
-select request_id, user_id, null, null, null, null, 'Tag not found.' from req
+select request_id, user_id, null, null, null, null, 'unknown_tag' from req
 where request_id not in (select request_id from vis)
 """, views=("tags", "memberships"))
 def q_resolve_tag(spark, sf_dir):

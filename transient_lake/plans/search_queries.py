@@ -80,14 +80,11 @@ with r as (select *, try_cast(trim(ra) as double) as rv, try_cast(trim(dec) as d
                   (radius is null or trim(radius) = '') as sb from cone_requests),
 e as (select *, case
    when rb and db and sb then null
-   when rb or db or sb then 'Incomplete cone search link: missing '
-        || concat_ws(', ', case when rb then 'ra' end, case when db then 'dec' end, case when sb then 'radius' end)
-        || '. A link needs ra, dec and radius.'
-   when rv is null or dv is null or sv is null
-        then 'Could not read the coordinates from the link. ra, dec and radius must all be numbers.'
-   when rv < 0 or rv > 360 then 'RA must be between 0 and 360 degrees (got ' || cast(rv as varchar) || ').'
-   when dv < -90 or dv > 90 then 'Dec must be between -90 and 90 degrees (got ' || cast(dv as varchar) || ').'
-   when sv <= 0 then 'Radius must be greater than zero (got ' || cast(sv as varchar) || ').'
+   when rb or db or sb then 'missing:'
+        || concat_ws(',', case when rb then 'ra' end, case when db then 'dec' end, case when sb then 'radius' end)
+   when rv is null or dv is null or sv is null then 'not_a_number'
+   when rv < 0 or rv > 360 then 'ra_out_of_range' when dv < -90 or dv > 90 then 'dec_out_of_range'
+   when sv <= 0 then 'radius_not_positive'
    end as error from r)
 select request_id, ra, dec, radius,
        case when not (rb and db and sb) and error is null then rv end as ra_deg,
@@ -97,7 +94,7 @@ select request_id, ra, dec, radius,
 from e
 """, views=("cone_requests",))
 def q_validate_cones(spark, sf_dir):
-    """cone requests parsed and checked, one message per failure."""
+    """cone requests parsed and checked, one code per failure."""
     return S.validate_cones(td.cone_requests(spark, sf_dir))
 
 
