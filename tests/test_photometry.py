@@ -114,6 +114,7 @@ def test_bucketed_store_summaries_need_no_shuffle(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
     try:
+        spark.conf.set(*store.CO_PARTITION)
         stored = store.read_lightcurves(spark, name)
         out = ph.latest_detections(stored)
         plan = out._jdf.queryExecution().executedPlan().toString()

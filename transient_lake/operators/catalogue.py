@@ -249,7 +249,7 @@ def active_objects(meta: DataFrame, settings: DataFrame, source: str, now: str,
             .select("archive_id", "source", "source_id"))
 
 
-def due_sources(meta: DataFrame, source_config, now: str, compat: bool = False) -> DataFrame:
+def due_sources(meta: DataFrame, source_config, now: str, compat: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(object, source) pairs due for a refresh: update_date plus the
     source's update_frequency days has passed.  ``compat=True`` keeps the
     reference's inverted test (refresh while still fresh, D5).
@@ -257,14 +257,14 @@ def due_sources(meta: DataFrame, source_config, now: str, compat: bool = False)
     ``source_config`` is the list of configuration rows (name, meta_only,
     survey_name, update_frequency) - a handful of constants - so each object
     row is expanded in place by an ``explode`` of those rows: no join and no
-    shuffle."""
+    shuffle.  ``keep`` names further columns of ``meta`` to return."""
     rows = F.array(*[F.struct(F.lit(n).alias("source_name"), F.lit(m).alias("meta_only"),
                               F.lit(f).alias("update_frequency")) for n, m, _s, f in source_config])
-    x = meta.select("archive_id", "update_date", F.inline(rows))
+    x = meta.select("archive_id", *keep, "update_date", F.inline(rows))
     due_at = F.expr("timestampadd(DAY, update_frequency, cast(update_date as timestamp))")
     t_now = F.lit(now).cast("timestamp")
     cond = (due_at >= t_now) if compat else (due_at <= t_now)
-    return x.where(cond).select("archive_id", "source_name", "meta_only")
+    return x.where(cond).select("archive_id", *keep, "source_name", "meta_only")
 
 
 def refresh_requests(all_ids: DataFrame, meta: DataFrame, settings: DataFrame, source_config: DataFrame,
@@ -275,7 +275,7 @@ def refresh_requests(all_ids: DataFrame, meta: DataFrame, settings: DataFrame, s
         F.col("source_id").alias("object_id"), F.lit("bulk").alias("queue"), F.lit(None).cast("string").alias("source_name"))
     act = active_objects(meta, settings, "tns", now).select(
         F.col("source_id").alias("object_id"), F.lit("update").alias("queue"), F.lit(None).cast("string").alias("source_name"))
-    due = due_sources(meta, source_config, now).join(meta.select("archive_id", "source_id"), "archive_id").select(
+    due = due_sources(meta, source_config, now, keep=("source_id",)).select(
         F.col("source_id").alias("object_id"), F.lit("refresh").alias("queue"), "source_name")
     return reduce(DataFrame.unionByName, [miss, act, due])
 

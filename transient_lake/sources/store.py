@@ -31,12 +31,11 @@ def write_lightcurves(lc: DataFrame, table: str, path: str | None = None, bucket
     return table
 
 
-def read_lightcurves(spark: SparkSession, table: str, co_partition: bool = True) -> DataFrame:
-    """The stored light curves.  With ``co_partition`` (default) the session
-    lets joins and aggregates reuse the ``obj_id`` bucketing even when their
-    keys are (obj_id, survey, filter)
-    (``spark.sql.requireAllClusterKeysForCoPartition=false``): the whole
-    summary then runs without any shuffle of points or per-group rows."""
-    if co_partition:
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+#: Session setting under which joins and aggregates reuse the ``obj_id`` bucketing even when their keys are
+#: (obj_id, survey, filter); the whole summary then runs without any shuffle.  The caller's to set.
+CO_PARTITION = ("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def read_lightcurves(spark: SparkSession, table: str) -> DataFrame:
+    """The stored light curves (see ``CO_PARTITION``)."""
     return spark.table(table)
