@@ -19,12 +19,16 @@ from .numbering import DEFAULT_BUCKETS, dense_number
 # --- N7, N8, N13-N15 -----------------------------------------------------
 
 
-def tns_metadata(raw: DataFrame) -> DataFrame:
-    """TNS fields of interest; discovery date in ISO ``T`` form."""
+def tns_metadata(raw: DataFrame, key: str = "archive_id") -> DataFrame:
+    """The twelve fields of interest of a name-server record (nested, as
+    the service sends it); discovery date in ISO ``T`` form."""
     return raw.select(
-        "archive_id", "object_id", "source_id_name", "ra_deg", "dec_deg", "object_type", "redshift",
-        "hostname", F.regexp_replace("discovery_date", " ", "T").alias("discovery_date"),
-        "reporting_group", "discovery_data_source")
+        key, F.col("objname").alias("object_id"), F.lit("objname").alias("source_id_name"),
+        F.col("radeg").alias("ra_deg"), F.col("decdeg").alias("dec_deg"), F.col("ra").alias("ra_hms"),
+        F.col("dec").alias("dec_dms"), F.col("object_type.name").alias("object_type"), "redshift", "hostname",
+        F.regexp_replace("discoverydate", " ", "T").alias("discovery_date"),
+        F.col("reporting_group.group_name").alias("reporting_group"),
+        F.col("discovery_data_source.group_name").alias("discovery_data_source"))
 
 
 def sherlock_metadata(crossmatches: DataFrame, key: str = "archive_id") -> DataFrame:
@@ -303,6 +307,8 @@ def export_frame(meta: DataFrame, lc: DataFrame, key: str = "archive_id", limit:
     ``collect_list``."""
     m = meta.orderBy(key).limit(limit) if limit else meta
     pts = lc.withColumnRenamed("obj_id", key)
+    if limit:  # only the chosen objects' points are grouped
+        pts = pts.join(m.select(key), key, "left_semi")
     cols = [c for c in pts.columns if c != key]
     per = pts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("lc"))
     meta_cols = [c for c in m.columns if c != key]

@@ -11,7 +11,9 @@ from ..operators import catalogue as cat
 from ..operators import photometry as ph
 from ..sources import config as cfg
 from ..sources import testdata as td
+from ..functions.sky import deg_to_dms, deg_to_hms
 from .registry import register
+from .sky_queries import dms_sql, hms_sql
 
 NOW = "1998-08-01"
 
@@ -24,15 +26,25 @@ def _tns_source(o):
                     F.lit("ZTF").alias("discovery_data_source"))
 
 
-@register("tns_metadata", sql="""
-select archive_id, source_id as object_id, 'objname' as source_id_name, ra_deg, dec_deg, object_type, redshift,
+@register("tns_metadata", sql=f"""
+select archive_id, source_id as object_id, 'objname' as source_id_name, ra_deg, dec_deg,
+       {hms_sql('ra_deg')} as ra_hms, {dms_sql('dec_deg')} as dec_dms, object_type, redshift,
        cast(null as varchar) as hostname, replace(cast(discovery_date as varchar), ' ', 'T') as discovery_date,
        reporting_group, 'ZTF' as discovery_data_source
 from objects
 """, views=("objects",))
 def q_tns_metadata(spark, sf_dir):
-    """The TNS projection of each catalogue object."""
-    return cat.tns_metadata(_tns_source(td.objects(spark, sf_dir)))
+    """Nested name-server records, one per catalogue object, projected to
+    the fields of interest."""
+    o = td.objects(spark, sf_dir)
+    raw = o.select("archive_id", F.col("source_id").alias("objname"), F.col("ra_deg").alias("radeg"),
+                   F.col("dec_deg").alias("decdeg"), deg_to_hms("ra_deg").alias("ra"), deg_to_dms("dec_deg").alias("dec"),
+                   F.struct(F.col("object_type").alias("name")).alias("object_type"), "redshift",
+                   F.lit(None).cast("string").alias("hostname"),
+                   F.col("discovery_date").cast("string").alias("discoverydate"),
+                   F.struct(F.col("reporting_group").alias("group_name")).alias("reporting_group"),
+                   F.struct(F.lit("ZTF").alias("group_name")).alias("discovery_data_source"))
+    return cat.tns_metadata(raw)
 
 
 _SHERLOCK_SQL = """
