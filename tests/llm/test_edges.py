@@ -455,6 +455,8 @@ def test_pipeline_against_brute_force(spark):
 def test_ngrams_do_not_depend_on_the_cache(monkeypatch):
     texts = [" ".join(f"w{(i * j) % 311}" for j in range(60)) for i in range(60)]
     want = [classifier.ngram_buckets(t).tolist() for t in texts]
-    monkeypatch.setattr(classifier, "_WORDS", tokenize.RecentCache(20))
+    monkeypatch.setattr(classifier, "WORDS", 20)
+    tokenize.hold("another", object)  # drops the words held so far
+    assert list(tokenize._HELD) == ["another"]
     assert [classifier.ngram_buckets(t).tolist() for t in texts] == want
     assert len(classifier.ngram_buckets(None)) == 0 and len(want[0]) == 119

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, scratch_path
-from .tokenize import RecentCache, is_short
+from .tokenize import RecentCache, hold, is_short
 
 BUCKETS = 1 << 16
 SCALE = 200.0
@@ -48,7 +48,7 @@ LABELLED = 20_000
 HEAVY = 1e-3
 KEEP_GOOD = 0.995
 _MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_WORDS = RecentCache(100_000)  # hashes of the words a worker has met
+WORDS = 100_000  # hashes of words that a generation of a worker's cache keeps
 
 
 def _word_hash(word: bytes) -> bytes:
@@ -60,7 +60,7 @@ def ngram_buckets(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     w = (text or "").encode().split()
     if not w:
         return np.empty(0, dtype=np.int64)
-    got = _WORDS.all(w, _word_hash, is_short)
+    got = hold("words", lambda: RecentCache(WORDS)).all(w, _word_hash, is_short)
     one = np.frombuffer(b"".join(got), dtype=">u8").astype(np.uint64)
     two = (one[:-1] * _MIX ^ one[1:]) * _SPREAD
     shift = np.uint64(64 - (buckets.bit_length() - 1))

@@ -38,6 +38,7 @@ from pyspark.sql.window import Window
 
 from ..operators.components import star_components
 from ..session import checkpoint_dir, scratch_path
+from .tokenize import hold
 
 #: Fingerprints of an anchor that are compared at once.
 CROWD = 20_000
@@ -74,6 +75,7 @@ def fingerprints(docs: DataFrame, k: int = 3, text: str = "text") -> Column:
     """Column of signed 64-bit fingerprints of ``text``."""
     @F.pandas_udf("long")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hold("simhash", object)
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, k) for t in texts], dtype=np.uint64).view(np.int64))
 

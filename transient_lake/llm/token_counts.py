@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenize import _RUNS, RecentCache, is_short, byte_pieces, encoder
+from .tokenize import _RUNS, PieceEncoder, RecentCache, byte_pieces, encoder, hold, is_short
 
 FREQUENT = 65_536
 LONGEST = 64
@@ -36,7 +36,7 @@ class CountEncoder:
     then the library."""
 
     def __init__(self, path: str, frequent: dict[bytes, int]):
-        self.ids = encoder(path)
+        self.ids = PieceEncoder(path)
         self.frequent = frequent
         self.own = RecentCache()
 
@@ -95,15 +95,8 @@ def _unpack(packed: tuple[str, bytes, np.ndarray, np.ndarray]) -> dict[bytes, in
     return {blob[e - s:e]: int(c) for e, s, c in zip(ends.tolist(), sizes.tolist(), counts.tolist())}
 
 
-_WORKER: dict[tuple, CountEncoder] = {}
-
-
 def _counter(tokenizer: str, table: Broadcast) -> CountEncoder:
-    key = (tokenizer, table.value[0])
-    if key not in _WORKER:
-        _WORKER.clear()  # one table at a time
-        _WORKER[key] = CountEncoder(tokenizer, _unpack(table.value))
-    return _WORKER[key]
+    return hold(("counts", tokenizer, table.value[0]), lambda: CountEncoder(tokenizer, _unpack(table.value)))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = 512) -> DataFrame:

@@ -86,7 +86,16 @@ class RecentCache:
         return len(self.young) + len(self.old)
 
 
-_WORKER: dict[str, "PieceEncoder"] = {}
+_HELD: dict = {}
+
+
+def hold(key, make):
+    """A worker's one large object: made anew when another operator held its
+    own before, so the caches of several operators never add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def is_short(piece: bytes) -> bool:
@@ -185,6 +194,4 @@ def byte_pieces(text: str) -> list[bytes]:
 
 def encoder(path: str) -> PieceEncoder:
     """This worker's encoder of a vocabulary file (kept between tasks)."""
-    if path not in _WORKER:
-        _WORKER[path] = PieceEncoder(path)
-    return _WORKER[path]
+    return hold(("ids", path), lambda: PieceEncoder(path))
