@@ -118,7 +118,8 @@ class PieceEncoder:
         self.special = {s: np.asarray([i], dtype="<u4").tobytes() for s, i in specials.items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.by_word = self.tok.model.end_of_word_suffix is not None
-        self.cache = RecentCache()
+        # lower-cased words with punctuation are many, and nothing else is held beside them
+        self.cache = RecentCache(2 * CACHE_ENTRIES) if self.by_word else RecentCache()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
