@@ -408,6 +408,27 @@ def test_heavy_copies_count_once(spark):
     assert copy.mean() > -1.5  # about one document's worth of raw counts
 
 
+@pytest.mark.parametrize("copies, rows", [(2, 2500), (3, 2500), (20, 2500), (2, 600), (833, 2500)])
+@pytest.mark.parametrize("kind", ["equal", "case", "near"])
+def test_copies_count_as_one_document(spark, kind, copies, rows):
+    """Groups on both sides of one row in a thousand, up to a third of the rows."""
+    made = {"equal": lambda i: "Zeta eta Theta", "case": lambda i: "zeta ETA theta" if i % 2 else "Zeta eta Theta",
+            "near": lambda i: f"Zeta eta Theta {i}"}[kind]
+    texts = [f"alpha {i} beta {i % 97}" for i in range(rows - copies)] + [made(i) for i in range(copies)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    good = list(range(0, 200, 2))
+    r = classifier.log_ratios(docs, spark.createDataFrame([(i,) for i in good], "_id long"), "doc_id", "text", 1 << 12)
+    same = {}
+    for t in texts:
+        same[t.lower()] = same.get(t.lower(), 0) + 1
+    raw, target = np.ones(1 << 12), np.ones(1 << 12)
+    for i, t in enumerate(texts):
+        np.add.at(raw, classifier.ngram_buckets(t, 1 << 12), 1 / same[t.lower()])
+        if i in set(good):
+            np.add.at(target, classifier.ngram_buckets(t, 1 << 12), 1.0)
+    assert np.allclose(r, np.log(target / target.sum()) - np.log(raw / raw.sum()), atol=1e-5)
+
+
 def test_pipeline_stages_on_edges(spark, docs, empty):
     sf = "/root/testdata/sf0.001"
     for table in (docs, empty):

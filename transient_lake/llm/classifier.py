@@ -15,11 +15,14 @@ all but ``1 - keep_good`` of held-out labelled good documents reach.
 
 The target model is fitted on a bounded sample of labelled rows
 (``LABELLED``), half of it held out for the level.  Counts of the raw model,
-weights and the choice of the k-th largest cover all documents; a text with
-very many exact copies (a heavy hitter: at most ``1 / HEAVY`` of them exist)
-counts once in the raw model, so that its copies do not make it look raw.
+weights and the choice of the k-th largest cover all documents.  A row counts
+in the raw model by 1 / the rows whose normalised text equals its own (the
+classes of exact dedup), at every size of class and table, so copies and case
+variants together count as one document and do not make their text look raw;
+near copies are texts of their own.  Rows meet their class size by (hash,
+``SALT`` parts of the ids), so a class of any size is dealt over many tasks.
 Whatever goes to the driver or is broadcast is bounded: ``BUCKETS`` ratios,
-``LABELLED`` ids, ``1 / HEAVY`` hashes, 65,536 counts of a histogram step.
+``LABELLED`` ids, 65,536 counts of a histogram step.
 
 Defined results: documents without words have weight 0 and a Gumbel number
 like any other; rows that tie with the k-th stay; repeated rows have equal
@@ -37,15 +40,17 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import checkpoint_dir, scratch_path
+from .exact_dedup import content_hash, normalised
 from .tokenize import RecentCache, hold, is_short
 
 BUCKETS = 1 << 16
 SCALE = 200.0
 NEUTRAL = 50
 LABELLED = 20_000
-HEAVY = 1e-3
+SALT = 32
 KEEP_GOOD = 0.995
 _MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WORDS = 100_000  # hashes of words that a generation of a worker's cache keeps
@@ -67,12 +72,14 @@ def ngram_buckets(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     return (np.concatenate([one, two]) >> shift).astype(np.int64)
 
 
-def _heavy_texts(docs: DataFrame, text: str) -> DataFrame:
-    """(hash, copies) of texts that make up at least ``HEAVY`` of all rows."""
-    each = docs.groupBy(F.xxhash64(text).alias("_h")).agg(F.count("*").alias("copies"))
-    total = docs.agg(F.count("*").alias("rows"))
-    return F.broadcast(each.join(F.broadcast(total), F.col("copies") >= F.greatest(F.lit(2), F.col("rows") * HEAVY))
-                       .select("_h", "copies").limit(int(1 / HEAVY) + 1))
+def _shares(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(_id, t, share) of every row; share: 1 / the rows of equal normalised text."""
+    keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).withColumns({
+        "_h": content_hash(normalised(F.col("t"))), "_part": F.pmod(F.xxhash64("_id"), F.lit(SALT)).cast("int")})
+    # counts combine map-side; a window holds the parts of one class, SALT rows at most
+    parts = keyed.groupBy("_h", "_part").agg(F.count("*").alias("n"))
+    copied = parts.select("_h", "_part", F.sum("n").over(Window.partitionBy("_h")).alias("copies")).where("copies > 1")
+    return keyed.join(copied, ["_h", "_part"], "left").select("_id", "t", (1.0 / F.coalesce("copies", F.lit(1))).alias("share"))
 
 
 def _labelled(labels: DataFrame, doc_id: str) -> DataFrame:
@@ -84,11 +91,8 @@ def _labelled(labels: DataFrame, doc_id: str) -> DataFrame:
 def log_ratios(docs: DataFrame, good: DataFrame, doc_id: str, text: str, buckets: int = BUCKETS) -> np.ndarray:
     """Log ratio of target to raw probability of every bucket; ``good`` has
     the ids of the target documents (bounded)."""
-    flagged = (docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t"))
-               .join(F.broadcast(good.withColumn("target", F.lit(1))), "_id", "left")
-               .withColumn("_h", F.xxhash64("t")).join(_heavy_texts(docs, text), "_h", "left")
-               .select("t", F.coalesce("target", F.lit(0)).alias("target"),
-                       (1.0 / F.coalesce("copies", F.lit(1))).alias("share")))
+    flagged = (_shares(docs, doc_id, text).join(F.broadcast(good.withColumn("target", F.lit(1))), "_id", "left")
+               .select("t", F.coalesce("target", F.lit(0)).alias("target"), "share"))
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw, target = np.zeros(buckets), np.zeros(buckets)
