@@ -261,3 +261,41 @@ def test_nested_link_texts_and_mail_parts(spark):
            "Content-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: quoted-printable\n\nnova =E9toile 2024abc\n--b--\n")
     got = spark.createDataFrame([(raw.encode(),), (None,)], "raw binary").select(sio.message_body("raw").alias("b")).collect()
     assert got[0].b.strip() == "nova étoile 2024abc" and got[1].b is None
+
+
+def test_documents_are_ingested_and_updated(spark, tmp_path):
+    """ST3: documents and messages of alerts; an update replaces the points of
+    the surveys whose source returned metadata and keeps the others."""
+    schema = "obj_id long, survey string, filter string, mjd double, mag double, mag_err double, limit double, " \
+             "fwhm double, detection int, camera string"
+    point = lambda o, s, mjd, mag: (o, s, "g", mjd, mag, 0.1, None, None, 1, "main")
+    lc = spark.createDataFrame([point(1, "ztf", 100.0, 18.0), point(1, "lsst", 101.0, 19.0), point(1, "ztf", 500.0, 17.0),
+                                point(2, "ztf", 100.0, 18.5)], schema)
+    windows = spark.createDataFrame([(1, 100.0, None, None), (2, 100.0, None, None)],
+                                    "obj_id long, discovery_mjd double, prior_days int, active_days int")
+    envelope = spark.createDataFrame([(1, "TXV-1"), (2, "TXV-2")], "obj_id long, archive_id string")
+    ztf = spark.createDataFrame([(1, "ZTF1")], "obj_id long, object_id string")
+    tns = spark.createDataFrame([(1, "a"), (2, "b")], "obj_id long, name string")
+    table, outbox = str(tmp_path / "documents"), str(tmp_path / "outbox")
+
+    def run(ids, name, sources, points, **kw):
+        feed = tmp_path / "feed"
+        spark.createDataFrame([(i,) for i in ids], "obj_id long").coalesce(1).write.mode("append").parquet(str(feed))
+        stream = spark.readStream.schema("obj_id long").parquet(str(feed))
+        J.ingest_documents_stream(stream, envelope, sources, windows, points, table, outbox, str(tmp_path / "ck"),
+                                  **kw).awaitTermination()
+        got = J._newest(J.read_log(spark, table), J.DOCUMENT_KEY).collect()
+        return {r["obj_id"]: (sorted(r["data_sources"].items()), [(p["survey"], p["mjd"], p["mag"]) for p in r["lightcurve"]])
+                for r in got}
+    first = run([1, 2, 2, 9], "a", {"fink_ztf": ztf, "tns": tns}, lc)
+    assert first == {1: ([("fink_ztf", '{"object_id":"ZTF1"}'), ("tns", '{"name":"a"}')],
+                         [("ztf", 100.0, 18.0), ("lsst", 101.0, 19.0)]),
+                     2: ([("tns", '{"name":"b"}')], [("ztf", 100.0, 18.5)])}
+    sent = J.read_log(spark, outbox)
+    assert sorted(r["key"] for r in sent.collect()) == ["1", "2"]
+    newer = spark.createDataFrame([(1, "ZTF1b")], "obj_id long, object_id string")
+    pull = spark.createDataFrame([point(1, "ztf", 102.0, 18.2), point(2, "ztf", 103.0, 16.0)], schema)
+    second = run([1, 2, 9], "b", {"fink_ztf": newer}, pull, surveys={"fink_ztf": "ztf"}, updates=True)
+    assert second == {1: ([("fink_ztf", '{"object_id":"ZTF1b"}'), ("tns", '{"name":"a"}')],
+                          [("lsst", 101.0, 19.0), ("ztf", 102.0, 18.2)]), 2: first[2]}
+    assert J.read_log(spark, outbox).count() == 2

@@ -7,8 +7,10 @@
   ``dropDuplicatesWithinWatermark`` on the pair key;
 * ST2 ``collate_hits_stream``: ``foreachBatch`` folds each micro-batch of
   pairs into the hit table (only hits touched by the batch are recomputed);
-* ST3 ``ingest_alert_stream``: ``foreachBatch`` recomputes the light-curve
-  summaries of the objects named in the batch;
+* ST3 ``ingest_documents_stream``: ``foreachBatch`` assembles metadata and
+  windowed light curve of the objects named in the batch, upserts their
+  documents and sends one message each; ``ingest_alert_stream`` recomputes
+  their light-curve summaries;
 * ST4 ``filter_alert_stream``: the alert conditions as a stateless filter.
 
 Tables written by ``foreachBatch`` are append-only logs with one folder per
@@ -27,11 +29,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import catalogue as cat
 from ..operators import hits as H
 from ..operators import photometry as ph
 from ..operators import sky
 from ..operators.search import match_alert_conditions
 from ..session import scratch_path
+from ..sources.io import encode_messages
 
 XMATCH_WINDOW = "120 hours"
 #: Sub-keys of a sky cell in stream joins.
@@ -269,6 +273,76 @@ def ingest_alert_stream(alert_ids: DataFrame, lc: DataFrame, table: str, outbox:
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+DOCUMENT_KEY = ["obj_id"]
+
+
+def _curves(points: DataFrame) -> DataFrame:
+    """(obj_id, lightcurve): the points of an object as one array, by mjd."""
+    cols = ["mjd", *[c for c in points.columns if c not in ("obj_id", "mjd")]]
+    return points.groupBy("obj_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("lightcurve"))
+
+
+def ingest_documents_stream(alert_ids: DataFrame, envelope: DataFrame, sources: dict[str, DataFrame], windows: DataFrame,
+                            lc: DataFrame, table: str, outbox: str, checkpoint: str, surveys: dict[str, str] | None = None,
+                            updates: bool = False, update_date=None, compact_every: int = 100, trigger: dict | None = None):
+    """ST3: for every micro-batch of object ids, assemble the metadata of
+    those objects (J4 over ``envelope`` and ``sources``, one row per obj_id
+    each), cut their points of ``lc`` to the active window (F1), and upsert
+    one document per object (S10): the envelope's columns, data_sources,
+    update_date and lightcurve.  Ids without an envelope give no document.
+
+    Alerts replace the whole document and send its metadata as one message
+    per object (S2).  With ``updates`` only stored objects are refreshed:
+    payloads of ``sources`` (those that are due) replace the stored ones, and
+    where a source returned metadata the points of its survey
+    (``surveys``: source -> survey) are replaced (U2); nothing is sent."""
+    def ingest(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id in committed(spark, table):
+            return  # the table's commit comes last: the batch is complete
+        ids = batch.select("obj_id").distinct().persist()
+
+        def touched(df: DataFrame) -> DataFrame:
+            return df.join(ids, "obj_id", "left_semi")
+        log = read_log(spark, table, batch_id)
+        stored = None if log is None else _newest(touched(log), DOCUMENT_KEY).where(~F.col("_deleted")).drop("_deleted")
+        found = {name: touched(df) for name, df in sources.items()}
+        points = ph.cut_mjd_window(touched(lc), touched(windows))
+        if updates and stored is None:
+            ids.unpersist()
+            return
+        if updates:
+            kept = stored.withColumnRenamed("data_sources", "_old").drop("update_date", "lightcurve")
+            new = F.col("data_sources")
+            meta = cat.assemble_metadata(kept, found, "obj_id").withColumn("data_sources", F.map_concat(
+                F.map_filter("_old", lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)).drop("_old")
+            pulled, points = points, stored.select("obj_id", F.inline("lightcurve")).select(*points.columns)
+            for name, survey in (surveys or {}).items():
+                if name in found:
+                    fresh = pulled.where(F.col("survey") == survey).join(found[name], "obj_id", "left_semi")
+                    points = cat.replace_survey_points(points, fresh, found[name], survey)
+        else:
+            meta = cat.assemble_metadata(touched(envelope), found, "obj_id")
+        curves = _curves(points)
+        docs = (meta.withColumn("update_date", F.current_timestamp() if update_date is None else update_date)
+                .join(curves, "obj_id", "left")
+                .withColumn("lightcurve", F.coalesce("lightcurve", F.array().cast(curves.schema["lightcurve"].dataType))))
+        target = _batch_dir(table, batch_id)
+        changed = docs if stored is None else cat.upsert(stored.select(*docs.columns), docs, "obj_id")
+        changed.withColumn("_deleted", F.lit(False)).write.mode("overwrite").parquet(target)
+        if not updates:
+            written = spark.read.schema(docs.schema).parquet(target).join(envelope, "obj_id", "left_semi")
+            encode_messages(written.drop("lightcurve"), key="obj_id").write.mode("overwrite").parquet(
+                _batch_dir(outbox, batch_id))
+            _commit(spark, outbox, batch_id)
+        _commit(spark, table, batch_id)
+        ids.unpersist()
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact_log(spark, table, DOCUMENT_KEY)
+    return (alert_ids.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
 def filter_alert_stream(docs: DataFrame, conditions: dict) -> DataFrame:
     """ST4: alert documents (stream or batch) that meet the conditions."""
     return match_alert_conditions(docs, conditions)
@@ -278,7 +352,6 @@ def publish_requests(requests: DataFrame, fmt: str = "kafka", path: str | None =
     """ST6 output: the refresh work list (``object_id, queue, source_name``)
     sent as keyed JSON messages, one per request - to a topic
     (``topic=...``, ``kafka.bootstrap.servers=...``) or to JSON files."""
-    from ..sources.io import encode_messages
     msgs = encode_messages(requests, key="object_id")
     if fmt == "kafka":
         msgs.write.format("kafka").options(**options).save()
