@@ -288,6 +288,18 @@ def test_near_copies_of_one_text(spark):
     assert sizes.get(0, 0) >= 55
 
 
+def test_every_group_keeps_one_row_when_ids_repeat(spark):
+    def words(seed):
+        rng = random.Random(seed)
+        return " ".join(f"w{rng.randint(0, 10 ** 6)}" for _ in range(40))
+    a, b, c, d = (words(i) for i in range(4))
+    rows = [(7, a), (7, b), (3, c), (5, c), (5, d), (7, d), (7, d), (None, words(9)), (None, words(9).upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in simhash.one_of_each(docs).collect()]
+    assert sorted(got[i] for i in range(len(got)) if got[i][0]) == sorted([(7, a), (7, b), (3, c), (5, d)])
+    assert sum(r[0] is None for r in got) == 1
+
+
 def poisson_inverse(rate, u):
     k, p = 0, np.exp(-rate)
     c = p

@@ -34,7 +34,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.components import star_components
 from ..session import checkpoint_dir, scratch_path
@@ -204,16 +203,21 @@ def links(points: DataFrame, distance: int = 3, crowd: int = CROWD) -> DataFrame
 def _grouped(docs: DataFrame, k: int, distance: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(doc id, fp) of every row, and (fp, label, component_id) of every fingerprint."""
     spark = docs.sparkSession
-    checkpoint_dir(spark)
     path = scratch_path(spark, "fingerprints")
     docs.select(F.col(doc_id), fingerprints(docs, k, text).alias("fp")).write.parquet(path)
     rows = spark.read.parquet(path)
+    return rows, _named(rows, distance, doc_id)
+
+
+def _named(rows: DataFrame, distance: int, doc_id: str) -> DataFrame:
+    """(fp, label, component_id) of every fingerprint of ``rows`` (doc id, fp)."""
+    checkpoint_dir(rows.sparkSession)
     points = rows.groupBy("fp").agg(F.min(doc_id).alias("least")).checkpoint()  # copies are one point
     comp = star_components(links(points, distance), "a", "b")
     named = points.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "label", F.coalesce("label", "fp"))
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows, named.select("fp", "label").join(ids, "label")
+    return named.select("fp", "label").join(ids, "label")
 
 
 def near_groups(docs: DataFrame, k: int = 3, distance: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,16 +232,19 @@ def hex_digits(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, k: int = 3, distance: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, with the columns of ``docs``: the one whose
-    id names the group (of repeated rows of that id the one with the smallest
-    hash of all its columns).  A group of rows without ids keeps one of them."""
-    rows, by_point = _grouped(docs, k, distance, doc_id, text)
-    by_hash = F.xxhash64(*[F.col(c) for c in docs.columns])
-    stays = rows.join(by_point, "fp").where(F.col("component_id") == F.col(doc_id)).select(doc_id).distinct()
-    named = docs.join(stays, doc_id, "left_semi").withColumn(
-        "_nth", F.row_number().over(Window.partitionBy(doc_id).orderBy(by_hash)))
-    nameless = docs.where(F.col(doc_id).isNull()).withColumn("_fp", fingerprints(docs, k, text)).join(
-        by_point.where("component_id is null").select(F.col("fp").alias("_fp"), "label"), "_fp").withColumn(
-        "_nth", F.row_number().over(Window.partitionBy("label").orderBy(by_hash)))
-    return (named.select(*docs.columns, "_nth").unionByName(nameless.select(*docs.columns, "_nth"))
-            .where("_nth = 1").select(*docs.columns))
+    """One document of each group, with the columns of ``docs``: the one with
+    the smallest id (of repeated ids the row with the smallest hash of all its
+    columns, of wholly equal rows any one).  A group of rows without ids keeps
+    one of them."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "rows")
+    columns = [F.col(c) for c in docs.columns]
+    # 128 bits of the whole row; the hash passes over nulls, so the second half holds their places too
+    hashes = {"_row": F.xxhash64(*columns), "_row2": F.xxhash64(F.lit(1), *[c.isNull() for c in columns], *columns)}
+    docs.select(F.col(doc_id).alias("_id"), *[h.alias(n) for n, h in hashes.items()],
+                fingerprints(docs, k, text).alias("fp")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    # one row a group, picked map-side; rows with an id before those without
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", *hashes))
+    stays = rows.join(_named(rows, distance, "_id"), "fp").groupBy("label").agg(first.alias("s")).select("s._row", "s._row2")
+    return docs.withColumns(hashes).join(stays, [*hashes], "left_semi").dropDuplicates([*hashes]).select(*docs.columns)
