@@ -360,6 +360,22 @@ def test_sharding_edges(spark, docs, empty):
     assert n["k200"].value_counts().min() > 50 and n["k200"].max() == 199
 
 
+def test_rows_of_one_key_are_numbered_in_many_groups(spark, monkeypatch):
+    texts = [f"text {i}" for i in range(600)]
+    docs = spark.createDataFrame([(7 if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = sharding.to_shards(docs, 4).collect()
+    for shard in {r["shard"] for r in rows}:
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
+    # in one group the slots of a key would follow the text checksums
+    mine = sorted((r for r in rows if r["doc_id"] == 7), key=lambda r: r["slot"])
+    sums = [zlib.crc32(r["text"].encode()) for r in mine]
+    assert 20 < sum(a > b for a, b in zip(sums, sums[1:])) < 100
+    monkeypatch.setattr(sharding, "GROUP_ROWS", 1)
+    wide = sorted((r for r in sharding.to_shards(docs, 4).collect() if r["doc_id"] == 7), key=lambda r: r["slot"])
+    sums = [zlib.crc32(r["text"].encode()) for r in wide]
+    assert sum(a > b for a, b in zip(sums, sums[1:])) > 80  # more rows, more groups
+
+
 def test_grammar_round_trip_and_slices(spark, docs, empty):
     rng = np.random.default_rng(5)
     for seq in (np.zeros(0, int), np.array([7]), np.full(5001, 3), np.tile([1, 2, 3, 1, 2, 4], 700), rng.integers(0, 9, 20_000),

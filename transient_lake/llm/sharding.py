@@ -10,9 +10,11 @@ The random numbers come from ``xxhash64(key, b)``: the upper 31 bits plus one,
 over 2^31.  A key takes about ln(n) jumps; the jumps are a fold over
 ``STEPS`` steps, and the rare key that needs more goes on over the full count.
 
-Slots number the rows of a shard without gaps.  Rows go by (shard, one of
-``BUCKETS`` hash buckets of the key), the sizes of these - shards x buckets
-rows - give each bucket's first slot, so no shard is numbered by one task.
+Slots number the rows of a shard without gaps.  Rows go by (shard, hash bucket
+of the whole row), the sizes of these - shards x buckets rows - give each
+bucket's first slot, so neither a shard nor the rows of one key or of null
+keys are numbered by one task.  There are ``BUCKETS`` buckets, or more so that
+a bucket of a shard has about ``GROUP_ROWS`` rows whatever the table.
 
 Defined results: a null key hashes like any value (all null keys share a
 shard); null texts have no bytes; repeated keys share a shard and take slots
@@ -28,6 +30,7 @@ from pyspark.sql.window import Window
 
 STEPS = 32
 BUCKETS = 64
+GROUP_ROWS = 10_000
 
 
 def jump_shard(key: Column, shards: int) -> Column:
@@ -46,23 +49,27 @@ def jump_shard(key: Column, shards: int) -> Column:
     return F.when(few["j"] >= shards, few["b"]).otherwise(rest["b"]).cast("int")
 
 
-def to_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def to_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text",
+              buckets: int | None = None) -> DataFrame:
     """``docs`` with size (UTF-8 bytes of the text plus 16), shard, slot,
     grown_shard (its shard with one more) and law ``key``, one task per
     (shard, bucket) group."""
     key = F.col(doc_id)
-    placed = docs.drop("size", "law", "shard", "slot", "grown_shard").withColumns({
+    buckets = buckets or max(BUCKETS, -(-docs.count() // (shards * GROUP_ROWS)))
+    docs = docs.drop("size", "law", "shard", "slot", "grown_shard")
+    row = [F.col(c) for c in docs.columns]
+    placed = docs.withColumns({
         "size": F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 16,
         "law": F.lit("key"), "shard": jump_shard(key, shards), "grown_shard": jump_shard(key, shards + 1),
-        "_bucket": F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(buckets)).cast("int")})
-    # the sizes read the key column only; shards x buckets rows whatever the table, so they may be broadcast
+        "_bucket": F.pmod(F.xxhash64(F.lit("slot"), *row), F.lit(buckets)).cast("int")})
+    # shards x buckets rows: one for about GROUP_ROWS rows of the table
     sizes = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     if shards * buckets <= 1_000_000:
         first = F.broadcast(first)
     within = Window.partitionBy("shard", "_bucket").orderBy(
-        key, F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), F.xxhash64(*[F.col(c) for c in docs.columns]))
+        key, F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), F.xxhash64(*row))
     return (placed.withColumn("_nth", F.row_number().over(within)).join(first, ["shard", "_bucket"])
             .withColumn("slot", F.col("_first") + F.col("_nth") - 1).drop("_bucket", "_nth", "_first"))
 
