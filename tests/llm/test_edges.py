@@ -205,6 +205,18 @@ def test_cascade_order():
     assert quality_rules.order_by_rejection(cost, {"a": {1}, "b": set(), "c": {1}})[0] == "a"
 
 
+def test_features_not_asked_for_are_computed_in_the_cascade_only(spark, monkeypatch):
+    fails = F.raise_error(F.lit("computed")).cast("long")
+    lines = quality_rules.FEATURES["n_lines"]
+    monkeypatch.setitem(quality_rules.FEATURES, "n_lines", lambda t: F.when(F.length(t) < 100, fails).otherwise(lines(t)))
+    docs = spark.createDataFrame([(1, "few words"), (2, " ".join(f"word{i}" for i in range(80)))], "doc_id long, text string")
+    order = [r.name for r in quality_rules.RULES]
+    for asked in (("n_words", "n_dup_lines"), ()):
+        got = {r["doc_id"]: r for r in quality_rules.cascade(docs, with_features=asked, order=order).collect()}
+        assert [(got[d]["failed_rule"], got[d]["kept"]) for d in (1, 2)] == [("few_words", False), (None, True)]
+        assert set(got[1].asDict()) == {"doc_id", "text", "failed_rule", "kept", *asked}
+
+
 def test_exact_dedup_edges(docs, empty):
     got = exact_dedup.exact_groups(clash(docs, "kept", "keep_id")).collect()
     assert len(got) == len(ROWS)

@@ -6,7 +6,9 @@ sample) and which rows it rejects, then orders the rules: next comes the rule
 that rejects most of what the earlier ones leave, per cost.  One CASE holds
 the rules in that order; a document is tested until the first rule rejects
 it, so later features are not computed for it.  The verdict does not depend
-on the order, only the name of the rule that is reported first does.
+on the order, only the name of the rule that is reported first does.  Features
+that the caller wants as columns are computed for every row and cost a rule
+nothing more; all others are computed inside the CASE only.
 
 Words are runs of other than ASCII white space.  Features see the whole text.
 
@@ -141,20 +143,22 @@ def measure(docs: DataFrame, rules=RULES, text: str = "text", rows: int = SAMPLE
     return {r.name: max(seconds(rejects(r, F.col("t"))) - idle, 1e-3) for r in rules}, rejected
 
 
-def cascade(docs: DataFrame, rules=RULES, text: str = "text", with_features: bool = False,
+def cascade(docs: DataFrame, rules=RULES, text: str = "text", with_features: bool | tuple[str, ...] = False,
             order: list[str] | None = None) -> DataFrame:
     """``docs`` with failed_rule (null: none) and kept.  ``with_features``
-    returns every feature of the rules too, computed once for every row."""
+    returns features of the rules too (those named, True: every one), computed
+    once for every row; rules that need no other feature cost nothing more."""
     by_name = {r.name: r for r in rules}
-    order = order or order_by_rejection(*measure(docs, rules, text))
     used = list(dict.fromkeys(f for r in rules for f in r.features))
-    out = docs.drop("failed_rule", "kept", *(used if with_features else []))
+    eager = [f for f in used if with_features is True or f in (with_features or ())]
+    if order is None:
+        cost, rejected = measure(docs, rules, text)
+        order = order_by_rejection({n: 1e-3 if set(by_name[n].features) <= set(eager) else c for n, c in cost.items()}, rejected)
+    out = docs.drop("failed_rule", "kept", *eager).withColumns(features(F.col(text), eager))
     verdict = None
-    if with_features:
-        out = out.withColumns(features(F.col(text), used))
     for name in order:
         rule = by_name[name]
-        hit = F.coalesce(rule.condition({f: F.col(f) for f in rule.features}), F.lit(False)) if with_features else rejects(
-            rule, F.col(text))
+        values = {f: F.col(f) if f in eager else FEATURES[f](F.col(text)) for f in rule.features}
+        hit = F.coalesce(rule.condition(values), F.lit(False))
         verdict = F.when(hit, name) if verdict is None else verdict.when(hit, name)
     return out.withColumn("failed_rule", verdict).withColumn("kept", F.col("failed_rule").isNull())

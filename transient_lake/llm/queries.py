@@ -86,10 +86,10 @@ from g
 
 @query("op4_quality_rules", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.cascade(table(spark, sf_dir, "documents"), with_features=True)
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = quality_rules.cascade(table(spark, sf_dir, "documents"), with_features=shown)
     base = [r.condition({f: F.col(f) for f in r.features}) for r in quality_rules.RULES if r.name in quality_rules.BASE]
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         (base[0] | base[1]).alias("base_failed"), "kept")
+    return judged.select("doc_id", *shown, (base[0] | base[1]).alias("base_failed"), "kept")
 
 
 @query("op5_exact_dedup", """
