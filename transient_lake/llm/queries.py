@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and their DuckDB SQL.
 
-``op1`` to ``op10`` apply one operator to its whole table with production
+``op1`` to ``op13`` apply one operator to its whole table with production
 parameters; the digest columns are derived from the operators' outputs.  Where
 SQL cannot express an operator (library tokenisers, SimHash, CRC-32, models),
 its tests hold it against a brute-force version.
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (classifier, exact_dedup, grammar_store, mixing, packing, quality_rules, sharding, simhash, token_counts,
-               warc)
+from . import (classifier, collocations, exact_dedup, grammar_store, license_scan, mixing, packing, prefix_trie,
+               quality_rules, sharding, simhash, token_counts, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -150,3 +150,116 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ids")
     grammar_store.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
     return grammar_store.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+OP11_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+one as (select lang, x, count(*) as f from (select lang, unnest(w) as x from w) group by all),
+total as (select lang, cast(sum(f) as bigint) as n from one group by lang),
+two as (select lang, w[i] as x, w[i + 1] as y, count(*) as a from (select lang, w, unnest(range(1, len(w))) as i from w)
+  group by all),
+three as (select lang, w[i] as x, w[i + 1] as y, w[i + 2] as z, count(*) as a
+  from (select lang, w, unnest(range(1, len(w) - 1)) as i from w) group by all having count(*) >= 10),
+cuts as (
+  select t.lang, x || ' ' || y as phrase, a, 1 as k, p.f as l, q.f as r from two t
+  join one p using (lang, x) join one q on q.lang = t.lang and q.x = t.y
+  where a >= 10 and not exists (select 1 from three c where c.lang = t.lang and 100 * c.a >= 50 * t.a
+    and (c.x = t.x and c.y = t.y or c.y = t.x and c.z = t.y))
+  union all
+  select t.lang, t.x || ' ' || t.y || ' ' || t.z, t.a, 1, p.f, q.a from three t
+  join one p on p.lang = t.lang and p.x = t.x join two q on q.lang = t.lang and q.x = t.y and q.y = t.z
+  union all
+  select t.lang, t.x || ' ' || t.y || ' ' || t.z, t.a, 2, p.a, q.f from three t
+  join two p on p.lang = t.lang and p.x = t.x and p.y = t.y join one q on q.lang = t.lang and q.x = t.z),
+scored as (select *, cast(1000000 * cast(a as hugeint) * a // (cast(l as hugeint) * r) as bigint) as score from cuts),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from lowest join total using (lang) qualify rank <= 2000
+"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), min_count=10, subsume=50, top=2000, max_words=3)
+
+
+OP12_SQL = """
+with t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''),
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as i,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as k, length(coalesce(text, '')) as size
+  from conversations where conv_id is not null),
+n as (select c, count(*) as n, c - c % 100 as b, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(
+    range(1, length(cast(c as varchar)) + 1), lambda j: [ascii(substr(cast(c as varchar), j, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) % 6 as h
+  from t group by c),
+v as (select n.*, least(n.h, coalesce(m.n, 0)) as e from n left join n m on m.c = n.b),
+r as (select v.c, e + i - h + 1 as d, k, size from t join v using (c) where i >= h
+  union all select v.c, i + 1, k, size from v join t on t.c = v.b where i < e),
+p as (select c, d, size, list(k) over (partition by c order by d) as p from r
+  union all select c, 0, 0, cast([] as varchar[]) from n),
+ends as (select c, max(d) as last from p group by c),
+node as (select p.d, p, min(c) as conv_id, count(*) as n_convs, max(size) as size,
+    sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (where last = p.d), '')) as ends_sha256
+  from p join ends using (c) group by p.d, p),
+kids as (select list_slice(p, 1, d - 1) as p, count(*) as n_children from node where d > 0 group by all),
+whole as (select node.*, coalesce(n_children, 0) as n_children from node left join kids using (p)),
+sums as (select q as p, count(*) filter (where n_children = 0) as n_leaves,
+    cast(sum((n_convs - 1) * size) as bigint) as saved_tokens
+  from (select n_children, n_convs, size, list_slice(p, 1, unnest(range(0, d + 1))) as q from whole) group by q)
+select w.conv_id, w.d as depth, u.conv_id as parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+from whole w join sums using (p) left join node u on w.d > 0 and u.p = list_slice(w.p, 1, w.d - 1)
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c")
+    return prefix_trie.report(table(spark, sf_dir, "conversations"), prefix_trie.head_turns(c), prefix_trie.block_start(c))
+
+
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+OP13_SQL = r"""
+with template(t, label, words, keys) as (values %s),
+doc as (select row_number() over () as id, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+lex as (select distinct unnest(words) as w from template),
+word as (select id, unnest(ws) as w, unnest(range(0, len(ws))) as i from doc),
+held as (select distinct id, w from word join lex using (w)),
+idf as (select w, row_number() over (order by coalesce(n, 0), w) as rank from lex left join
+  (select w, count(*) as n from held group by w) using (w)),
+rare as (select id, w from held join idf using (w) qualify row_number() over (partition by id order by rank) <= 12),
+posting as (select t, unnest(words) as w, unnest(range(0, len(words))) as q from template),
+place as (select t, w, min(q) as q from posting group by t, w),
+beginning as (select distinct id, t, i - q as s from rare join word using (id, w) join posting using (w)),
+known as (select id, t, w, q from rare join place using (w)),
+voted as (select b.id, b.t, b.s, count(*) as n, count(*) filter (where s + q >= 0 and ws[s + q + 1] = w) as v
+  from beginning b join known using (id, t) join doc using (id) group by all),
+verified as (select id, label, len(list_filter(range(0, len(words)), lambda j: s + j >= 0 and coalesce(ws[s + j + 1] = words[j + 1], false)))
+    / cast(len(words) as double) as share
+  from voted join template using (t) join doc using (id) where (v >= 3 or v = n) and len(list_filter(keys, lambda k:
+    len(list_filter(range(s + k.at - 6, s + k.at + 7), lambda i: i >= 0 and list_slice(ws, i + 1, i + len(k.words)) = k.words)) = 0)) = 0),
+best as (select id, list(label) as own, max(share) as score from verified group by id),
+base as (select id, list(i) as places, list(l) as l from (
+  select id, i - 1 as i, 'mit' as l from word a where w = 'license' and exists (select 1 from doc d where d.id = a.id and a.i >= 1 and d.ws[a.i] = 'mit')
+  union all
+  select id, i - 1, 'apache' from word a where w = 'license' and exists (select 1 from doc d where d.id = a.id and a.i >= 1 and d.ws[a.i] = 'apache')
+  union all
+  select id, i - 2, 'gpl' from word a where w = 'license' and exists (select 1 from doc d where d.id = a.id and a.i >= 2 and d.ws[a.i] = 'public'
+    and d.ws[a.i - 1] = 'general')) group by id)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(len(places), 0) as bigint) as n_base, list_min(places) as first_word,
+  list_max(places) as last_word, array_to_string(list_sort(list_distinct(coalesce(l, []))), ',') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(l, []), coalesce(own, [])))), ',') as labels, coalesce(score, 0.0) as score
+from doc left join best using (id) left join base using (id)
+""" % ", ".join(f"({i}, '{t.label}', {_sql_list(t.words)}, [" + ", ".join(
+    f"{{'at': {at}, 'words': {_sql_list(k)}}}" for at, k in t.key_places) + "])" for i, t in enumerate(license_scan.TEMPLATES))
+
+
+@query("op13_license_scan", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
