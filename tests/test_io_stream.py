@@ -1,15 +1,18 @@
 """Readers, sinks and streams: round trips and multi-batch equivalence."""
 
+import datetime as dt
 import io
 import os
 import tempfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from transient_lake.operators import catalogue as cat
 from transient_lake.operators import hits as H
 from transient_lake.sources import io as sio
+from transient_lake.sources import keyed_store
 from transient_lake.sources import testdata as td
 from transient_lake.streaming import jobs as J
 
@@ -102,13 +105,13 @@ def test_stream_crossmatch_equals_batch(spark):
 
 
 def test_incremental_collation_over_many_batches_equals_batch(spark):
-    # the chain fixture replayed in time order, one micro-batch per week
+    # the chain fixture replayed in time order, three micro-batches
     # (rows older than the 120 h watermark would be dropped as late)
     src = _tmp()
     ev = td.table(spark, SF_SMALL, "events")
-    for k in range(5):
+    for k in range(3):
         week = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 7)
-        ev.where(week == k).coalesce(1).write.parquet(os.path.join(src, f"week{k}"))
+        ev.where(week == k if k < 2 else week >= k).coalesce(1).write.parquet(os.path.join(src, f"week{k}"))
     base = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True) \
         .parquet(src).withColumn("ts", F.col("ts").cast("timestamp"))
     chain = base.selectExpr(
@@ -119,9 +122,9 @@ def test_incremental_collation_over_many_batches_equals_batch(spark):
         "ts as timestamp")
     pairs = J.crossmatch_stream(chain, 4.0)
     d = _tmp()
-    q = J.collate_hits_stream(pairs, os.path.join(d, "hits"), os.path.join(d, "ck"))
+    q = J.collate_hits_stream(pairs, os.path.join(d, "hits"), os.path.join(d, "ck"), buckets=4)
     q.awaitTermination()
-    streamed = J.current_state(spark, os.path.join(d, "hits"), ["obj_id"], J.HIT_SCHEMA)
+    streamed = J.HitTables(spark, os.path.join(d, "hits"), 4).members.read()
     # the same time-bounded pairs, computed in one batch
     members, _, _ = H.collate_hits(J.crossmatch_stream(td.sky_chain(spark, SF_SMALL), 4.0))
     # the same hits; a streamed hit keeps the id it was published with
@@ -134,9 +137,9 @@ def test_stream_join_state_is_evicted(spark):
     than the watermark and still finds every bounded pair."""
     src = _tmp()
     ev = td.table(spark, SF_SMALL, "events")
-    for k in range(5):
+    for k in range(3):
         week = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 7)
-        ev.where(week == k).coalesce(1).write.parquet(os.path.join(src, f"week{k}"))
+        ev.where(week == k if k < 2 else week >= k).coalesce(1).write.parquet(os.path.join(src, f"week{k}"))
     base = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True) \
         .parquet(src).withColumn("ts", F.col("ts").cast("timestamp"))
     alerts = base.selectExpr(
@@ -170,87 +173,163 @@ def test_refresh_requests_published_as_messages(spark):
     assert queues <= {"bulk", "update", "refresh"} and "bulk" in queues
 
 
-def test_replayed_batch_is_skipped(spark):
-    """Exactly-once folding: delivering the same micro-batch twice (a retry
-    after an executor loss) leaves the hit table unchanged."""
-    import datetime as dt
-    t0 = dt.datetime(2024, 1, 1)
-    schema = ("obj_id_1 string, source_1 string, ra_deg_1 double, dec_deg_1 double, timestamp_1 timestamp, "
-              "obj_id_2 string, source_2 string, ra_deg_2 double, dec_deg_2 double, timestamp_2 timestamp, "
-              "sep_arcsec double")
-    b0 = spark.createDataFrame([("a", "ztf", 1.0, 1.0, t0, "b", "lsst", 1.0, 1.0, t0, 0.0)], schema)
-    b1 = spark.createDataFrame([("b", "lsst", 1.0, 1.0, t0, "c", "atlas", 1.0, 1.0, t0, 0.0)], schema)
+PAIRS = ("obj_id_1 string, source_1 string, ra_deg_1 double, dec_deg_1 double, timestamp_1 timestamp, "
+         "obj_id_2 string, source_2 string, ra_deg_2 double, dec_deg_2 double, timestamp_2 timestamp, sep_arcsec double")
+
+
+def _pairs(spark, *links, year=2024):
+    t0 = dt.datetime(year, 1, 1)
+    return spark.createDataFrame([(a, "ztf", 1.0, 1.0, t0, b, "lsst", 1.0, 1.0, t0, 0.0) for a, b in links], PAIRS)
+
+
+def _hits(spark, table):
+    t = J.HitTables(spark, table, 4)
+    out = {}
+    for r in t.members.read().collect():
+        out.setdefault(r.xmatch_id, []).append(r.obj_id)
+    owners = {r.obj_id: r.xmatch_id for r in t.owners.read().collect()}
+    assert owners == {o: h for h, ids in out.items() for o in ids}  # both tables agree, an object has one hit
+    return {h: sorted(ids) for h, ids in out.items()}
+
+
+def test_hits_get_yearly_ids_and_merges_keep_the_oldest(spark):
     table = os.path.join(_tmp(), "hits")
-    fold = J.hit_folder(table)
-    fold(b0, 0)
-    fold(b1, 1)
-    state = lambda: sorted((r.xmatch_id, r.obj_id) for r in J.current_state(spark, table, ["obj_id"], J.HIT_SCHEMA).collect())
-    before = state()
-    fold(b1, 1)  # replay
-    assert state() == before == [("a", "a"), ("a", "b"), ("a", "c")]
-    assert len(spark.read.parquet(table).select("batch").distinct().collect()) == 2
-
-
-def test_compacted_log_reads_the_same_state(spark):
-    import datetime as dt
-    t0 = dt.datetime(2024, 1, 1)
-    schema = ("obj_id_1 string, source_1 string, ra_deg_1 double, dec_deg_1 double, timestamp_1 timestamp, "
-              "obj_id_2 string, source_2 string, ra_deg_2 double, dec_deg_2 double, timestamp_2 timestamp, "
-              "sep_arcsec double")
-    batches = [[("a", "ztf", 1.0, 1.0, t0, "b", "lsst", 1.0, 1.0, t0, 0.0)],
-               [("c", "ztf", 2.0, 2.0, t0, "d", "lsst", 2.0, 2.0, t0, 0.0)],
-               [("b", "lsst", 1.0, 1.0, t0, "c", "ztf", 2.0, 2.0, t0, 0.0)],
-               [("e", "ztf", 3.0, 3.0, t0, "f", "lsst", 3.0, 3.0, t0, 0.0)]]
+    fold = J.hit_folder(table, buckets=4)
+    fold(_pairs(spark, ("a", "b")), 0)
+    fold(_pairs(spark, ("c", "d"), ("e", "f")), 1)
+    first = _hits(spark, table)
+    assert sorted(first) == ["TXV-2024-000001", "TXV-2024-000002", "TXV-2024-000003"] and first["TXV-2024-000001"] == ["a", "b"]
+    fold(_pairs(spark, ("b", "c"), ("c", "e")), 2)  # three hits are one, the oldest id stays
+    fold(_pairs(spark, ("x", "y"), year=2025), 3)
+    fold(_pairs(spark, ("p", "q")), 4)
+    assert _hits(spark, table) == {"TXV-2024-000001": list("abcdef"), "TXV-2025-000001": ["x", "y"],
+                                   "TXV-2024-000004": ["p", "q"]}  # numbers of merged hits are not given again
+
+
+def test_replayed_batch_changes_nothing(spark):
     table = os.path.join(_tmp(), "hits")
-    fold = J.hit_folder(table, compact_every=3)  # also compacts by itself after batch 2
-    state = lambda: sorted((r.xmatch_id, r.obj_id) for r in J.current_state(spark, table, ["obj_id"], J.HIT_SCHEMA).collect())
-    for i, rows in enumerate(batches[:2]):
-        fold(spark.createDataFrame(rows, schema), i)
-    assert J.compact_log(spark, table, ["obj_id"]) == 1
-    for i, rows in enumerate(batches[2:], start=2):
-        fold(spark.createDataFrame(rows, schema), i)
-    assert state() == [("a", "a"), ("a", "b"), ("a", "c"), ("a", "d"), ("e", "e"), ("e", "f")]
-    J.compact_log(spark, table, ["obj_id"])
-    assert state() == [("a", "a"), ("a", "b"), ("a", "c"), ("a", "d"), ("e", "e"), ("e", "f")]
-
-
-def test_unreadable_log_raises(spark):
-    import datetime as dt
-
-    import pytest
-    t0 = dt.datetime(2024, 1, 1)
-    pair = [("a", "ztf", 1.0, 1.0, t0, "b", "lsst", 1.0, 1.0, t0, 0.0)]
-    schema = ("obj_id_1 string, source_1 string, ra_deg_1 double, dec_deg_1 double, timestamp_1 timestamp, "
-              "obj_id_2 string, source_2 string, ra_deg_2 double, dec_deg_2 double, timestamp_2 timestamp, "
-              "sep_arcsec double")
+    fold = J.hit_folder(table, buckets=4)
+    for i, links in enumerate([[("a", "b")], [("b", "c"), ("m", "n")], [("n", "o")]]):
+        fold(_pairs(spark, *links), i)
+    before = _hits(spark, table)
+    for i, links in ((2, [("n", "o")]), (1, [("b", "c"), ("m", "n")])):
+        fold(_pairs(spark, *links), i)
+        assert _hits(spark, table) == before
+
+
+@pytest.mark.parametrize("cut", ["members", "owners", "applied"])
+def test_batch_cut_short_is_finished_with_the_same_ids(spark, monkeypatch, cut):
+    """The driver dies before one of the tables of a batch is written; the
+    batch run again ends in the state of an unbroken run."""
+    links = [[("a", "b"), ("c", "d")], [("b", "c"), ("g", "h")]]
+    broken = os.path.join(_tmp(), "hits")
+    fold = J.hit_folder(broken, buckets=4)
+    fold(_pairs(spark, *links[0]), 0)
+    put, done = keyed_store.KeyedStore._put, J.set_last_batch
+
+    def dies(self, rows, buckets, batch_id):
+        if self.path.endswith(cut):
+            raise RuntimeError("killed")
+        put(self, rows, buckets, batch_id)
+
+    def dies_last(spark, path, batch_id):
+        if path.endswith("/applied") and cut == "applied":
+            raise RuntimeError("killed")
+        done(spark, path, batch_id)
+    with monkeypatch.context() as m:
+        m.setattr(keyed_store.KeyedStore, "_put", dies)
+        m.setattr(J, "set_last_batch", dies_last)
+        with pytest.raises(RuntimeError):
+            fold(_pairs(spark, *links[1]), 1)
+    fold(_pairs(spark, *links[1]), 1)
+    # a-b and c-d have the numbers 1 and 2 in MD5 order; g-h takes the next, once
+    assert _hits(spark, broken) == {"TXV-2024-000001": list("abcd"), "TXV-2024-000003": ["g", "h"]}
+
+
+def test_a_bucket_lost_in_the_middle_of_a_write_comes_back(spark):
+    """A partition was taken away and its new contents never arrived: the
+    batch run again puts them there."""
+    path = os.path.join(_tmp(), "t")
+    store = keyed_store.KeyedStore(spark, path, ("k",), "k long, v string", 4)
+    store.upsert(spark.range(40).selectExpr("id as k", "'old' as v"), batch_id=0)
+    change = spark.range(20).selectExpr("id as k", "'new' as v")
+    real = keyed_store.set_last_batch
+    keyed_store.set_last_batch = lambda s, p, b: None if p.endswith("_last") else real(s, p, b)
+    try:
+        store.upsert(change, batch_id=1)
+    finally:
+        keyed_store.set_last_batch = real
+    lost = os.path.join(path, "bucket=2")
+    os.rename(lost, os.path.join(_tmp(), "gone"))
+    assert store.read().count() < 40
+    store.upsert(change, batch_id=1)
+    assert {r.k: r.v for r in store.read().collect()} == {k: "new" if k < 20 else "old" for k in range(40)}
+
+
+def test_unreadable_store_raises(spark):
     table = os.path.join(_tmp(), "hits")
-    J.hit_folder(table)(spark.createDataFrame(pair, schema), 0)
-    for name in os.listdir(os.path.join(table, "batch=0")):
-        if name.endswith(".parquet"):
-            with open(os.path.join(table, "batch=0", name), "wb") as f:
-                f.write(b"not parquet")
+    J.hit_folder(table, buckets=4)(_pairs(spark, ("a", "b")), 0)
+    for folder, _, names in os.walk(os.path.join(table, "members")):
+        for name in names:
+            if name.endswith(".parquet"):
+                with open(os.path.join(folder, name), "wb") as f:
+                    f.write(b"not parquet")
     with pytest.raises(Exception):
-        J.current_state(spark, table, ["obj_id"], J.HIT_SCHEMA).collect()
+        _hits(spark, table)
     with pytest.raises(Exception):
-        J.hit_folder(table)(spark.createDataFrame(pair, schema), 1)
-
-
-def test_unfinished_batch_is_not_read_and_is_folded_again(spark):
-    import datetime as dt
-    t0 = dt.datetime(2024, 1, 1)
-    schema = ("obj_id_1 string, source_1 string, ra_deg_1 double, dec_deg_1 double, timestamp_1 timestamp, "
-              "obj_id_2 string, source_2 string, ra_deg_2 double, dec_deg_2 double, timestamp_2 timestamp, "
-              "sep_arcsec double")
-    table = os.path.join(_tmp(), "hits")
-    fold = J.hit_folder(table)
-    fold(spark.createDataFrame([("b", "ztf", 1.0, 1.0, t0, "c", "lsst", 1.0, 1.0, t0, 0.0)], schema), 0)
-    later = spark.createDataFrame([("a", "ztf", 1.0, 1.0, t0, "b", "lsst", 1.0, 1.0, t0, 0.0)], schema)
-    # data of batch 1 written, its commit lost
-    spark.read.parquet(os.path.join(table, "batch=0")).where("obj_id = 'b'").write.parquet(os.path.join(table, "batch=1"))
-    assert J.current_state(spark, table, ["obj_id"], J.HIT_SCHEMA).count() == 2
-    fold(later, 1)
-    state = {r.obj_id: r.xmatch_id for r in J.current_state(spark, table, ["obj_id"], J.HIT_SCHEMA).collect()}
-    assert len(set(state.values())) == 1 and set(state) == {"a", "b", "c"}
+        J.hit_folder(table, buckets=4)(_pairs(spark, ("a", "b")), 1)
+
+
+def _files(store):
+    return {os.path.join(d, f) for d, _, names in os.walk(store.path) for f in names if f.endswith(".parquet")}
+
+
+def test_a_change_rewrites_its_buckets_only_and_reads_do_not_grow(spark):
+    store = keyed_store.KeyedStore(spark, os.path.join(_tmp(), "t"), ("k",), "k long, v long", 16)
+    store.upsert(spark.range(1000).selectExpr("id as k", "0L as v"))
+    files, seen = _files(store), []
+    assert len(files) == 16
+    for i in range(6):
+        change = spark.createDataFrame([(7, i), (5000 + i % 2, i)], "k long, v long")
+        buckets = store.touched(change)
+        store.upsert(change, batch_id=i)
+        now = _files(store)
+        assert len(now) == 16 and len(now - files) == len(buckets) <= 2
+        files = now
+        read = store.read(spark.createDataFrame([(7,)], "k long"))
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert f"PartitionFilters: [(bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan, plan
+        seen.append(store._rows(store.touched(spark.createDataFrame([(7,)], "k long"))).select(F.input_file_name().alias("f")).distinct().count())
+        assert [tuple(r) for r in read.collect()] == [(7, i)]
+    assert seen == [1] * 6 and store.read().count() == 1002
+
+
+def test_store_groups_fields_and_empty_buckets(spark):
+    store = keyed_store.KeyedStore(spark, os.path.join(_tmp(), "t"), ("o", "s"), "o long, s string, v double, w string", 2)
+    assert store.read().count() == 0
+    df = lambda rows: spark.createDataFrame(rows, "o long, s string, v double, w string")
+    store.replace(df([(1, "z", 1.0, "a"), (1, "z", 2.0, "a"), (1, "l", 3.0, None), (None, None, 9.0, "lost"), (None, "z", 4.0, "b")]),
+                  df([]).select("o", "s"))
+    assert store.read().count() == 4  # a row without any key column cannot be addressed
+    ch = spark.createDataFrame([(1, "z", None, True, 1), (1, "z", 8.0, True, 2), (1, "l", 5.0, False, 3), (9, "z", 1.0, True, 1)],
+                               "o long, s string, v double, set_v boolean, at int")
+    store.set_fields(ch, ["v"], "at")
+    rows = lambda: sorted(((r.o, r.s, r.v, r.w) for r in store.read().collect()), key=str)
+    assert rows() == sorted([(1, "z", 8.0, "a"), (1, "z", 8.0, "a"), (1, "l", 3.0, None), (None, "z", 4.0, "b")], key=str)
+    everything = store.read().select("o", "s")
+    store.replace(df([]), everything.where("o is not null"))
+    assert [tuple(r)[:2] for r in store.read().collect()] == [(None, "z")]
+
+
+def test_several_changes_of_a_key_make_one_document(spark):
+    target = spark.createDataFrame([(1, 1.0, "x"), (2, 2.0, "y")], "k long, v double, t string")
+    ch = spark.createDataFrame([(1, 5.0, True, "p", False, 1), (1, 6.0, True, "q", True, 2), (1, None, False, "r", True, 1)],
+                               "k long, v double, set_v boolean, t string, set_t boolean, at int")
+    got = sorted(map(tuple, cat.set_fields(target, ch, "k", ["v", "t"], "at").collect()))
+    assert got == [(1, 6.0, "q"), (2, 2.0, "y")]
+    assert sorted(map(tuple, cat.set_fields(target, ch, "k", ["v", "t"]).collect())) == [(1, 6.0, "r"), (2, 2.0, "y")]
+    same = spark.createDataFrame([(1, 7.0, "a", 1), (1, 8.0, "b", 1), (3, 1.0, "n", 1)], "k long, v double, t string, at int")
+    assert sorted(map(tuple, cat.upsert(target, same, "k", "at").collect())) == [(1, 8.0, "b"), (2, 2.0, "y"), (3, 1.0, "n")]
 
 
 def test_nested_link_texts_and_mail_parts(spark):
@@ -284,18 +363,28 @@ def test_documents_are_ingested_and_updated(spark, tmp_path):
         stream = spark.readStream.schema("obj_id long").parquet(str(feed))
         J.ingest_documents_stream(stream, envelope, sources, windows, points, table, outbox, str(tmp_path / "ck"),
                                   **kw).awaitTermination()
-        got = J._newest(J.read_log(spark, table), J.DOCUMENT_KEY).collect()
+        got = J.document_store(envelope, points, table).read().collect()
         return {r["obj_id"]: (sorted(r["data_sources"].items()), [(p["survey"], p["mjd"], p["mag"]) for p in r["lightcurve"]])
                 for r in got}
     first = run([1, 2, 2, 9], "a", {"fink_ztf": ztf, "tns": tns}, lc)
     assert first == {1: ([("fink_ztf", '{"object_id":"ZTF1"}'), ("tns", '{"name":"a"}')],
                          [("ztf", 100.0, 18.0), ("lsst", 101.0, 19.0)]),
                      2: ([("tns", '{"name":"b"}')], [("ztf", 100.0, 18.5)])}
-    sent = J.read_log(spark, outbox)
-    assert sorted(r["key"] for r in sent.collect()) == ["1", "2"]
+    assert sorted(r["key"] for r in spark.read.parquet(outbox).collect()) == ["1", "2"]
+    assert [(r["obj_id"], r["reason"]) for r in spark.read.parquet(table + "_rejected").collect()] == [(9, "no envelope")]
+    store = keyed_store.KeyedStore(spark, str(tmp_path / "points"), ("obj_id",), lc.schema, 4)
+    store.replace(lc, lc.select("obj_id"))
     newer = spark.createDataFrame([(1, "ZTF1b")], "obj_id long, object_id string")
     pull = spark.createDataFrame([point(1, "ztf", 102.0, 18.2), point(2, "ztf", 103.0, 16.0)], schema)
     second = run([1, 2, 9], "b", {"fink_ztf": newer}, pull, surveys={"fink_ztf": "ztf"}, updates=True)
     assert second == {1: ([("fink_ztf", '{"object_id":"ZTF1b"}'), ("tns", '{"name":"a"}')],
                           [("lsst", 101.0, 19.0), ("ztf", 102.0, 18.2)]), 2: first[2]}
-    assert J.read_log(spark, outbox).count() == 2
+    assert spark.read.parquet(outbox).count() == 2
+    # the same alerts with the points in a keyed store
+    table, outbox = str(tmp_path / "documents2"), str(tmp_path / "outbox2")
+    feed2 = spark.readStream.schema("obj_id long").parquet(str(tmp_path / "feed"))
+    J.ingest_documents_stream(feed2, envelope, {"fink_ztf": ztf, "tns": tns}, windows, store, table, outbox,
+                              str(tmp_path / "ck2")).awaitTermination()
+    again = J.document_store(envelope, store, table).read().collect()
+    assert {r["obj_id"]: [(p["survey"], p["mjd"], p["mag"]) for p in r["lightcurve"]] for r in again} == {
+        k: v[1] for k, v in first.items()}

@@ -13,8 +13,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .numbering import DEFAULT_BUCKETS, dense_number
+from ..sources.config import ACTIVE_DEFAULTS
+from .numbering import number_by_digest
+from .photometry import default_days
 
 # --- N7, N8, N13-N15 -----------------------------------------------------
 
@@ -166,24 +169,41 @@ def hit_source_citations(members: DataFrame, associated: DataFrame, registry: Da
 
 # --- S10, S11, U2 --------------------------------------------------------
 
+def last_change(changes: DataFrame, key: str | list[str], order: str | None = None) -> DataFrame:
+    """One change a key: the one with the largest ``order``, of equal ones
+    (or without ``order``) the largest by content, whatever the row order."""
+    keys = [key] if isinstance(key, str) else key
+    cols = [c for c in changes.columns if c not in keys]
+    if not cols:
+        return changes.distinct()
+    content = F.to_json(F.struct(*cols))
+    rank = content if order is None else F.struct(F.col(order), content)
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*cols), rank).alias("_c")).select(*keys, "_c.*")
+
+
 def upsert(target: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Whole-document insert-or-replace.  With several changes for a
-    key the one with the largest ``order`` wins."""
+    key the one with the largest ``order`` wins, ties by content; without
+    ``order`` the caller gives one change a key."""
     if order is not None:
-        cols = [c for c in changes.columns if c != key]
-        changes = (changes.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_c"))
-                   .select(key, "_c.*"))
+        changes = last_change(changes, key, order)
     kept = target.join(changes.select(key), key, "left_anti")
     return kept.unionByName(changes.select(*target.columns))
 
 
-def set_fields(target: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def set_fields(target: DataFrame, changes: DataFrame, key: str | list[str], fields: list[str],
+               order: str | None = None) -> DataFrame:
     """Overwrite only ``fields`` of matched documents.  ``changes``
-    carries ``<field>`` plus a boolean ``set_<field>`` so NULL can be set."""
-    c = changes.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields],
-                       *[F.col(f"set_{f}").alias(f"_set_{f}") for f in fields])
-    j = target.join(c, key, "left")
-    out = [F.when(F.col(f"_set_{f}") == True, F.col(f"_new_{f}")).otherwise(F.col(f)).alias(f)  # noqa: E712
+    carries ``<field>`` plus a boolean ``set_<field>`` so NULL can be set.
+    Several changes of a document are reduced field by field: the one with
+    the largest ``order`` that sets the field wins, ties by the larger value
+    (NULL smallest)."""
+    keys = [key] if isinstance(key, str) else key
+    def newest(f: str) -> Column:
+        rank = F.struct(F.col(f)) if order is None else F.struct(F.col(order), F.col(f))
+        return F.max(F.when(F.col(f"set_{f}"), F.struct(rank.alias("r"), F.col(f).alias("v")))).alias(f"_new_{f}")
+    j = target.join(changes.groupBy(*keys).agg(*[newest(f) for f in fields]), keys, "left")
+    out = [F.when(F.col(f"_new_{f}").isNotNull(), F.col(f"_new_{f}.v")).otherwise(F.col(f)).alias(f)
            if f in fields else F.col(f) for f in target.columns]
     return j.select(*out)
 
@@ -209,24 +229,24 @@ def base36(n, width: int = ID_LEN) -> Column:
     return F.substring(F.lpad(F.conv(c.cast("string"), 10, 36), width, "0"), 1, width)
 
 
-def assign_ids(new: DataFrame, registry: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def assign_ids(new: DataFrame, registry: DataFrame) -> DataFrame:
     """Reuse the id of a known source_id, else the next yearly counter.
 
-    ``new``: (source_id, year); ``registry``: (year, idx, archive_id,
-    source_id).  New rows of a year get consecutive numbers after the
-    year's maximum through ``dense_number`` (hash buckets + offsets), so a
-    year holding most of the rows is still numbered by many tasks.  A year
-    out of numbers is flagged ``overflow`` and gets no id (NULL)."""
-    reg_latest = registry.groupBy("source_id").agg(F.max_by("archive_id", "idx").alias("known_id"))
-    cand = new.select("source_id", "year").distinct().join(reg_latest, "source_id", "left")
+    ``new``: (source_id, year), of a source under several years the first
+    counts; ``registry``: (year, idx, archive_id, source_id), of several ids
+    of a source the latest by (year, idx) is reused.  New rows of a year get
+    consecutive numbers after the year's maximum through ``number_by_digest``
+    (slices + offsets), so a year holding most of the rows is still numbered
+    by many tasks.  A year out of numbers is flagged ``overflow`` and gets no
+    id (NULL)."""
+    reg_latest = registry.groupBy("source_id").agg(F.max_by("archive_id", F.struct("year", "idx")).alias("known_id"))
+    cand = new.groupBy("source_id").agg(F.min("year").alias("year")).join(reg_latest, "source_id", "left")
     base = registry.groupBy("year").agg(F.max("idx").alias("_max"))
-    fresh = dense_number(cand.where("known_id is null"), ["year"], ["source_id"], "_k", buckets)
+    fresh = number_by_digest(cand.where("known_id is null"), ["year"], "source_id", "_k")
     numbered = (fresh.join(base, "year", "left")
                 .withColumn("idx", F.col("_k") + F.coalesce("_max", F.lit(0))))
     new_ids = numbered.select("source_id", "year", "idx",
-                              F.when(F.col("idx") < F.lit(36 ** ID_LEN), F.concat(
-                                  F.lit("TXV-"), F.col("year").cast("string"), F.lit("-"), base36("idx")))
-                              .alias("archive_id"),
+                              F.when(F.col("idx") < F.lit(36 ** ID_LEN), yearly_id("year", "idx")).alias("archive_id"),
                               (F.col("idx") >= F.lit(36 ** ID_LEN)).alias("overflow"),
                               F.lit(True).alias("is_new"))
     known = cand.where("known_id is not null").select(
@@ -235,6 +255,11 @@ def assign_ids(new: DataFrame, registry: DataFrame, buckets: int = DEFAULT_BUCKE
     return new_ids.unionByName(known)
 
 
+def yearly_id(year: str, idx: str) -> Column:
+    """TXV-<year>-<number in base 36>."""
+    return F.concat(F.lit("TXV-"), F.col(year).cast("string"), F.lit("-"), base36(idx))
+
+
 # --- F2, F3, F6 ----------------------------------------------------------
 
 def catalogue_objects(meta: DataFrame, source: str) -> DataFrame:
@@ -242,14 +267,16 @@ def catalogue_objects(meta: DataFrame, source: str) -> DataFrame:
     return meta.where(F.col("source") == source).select("archive_id", "source_id")
 
 
-def active_objects(meta: DataFrame, settings: DataFrame, source: str, now: str,
-                   default_active_days: int = 60) -> DataFrame:
-    """objects of ``source`` discovered fewer than ``active_days``
-    whole days before ``now`` (a parameter, not the wall clock)."""
-    m = meta.where(F.col("source") == source)
+def active_objects(meta: DataFrame, settings: DataFrame, source: str | None, now: str,
+                   defaults: dict[str, tuple[int, int]] = ACTIVE_DEFAULTS) -> DataFrame:
+    """objects of ``source`` (of every source without one) discovered
+    fewer than ``active_days`` whole days before ``now`` (a parameter, not the
+    wall clock).  Objects without a setting take their source's default; a
+    source without one needs a setting."""
+    m = meta if source is None else meta.where(F.col("source") == source)
     j = m.join(settings.select("archive_id", "active_days"), "archive_id", "left")
     days = F.datediff(F.to_date(F.lit(now)), F.col("discovery_date").try_cast("date"))
-    return (j.where(days < F.coalesce("active_days", F.lit(default_active_days)))
+    return (j.where(days < F.coalesce("active_days", default_days(F.col("source"), 1, defaults)))
             .select("archive_id", "source", "source_id"))
 
 
@@ -316,8 +343,9 @@ def export_frame(meta: DataFrame, lc: DataFrame, key: str = "archive_id", limit:
 
 
 def export_archive(meta: DataFrame, lc: DataFrame, path: str, key: str = "archive_id", limit: int | None = None) -> None:
-    """Write the dump as JSON lines, one ``{id, meta, lc}`` per object."""
-    export_frame(meta, lc, key, limit).write.mode("overwrite").json(path)
+    """Write the dump as JSON lines, one ``{id, meta, lc}`` per object;
+    NULL fields are written, so no column gets lost."""
+    export_frame(meta, lc, key, limit).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def export_layout(spark, path: str, layout: str = "new", key: str = "archive_id", limit: int | None = None) -> None:
@@ -326,12 +354,36 @@ def export_layout(spark, path: str, layout: str = "new", key: str = "archive_id"
     export_archive(spark.table(meta_t), spark.table(lc_t), path, key, limit)
 
 
-def import_archive(spark, path: str, key: str = "archive_id"):
-    """Inverse of S6 -> (meta, lc) DataFrames."""
-    df = spark.read.json(path)
-    meta = df.select(key, "meta.*")
-    lc = df.select(key, F.inline("lc"))
-    return meta, lc
+# The columns of a light-curve point in a dump.
+POINT_SCHEMA = ("survey string, filter string, mjd double, mag double, mag_err double, `limit` double, fwhm double, "
+                "detection int, camera string")
+
+
+def import_archive(spark, path: str, key: str = "archive_id", meta_schema: str | None = None, lc_schema: str | None = None):
+    """Inverse of S6 -> (meta, lc) DataFrames.  Without schemas the types
+    are inferred; points that are not there at all get ``POINT_SCHEMA``.  An
+    object without points has no row in lc."""
+    seen = {f.name: f.dataType for f in spark.read.json(path).schema.fields}
+
+    def struct_of(schema: str | None, found, default: str) -> StructType:
+        if schema is not None:
+            return StructType.fromDDL(schema)
+        return found if isinstance(found, StructType) else StructType.fromDDL(default)
+    points = seen.get("lc")
+    point = struct_of(lc_schema, points.elementType if isinstance(points, ArrayType) else None, POINT_SCHEMA)
+    meta = struct_of(meta_schema, seen.get("meta"), "")
+    read = spark.read.schema(StructType([StructField(key, seen.get(key, StringType())), StructField("meta", meta),
+                                         StructField("lc", ArrayType(point))])).json(path)
+    return (read.select(key, "meta.*") if meta.fields else read.select(key)), read.select(key, F.inline("lc"))
+
+
+def import_documents(spark, path: str, key: str = "archive_id") -> DataFrame:
+    """S7 for open documents: (key, meta, lc) of a dump with meta and lc as
+    VARIANT, so JSON nulls, number forms and nesting are kept whatever the
+    documents hold."""
+    doc = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.parse_json("value").alias("d"))
+    return doc.select(F.variant_get("d", f"$.{key}", "string").alias(key), F.variant_get("d", "$.meta", "variant").alias("meta"),
+                      F.variant_get("d", "$.lc", "variant").alias("lc"))
 
 
 def load_layout(spark, path: str, base: str, layout: str = "new", key: str = "archive_id") -> tuple[str, str]:

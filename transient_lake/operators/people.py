@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .foreign_keys import delete_rows, orphans
 from .numbering import dense_number
 
 
@@ -217,16 +218,20 @@ def merge_identities(users: DataFrame, identities: DataFrame, incoming: DataFram
 
 def apply_team_updates(teams: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Partial team updates; only supplied fields change (``set_<f>``
-    flags), a supplied name is trimmed and must not be blank."""
+    flags), a supplied name is trimmed and must not be blank.  An update with a
+    blank name is refused as a whole; of several good ones of a team a field
+    takes the smallest value set (one row a team, as in profile updates)."""
     fields = ["name", "description"]
     u = updates.select("team_id", *fields, *[f"set_{f}" for f in fields])
-    bad = u.where(F.col("set_name") & (F.col("name").isNull() | (F.trim("name") == "")))
-    good = u.join(bad.select("team_id"), "team_id", "left_anti").withColumn("name", F.trim("name"))
-    j = teams.join(good.select("team_id", *[F.col(f).alias(f"_n_{f}") for f in fields],
-                               *[F.col(f"set_{f}").alias(f"_s_{f}") for f in fields]), "team_id", "left")
+    blank = F.col("set_name") & (F.col("name").isNull() | (F.trim("name") == ""))
+    bad = u.where(blank).select("team_id").distinct()
+    good = (u.where(~F.coalesce(blank, F.lit(False))).withColumn("name", F.trim("name")).groupBy("team_id")
+            .agg(*[F.min(F.when(F.col(f"set_{f}"), F.col(f))).alias(f"_n_{f}") for f in fields],
+                 *[F.bool_or(f"set_{f}").alias(f"_s_{f}") for f in fields]))
+    j = teams.join(good, "team_id", "left")
     out = j.select(*[F.when(F.col(f"_s_{c}") == True, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)  # noqa: E712
                      if c in fields else F.col(c) for c in teams.columns])
-    return out, bad.select("team_id", F.lit("Team name must not be blank.").alias("error"))
+    return out, bad.withColumn("error", F.lit("Team name must not be blank."))
 
 
 def owner_counts(memberships: DataFrame) -> DataFrame:
@@ -266,6 +271,24 @@ def permission_check(requests: DataFrame, memberships: DataFrame) -> DataFrame:
     return ok.select("user_id", "team_id", "action", "role", reason.isNull().alias("allowed"), reason.alias("reason"))
 
 
+# What may be done with a tag by its owner, or by any member of the team that owns it.
+TAG_ACTIONS = ("view_tag", "assign_tag", "remove_assignment")
+
+
+def tag_permission_check(requests: DataFrame, tags: DataFrame, memberships: DataFrame) -> DataFrame:
+    """R15 for tags: (user_id, tag_id, action) -> allowed + reason.  A personal
+    tag is its owner's alone, a team's tag is for all its members; a tag that
+    is not visible to the user is unknown to them."""
+    owned = requests.join(tags.select("tag_id", "owner_user_id", "owner_team_id"), "tag_id", "left")
+    mine = memberships.select(F.col("user_id").alias("user_id"), F.col("team_id").alias("owner_team_id"), "role")
+    j = owned.join(mine, ["user_id", "owner_team_id"], "left")
+    own = F.coalesce(F.col("owner_user_id") == F.col("user_id"), F.lit(False))
+    reason = (F.when(~F.col("action").isin(list(TAG_ACTIONS)), "unknown action")
+              .when(F.col("owner_user_id").isNull() & F.col("owner_team_id").isNull(), "unknown tag")
+              .when(~own & F.col("role").isNull(), "no permission for this tag"))
+    return j.select("user_id", "tag_id", "action", reason.isNull().alias("allowed"), reason.alias("reason"))
+
+
 def resolve_tag(requests: DataFrame, memberships: DataFrame, tags: DataFrame) -> DataFrame:
     """(request_id, user_id, tag_id | tag_name [+ owner_team_id]) ->
     the visible tag, else a 'unknown_tag' error."""
@@ -310,30 +333,49 @@ def create_teams(teams: DataFrame, memberships: DataFrame, new_teams: DataFrame)
                                     .select(*memberships.columns)))
 
 
+def cascade_delete(tables: dict[str, DataFrame], deleted: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables (users, identities, teams, memberships, tags,
+    assignments; as many as are given) after a deletion and all that follows
+    from it by the declared foreign keys."""
+    return delete_rows(tables, deleted)
+
+
 def cascade_delete_teams(deleted: DataFrame, teams, memberships, tags, assignments):
     """Removing teams removes their memberships, their tags and those
-    tags' assignments (left_anti chain)."""
-    d = deleted.select("team_id").distinct()
-    dead_tags = tags.join(d.withColumnRenamed("team_id", "owner_team_id"), "owner_team_id", "left_semi").select("tag_id")
-    return (teams.join(d, "team_id", "left_anti"), memberships.join(d, "team_id", "left_anti"),
-            tags.join(dead_tags, "tag_id", "left_anti"), assignments.join(dead_tags, "tag_id", "left_anti"))
+    tags' assignments."""
+    left = delete_rows({"teams": teams, "memberships": memberships, "tags": tags, "assignments": assignments}, {"teams": deleted})
+    return left["teams"], left["memberships"], left["tags"], left["assignments"]
 
 
 def cascade_delete_users(deleted: DataFrame, users, memberships, tags, assignments):
     """Removing users removes their memberships and personal tags (and
     those tags' assignments); ``applied_by`` of surviving assignments that
-    points at a removed user becomes NULL."""
-    d = deleted.select("user_id").distinct()
-    dead_tags = tags.join(d.withColumnRenamed("user_id", "owner_user_id"), "owner_user_id", "left_semi").select("tag_id")
-    a = assignments.join(dead_tags, "tag_id", "left_anti")
-    a = (a.join(d.select(F.col("user_id").alias("applied_by"), F.lit(True).alias("_gone")), "applied_by", "left")
-         .withColumn("applied_by", F.when(F.col("_gone").isNull(), F.col("applied_by"))).drop("_gone"))
-    return (users.join(d, "user_id", "left_anti"), memberships.join(d, "user_id", "left_anti"),
-            tags.join(dead_tags, "tag_id", "left_anti"), a.select(*assignments.columns))
+    points at a removed user becomes NULL.  ``cascade_delete`` takes identities
+    and teams along."""
+    left = delete_rows({"users": users, "memberships": memberships, "tags": tags, "assignments": assignments}, {"users": deleted})
+    return left["users"], left["memberships"], left["tags"], left["assignments"]
+
+
+def remove_assignments(requests: DataFrame, assignments: DataFrame, tags: DataFrame,
+                       memberships: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """R15 + R14: (object_id, tag_id, user_id) requests to take a tag off an
+    object.  The owner of a personal tag and every member of the owning team
+    may; one allowed request is enough.  Returns the assignments that are left
+    and the requests with ``removed`` and ``reason``."""
+    key = ["object_id", "tag_id"]
+    r = requests.select(*key, "user_id").distinct()
+    found = r.join(assignments.select(*key, F.lit(True).alias("_found")), key, "left")
+    allowed = tag_permission_check(r.select("user_id", "tag_id").distinct().withColumn("action", F.lit("remove_assignment")),
+                                   tags, memberships).select("user_id", "tag_id", "allowed", "reason")
+    judged = found.join(allowed, ["user_id", "tag_id"]).withColumn(
+        "reason", F.when(F.col("_found").isNull(), "no such assignment").otherwise(F.col("reason"))).select(
+        *key, "user_id", F.col("reason").isNull().alias("removed"), "reason")
+    return assignments.join(judged.where("removed").select(*key).distinct(), key, "left_anti"), judged
 
 
 def audit_constraints(users, identities, teams, memberships, tags, assignments) -> DataFrame:
-    """One frame of constraint violations (kind, key, n)."""
+    """One frame of constraint violations (kind, key, n): broken unique
+    keys and owners, and rows whose parent is missing by the declared keys."""
     def dup(df, kind, cols):
         return (df.groupBy(*cols).agg(F.count("*").alias("n")).where("n > 1")
                 .select(F.lit(kind).alias("kind"), F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("key"), "n"))
@@ -347,13 +389,8 @@ def audit_constraints(users, identities, teams, memberships, tags, assignments)
         tags.where(F.col("owner_user_id").isNull() == F.col("owner_team_id").isNull()).select(
             F.lit("tag owner not exactly one").alias("kind"), F.col("tag_id").cast("string").alias("key"),
             F.lit(1).cast("long").alias("n")),
-        memberships.join(users.select("user_id"), "user_id", "left_anti").select(
-            F.lit("membership without user").alias("kind"), F.concat_ws("|", F.col("team_id").cast("string"),
-                                                                    F.col("user_id").cast("string")).alias("key"),
-            F.lit(1).cast("long").alias("n")),
-        assignments.join(tags.select("tag_id"), "tag_id", "left_anti").select(
-            F.lit("assignment without tag").alias("kind"), F.concat_ws("|", "object_id", F.col("tag_id").cast("string"))
-            .alias("key"), F.lit(1).cast("long").alias("n")),
+        orphans({"users": users, "identities": identities, "teams": teams, "memberships": memberships, "tags": tags,
+                 "assignments": assignments}),
         owner_counts(memberships).where("n_owners = 0").select(
             F.lit("team without owner").alias("kind"), F.col("team_id").cast("string").alias("key"),
             F.lit(1).cast("long").alias("n")),

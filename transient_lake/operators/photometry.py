@@ -23,13 +23,14 @@ reference resolves them by arrival order, which is not reproducible).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
 from pyspark.sql.window import Window
 
 from ..functions.time import jd_to_mjd, mjd_to_iso
+from ..sources.config import ACTIVE_DEFAULTS
 
 G = ["obj_id", "survey", "filter"]
 LC_COLS = ["obj_id", "survey", "filter", "mjd", "mag", "mag_err", "limit", "fwhm", "detection", "camera"]
@@ -152,18 +153,22 @@ def union_lightcurves(*lcs: DataFrame) -> DataFrame:
 
 # --- F1 / J5 -------------------------------------------------------------
 
-# Default active window (days before / after discovery).
-DEFAULT_PRIOR_DAYS = 30
-DEFAULT_ACTIVE_DAYS = 60
+def default_days(source: Column, which: int, defaults: dict[str, tuple[int, int]] = ACTIVE_DEFAULTS) -> Column:
+    """Days before (0) or after (1) discovery that a source's objects are
+    active by default; NULL for an unknown source."""
+    days = F.create_map(*[x for s, d in defaults.items() for x in (F.lit(s), F.lit(d[which]))])
+    return days[source]
 
 
-def active_windows(windows: DataFrame, prior_days: int = DEFAULT_PRIOR_DAYS,
-                   active_days: int = DEFAULT_ACTIVE_DAYS) -> DataFrame:
-    """Per-object settings, or the defaults, as an MJD interval."""
+def active_windows(windows: DataFrame, defaults: dict[str, tuple[int, int]] = ACTIVE_DEFAULTS) -> DataFrame:
+    """Per-object settings, or the defaults of its source, as an MJD
+    interval.  Windows without a ``source`` column are of the first source in
+    ``defaults``; an unknown source without settings gives no window."""
+    source = F.col("source") if "source" in windows.columns else F.lit(next(iter(defaults)))
     return windows.select(
         "obj_id",
-        (F.col("discovery_mjd") - F.coalesce("prior_days", F.lit(prior_days))).alias("mjd_min"),
-        (F.col("discovery_mjd") + F.coalesce("active_days", F.lit(active_days))).alias("mjd_max"))
+        (F.col("discovery_mjd") - F.coalesce("prior_days", default_days(source, 0, defaults))).alias("mjd_min"),
+        (F.col("discovery_mjd") + F.coalesce("active_days", default_days(source, 1, defaults))).alias("mjd_max"))
 
 
 def cut_mjd_window(lc: DataFrame, windows: DataFrame, **defaults) -> DataFrame:

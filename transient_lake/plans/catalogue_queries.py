@@ -250,30 +250,28 @@ def q_base36_ids(spark, sf_dir):
 @register("assign_ids", sql="""
 with reg as (select cast(substr(cast(discovery_date as varchar), 1, 4) as int) as year,
                     cast(source_id as bigint) as idx, archive_id, source_id from objects),
-new as (select distinct name as source_id, cast(substr(cast(discoverydate as varchar), 1, 4) as int) as year
-        from public_catalogue),
-known as (select distinct source_id from reg),
-fresh as (select * from new where source_id not in (select source_id from known)),
-base as (select year, max(idx) as mx from reg group by year)
-select f.year, count(*) as n_new, min(coalesce(b.mx, 0)) + 1 as first_idx, min(coalesce(b.mx, 0)) + count(*) as last_idx,
-       count(*) as n_distinct_ids,
-       (select count(*) from new n where n.source_id in (select source_id from known) and n.year = f.year) as n_reused
-from fresh f left join base b using (year) group by f.year
+new as (select name as source_id, min(y) as year from (
+          select name, cast(substr(cast(discoverydate as varchar), 1, 4) as int) as y from public_catalogue
+          union all select name, cast(substr(cast(discoverydate as varchar), 1, 4) as int) + 1 from public_catalogue)
+        group by name),
+known as (select source_id, arg_max(archive_id, (year, idx)) as archive_id from reg group by source_id),
+base as (select year, max(idx) as mx from reg group by year),
+fresh as (select n.source_id, n.year, coalesce(mx, 0) + row_number() over (partition by n.year order by md5(n.source_id)) as idx
+          from new n left join base using (year) where n.source_id not in (select source_id from known))
+select source_id, year, idx, 'TXV-' || year || '-' || lpad(upper(to_base(idx, 36)), 6, '0') as archive_id, true as is_new from fresh
+union all select source_id, year, null, archive_id, false from new join known using (source_id)
 """, views=("objects", "public_catalogue"))
 def q_assign_ids(spark, sf_dir):
     """Yearly identifiers for new public objects, ids reused for known
-    ones; per year: count, first/last index (dense) and distinct ids."""
+    ones; every object is asked for under two years."""
     o = td.objects(spark, sf_dir)
     reg = o.select(F.substring(F.col("discovery_date").cast("string"), 1, 4).cast("int").alias("year"),
                    F.col("source_id").cast("long").alias("idx"), "archive_id", "source_id")
     new = td.public_catalogue(spark, sf_dir).select(
         F.col("name").alias("source_id"),
         F.substring(F.col("discoverydate").cast("string"), 1, 4).cast("int").alias("year"))
-    ids = cat.assign_ids(new, reg)
-    return ids.groupBy("year").agg(
-        F.expr("count_if(is_new)").alias("n_new"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"),
-        F.expr("count(distinct archive_id) filter (where is_new)").alias("n_distinct_ids"),
-        F.expr("count_if(not is_new)").alias("n_reused")).where("n_new > 0")
+    twice = new.unionByName(new.withColumn("year", F.col("year") + 1))
+    return cat.assign_ids(twice, reg).select("source_id", "year", "idx", "archive_id", "is_new")
 
 
 @register("catalogue_objects", sql="""
@@ -286,11 +284,12 @@ def q_catalogue_objects(spark, sf_dir):
 
 @register("active_objects", sql=f"""
 select o.archive_id, o.source, o.source_id from objects o left join active_settings s using (archive_id)
-where o.source = 'tns' and date_diff('day', cast(o.discovery_date as date), date '{NOW}') < coalesce(s.active_days, 60)
+where date_diff('day', cast(o.discovery_date as date), date '{NOW}')
+  < coalesce(s.active_days, case o.source when 'tns' then 60 when 'xmatch' then 14 end)
 """, views=("objects", "active_settings"))
 def q_active_objects(spark, sf_dir):
-    """catalogue objects still inside their active window at ``NOW``."""
-    return cat.active_objects(td.objects(spark, sf_dir), td.active_settings(spark, sf_dir), "tns", NOW)
+    """objects of both sources still inside their active window at ``NOW``."""
+    return cat.active_objects(td.objects(spark, sf_dir), td.active_settings(spark, sf_dir), None, NOW)
 
 
 @register("due_sources", sql=f"""

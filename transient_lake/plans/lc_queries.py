@@ -233,12 +233,16 @@ def q_normalise_lsst(spark, sf_dir):
 
 
 @register("cut_mjd_window", sql="""
-select l.* from lc_points l join mjd_windows w using (obj_id)
-where l.mjd between w.discovery_mjd - coalesce(w.prior_days, 30) and w.discovery_mjd + coalesce(w.active_days, 60)
+with w as (select *, obj_id % 4 = 1 as x from mjd_windows)
+select l.* from lc_points l join w using (obj_id)
+where l.mjd between w.discovery_mjd - coalesce(w.prior_days, case when x then 7 else 30 end)
+                and w.discovery_mjd + coalesce(w.active_days, case when x then 14 else 60 end)
 """, views=("lc_points", "mjd_windows"))
 def q_cut_mjd_window(spark, sf_dir):
-    """F1 + J5: points inside each object's active window (settings or defaults)."""
-    return ph.cut_mjd_window(_lc(spark, sf_dir), td.mjd_windows(spark, sf_dir))
+    """F1 + J5: points inside each object's active window (settings, or the
+    defaults of its source)."""
+    source = F.when(F.col("obj_id") % 4 == 1, "xmatch").otherwise("tns")
+    return ph.cut_mjd_window(_lc(spark, sf_dir), td.mjd_windows(spark, sf_dir).withColumn("source", source))
 
 
 @register("dedupe_keep_first", sql=f"""

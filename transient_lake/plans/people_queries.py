@@ -6,6 +6,8 @@ ordered, ...), so each query's work grows with the data."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import people as P
@@ -223,36 +225,46 @@ def q_merge_identities(spark, sf_dir):
 
 @register("apply_team_updates", sql="""
 with upd as (select n_nationkey as team_id,
-                    case when n_nationkey = 3 then '  ' else '  ' || n_name || ' team ' end as name,
+                    case when n_nationkey in (3, 4) then '  ' else '  ' || n_name || ' team ' end as name,
                     'updated' as description, n_nationkey % 2 = 0 as set_name, n_nationkey % 3 = 0 as set_description
-             from nation),
+             from nation
+             union all select n_nationkey, ' second ' || n_name, null, n_nationkey % 4 = 0, n_nationkey % 5 = 0 from nation),
+best as (select team_id, min(trim(name)) filter (where set_name and trim(name) <> '') as name,
+                bool_or(set_name and trim(name) <> '') as set_name,
+                min(description) filter (where set_description and not (set_name and trim(name) = '')) as description,
+                bool_or(set_description and not (set_name and trim(name) = '')) as set_description from upd group by team_id),
 bad as (select team_id from upd where set_name and (name is null or trim(name) = ''))
-select t.team_id,
-       case when u.set_name and u.team_id not in (select team_id from bad) then trim(u.name) else t.name end as name,
-       case when u.set_description and u.team_id not in (select team_id from bad) then u.description
-            else t.description end as description
-from teams t left join upd u using (team_id)
+select t.team_id, case when u.set_name then u.name else t.name end as name,
+       case when u.set_description then u.description else t.description end as description,
+       t.team_id in (select team_id from bad) as has_bad
+from teams t left join best u using (team_id)
 """, views=("teams",))
 def q_apply_team_updates(spark, sf_dir):
-    """Partial team updates; blank names rejected, names trimmed."""
+    """Two partial updates of every team; blank names rejected, names trimmed."""
     upd = td.table(spark, sf_dir, "nation").selectExpr(
         "n_nationkey as team_id",
-        "case when n_nationkey = 3 then '  ' else concat('  ', n_name, ' team ') end as name",
+        "case when n_nationkey in (3, 4) then '  ' else concat('  ', n_name, ' team ') end as name",
         "'updated' as description", "n_nationkey % 2 = 0 as set_name", "n_nationkey % 3 = 0 as set_description")
-    out, _ = P.apply_team_updates(td.teams(spark, sf_dir), upd)
-    return out
+    second = td.table(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey as team_id", "concat(' second ', n_name) as name", "cast(null as string) as description",
+        "n_nationkey % 4 = 0 as set_name", "n_nationkey % 5 = 0 as set_description")
+    out, bad = P.apply_team_updates(td.teams(spark, sf_dir), upd.unionByName(second))
+    return out.join(bad.select("team_id", F.lit(True).alias("has_bad")), "team_id", "left").withColumn(
+        "has_bad", F.coalesce("has_bad", F.lit(False)))
 
 
 @register("audit_constraints", sql="""
+with users_left as (select * from users where user_id % 50 <> 3), teams_left as (select * from teams where team_id % 9 <> 4),
+tags_left as (select * from tags where tag_id % 40 <> 7)
 select 'duplicate personal tag name' as kind, cast(owner_user_id as varchar) || '|' || name as key, count(*) as n
-from tags where owner_user_id is not null group by owner_user_id, name having count(*) > 1
+from tags_left where owner_user_id is not null group by owner_user_id, name having count(*) > 1
 union all
 select 'duplicate team tag name', cast(owner_team_id as varchar) || '|' || name, count(*)
-from tags where owner_team_id is not null group by owner_team_id, name having count(*) > 1
+from tags_left where owner_team_id is not null group by owner_team_id, name having count(*) > 1
 union all
-select 'duplicate username', username, count(*) from users where username is not null group by username having count(*) > 1
+select 'duplicate username', username, count(*) from users_left where username is not null group by username having count(*) > 1
 union all
-select 'duplicate team name', name, count(*) from teams group by name having count(*) > 1
+select 'duplicate team name', name, count(*) from teams_left group by name having count(*) > 1
 union all
 select 'duplicate identity', provider || '|' || provider_user_id, count(*) from identities
 group by provider, provider_user_id having count(*) > 1
@@ -260,14 +272,28 @@ union all
 select 'duplicate assignment', object_id || '|' || cast(tag_id as varchar), count(*) from assignments
 group by object_id, tag_id having count(*) > 1
 union all
-select 'tag owner not exactly one', cast(tag_id as varchar), 1 from tags
+select 'tag owner not exactly one', cast(tag_id as varchar), 1 from tags_left
 where (owner_user_id is null) = (owner_team_id is null)
 union all
 select 'membership without user', cast(team_id as varchar) || '|' || cast(user_id as varchar), 1 from memberships
-where user_id not in (select user_id from users)
+where user_id not in (select user_id from users_left)
 union all
 select 'assignment without tag', object_id || '|' || cast(tag_id as varchar), 1 from assignments
-where tag_id not in (select tag_id from tags)
+where tag_id not in (select tag_id from tags_left)
+union all
+select 'assignment applied by no user', object_id || '|' || cast(tag_id as varchar), 1 from assignments
+where applied_by not in (select user_id from users_left)
+union all
+select 'identity without user', provider || '|' || provider_user_id, 1 from identities where user_id not in (select user_id from users_left)
+union all
+select 'membership without team', cast(team_id as varchar) || '|' || cast(user_id as varchar), 1 from memberships
+where team_id not in (select team_id from teams_left)
+union all
+select 'tag without owner user', cast(tag_id as varchar), 1 from tags_left where owner_user_id not in (select user_id from users_left)
+union all
+select 'tag without owner team', cast(tag_id as varchar), 1 from tags_left where owner_team_id not in (select team_id from teams_left)
+union all
+select 'team created by no user', cast(team_id as varchar), 1 from teams_left where (team_id * 37) % 1500 not in (select user_id from users_left)
 union all
 select 'team without owner', cast(team_id as varchar), 1 from memberships group by team_id
 having count_if(role = 'owner') = 0
@@ -275,45 +301,57 @@ having count_if(role = 'owner') = 0
 def q_audit_constraints(spark, sf_dir):
     """Every uniqueness / owner / orphan-key violation in one frame."""
     users, teams, mem, tags, asg = _t(spark, sf_dir)
+    users, tags = users.where("user_id % 50 <> 3"), tags.where("tag_id % 40 <> 7")  # rows taken away leave orphans
+    teams = teams.where("team_id % 9 <> 4").withColumn("created_by", F.col("team_id") * 37 % 1500)
     return P.audit_constraints(users, td.identities(spark, sf_dir), teams, mem, tags, asg)
 
 
 @register("insert_memberships", sql="""
 with req as (select distinct cast(o_orderkey % 25 as int) as team_id, o_custkey as user_id, 'member' as role
              from orders)
-select team_id, count(*) as n_members, cast(count_if(role = 'owner') as bigint) as n_owners from (
-  select * from memberships
-  union all select * from req where (team_id, user_id) not in (select (team_id, user_id) from memberships))
-group by team_id
+select team_id, user_id, role, cast(null as varchar) as error from memberships
+union all select team_id, user_id, role, null from req where (team_id, user_id) not in (select (team_id, user_id) from memberships)
+union all select team_id, user_id, null, 'already a member' from req where (team_id, user_id) in (select (team_id, user_id) from memberships)
 """, views=("memberships",))
 def q_insert_memberships(spark, sf_dir):
     """Every order's reporter asks to join a team; requests are added
-    idempotently (existing members rejected); members and owners per team."""
+    idempotently; all members afterwards, and the rejected requests."""
     req = td.table(spark, sf_dir, "orders").selectExpr(
         "cast(o_orderkey % 25 as int) as team_id", "o_custkey as user_id", "'member' as role").distinct()
-    mem, _ = P.insert_memberships(td.memberships(spark, sf_dir), req)
-    return P.owner_counts(mem).select("team_id", "n_members", "n_owners")
+    mem, rejected = P.insert_memberships(td.memberships(spark, sf_dir), req)
+    return mem.select("team_id", "user_id", "role", F.lit(None).cast("string").alias("error")).unionByName(
+        rejected.select("team_id", "user_id", F.lit(None).cast("string").alias("role"), "error"))
+
+
+def _left_rows(left, created_by=False):
+    """Rows of all tables in one frame: table, key, and the columns that a deletion may null."""
+    text = lambda *cols: F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    none = F.lit(None).cast("string")
+    parts = [left[n].select(F.lit(n).alias("tbl"), text(*key).alias("key"),
+                            (F.col(extra).cast("string") if extra in left[n].columns else none).alias("points_at"))
+             for n, key, extra in (("users", ["user_id"], None), ("identities", ["provider", "provider_user_id"], "user_id"),
+                                   ("teams", ["team_id"], "created_by"), ("memberships", ["team_id", "user_id"], "role"),
+                                   ("tags", ["tag_id"], None), ("assignments", ["object_id", "tag_id"], "applied_by")) if n in left]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @register("cascade_delete", sql="""
 with d as (select n_nationkey as team_id from nation where n_regionkey = 0),
-dt as (select tag_id from tags where owner_team_id in (select team_id from d))
-select 'teams' as tbl, count(*) as n from teams where team_id not in (select team_id from d)
-union all select 'memberships', count(*) from memberships where team_id not in (select team_id from d)
-union all select 'tags', count(*) from tags where tag_id not in (select tag_id from dt)
-union all select 'assignments', count(*) from assignments where tag_id not in (select tag_id from dt)
+dt as (select tag_id from tags where owner_team_id in (select team_id from d) union select tag_id from tags where tag_id % 10 = 9)
+select 'teams' as tbl, cast(team_id as varchar) as key, cast(null as varchar) as points_at from teams
+  where team_id not in (select team_id from d)
+union all select 'memberships', team_id || '|' || user_id, role from memberships where team_id not in (select team_id from d)
+union all select 'tags', cast(tag_id as varchar), null from tags where tag_id not in (select tag_id from dt)
+union all select 'assignments', object_id || '|' || tag_id, cast(applied_by as varchar) from assignments
+  where tag_id not in (select tag_id from dt)
 """, views=V)
 def q_cascade_delete(spark, sf_dir):
-    """Deleting the teams of one region and everything hanging off them."""
-    users, teams, mem, tags, asg = _t(spark, sf_dir)
+    """Deleting the teams of one region and every tenth tag, with
+    everything that hangs off them; the rows that are left."""
+    _, teams, mem, tags, asg = _t(spark, sf_dir)
     d = td.table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("team_id"))
-    t2, m2, tg2, a2 = P.cascade_delete_teams(d, teams, mem, tags, asg)
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("tbl"), "n")
-             for name, df in (("teams", t2), ("memberships", m2), ("tags", tg2), ("assignments", a2))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _left_rows(P.cascade_delete({"teams": teams, "memberships": mem, "tags": tags, "assignments": asg},
+                                       {"teams": d, "tags": tags.where("tag_id % 10 = 9")}))
 
 
 _ACTIONS = "(select * from (values (0, 'delete_team'), (1, 'manage_members'), (2, 'view_members'), " \
@@ -499,28 +537,51 @@ def q_insert_assignments(spark, sf_dir):
 
 @register("cascade_delete_users", sql="""
 with d as (select c_custkey as user_id from customer where c_acctbal < 0),
-dt as (select tag_id from tags where owner_user_id in (select user_id from d)),
-a as (select object_id, tag_id, case when applied_by in (select user_id from d) then null else applied_by end as applied_by
-      from assignments where tag_id not in (select tag_id from dt))
-select 'users' as tbl, count(*) as n, cast(null as bigint) as n_null_applied_by from users
+dt as (select tag_id from tags where owner_user_id in (select user_id from d))
+select 'users' as tbl, cast(user_id as varchar) as key, cast(null as varchar) as points_at from users
   where user_id not in (select user_id from d)
-union all select 'memberships', count(*), null from memberships where user_id not in (select user_id from d)
-union all select 'tags', count(*), null from tags where tag_id not in (select tag_id from dt)
-union all select 'assignments', count(*), count(*) - count(applied_by) from a
-""", views=V)
+union all select 'identities', provider || '|' || provider_user_id, cast(user_id as varchar) from identities
+  where user_id not in (select user_id from d)
+union all select 'teams', cast(team_id as varchar),
+  case when (team_id * 37) % 1500 in (select user_id from d) then null else cast((team_id * 37) % 1500 as varchar) end from teams
+union all select 'memberships', team_id || '|' || user_id, role from memberships where user_id not in (select user_id from d)
+union all select 'tags', cast(tag_id as varchar), null from tags where tag_id not in (select tag_id from dt)
+union all select 'assignments', object_id || '|' || tag_id,
+  case when applied_by in (select user_id from d) then null else cast(applied_by as varchar) end
+  from assignments where tag_id not in (select tag_id from dt)
+""", views=V + ("identities",))
 def q_cascade_delete_users(spark, sf_dir):
-    """Deleting the users with a negative balance: their memberships
-    and personal tags (and those tags' assignments) go, and assignments
-    they applied keep existing with ``applied_by`` set to NULL."""
+    """Deleting the users with a negative balance: their identities,
+    memberships and personal tags (and those tags' assignments) go; teams they
+    created and assignments they applied stay with a NULL."""
     users, teams, mem, tags, asg = _t(spark, sf_dir)
     d = td.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
-    u2, m2, t2, a2 = P.cascade_delete_users(d, users, mem, tags, asg)
-    def count(df, name, nulls=None):
-        return df.agg(F.count("*").alias("n"), (nulls if nulls is not None else F.lit(None).cast("long"))
-                      .alias("n_null_applied_by")).select(F.lit(name).alias("tbl"), "n", "n_null_applied_by")
-    parts = [count(u2, "users"), count(m2, "memberships"), count(t2, "tags"),
-             count(a2, "assignments", F.count("*") - F.count("applied_by"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    teams = teams.withColumn("created_by", (F.col("team_id") * 37 % 1500).cast("long"))
+    return _left_rows(P.cascade_delete({"users": users, "identities": td.identities(spark, sf_dir), "teams": teams,
+                                        "memberships": mem, "tags": tags, "assignments": asg}, {"users": d}))
+
+
+@register("remove_assignments", sql="""
+with req as (select distinct object_id, tag_id + case when cast(object_id as bigint) % 7 = 0 then 100000 else 0 end as tag_id,
+    case cast(object_id as bigint) % 3 when 0 then tag_id % 100 else cast(object_id as bigint) % 150 end as user_id from assignments
+    where tag_id % 4 < 3),
+own as (select req.*, t.owner_user_id, t.owner_team_id, exists (select 1 from assignments a where a.object_id = req.object_id
+    and a.tag_id = req.tag_id) as found from req left join tags t using (tag_id)),
+j as (select own.*, case when not found then 'no such assignment' when owner_user_id is null and owner_team_id is null then 'unknown tag'
+    when owner_user_id = user_id or exists (select 1 from memberships m where m.team_id = own.owner_team_id and m.user_id = own.user_id)
+    then null else 'no permission for this tag' end as reason from own)
+select 'request' as tbl, object_id, tag_id, user_id, reason is null as removed, reason from j
+union all select 'left', object_id, tag_id, null, null, null from assignments a
+where not exists (select 1 from j where j.object_id = a.object_id and j.tag_id = a.tag_id and reason is null)
+""", views=V)
+def q_remove_assignments(spark, sf_dir):
+    """R15 + R14: requests to take tags off objects, allowed for a personal
+    tag's owner and the owning team's members; requests and what is left."""
+    _, _, mem, tags, asg = _t(spark, sf_dir)
+    o = F.col("object_id").cast("long")
+    req = asg.where("tag_id % 4 < 3").select(
+        "object_id", (F.col("tag_id") + F.when(o % 7 == 0, 100000).otherwise(0)).alias("tag_id"),
+        F.when(o % 3 == 0, F.col("tag_id") % 100).otherwise(o % 150).alias("user_id")).distinct()
+    left, judged = P.remove_assignments(req, asg, tags, mem)
+    return judged.withColumn("tbl", F.lit("request")).unionByName(
+        left.select("object_id", "tag_id", F.lit("left").alias("tbl")), allowMissingColumns=True)

@@ -7,9 +7,11 @@ source in tests and on batch frames.
 
 from __future__ import annotations
 
+import csv
 import email
 import html
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
 
@@ -70,30 +72,57 @@ def write_messages_stream(df: DataFrame, checkpoint: str, fmt: str = "kafka", pa
 
 # --- S3 ------------------------------------------------------------------
 
-def _unzip_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _records(content: bytes) -> Iterator[tuple[str, Iterator[list[str]]]]:
+    """(member, records) of a zip; a member is decompressed as it is read and
+    a quoted field may hold line breaks."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for member in z.namelist():
+            with z.open(member) as raw:
+                yield member, csv.reader(io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=""))
+
+
+def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for member in z.namelist():
-                    text = z.read(member).decode("utf-8", errors="replace").splitlines()
-                    yield pd.DataFrame({"path": path, "member": member, "line_no": range(len(text)), "line": text})
+            for member, records in _records(content):
+                next(records, None)  # the banner
+                names = next(records, [])
+                yield pd.DataFrame({"path": path, "member": member, "pos": range(len(names)), "name": names})
+
+
+def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            for _, records in _records(content):
+                next(records, None)
+                names = next(records, [])
+                while rows := list(itertools.islice(records, CATALOGUE_BATCH)):
+                    yield pd.DataFrame({"m": [{n: v for n, v in zip(names, r) if v != ""} for r in rows if r]})
+
+
+#: Catalogue rows that a task holds at a time.
+CATALOGUE_BATCH = 10_000
+
+
+def catalogue_rows(files: DataFrame) -> DataFrame:
+    """S3: rows of zipped CSV catalogues (path, content).  In every member the
+    first record is a banner and the second its own header: columns are found
+    by name, whatever their order, and a column that a member lacks is NULL
+    there, as is an empty field.  A zip is read by one task (it cannot be
+    split), a batch of rows at a time."""
+    named = files.select("path", "content").mapInPandas(_headers, "path string, member string, pos long, name string")
+    first = named.groupBy("name").agg(F.min(F.struct("path", "member", "pos")).alias("at"))
+    names = [r["name"] for r in first.orderBy("at").collect()]  # as many as there are columns
+    if not names:
+        return files.sparkSession.createDataFrame([], "name string")
+    rows = files.select("path", "content").mapInPandas(_rows, "m map<string,string>")
+    return rows.select(*[F.col("m")[n].alias(n) for n in names])
 
 
 def read_public_catalogue(spark: SparkSession, path: str, sort_col: str = "name") -> DataFrame:
-    """S3: zipped CSV catalogue; the first line is a banner, the second the
-    header; rows sorted by ``sort_col`` descending.  Each zip is unpacked by
-    one task (a zip cannot be split); rows are parsed by Spark's CSV reader
-    from the unpacked lines."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    lines = files.mapInPandas(_unzip_lines, "path string, member string, line_no long, line string")
-    header = lines.where("line_no = 1").select("line").first()
-    if header is None:
-        return spark.createDataFrame([], "name string")
-    names = list(pd.read_csv(io.StringIO(header.line), nrows=0).columns)
-    schema = ", ".join(f"`{n}` string" for n in names)
-    body = lines.where("line_no >= 2 and length(line) > 0")
-    rows = body.select(F.from_csv("line", schema).alias("r")).select("r.*")
-    return rows.orderBy(F.col(sort_col).desc())
+    """S3: zipped CSV catalogues under ``path`` (see ``catalogue_rows``),
+    sorted by ``sort_col`` descending."""
+    return catalogue_rows(spark.read.format("binaryFile").load(path)).orderBy(F.col(sort_col).desc())
 
 
 # --- S4, S5 --------------------------------------------------------------
@@ -123,11 +152,21 @@ def read_survey_json(spark: SparkSession, path: str, schema: T.StructType | str)
 
 # --- S8, S9 --------------------------------------------------------------
 
+def json_documents(texts: DataFrame, value: str = "value") -> DataFrame:
+    """Every document of JSON texts that hold one object or a list of them, as
+    a VARIANT column ``doc`` beside the other columns: JSON nulls, nesting and
+    number forms stay as they are, no schema is inferred."""
+    v = F.parse_json(F.col(value))
+    one = F.array(v)
+    many = F.when(F.substring(F.ltrim(F.col(value)), 1, 1) == "[", v.cast("array<variant>")).otherwise(one)
+    return texts.select(*[c for c in texts.columns if c != value], F.posexplode(many).alias("pos", "doc"))
+
+
 def publish_json_batch(spark: SparkSession, path: str) -> DataFrame:
-    """A file holding one JSON object or a list of them -> one message
-    per object (the list case is flattened by the JSON reader)."""
-    df = spark.read.option("multiLine", True).json(path)
-    return encode_messages(df, key=None)
+    """Files holding one JSON object or a list of them -> one message
+    per object, sent as it is (NULL fields included)."""
+    docs = json_documents(spark.read.text(path, wholetext=True))
+    return docs.select(F.lit(None).cast("string").alias("key"), F.to_json("doc").alias("value"))
 
 
 def topic_offsets(messages: DataFrame) -> DataFrame:
@@ -140,11 +179,15 @@ def topic_offsets(messages: DataFrame) -> DataFrame:
 
 # --- S12 -----------------------------------------------------------------
 
+def bibtex_stems(files: DataFrame) -> DataFrame:
+    """(file_name, value) -> (stem, text); files of other kinds have no stem."""
+    stem = F.regexp_extract(F.col("file_name"), r"^(.*)\.bib$", 1)
+    return files.select(F.nullif(stem, F.lit("")).alias("stem"), F.col("value").alias("text"))
+
+
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
     """One citation text per ``.bib`` file, keyed by the file stem."""
-    df = spark.read.text(path, wholetext=True)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.bib$", 1)
-    return df.select(stem.alias("stem"), F.col("value").alias("text"))
+    return bibtex_stems(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value"))
 
 
 # --- S13, C18 ------------------------------------------------------------

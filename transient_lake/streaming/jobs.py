@@ -13,29 +13,31 @@
   their light-curve summaries;
 * ST4 ``filter_alert_stream``: the alert conditions as a stateless filter.
 
-Tables written by ``foreachBatch`` are append-only logs with one folder per
-batch id (``batch=<id>``) and a commit row per finished batch: a replayed
-batch finds its commit and is skipped, and a batch cut short is rewritten,
-so output is exactly-once even when a batch is retried after an executor
-loss.  The current state is the newest row per key across the log.
+Tables written by ``foreachBatch`` are keyed stores (``sources.keyed_store``):
+partitioned by a hash bucket of their key, a batch rewrites the buckets that it
+touches.  What a batch changes is written once under its batch id, so a batch
+that is run again, complete or cut short, has the same effect as one run.
 Checkpoints and tables live under the cluster's shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType, TimestampType
 
 from ..operators import catalogue as cat
 from ..operators import hits as H
 from ..operators import photometry as ph
 from ..operators import sky
+from ..operators.numbering import number_by_digest
 from ..operators.search import match_alert_conditions
-from ..session import scratch_path
+from ..session import checkpoint_dir, scratch_path
 from ..sources.io import encode_messages
+from ..sources.keyed_store import DEFAULT_BUCKETS, KeyedStore, last_batch, set_last_batch, written_once
 
 XMATCH_WINDOW = "120 hours"
 #: Sub-keys of a sky cell in stream joins.
@@ -97,248 +99,211 @@ def run_available_now(df: DataFrame, name: str, fmt: str = "parquet") -> str:
     return out
 
 
-# --- log-structured tables written from foreachBatch ---------------------
-
-def _batch_dir(table: str, batch_id: int) -> str:
-    return os.path.join(table, f"batch={batch_id}")
-
-
-def _read_if_there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """The Parquet data of a folder, or None if the folder does not exist.
-    Every other failure is raised: data that cannot be read is not no data."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    try:
-        return reader.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def committed(spark: SparkSession, table: str) -> list[int]:
-    """Batches that were written in full.  Each batch appends one row to
-    ``<table>/_commits`` after its data (folders starting with ``_`` are
-    ignored by readers of the table)."""
-    log = _read_if_there(spark, os.path.join(table, "_commits"), "batch_id long")
-    return [] if log is None else sorted(r[0] for r in log.distinct().collect())
-
-
-def _commit(spark: SparkSession, table: str, batch_id: int) -> None:
-    spark.range(batch_id, batch_id + 1, 1, 1).withColumnRenamed("id", "batch_id").write.mode("append").parquet(
-        os.path.join(table, "_commits"))
-
-
-def _snapshots(table: str) -> str:
-    return table.rstrip("/") + "_snapshots"
-
-
-def read_log(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The effective log: the latest compaction snapshot (if any) plus the
-    committed batch folders after it, by name, so folders below the snapshot
-    and folders of unfinished batches are not even listed.  ``before`` leaves
-    out that batch and later ones.  None if nothing was committed yet."""
-    done = [b for b in committed(spark, table) if before is None or b < before]
-    snaps, snap, upto = _read_if_there(spark, _snapshots(table)), None, -1
-    if snaps is not None:
-        known = [r[0] for r in snaps.select("upto").distinct().collect() if before is None or r[0] < before]
-        if known:
-            upto = max(known)
-            snap = snaps.where(F.col("upto") == upto).withColumnRenamed("upto", "batch").withColumn(
-                "batch", F.col("batch").cast("long"))
-    paths = [_batch_dir(table, b) for b in done if b > upto]
-    log = None
-    if paths:
-        log = spark.read.option("basePath", table).parquet(*paths).withColumn("batch", F.col("batch").cast("long"))
-    if log is None or snap is None:
-        return snap if log is None else log
-    return log.unionByName(snap)
-
-
-def compact_log(spark: SparkSession, table: str, key: list[str]) -> int | None:
-    """Write the newest row of every live key of the log as a snapshot
-    ``upto=<last batch>``; returns that batch id.  Run between micro-batches
-    (or from the stream's own ``foreachBatch`` every N batches)."""
-    log = read_log(spark, table)
-    if log is None:
-        return None
-    upto = max(committed(spark, table))
-    newest = _newest(log, key).where(~F.col("_deleted"))
-    newest.write.mode("overwrite").parquet(os.path.join(_snapshots(table), f"upto={upto}"))
-    return upto
-
-
-def _newest(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Newest row per ``key`` across the batches of a log (partial per task)."""
-    cols = [c for c in rows.columns if c not in key and c != "batch"]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_r")).select(*key, "_r.*")
-
-
-def current_state(spark: SparkSession, table: str, key: list[str], schema: str) -> DataFrame:
-    """Newest row per ``key`` across all committed batches of a log table.
-    Rows flagged ``_deleted`` are tombstones."""
-    log = read_log(spark, table)
-    if log is None:
-        return spark.createDataFrame([], schema)
-    return _newest(log, key).where(~F.col("_deleted")).drop("_deleted")
-
-
-def touched_hits(spark: SparkSession, table: str, ids: DataFrame, before: int | None = None) -> DataFrame:
-    """Current members of the hits that contain any of ``ids``, read from
-    the hit log without aggregating the whole log: the log is first
-    narrowed to the touched objects, then to the members of their hits,
-    and only those rows are reduced to their newest version.  ``before``
-    reads the state before that batch."""
-    log = read_log(spark, table, before)
-    if log is None:
-        return spark.createDataFrame([], HIT_SCHEMA)
-
-    def newest(rows):
-        return _newest(rows, ["obj_id"]).where(~F.col("_deleted")).drop("_deleted")
-    hit_ids = newest(log.join(ids.select("obj_id").distinct(), "obj_id", "left_semi")).select("xmatch_id").distinct()
-    members = log.join(hit_ids, "xmatch_id", "left_semi").select("obj_id").distinct()
-    current = newest(log.join(members, "obj_id", "left_semi"))
-    # an object may have moved to another hit since; keep current members only
-    return current.join(hit_ids, "xmatch_id", "left_semi")
-
+# --- ST2: hits in keyed tables ---------------------------------------------
 
 HIT_SCHEMA = ("xmatch_id string, obj_id string, source string, ra_deg double, dec_deg double, ra_hms string, "
               "dec_dms string, timestamp timestamp")
 
 
-def hit_folder(table: str, compact_every: int = 0):
+@dataclass(frozen=True)
+class HitTables:
+    """Members by hit, the hit of every object, and the last number of every year."""
+
+    spark: SparkSession
+    base: str
+    buckets: int = DEFAULT_BUCKETS
+
+    @property
+    def members(self) -> KeyedStore:
+        return KeyedStore(self.spark, f"{self.base}/members", ("xmatch_id",), HIT_SCHEMA, self.buckets)
+
+    @property
+    def owners(self) -> KeyedStore:
+        return KeyedStore(self.spark, f"{self.base}/owners", ("obj_id",), "obj_id string, xmatch_id string", self.buckets)
+
+    @property
+    def years(self) -> KeyedStore:
+        return KeyedStore(self.spark, f"{self.base}/years", ("year",), "year int, last long", 1)
+
+    def touched(self, ids: DataFrame) -> DataFrame:
+        """All members of the hits that contain any of ``ids`` (obj_id): two
+        reads that prune to buckets."""
+        return self.members.read(self.owners.read(ids).select("xmatch_id"))
+
+
+def _folded(tables: HitTables, pairs: DataFrame) -> DataFrame:
+    """Members of every hit that the pairs touch, with their hit's id after
+    the batch and before it (``old_id``); new hits get the next numbers of the
+    year of their first detection, in the MD5 order of their smallest member."""
+    existing = tables.touched(sky.split_pair(pairs).select("obj_id")).checkpoint()
+    changed, _merges = H.update_hits(existing, pairs)
+    fresh = (changed.join(existing.select("xmatch_id").distinct(), "xmatch_id", "left_anti")
+             .groupBy("xmatch_id").agg(F.year(F.min("timestamp")).alias("year")))
+    numbered = (number_by_digest(fresh, ["year"], "xmatch_id", "_k").join(tables.years.read(), "year", "left")
+                .select("xmatch_id", "year", (F.coalesce("last", F.lit(0)) + F.col("_k")).alias("number")))
+    given = F.when(F.col("number") < 36 ** cat.ID_LEN, cat.yearly_id("year", "number")).when(
+        F.col("number").isNotNull(), F.raise_error(F.lit("a year is out of hit numbers")))
+    old = existing.select("obj_id", F.col("xmatch_id").alias("old_id"))
+    return (changed.join(numbered, "xmatch_id", "left").withColumn("xmatch_id", F.coalesce(given, F.col("xmatch_id")))
+            .join(old, "obj_id", "left"))
+
+
+def hit_folder(table: str, buckets: int = DEFAULT_BUCKETS):
     """The ``foreachBatch`` function of ST2: fold one micro-batch of pairs
-    into the hit membership log; a replayed batch id is skipped, and a batch
-    cut short is folded again into the state before it; with
-    ``compact_every`` = N the log is compacted after every N-th batch."""
+    into the hit tables under ``table`` (see ``HitTables``).  What the batch
+    changes is written once and then put into the tables, so a batch that is
+    run again keeps its ids and changes nothing more."""
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id in committed(spark, table):
-            return  # replayed batch: already written
+        checkpoint_dir(spark)
+        if batch_id <= last_batch(spark, f"{table}/applied"):
+            return  # applied in full before
         columns = [f"{c}_1" for c in sky.PAIR_COLS[1:]] + [f"{c}_2" for c in sky.PAIR_COLS[1:]]
         new_pairs = (batch.groupBy("obj_id_1", "obj_id_2")
                      .agg(F.min_by(F.struct(*columns), F.struct("timestamp_1", "timestamp_2", *columns)).alias("_p"))
-                     .select("obj_id_1", "obj_id_2", "_p.*"))
+                     .select("obj_id_1", "obj_id_2", "_p.*").checkpoint())
         if new_pairs.isEmpty():
             return
-        ids = sky.split_pair(new_pairs).select("obj_id")
-        existing = touched_hits(spark, table, ids, before=batch_id)
-        changed, _merges = H.update_hits(existing, new_pairs)
-        changed.withColumn("_deleted", F.lit(False)).write.mode("overwrite").parquet(_batch_dir(table, batch_id))
-        _commit(spark, table, batch_id)
-        if compact_every and (batch_id + 1) % compact_every == 0:
-            compact_log(spark, table, ["obj_id"])
+        tables = HitTables(spark, table, buckets)
+        changed = written_once(spark, f"{table}/changed", batch_id, lambda: _folded(tables, new_pairs))
+        tables.members.replace(changed, changed.select(F.col("old_id").alias("xmatch_id")), batch_id)
+        tables.owners.upsert(changed, batch_id=batch_id)
+        tables.years.upsert(changed.where("number is not null").groupBy("year").agg(F.max("number").alias("last")),
+                            batch_id=batch_id)
+        set_last_batch(spark, f"{table}/applied", batch_id)
     return fold
 
 
-def collate_hits_stream(pairs: DataFrame, table: str, checkpoint: str, compact_every: int = 100,
+def collate_hits_stream(pairs: DataFrame, table: str, checkpoint: str, buckets: int = DEFAULT_BUCKETS,
                         trigger: dict | None = None):
-    """ST2: fold every micro-batch of pairs into the hit membership log
-    (compacted every ``compact_every`` batches).  ``trigger``: arguments of
-    the stream's trigger; by default all that is available now, a service
-    passes ``{"processingTime": "1 minute"}``."""
-    return (pairs.writeStream.foreachBatch(hit_folder(table, compact_every)).option("checkpointLocation", checkpoint)
+    """ST2: fold every micro-batch of pairs into the hit tables.  ``trigger``:
+    arguments of the stream's trigger; by default all that is available now, a
+    service passes ``{"processingTime": "1 minute"}``."""
+    return (pairs.writeStream.foreachBatch(hit_folder(table, buckets)).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-SUMMARY_KEY = ["obj_id", "survey", "filter"]
+# --- ST3: summaries and documents -------------------------------------------
+
 SUMMARY_SCHEMA = ("obj_id long, survey string, filter string, mag double, peak_mag double, mag_rate double, "
                   "mjd double, date string")
 
 
-def ingest_alert_stream(alert_ids: DataFrame, lc: DataFrame, table: str, outbox: str, checkpoint: str,
-                        compact_every: int = 100, trigger: dict | None = None):
+def summary_store(spark: SparkSession, table: str, buckets: int = DEFAULT_BUCKETS) -> KeyedStore:
+    """Light-curve summaries, the rows of an object in one bucket."""
+    return KeyedStore(spark, table, ("obj_id",), SUMMARY_SCHEMA, buckets)
+
+
+def _of(frame: DataFrame | KeyedStore, ids: DataFrame) -> DataFrame:
+    """Rows of the ids: a keyed store reads their buckets only."""
+    return frame.read(ids) if isinstance(frame, KeyedStore) else frame.join(ids, "obj_id", "left_semi")
+
+
+def _send(messages: DataFrame, outbox: str, batch_id: int) -> None:
+    """Messages of a batch in a partition of their own; sent again, they take the place of the first."""
+    (messages.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(outbox))
+
+
+def ingest_alert_stream(alert_ids: DataFrame, lc: DataFrame | KeyedStore, table: str, outbox: str, checkpoint: str,
+                        buckets: int = DEFAULT_BUCKETS, trigger: dict | None = None):
     """ST3: for every micro-batch of alerted object ids, recompute those
-    objects' summaries from their full light curves, log them (upsert by
-    key) and append one outgoing message per object; the summary log is
-    compacted every ``compact_every`` batches.  The summaries are computed
-    once: the messages are built from the written batch.  With ``lc`` read
-    from the bucketed store only the touched buckets' rows are joined."""
+    objects' summaries from their full light curves, replace them in the
+    summary store and append one outgoing message per object.  The summaries
+    are computed once: store and messages take them from the written batch.
+    With ``lc`` a keyed store by obj_id only the touched buckets are read."""
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id in committed(spark, table):
-            return  # the table's commit comes last: the batch is complete
-        ids = batch.select("obj_id").distinct()
-        target = _batch_dir(table, batch_id)
-        summaries = ph.latest_detections(lc.join(ids, "obj_id", "left_semi"))
-        summaries.withColumn("_deleted", F.lit(False)).write.mode("overwrite").parquet(target)
-        written = spark.read.schema(summaries.schema).parquet(target)
-        msgs = written.groupBy("obj_id").agg(F.count("*").alias("n_filters"), F.max("mjd").alias("latest_mjd"))
-        msgs.select(F.col("obj_id").cast("string").alias("key"), F.to_json(F.struct("*")).alias("value")) \
-            .write.mode("overwrite").parquet(_batch_dir(outbox, batch_id))
-        _commit(spark, outbox, batch_id)
-        _commit(spark, table, batch_id)
-        if compact_every and (batch_id + 1) % compact_every == 0:
-            compact_log(spark, table, SUMMARY_KEY)
+        if batch_id <= last_batch(spark, f"{table}_applied"):
+            return
+        ids = written_once(spark, f"{table}_ids", batch_id, lambda: batch.select("obj_id").distinct())
+        summaries = written_once(spark, f"{table}_new", batch_id, lambda: ph.latest_detections(_of(lc, ids)))
+        msgs = summaries.groupBy("obj_id").agg(F.count("*").alias("n_filters"), F.max("mjd").alias("latest_mjd"))
+        _send(msgs.select(F.col("obj_id").cast("string").alias("key"), F.to_json(F.struct("*")).alias("value")), outbox, batch_id)
+        summary_store(spark, table, buckets).replace(summaries, ids, batch_id)
+        set_last_batch(spark, f"{table}_applied", batch_id)
     return (alert_ids.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-DOCUMENT_KEY = ["obj_id"]
-
-
 def _curves(points: DataFrame) -> DataFrame:
     """(obj_id, lightcurve): the points of an object as one array, by mjd."""
     cols = ["mjd", *[c for c in points.columns if c not in ("obj_id", "mjd")]]
     return points.groupBy("obj_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("lightcurve"))
 
 
+def document_schema(envelope: DataFrame, lc: DataFrame | KeyedStore) -> StructType:
+    """Columns of a document: the envelope's, data_sources, update_date, lightcurve."""
+    point = lc.columns if isinstance(lc, KeyedStore) else lc.schema
+    by_name = {f.name: f for f in point.fields}
+    cols = ["mjd", *[n for n in by_name if n not in ("obj_id", "mjd")]]
+    curve = StructType([StructField(c, by_name[c].dataType) for c in cols])
+    return StructType([*[StructField(f.name, f.dataType) for f in envelope.schema.fields],
+                       StructField("data_sources", MapType(StringType(), StringType())), StructField("update_date", TimestampType()),
+                       StructField("lightcurve", ArrayType(curve))])
+
+
+def document_store(envelope: DataFrame, lc: DataFrame | KeyedStore, table: str, buckets: int = DEFAULT_BUCKETS) -> KeyedStore:
+    """The documents that ``ingest_documents_stream`` keeps, one row an object."""
+    return KeyedStore(envelope.sparkSession, table, ("obj_id",), document_schema(envelope, lc), buckets)
+
+
+REJECT_REASON = "no envelope"
+
+
 def ingest_documents_stream(alert_ids: DataFrame, envelope: DataFrame, sources: dict[str, DataFrame], windows: DataFrame,
-                            lc: DataFrame, table: str, outbox: str, checkpoint: str, surveys: dict[str, str] | None = None,
-                            updates: bool = False, update_date=None, compact_every: int = 100, trigger: dict | None = None):
+                            lc: DataFrame | KeyedStore, table: str, outbox: str, checkpoint: str,
+                            surveys: dict[str, str] | None = None, updates: bool = False, update_date=None,
+                            buckets: int = DEFAULT_BUCKETS, trigger: dict | None = None):
     """ST3: for every micro-batch of object ids, assemble the metadata of
     those objects (J4 over ``envelope`` and ``sources``, one row per obj_id
     each), cut their points of ``lc`` to the active window (F1), and upsert
     one document per object (S10): the envelope's columns, data_sources,
-    update_date and lightcurve.  Ids without an envelope give no document.
+    update_date and lightcurve.  Ids without an envelope give no document but
+    a row (obj_id, reason) under ``<table>_rejected`` (D9).
 
     Alerts replace the whole document and send its metadata as one message
     per object (S2).  With ``updates`` only stored objects are refreshed:
     payloads of ``sources`` (those that are due) replace the stored ones, and
     where a source returned metadata the points of its survey
-    (``surveys``: source -> survey) are replaced (U2); nothing is sent."""
+    (``surveys``: source -> survey) are replaced (U2); nothing is sent.
+
+    Documents live in a keyed store: a batch reads and rewrites the buckets of
+    its objects and no others (``lc`` as a keyed store likewise)."""
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id in committed(spark, table):
-            return  # the table's commit comes last: the batch is complete
-        ids = batch.select("obj_id").distinct().persist()
-
-        def touched(df: DataFrame) -> DataFrame:
-            return df.join(ids, "obj_id", "left_semi")
-        log = read_log(spark, table, batch_id)
-        stored = None if log is None else _newest(touched(log), DOCUMENT_KEY).where(~F.col("_deleted")).drop("_deleted")
-        found = {name: touched(df) for name, df in sources.items()}
-        points = ph.cut_mjd_window(touched(lc), touched(windows))
-        if updates and stored is None:
-            ids.unpersist()
+        if batch_id <= last_batch(spark, f"{table}_applied"):
             return
-        if updates:
-            kept = stored.withColumnRenamed("data_sources", "_old").drop("update_date", "lightcurve")
-            new = F.col("data_sources")
-            meta = cat.assemble_metadata(kept, found, "obj_id").withColumn("data_sources", F.map_concat(
-                F.map_filter("_old", lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)).drop("_old")
-            pulled, points = points, stored.select("obj_id", F.inline("lightcurve")).select(*points.columns)
-            for name, survey in (surveys or {}).items():
-                if name in found:
-                    fresh = pulled.where(F.col("survey") == survey).join(found[name], "obj_id", "left_semi")
-                    points = cat.replace_survey_points(points, fresh, found[name], survey)
-        else:
-            meta = cat.assemble_metadata(touched(envelope), found, "obj_id")
-        curves = _curves(points)
-        docs = (meta.withColumn("update_date", F.current_timestamp() if update_date is None else update_date)
-                .join(curves, "obj_id", "left")
-                .withColumn("lightcurve", F.coalesce("lightcurve", F.array().cast(curves.schema["lightcurve"].dataType))))
-        target = _batch_dir(table, batch_id)
-        changed = docs if stored is None else cat.upsert(stored.select(*docs.columns), docs, "obj_id")
-        changed.withColumn("_deleted", F.lit(False)).write.mode("overwrite").parquet(target)
+        store = document_store(envelope, lc, table, buckets)
+        ids = written_once(spark, f"{table}_ids", batch_id, lambda: batch.select("obj_id").distinct())
+
+        def assembled() -> DataFrame:
+            found = {name: _of(df, ids) for name, df in sources.items()}
+            points = ph.cut_mjd_window(_of(lc, ids), _of(windows, ids))
+            if updates:
+                stored = store.read(ids)
+                kept = stored.withColumnRenamed("data_sources", "_old").drop("update_date", "lightcurve")
+                new = F.col("data_sources")
+                meta = cat.assemble_metadata(kept, found, "obj_id").withColumn("data_sources", F.map_concat(
+                    F.map_filter("_old", lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)).drop("_old")
+                pulled, points = points, stored.select("obj_id", F.inline("lightcurve")).select(*points.columns)
+                for name, survey in (surveys or {}).items():
+                    if name in found:
+                        fresh = pulled.where(F.col("survey") == survey).join(found[name], "obj_id", "left_semi")
+                        points = cat.replace_survey_points(points, fresh, found[name], survey)
+            else:
+                meta = cat.assemble_metadata(_of(envelope, ids), found, "obj_id")
+            curves = _curves(points)
+            return (meta.withColumn("update_date", F.current_timestamp() if update_date is None else update_date)
+                    .join(curves, "obj_id", "left")
+                    .withColumn("lightcurve", F.coalesce("lightcurve", F.array().cast(curves.schema["lightcurve"].dataType)))
+                    .select(*store.columns.names))
+        docs = written_once(spark, f"{table}_new", batch_id, assembled)
         if not updates:
-            written = spark.read.schema(docs.schema).parquet(target).join(envelope, "obj_id", "left_semi")
-            encode_messages(written.drop("lightcurve"), key="obj_id").write.mode("overwrite").parquet(
-                _batch_dir(outbox, batch_id))
-            _commit(spark, outbox, batch_id)
-        _commit(spark, table, batch_id)
-        ids.unpersist()
-        if compact_every and (batch_id + 1) % compact_every == 0:
-            compact_log(spark, table, DOCUMENT_KEY)
+            _send(encode_messages(docs.drop("lightcurve"), key="obj_id"), outbox, batch_id)
+            _send(ids.join(docs, "obj_id", "left_anti").withColumn("reason", F.lit(REJECT_REASON)), f"{table}_rejected", batch_id)
+        store.upsert(docs, batch_id=batch_id)
+        set_last_batch(spark, f"{table}_applied", batch_id)
     return (alert_ids.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
