@@ -336,7 +336,8 @@ def test_mixing(spark, docs, empty):
     for r in mixing.poisson_mix(table).collect():
         got.setdefault(r["doc_id"], []).append(r["replica"])
     for i, _, s in rows:
-        u = (int(hashlib.md5(f"17:{i}:0".encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52
+        key = hashlib.md5(f"v{i}|v{'x' * (10 + i % 50)}|v{s}".encode()).hexdigest()
+        u = (int(hashlib.md5(f"17:{key}:0:0".encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52
         assert sorted(got.get(i, [])) == list(range(poisson_inverse(rates[s], u)))
     mass = sum(len(got.get(i, [])) * (len(t) + 1) for i, t, _ in rows)
     assert mass == pytest.approx(total, rel=0.1)
@@ -355,6 +356,40 @@ def test_mix_is_shuffled_globally_and_repeats_itself(spark):
     assert abs(np.corrcoef(np.arange(len(order)), order)[0, 1]) < 0.1
 
 
+@pytest.mark.parametrize("doc_id", ["null", "1", "if(id % 3 = 0, 7, id)", "if(id % 2 = 0, null, id)"])
+def test_mix_of_null_and_repeated_ids_keeps_its_law(spark, doc_id):
+    n = 6_000
+    table = spark.range(n).selectExpr(f"cast({doc_id} as long) as doc_id", "concat('text ', id) as text", "'s' as source")
+    got = mixing.poisson_mix(table).groupBy("text").agg(F.count("*").alias("n"), F.countDistinct("place").alias("p")).collect()
+    assert sum(r["n"] for r in got) == pytest.approx(n, rel=0.05)
+    assert len(got) == pytest.approx(n * (1 - np.exp(-1)), rel=0.05)  # a Poisson law of mean one, not blocks
+    assert all(r["n"] == r["p"] for r in got)
+
+
+def test_mix_of_equal_rows(spark):
+    same = spark.range(5_000).selectExpr("1L as doc_id", "'same' as text", "'s' as source")
+    rows = mixing.numbered_rows(same, part=64).collect()
+    assert sorted(r["_nth"] for r in rows) == list(range(5_000))
+    mixed = mixing.poisson_mix(same.unionByName(spark.range(5_000).selectExpr("id as doc_id", "concat('t', id) as text", "'s' as source")))
+    n = {r["same"]: r["n"] for r in mixed.groupBy((F.col("text") == "same").alias("same")).agg(F.count("*").alias("n")).collect()}
+    assert n[True] == pytest.approx(5_000, rel=0.06)
+    sizes = [r["n"] for r in mixed.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 1.5 * sum(sizes) / len(sizes)
+
+
+def test_token_counts_of_white_space_runs_use_the_table(spark):
+    texts = [" ".join(f"word{i % 40}" for i in range(k)) + "\n\n" + "\r\n".join(f"more{i % 30}  x" for i in range(k)) + "\t\t"
+             for k in range(1, 60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    packed = token_counts.frequent_lengths(docs, BYTE, fraction=1.0)
+    c = token_counts.CountEncoder(BYTE, token_counts._unpack(packed))
+    made = []
+    make, c._make = c._make, lambda p: made.append(p) or make(p)
+    whole = Tokenizer.from_file(BYTE)
+    assert [c.count(t) for t in texts] == [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert b"word3" in c.frequent and len(made) <= 5  # all but led-by-run pieces come from the table
+
+
 def test_sharding_edges(spark, docs, empty):
     got = sharding.to_shards(clash(docs, "shard", "size"), 40).collect()
     assert len(got) == len(ROWS)

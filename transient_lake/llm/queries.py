@@ -116,17 +116,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = """
-with d as (select doc_id, source, coalesce(strlen(text), 0) as n_bytes from documents),
+with g as (select doc_id, text, lang, source, n_chars, count(*) as n from documents group by all),
+d as (select doc_id, source, coalesce(strlen(text), 0) as n_bytes, md5(concat_ws('|', coalesce('v' || doc_id, 'n'),
+    coalesce('v' || text, 'n'), coalesce('v' || lang, 'n'), coalesce('v' || source, 'n'), coalesce('v' || n_chars, 'n'))) as key,
+    unnest(range(0, n)) as nth from g),
 s as (select source, cast(sum(n_bytes + 1) as bigint) as size from d group by source),
 r as (select source, sqrt(size) / (sum(sqrt(size)) over ()) * (sum(size) over ()) / size as rate from s),
 r2 as (select source, rate, cast(greatest(1, ceil(rate / 16.0)) as int) as draws from r),
 c as (select source, sum(p) over (partition by source order by k) as c from (
   select source, unnest(range(0, 81)) as k, exp(-rate / draws) * pow(rate / draws, k) / gamma(k + 1) as p from r2)),
-u as (select doc_id, source, (cast('0x' || substr(md5('17:' || doc_id || ':' || j), 1, 13) as bigint) + 0.5) / pow(2, 52) as u
-      from (select doc_id, d.source, unnest(range(0, draws)) as j from d join r2 on d.source is not distinct from r2.source)),
-n as (select doc_id, count(*) as repeats from u join c on u.source is not distinct from c.source and c.c < u.u group by doc_id)
-select doc_id, d.source, n_bytes, round(rate, 6) as rate, repeats, unnest(range(0, repeats)) as replica
-from d join n using (doc_id) join r2 on d.source is not distinct from r2.source
+u as (select key, nth, source,
+    (cast('0x' || substr(md5('17:' || key || ':' || nth || ':' || j), 1, 13) as bigint) + 0.5) / pow(2, 52) as u
+      from (select key, nth, d.source, unnest(range(0, draws)) as j from d join r2 on d.source is not distinct from r2.source)),
+n as (select key, nth, count(*) as repeats from u join c on u.source is not distinct from c.source and c.c < u.u group by key, nth),
+x as (select doc_id, d.source, n_bytes, round(rate, 6) as rate, repeats, key, nth, unnest(range(0, repeats)) as replica
+  from d join n using (key, nth) join r2 on d.source is not distinct from r2.source)
+select doc_id, source, n_bytes, rate, repeats, replica,
+  cast('0x' || substr(md5('17:place:' || key || ':' || nth || ':' || replica), 1, 13) as bigint) as place from x
 """
 
 
@@ -135,7 +141,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.poisson_mix(table(spark, sf_dir, "documents"), power=0.5, epochs=1.0)
     return mixed.select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
                         F.round("rate", 6).alias("rate"), F.col("repeats").cast("long").alias("repeats"),
-                        F.col("replica").cast("long").alias("replica"))
+                        F.col("replica").cast("long").alias("replica"), "place")
 
 
 @query("op9_jump_sharding")

@@ -46,8 +46,36 @@ class CountEncoder:
         e = self.ids
         if e.by_word:
             return sum(self._known(text.encode().split()))
-        if len(text) < 2 or _RUNS.search(text) or (e.at_special is not None and e.at_special.search(text)):
-            return len(e.encode(text)) // 4
+        if e.at_special is not None and e.at_special.search(text):
+            parts = e.at_special.split(text)
+            return sum(1 if i % 2 else self._plain(p) for i, p in enumerate(parts))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> int:
+        """Tokens of a text without special strings; runs of white space are
+        cut out, the words between them go through the table."""
+        if not _RUNS.search(text):
+            return self._single_spaced(text)
+        parts = _RUNS.split(text)  # words, run, words, run, ..., words
+        n = self._single_spaced(parts[0])
+        for run, words in zip(parts[1::2], parts[2::2]):
+            n += self._run(run[:-1] if words else run)
+            if words:
+                n += self._single_spaced(run[-1] + words)
+        return n
+
+    def _run(self, run: str) -> int:
+        key = b"\n\n" + run.encode()  # no piece has two line feeds
+        got = self.own.find(key)
+        if got is None:
+            got = len(self.ids.tok.encode(run, add_special_tokens=False).ids)
+            if is_short(key):
+                self.own.put(key, got)
+        return got
+
+    def _single_spaced(self, text: str) -> int:
+        if len(text) < 2:
+            return self._run(text) if text else 0
         return sum(self._known(byte_pieces(text))) - 1  # without the added line feed
 
     def _known(self, pieces: list[bytes]) -> list[int]:
@@ -72,8 +100,14 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, text: str = "text", rows:
         e = encoder(tokenizer)
         for b in batches:
             for t in b["t"].iloc[:left]:
-                if t:
-                    seen.update(t.encode().split() if e.by_word else byte_pieces(t))
+                if t and e.by_word:
+                    seen.update(t.encode().split())
+                elif t:
+                    parts = _RUNS.split(t)
+                    seen.update(byte_pieces(parts[0]))
+                    for run, words in zip(parts[1::2], parts[2::2]):
+                        if words:
+                            seen.update(byte_pieces(run[-1] + words))
             left -= len(b)
             if left <= 0:
                 break
@@ -81,9 +115,8 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, text: str = "text", rows:
         sizes = [len(x.ids) for x in e.tok.encode_batch_fast([e._text(k) for k, _ in top], add_special_tokens=False)]
         yield pd.DataFrame({"k": [k for k, _ in top], "n": [n for _, n in top], "tokens": sizes})
 
-    # texts with white-space runs are counted by another path; the sample leaves them out
     sample = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).sample(fraction, seed)
-    got = sample.where(~F.col("t").rlike(r"\s\s")).mapInPandas(tally, "k binary, n long, tokens int").take(FREQUENT)
+    got = sample.mapInPandas(tally, "k binary, n long, tokens int").take(FREQUENT)
     table = {bytes(r["k"]): r["tokens"] for r in got}
     return (uuid.uuid4().hex, b"".join(table), np.fromiter(map(len, table), np.uint8, len(table)),
             np.fromiter(table.values(), np.uint16, len(table)))

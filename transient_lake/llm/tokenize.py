@@ -30,8 +30,8 @@ import numpy as np
 #: White space as the byte-level pattern sees it (Unicode White_Space).
 _WS = r"[\t-\r \x85\xa0  -     　]"
 _RUNS = re.compile(f"({_WS}{_WS}+)")
-#: Entries of a generation of a worker's cache; two generations are kept, about 120 MB.
-CACHE_ENTRIES = 300_000
+#: Entries of a generation of a worker's cache; two generations are kept, about 180 MB.
+CACHE_ENTRIES = 450_000
 _LONGEST_CACHED = 128
 #: Letters that every Unicode version has and that are their own normal form, then ASCII punctuation but the apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -118,8 +118,8 @@ class PieceEncoder:
         self.special = {s: np.asarray([i], dtype="<u4").tobytes() for s, i in specials.items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.by_word = self.tok.model.end_of_word_suffix is not None
-        # lower-cased words with punctuation are many, and nothing else is held beside them
-        self.cache = RecentCache(2 * CACHE_ENTRIES) if self.by_word else RecentCache()
+        self.cache = RecentCache()
+        self.lead = "" if self.by_word else _BYTE_LETTERS[32]  # what a blank before a word is
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -155,6 +155,9 @@ class PieceEncoder:
 
     def ids_of(self, piece: bytes) -> bytes:
         """Ids of one piece, from the library."""
+        if piece.isalpha():  # ASCII letters stand for themselves
+            word = piece.lower() if self.by_word else piece
+            return array("I", [t.id for t in self.tok.model.tokenize(self.lead + word.decode())]).tobytes()
         text = piece.decode()
         plain = _PLAIN.match(text)
         if plain is None or not text:
