@@ -1,5 +1,7 @@
 """Light-curve summaries on hand-made curves (edge rows from SURVEY §5)."""
 
+import re
+
 import pytest
 
 from transient_lake.operators import photometry as ph
@@ -120,7 +122,13 @@ def test_bucketed_store_summaries_need_no_shuffle(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Bucketed: true" in plan
         assert sorted(out.collect()) == sorted(ph.latest_detections(lc).collect())
+        spark.conf.set(*store.SORTED)
+        for summary in (ph.latest_detections, ph.peak_mags, ph.latest_non_detections):
+            plan = summary(store.read_lightcurves(spark, name))._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and not re.search(r"\bSort \[", plan) and plan.count("FileScan") == 1
+        assert sorted(ph.latest_detections(store.read_lightcurves(spark, name)).collect()) == sorted(ph.latest_detections(lc).collect())
     finally:
+        spark.conf.set(store.SORTED[0], "false")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
 

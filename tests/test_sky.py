@@ -151,3 +151,28 @@ def test_lsst_alert_time_scale(spark):
     t_ref = sky.normalise_lsst_alert(a).first().timestamp
     t_utc = sky.normalise_lsst_alert(a, tai_to_utc=True).first().timestamp
     assert (t_ref - t_utc) == dt.timedelta(seconds=37)
+
+
+def test_a_cone_reads_the_files_of_its_cells(spark, tmp_path):
+    from transient_lake.sources import sky_store
+    rng = random.Random(8)
+    rows = [(i, rng.uniform(0, 360), math.degrees(math.asin(rng.uniform(-1, 1)))) for i in range(4000)]
+    rows += [(9000, 0.01, 1.0), (9001, 359.99, 1.0), (9002, 10.0, 89.99), (9003, 190.0, 89.99), (9004, None, 3.0)]
+    objects = spark.createDataFrame(rows, "source_id long, ra_deg double, dec_deg double")
+    path = str(tmp_path / "sky")
+    sky_store.write_objects(objects, path, cell_deg=10.0)
+    assert spark.read.parquet(path).count() == len(rows)
+    all_files = spark.read.parquet(path).select(F.input_file_name()).distinct().count()
+    cones = [(0, 120.0, 33.0, 3600.0), (1, 0.0, 1.0, 60.0), (2, 100.0, 90.0, 60.0), (3, None, 1.0, 5.0)]
+    frame = lambda c: spark.createDataFrame(c, "cone_id long, ra double, dec_c double, radius_arcsec double")
+    for literal in (512, 0):  # as literal predicates, and joined
+        got = sky_store.cone_search(spark, path, frame(cones), cell_deg=10.0, literal=literal)
+        want = sky.cone_search(objects.where("ra_deg is not null"), frame(cones[:3]))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r.obj_name for r in got.where("cone_id = 1").collect()} == {9000, 9001}
+    one = sky_store.read_cells(spark, path, sky_store.cells_of(frame(cones[:1]), 10.0))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_zone" in plan.split("PartitionFilters: [")[1][:200]
+    assert one.select(F.input_file_name()).distinct().count() <= 4 < all_files / 20
+    near = sky_store.nearest_match(objects.where("source_id < 50").withColumnRenamed("source_id", "obj_id"), path, 5.0, 10.0, cat_id="source_id")
+    assert {(r.obj_id, r.match_id) for r in near.collect()} == {(i, i) for i in range(50)}

@@ -6,8 +6,8 @@ for the smaller neighbours and the node itself.  Both keep the components and
 end in stars round the smallest node; the number of rounds grows with the
 square of the logarithm of the nodes at worst, whatever the order of the ids
 along a chain, so there is no cap on rounds.  Minima combine map-side and hubs
-are joined, not gathered: AQE splits the partition of a node with very many
-links.  Every round is written with a reliable ``checkpoint()``.
+are joined, not gathered; the links of one hub go through one task, a row at a
+time (AQE does not split a join with an aggregate on its own shuffle).  Every round is written with a reliable ``checkpoint()``.
 """
 
 from __future__ import annotations

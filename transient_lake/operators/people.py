@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .foreign_keys import delete_rows, orphans
-from .numbering import dense_number
+from .numbering import dense_number, first_rows
 
 
 def _tag_owner(tags: DataFrame, users: DataFrame, teams: DataFrame) -> DataFrame:
@@ -97,14 +97,18 @@ def tagged_objects(requests: DataFrame, memberships: DataFrame, tags: DataFrame,
 def objects_for_tag(requests: DataFrame, memberships: DataFrame, tags: DataFrame, assignments: DataFrame,
                     limit: int = 100, offset: int = 0) -> DataFrame:
     """Per visible (user, tag) request, object ids in order, paged.
-    The ``rank <= offset + limit`` filter becomes a per-partition group
-    limit before the shuffle, so a tag on millions of objects sends only
-    offset + limit rows per task."""
+
+    Keyset paging: a request may carry a cursor ``after`` (the last object id
+    of the page before; NULL for the first page).  Only ids beyond it are
+    ranked, so page 1,000 costs what page 1 does; ``rank`` counts from the
+    cursor.  With ``offset`` the rows before the page are ranked too, in hash
+    slices (``first_rows``), never a whole tag in one task."""
     ok = _visible_requests(requests, memberships, tags)
     j = ok.join(assignments.select("tag_id", "object_id"), "tag_id")
-    w = Window.partitionBy("user_id", "tag_id").orderBy("object_id")
-    ranked = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= offset + limit)
-    return ranked.where(F.col("rank") > offset).withColumn("rank", F.col("rank").cast("long"))
+    if "after" in requests.columns:
+        at = requests.groupBy("user_id", "tag_id").agg(F.max("after").alias("_after"))
+        j = j.join(at, ["user_id", "tag_id"]).where(F.col("_after").isNull() | (F.col("object_id") > F.col("_after"))).drop("_after")
+    return first_rows(j, ["user_id", "tag_id"], ["object_id"], offset + limit).where(F.col("rank") > offset)
 
 
 def user_teams(requests: DataFrame, memberships: DataFrame, teams: DataFrame) -> DataFrame:

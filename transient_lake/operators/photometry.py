@@ -193,31 +193,32 @@ def summarize(lc: DataFrame) -> DataFrame:
 
     Columns: n_det, n_non_det, peak (mag, mjd), first (mjd, mag), last
     (mjd, mag), prev (mjd, mag), non_det (mjd, limit), valid_non_det
-    (mjd, mag) and ``mag_rate`` (unrounded)."""
-    pts = _points(lc)
-    p1 = pts.groupBy(*G).agg(
+    (mjd, mag) and ``mag_rate`` (unrounded).
+
+    One pass over each light curve: a window adds its first and last detection
+    to the points, and one aggregate over the same keys takes everything else.
+    Both want the points of a light curve together and in key order, which the
+    bucketed store gives without a shuffle (``store.CO_PARTITION``) and, with
+    ``store.SORTED``, without a sort.  A light curve is one object in one
+    filter of one survey; a very long one spills in the window."""
+    whole = Window.partitionBy(*G)
+    row = "named_struct('mjd', mjd, 'mag', mag)"
+    pts = (_points(lc)
+           .withColumn("_f", F.expr(f"min_by({row}, case when detection = 1 then {_FIRST} end)").over(whole))
+           .withColumn("_l", F.expr(f"max_by({row}, case when detection = 1 then {_LAST} end)").over(whole)))
+    s = pts.groupBy(*G).agg(
         F.expr("count_if(detection = 1)").alias("n_det"),
         F.expr("count_if(detection = 0)").alias("n_non_det"),
         F.expr(f"min_by(named_struct('mag', mag, 'mjd', mjd), {_PEAK})"
                " filter (where detection = 1 and mag is not null)").alias("peak"),
-        F.expr(f"min_by(named_struct('mjd', mjd, 'mag', mag), {_FIRST}) filter (where detection = 1)").alias("first"),
-        F.expr(f"max_by(named_struct('mjd', mjd, 'mag', mag), {_LAST}) filter (where detection = 1)").alias("last"),
+        F.expr(f"min_by({row}, {_FIRST}) filter (where detection = 1)").alias("first"),
+        F.expr(f"max_by({row}, {_LAST}) filter (where detection = 1)").alias("last"),
         F.expr(f"max_by(named_struct('mjd', mjd, 'limit', `limit`), {_LAST}) filter (where detection = 0)")
         .alias("non_det"),
+        F.expr(f"max_by({row}, {_LAST}) filter (where detection = 1 and mjd < _l.mjd)").alias("prev"),
+        F.expr(f"max_by(named_struct('mjd', mjd, 'mag', `limit`), {_LAST})"
+               " filter (where detection = 0 and mjd <= _f.mjd and `limit` >= _f.mag)").alias("valid_non_det"),
     )
-    # second pass: rows that depend on the first pass's statistics
-    keys = p1.where("n_det > 0").select(*G, F.col("first.mjd").alias("_e_mjd"), F.col("first.mag").alias("_e_mag"),
-                                        F.col("last.mjd").alias("_l_mjd"))
-    cand = (pts.join(keys, G)
-            .where(((F.col("detection") == 1) & (F.col("mjd") < F.col("_l_mjd")))
-                   | ((F.col("detection") == 0) & (F.col("mjd") <= F.col("_e_mjd"))
-                      & (F.col("limit") >= F.col("_e_mag")))))
-    p2 = cand.groupBy(*G).agg(
-        F.expr(f"max_by(named_struct('mjd', mjd, 'mag', mag), {_LAST}) filter (where detection = 1)").alias("prev"),
-        F.expr(f"max_by(named_struct('mjd', mjd, 'mag', `limit`), {_LAST}) filter (where detection = 0)")
-        .alias("valid_non_det"),
-    )
-    s = p1.join(p2, G, "left")
     # the valid non-detection is appended after the detections and loses an
     # mjd tie against the first detection (drop_duplicates keep="first")
     v_ok = F.col("valid_non_det").isNotNull() & (F.col("valid_non_det.mjd") < F.col("first.mjd"))

@@ -45,10 +45,11 @@ def snapshot_retention(snaps: DataFrame, today: str, daily: int = KEEP_DAILY_DAY
     bucket = (F.when(F.col("tier") == "weekly", F.floor(ordinal / 7))
               .when(F.col("tier") == "monthly", F.year("snapshot_date") * 12 + F.month("snapshot_date")))
     s = snaps.withColumn("age_days", age).withColumn("tier", tier).withColumn("bucket", bucket.cast("long"))
-    newest = (s.where(F.col("tier").isin("weekly", "monthly"))
-              .groupBy("prefix", "tier", "bucket").agg(F.max(F.struct("ts", "path")).alias("_n"))
+    # daily and expired snapshots have no bucket and take no part in the join
+    others = s.where(~F.col("tier").isin("weekly", "monthly")).withColumn("keep", F.col("tier") == "daily")
+    s = s.where(F.col("tier").isin("weekly", "monthly"))
+    newest = (s.groupBy("prefix", "tier", "bucket").agg(F.max(F.struct("ts", "path")).alias("_n"))
               .select("prefix", "tier", "bucket", F.col("_n.path").alias("_keep_path")))
-    j = s.join(newest, ["prefix", "tier", "bucket"], "left")
-    keep = (F.col("tier") == "daily") | (F.col("path") == F.col("_keep_path"))
-    return j.select("path", "prefix", "snapshot_date", "age_days", "tier", "bucket",
-                    F.coalesce(keep, F.lit(False)).alias("keep"))
+    cols = ["path", "prefix", "snapshot_date", "age_days", "tier", "bucket", "keep"]
+    j = s.join(newest, ["prefix", "tier", "bucket"], "left").withColumn("keep", F.col("path") == F.col("_keep_path"))
+    return j.select(*cols).unionByName(others.select(*cols))

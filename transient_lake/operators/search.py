@@ -192,7 +192,7 @@ CONES_PER_PAGE = 20
 SLICES = 64
 
 
-def alerts_page(meta: DataFrame, n_rows, offset) -> DataFrame:
+def alerts_page(meta: DataFrame, n_rows, offset=0, after: tuple | None = None) -> DataFrame:
     """One page of the TNS alert list, newest discovery first.
 
     ``meta`` has the envelope (source, source_id, discovery_date, ra_hms,
@@ -200,14 +200,20 @@ def alerts_page(meta: DataFrame, n_rows, offset) -> DataFrame:
     reporting group and discovery source come from the ``tns`` payload.
     Paging values must be integers (as in Python, booleans count).  Spark
     plans ``orderBy + offset + limit`` as a top-k (TakeOrderedAndProject),
-    so only offset+n rows per task are kept; deep pages should use keyset
-    paging on (discovery_date, source_id)."""
+    so only offset+n rows per task are kept.  ``after`` is a cursor for deep
+    pages, the (discovery_date, obj_name) of the last row of the page before:
+    a range filter that reaches the scan, so page 1,000 keeps and sorts no more
+    than page 1."""
     for v in (n_rows, offset):
         if not isinstance(v, int) or v < 0:
             raise ValueError("n_rows/offset must be an integer")
     tns = F.col("data_sources")["tns"]
-    page = (meta.where(F.col("source") == "tns")
-            .orderBy(F.col("discovery_date").desc(), F.col("source_id"))
+    listed = meta.where(F.col("source") == "tns")
+    if after is not None:
+        day, name = F.lit(after[0]), F.lit(after[1])
+        listed = listed.where((F.col("discovery_date") <= day)  # pushed to the scan; the tie is settled here
+                              & ((F.col("discovery_date") < day) | (F.col("source_id") > name)))
+    page = (listed.orderBy(F.col("discovery_date").desc(), F.col("source_id"))
             .offset(int(offset)).limit(int(n_rows)))
     return page.select("discovery_date", F.col("source_id").alias("obj_name"),
                        F.get_json_object(tns, "$.object_type").alias("object_type"), "ra_hms", "dec_dms",

@@ -31,32 +31,46 @@ MISSING_TEXT_LSST = ["nan"]
 
 
 def _newest(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
+    """The row with the largest ``order``, of equal ones the largest by content."""
     packed = F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
-    return df.groupBy(key).agg(F.max_by(packed, F.col(f"`{order}`")).alias("_r"))
+    return df.groupBy(key).agg(F.max_by(packed, F.struct(F.col(f"`{order}`"), packed)).alias("_r"))
 
 
-def _as_map(names: list[str], renamed: list[str], missing=MISSING_TEXT) -> F.Column:
-    entries = []
+def _as_map(names: list[str], renamed: list[str], missing=MISSING_TEXT, fixed: dict[str, str | F.Column] | None = None) -> F.Column:
+    """Kept fields of the newest row; ``fixed`` entries come first and stay whatever they hold."""
+    entries, own = [], []
     for src, dst in zip(names, renamed):
         entries += [F.lit(dst), F.col(f"_r.`{src}`")]
+    for dst, value in (fixed or {}).items():
+        own += [F.lit(dst), F.lit(value) if isinstance(value, str) else value.cast("string")]
     m = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
-    return F.map_filter(m, lambda k, v: v.isNotNull() & ~v.isin(*missing))
+    m = F.map_filter(m, lambda k, v: v.isNotNull() & ~v.isin(*missing) & ~k.isin(*(fixed or {"": ""})))
+    return F.map_concat(F.map_filter(F.create_map(*own), lambda k, v: v.isNotNull()), m) if own else m
 
 
-def ztf_metadata(rows: DataFrame, key: str = "obj_id") -> DataFrame:
+def ztf_metadata(rows: DataFrame, key: str = "obj_id", object_id: str | None = None) -> DataFrame:
     """Newest row by ``i:jd``; 2-character prefixes stripped; only the
-    whitelisted fields; NULL / 'nan' / 'None' values dropped."""
-    keep = [c for c in rows.columns if c != key and c[2:] in ZTF_META_COLUMNS]
-    newest = _newest(rows, key, "i:jd", keep)
-    return newest.select(key, _as_map(keep, [c[2:] for c in keep]).alias("meta"))
+    whitelisted fields; NULL / 'nan' / 'None' values dropped.  With
+    ``object_id`` (the column of the survey's name) the name is added, and the
+    name of the id's source."""
+    keep = [c for c in rows.columns if c not in (key, object_id) and c[2:] in ZTF_META_COLUMNS]
+    newest = _newest(rows, key, "i:jd", [*keep, *([object_id] if object_id else [])])
+    fixed = {"object_id": F.col(f"_r.`{object_id}`"), "source_id_name": "objectId"} if object_id else None
+    return newest.select(key, _as_map(keep, [c[2:] for c in keep], fixed=fixed).alias("meta"))
 
 
-def lsst_metadata(rows: DataFrame, key: str = "obj_id") -> DataFrame:
+def lsst_metadata(rows: DataFrame, key: str = "obj_id", object_id: str | None = None, position: DataFrame | None = None) -> DataFrame:
     """Newest row by ``r:midpointMjdTai``; ``f:`` fields whose name has
-    neither 'tns' nor 'version'; 'nan' values dropped."""
+    neither 'tns' nor 'version'; 'nan' values dropped.  With ``object_id`` the
+    survey's id and the name of the id's source are added, with ``position``
+    (key, ra_deg, dec_deg) the object's own coordinates."""
     keep = [c for c in rows.columns if c.startswith("f") and "tns" not in c and "version" not in c]
-    newest = _newest(rows, key, "r:midpointMjdTai", keep)
-    return newest.select(key, _as_map(keep, [c[2:] for c in keep], MISSING_TEXT_LSST).alias("meta"))
+    newest = _newest(rows, key, "r:midpointMjdTai", [*keep, *([object_id] if object_id else [])])
+    fixed: dict = {"object_id": F.col(f"_r.`{object_id}`"), "source_id_name": "diaObjectId"} if object_id else {}
+    if position is not None:
+        newest = newest.join(position.select(key, "ra_deg", "dec_deg"), key, "left")
+        fixed |= {"ra_deg": F.col("ra_deg"), "dec_deg": F.col("dec_deg")}
+    return newest.select(key, _as_map(keep, [c[2:] for c in keep], MISSING_TEXT_LSST, fixed or None).alias("meta"))
 
 
 def alerce_best_class(probs: DataFrame, classifiers: DataFrame, key: str = "oid") -> DataFrame:

@@ -302,23 +302,19 @@ def q_due_sources(spark, sf_dir):
 
 
 @register("refresh_requests", sql=f"""
-select queue, count(*) as n, count(distinct object_id) as n_objects from (
-  select distinct name as object_id, 'bulk' as queue from public_catalogue
-  where name not in (select source_id from objects where source = 'tns')
-  union all
-  select o.source_id, 'update' from objects o left join active_settings s using (archive_id)
-  where o.source = 'tns' and date_diff('day', cast(o.discovery_date as date), date '{NOW}') < coalesce(s.active_days, 60)
-  union all
-  select o.source_id, 'refresh' from objects o cross join {cfg.SOURCE_CONFIG_SQL} c
-  where o.update_date + to_days(c.update_frequency) <= timestamp '{NOW}')
-group by queue
+select distinct name as object_id, 'bulk' as queue, cast(null as varchar) as source_name from public_catalogue
+where name not in (select source_id from objects where source = 'tns')
+union all
+select o.source_id, 'update', null from objects o left join active_settings s using (archive_id)
+where o.source = 'tns' and date_diff('day', cast(o.discovery_date as date), date '{NOW}') < coalesce(s.active_days, 60)
+union all
+select o.source_id, 'refresh', c.source_name from objects o cross join {cfg.SOURCE_CONFIG_SQL} c
+where o.update_date + to_days(c.update_frequency) <= timestamp '{NOW}'
 """, views=("objects", "active_settings", "public_catalogue"))
 def q_refresh_requests(spark, sf_dir):
-    """ST6 (batch): bulk / update / refresh work list, counted per queue."""
+    """ST6 (batch): bulk / update / refresh work list."""
     allv = td.public_catalogue(spark, sf_dir).select(F.col("name").alias("source_id"))
-    req = cat.refresh_requests(allv, td.objects(spark, sf_dir), td.active_settings(spark, sf_dir),
-                               cfg.SOURCE_CONFIG, NOW)
-    return req.groupBy("queue").agg(F.count("*").alias("n"), F.countDistinct("object_id").alias("n_objects"))
+    return cat.refresh_requests(allv, td.objects(spark, sf_dir), td.active_settings(spark, sf_dir), cfg.SOURCE_CONFIG, NOW)
 
 
 @register("frb_name_fix", sql="""
@@ -367,30 +363,34 @@ def q_clean_empty_fields(spark, sf_dir):
 
 
 @register("export_frame", sql="""
-with per as (select obj_id, count(*) as n_points, min(mjd) as first_mjd from lc_points group by obj_id)
-select w.obj_id, round(w.discovery_mjd, 6) as discovery_mjd, per.n_points, per.first_mjd
-from mjd_windows w left join per using (obj_id)
+select w.obj_id, w.discovery_mjd, w.prior_days, w.active_days, p.survey, p.filter, p.mjd, p.mag, p.mag_err, p."limit", p.detection
+from mjd_windows w left join lc_points p using (obj_id)
 """, views=("lc_points", "mjd_windows"))
 def q_export_frame(spark, sf_dir):
     """S6 (pre-write frame): one row per object with metadata and its
-    light-curve array; checked through the array's size and first epoch."""
-    meta = td.mjd_windows(spark, sf_dir)
-    f = cat.export_frame(meta, td.lc_points(spark, sf_dir), key="obj_id")
-    return f.select("obj_id", round_half_up("meta.discovery_mjd", 6).alias("discovery_mjd"),
-                    F.size("lc").cast("long").alias("n_points"), F.array_min(F.transform("lc", lambda x: x["mjd"])).alias("first_mjd")) \
-        .withColumn("n_points", F.when(F.col("n_points") >= 0, F.col("n_points")))
+    light-curve array, compared point by point."""
+    f = cat.export_frame(td.mjd_windows(spark, sf_dir), td.lc_points(spark, sf_dir), key="obj_id")
+    return f.select("obj_id", "meta.*", F.explode_outer("lc").alias("p")).select(
+        "obj_id", "discovery_mjd", "prior_days", "active_days",
+        *[F.col("p")[c].alias(c) for c in ("survey", "filter", "mjd", "mag", "mag_err", "limit", "detection")])
 
 
 @register("union_lightcurves", sql="""
-select survey, count(*) as n from (
-  select 'ztf' as survey from ztf_raw where "d:tag" in ('valid', 'upperlim')
-  union all select 'lsst' from lsst_raw) group by survey
+select * from (
+  select obj_id, 'ztf' as survey, case cast("i:fid" as int) when 1 then 'g' when 2 then 'r' when 3 then 'i' end as filter,
+         "i:jd" - 2400000.5 as mjd, "i:magpsf" as mag, "i:sigmapsf" as mag_err, "i:diffmaglim" as "limit", "i:fwhm" as fwhm,
+         case "d:tag" when 'valid' then 1 when 'badquality' then -1 when 'upperlim' then 0 end as detection, 'main' as camera
+  from ztf_raw) where detection >= 0
+union all
+select obj_id, 'lsst', "r:band", "r:midpointMjdTai",
+       round(case when "r:psfFlux" > 0 then log10("r:psfFlux") * -2.5 + 31.4 end, 6),
+       round(abs("r:psfFluxErr" * 1.0857 / nullif("r:psfFlux", 0)), 6), null, null, 1, 'main' from lsst_raw
 """, views=("ztf_raw", "lsst_raw"))
 def q_union_lightcurves(spark, sf_dir):
     """Light curves of several surveys concatenated by name."""
-    u = ph.union_lightcurves(ph.normalise_ztf_lc(td.ztf_raw(spark, sf_dir)),
-                             ph.normalise_lsst_lc(td.lsst_raw(spark, sf_dir)))
-    return u.groupBy("survey").agg(F.count("*").alias("n"))
+    lsst = ph.normalise_lsst_lc(td.lsst_raw(spark, sf_dir))
+    lsst = lsst.withColumn("mag", round_half_up("mag", 6)).withColumn("mag_err", round_half_up("mag_err", 6))
+    return ph.union_lightcurves(ph.normalise_ztf_lc(td.ztf_raw(spark, sf_dir)), lsst)
 
 
 @register("sql_id_listing", sql="""

@@ -153,15 +153,23 @@ def q_canonical_band(spark, sf_dir):
 
 
 @register("ztf_metadata", sql="""
-with newest as (select obj_id, arg_max({'classification': "d:classification", 'gcvs': "d:gcvs", 'tns': "d:tns"},
-                                       "i:jd") as r from fink_ztf_rows group by obj_id),
+with two as (select * from fink_ztf_rows union all select * replace ('same epoch' as "d:gcvs") from fink_ztf_rows),
+newest as (select obj_id, arg_max({'classification': "d:classification", 'gcvs': "d:gcvs", 'tns': "d:tns"}, ("i:jd",
+             -- Spark orders NULL first in a struct, DuckDB last
+             coalesce('v' || "d:classification", ''), coalesce('v' || "d:gcvs", ''), coalesce('v' || "d:tns", ''))) as r
+           from two group by obj_id),
 kv as (select obj_id, 'classification' as key, r.classification as value from newest
        union all select obj_id, 'gcvs', r.gcvs from newest union all select obj_id, 'tns', r.tns from newest)
 select obj_id, key, value from kv where value is not null and value not in ('nan', 'None')
+union all select distinct obj_id, 'object_id', 'ZTF' || obj_id from fink_ztf_rows
+union all select distinct obj_id, 'source_id_name', 'objectId' from fink_ztf_rows
 """, views=("fink_ztf_rows",))
 def q_ztf_metadata(spark, sf_dir):
-    """Whitelisted fields of each object's newest ZTF row (long form)."""
-    m = M.ztf_metadata(td.fink_ztf_rows(spark, sf_dir))
+    """Whitelisted fields of each object's newest ZTF row, of which there
+    are two with one epoch (long form)."""
+    rows = td.fink_ztf_rows(spark, sf_dir)
+    rows = rows.unionByName(rows.withColumn("d:gcvs", F.lit("same epoch")))
+    m = M.ztf_metadata(rows.withColumn("name", F.concat(F.lit("ZTF"), F.col("obj_id").cast("string"))), object_id="name")
     return m.select("obj_id", F.explode("meta").alias("key", "value"))
 
 
@@ -171,10 +179,18 @@ with newest as (select obj_id, arg_max({'classification': "f:classification", 's
 kv as (select obj_id, 'classification' as key, r.classification as value from newest
        union all select obj_id, 'score', r.score from newest)
 select obj_id, key, value from kv where value is not null and value <> 'nan'
+union all select distinct obj_id, 'object_id', cast(obj_id * 10 as varchar) from lsst_meta_rows
+union all select distinct obj_id, 'source_id_name', 'diaObjectId' from lsst_meta_rows
+union all select distinct obj_id, 'ra_deg', cast(obj_id % 360 as varchar) || '.0' from lsst_meta_rows
+union all select distinct obj_id, 'dec_deg', cast(obj_id % 90 as varchar) || '.0' from lsst_meta_rows
 """, views=("lsst_meta_rows",))
 def q_lsst_metadata(spark, sf_dir):
-    """``f:`` fields (no tns / version names) of each newest LSST row."""
-    m = M.lsst_metadata(td.lsst_meta_rows(spark, sf_dir))
+    """``f:`` fields (no tns / version names) of each newest LSST row,
+    with the survey's id and the object's position."""
+    rows = td.lsst_meta_rows(spark, sf_dir).withColumn("name", F.col("obj_id") * 10)
+    at = rows.select("obj_id").distinct().select("obj_id", (F.col("obj_id") % 360).cast("double").alias("ra_deg"),
+                                                 (F.col("obj_id") % 90).cast("double").alias("dec_deg"))
+    m = M.lsst_metadata(rows, object_id="name", position=at)
     return m.select("obj_id", F.explode("meta").alias("key", "value"))
 
 

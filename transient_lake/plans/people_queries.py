@@ -116,6 +116,22 @@ def q_objects_for_tag(spark, sf_dir):
     return P.objects_for_tag(_req_tags(spark, sf_dir), mem, tags, asg, limit=2, offset=1)
 
 
+@register("objects_for_tag_keyset", sql=f"""
+with {_REQ_TAGS},
+c as (select ok.*, case when ok.tag_id % 3 > 0 then cast(ok.tag_id * 7 as varchar) end as after from ok),
+r as (select c.user_id, c.tag_id, a.object_id,
+             row_number() over (partition by c.user_id, c.tag_id order by a.object_id) as rank
+      from c join assignments a using (tag_id) where c.after is null or a.object_id > c.after)
+select * from r where rank <= 3
+""", views=V)
+def q_objects_for_tag_keyset(spark, sf_dir):
+    """The page of three objects that follows each request's cursor."""
+    _, _, mem, tags, asg = _t(spark, sf_dir)
+    req = _req_tags(spark, sf_dir)
+    req = req.withColumn("after", F.when(F.col("tag_id") % 3 > 0, (F.col("tag_id") * 7).cast("string")))
+    return P.objects_for_tag(req, mem, tags, asg, limit=3)
+
+
 @register("user_teams", sql="""
 select m.user_id, m.team_id, m.role, t.name, t.description from users u join memberships m using (user_id)
 left join teams t using (team_id)

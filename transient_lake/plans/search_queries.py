@@ -134,6 +134,22 @@ def q_alerts_page(spark, sf_dir):
     return S.alerts_page(meta, 25, 50)
 
 
+@register("alerts_page_keyset", sql=f"""
+select discovery_date, source_id as obj_name, object_type, {hms_sql('ra_deg')} as ra_hms, {dms_sql('dec_deg')} as dec_dms,
+       redshift, reporting_group, 'ZTF' as discovery_source
+from objects where source = 'tns'
+order by discovery_date desc, source_id limit 25 offset 75
+""", views=("objects",))
+def q_alerts_page_keyset(spark, sf_dir):
+    """The fourth page by the cursor that the third one ends with."""
+    o = td.objects(spark, sf_dir)
+    tns = o.select("source_id", "object_type", "redshift", "reporting_group", F.lit("ZTF").alias("discovery_data_source"))
+    meta = cat.assemble_metadata(o.select("source_id", "source", "discovery_date", fsky.deg_to_hms("ra_deg").alias("ra_hms"),
+                                          fsky.deg_to_dms("dec_deg").alias("dec_dms")), {"tns": tns}, key="source_id")
+    last = S.alerts_page(meta, 25, 50).orderBy("discovery_date", F.desc("obj_name")).first()
+    return S.alerts_page(meta, 25, after=(last["discovery_date"], last["obj_name"]))
+
+
 @register("cone_page", sql=f"""
 with hits as (
   select * exclude (d, r), round(d, 8) as distance_deg from (

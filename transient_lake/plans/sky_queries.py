@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
 
 from ..functions import sky as fsky
 from ..operators import sky
+from ..session import scratch_path
+from ..sources import sky_store
 from ..sources import testdata as td
 from .registry import register
 
@@ -89,6 +93,22 @@ def q_cone_search(spark, sf_dir):
     return out.withColumn("distance_deg", round_half_up("distance_deg", 8))
 
 
+@register("cone_search_store", sql=f"""
+select * exclude (d, r), round(d, 8) as distance_deg from (
+  select c.cone_id, o.source_id as obj_name, o.ra_deg as ra, o.dec_deg as dec,
+         {_hav_sql('c.ra', 'c.dec_c', 'o.ra_deg', 'o.dec_deg', unit='1')} as d, c.radius_arcsec / 3600.0 as r
+  from (select * from cones where cone_id % 5 = 0) c join objects o
+    on o.dec_deg between c.dec_c - c.radius_arcsec / 3600.0 and c.dec_c + c.radius_arcsec / 3600.0)
+where d <= r
+""", views=("objects", "cones"))
+def q_cone_search_store(spark, sf_dir):
+    """Cones over objects that are stored by sky cell."""
+    path = os.path.join(scratch_path(spark, "sky"), "objects")
+    sky_store.write_objects(td.objects(spark, sf_dir).select("source_id", "ra_deg", "dec_deg"), path, cell_deg=15.0)
+    out = sky_store.cone_search(spark, path, td.cones(spark, sf_dir).where("cone_id % 5 = 0"), cell_deg=15.0)
+    return out.withColumn("distance_deg", round_half_up("distance_deg", 8))
+
+
 _MIXED_RADIUS = "case when cone_id % 50 = 0 then 648000.0 when cone_id % 10 = 1 then 3600.0 else 1.0 end"
 
 

@@ -26,7 +26,8 @@ def write_lightcurves(lc: DataFrame, table: str, path: str | None = None, bucket
     path = path or os.path.join(checkpoint_dir(spark), "tables", table)
     if buckets is None:
         buckets = max(DEFAULT_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (lc.write.bucketBy(buckets, "obj_id").sortBy("obj_id", "survey", "filter", "mjd")
+    # a file a bucket, so a bucket is read in its sort order
+    (lc.repartition(buckets, "obj_id").write.bucketBy(buckets, "obj_id").sortBy("obj_id", "survey", "filter", "mjd")
      .option("path", path).mode("overwrite").saveAsTable(table))
     return table
 
@@ -34,6 +35,8 @@ def write_lightcurves(lc: DataFrame, table: str, path: str | None = None, bucket
 #: Session setting under which joins and aggregates reuse the ``obj_id`` bucketing even when their keys are
 #: (obj_id, survey, filter); the whole summary then runs without any shuffle.  The caller's to set.
 CO_PARTITION = ("spark.sql.requireAllClusterKeysForCoPartition", "false")
+#: Session setting under which a bucket of one file is known to be sorted; the summary then needs no sort either.
+SORTED = ("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
 
 def read_lightcurves(spark: SparkSession, table: str) -> DataFrame:

@@ -23,10 +23,13 @@ Checkpoints and tables live under the cluster's shared checkpoint folder.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType, TimestampType
 
 from ..operators import catalogue as cat
@@ -322,3 +325,58 @@ def publish_requests(requests: DataFrame, fmt: str = "kafka", path: str | None =
         msgs.write.format("kafka").options(**options).save()
     else:
         msgs.write.mode("overwrite").json(path)
+
+
+# --- ST6: timers -----------------------------------------------------------
+
+REQUEST_SCHEMA = "archive_id string, source_name string, due_at timestamp, fired_at timestamp"
+
+
+_DAY_MS = 86_400_000
+
+
+def _timers(config: list[tuple[str, int]], behind: int):
+    """The timers of one object: an update sets them anew, the clock (the
+    watermark, which is ``behind`` milliseconds late) fires each once."""
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if key[0] is None or key[0] != key[0]:
+            return  # the clock's ticks only move the watermark
+        now = state.getCurrentWatermarkMs() + behind
+        update, fired = state.get if state.exists else (None, None)
+        if not state.hasTimedOut:
+            newest = max(int(b["update_ms"].max()) for b in batches)
+            if update is None or newest > update:
+                update, fired = newest, newest - 1
+        due = [(name, update + days * _DAY_MS) for name, days in config]
+        later = [t for _, t in due if t > now]
+        if later:
+            state.update((update, max(fired, now)))
+            state.setTimeoutTimestamp(max(min(later) - 1, now) - behind)  # it fires when the watermark is beyond it
+        else:
+            state.remove()
+        yield pd.DataFrame([(key[0], name, pd.Timestamp(t, unit="ms"), pd.Timestamp(now, unit="ms"))
+                            for name, t in due if fired < t <= now],
+                           columns=["archive_id", "source_name", "due_at", "fired_at"])
+    return run
+
+
+def refresh_timers(updates: DataFrame, clock: DataFrame, source_config, lateness_days: int = 3650) -> DataFrame:
+    """ST6 as a stream: every (object, source) pair has a timer that fires once
+    ``update_date`` + the source's ``update_frequency`` days are reached by the
+    clock.  ``updates``: (archive_id, update_date), a later one sets the timers
+    anew; ``clock``: (now) ticks.  Rows are the work list, each request once per
+    update, with the clock time at which it was found due.
+
+    The clock is the largest time seen in ticks and updates.  The watermark
+    stays ``lateness_days`` behind it, so an update may arrive that long after
+    its date; older ones are dropped as late.  State is two numbers an object,
+    gone when its last timer has fired; a key's rows are one object's updates."""
+    dated = F.col("update_date").cast("timestamp")
+    rows = updates.where("update_date is not null").select("archive_id", F.unix_millis(dated).alias("update_ms"), dated.alias("at"))
+    ticks = clock.select(F.lit(None).cast("string").alias("archive_id"), F.lit(None).cast("long").alias("update_ms"),
+                         F.col("now").cast("timestamp").alias("at"))
+    timed = rows.unionByName(ticks).withWatermark("at", f"{lateness_days} days")
+    # no filter on the ticks: Spark would push it below the watermark
+    return timed.groupBy("archive_id").applyInPandasWithState(
+        _timers([(name, days) for name, _, _, days in source_config], lateness_days * _DAY_MS), REQUEST_SCHEMA,
+        "update_ms long, fired_ms long", "append", GroupStateTimeout.EventTimeTimeout)
