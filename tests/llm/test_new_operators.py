@@ -279,3 +279,58 @@ def test_license_scan_stays_in_the_jvm(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = license_scan.scan(docs, order=license_scan.index_words())._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+# the parts of earlier operators that this round changed
+
+def test_re_pair_goes_down_to_where_a_rule_pays():
+    import numpy as np
+
+    from transient_lake.llm import grammar_store as G
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 40_000, 100).astype(np.uint32)
+    for copies, most in ((20, 60), (7, 60)):
+        ids = np.concatenate([np.append(passage, 45_000 + i) for i in range(copies)]).astype(np.uint32)
+        body, rules = G.compress(ids, 49_408)
+        assert len(body) <= most and (G.Grammar(rules, G.rule_lengths(rules, 49_408), 49_408).expand(body) == ids).all()
+    few = np.concatenate([passage, passage]).astype(np.uint32)
+    assert len(G.compress(few, 49_408)[1]) == 0  # two copies save fewer bytes than their rules cost
+    for n in (0, 1, 2, 7, 300, 5_000):
+        for vocabulary in (1, 2, 5, 300, 70_000):
+            for least in (None, 2, 5):
+                ids = (rng.zipf(1.3, n) % vocabulary).astype(np.uint32)
+                body, rules = G.compress(ids, vocabulary, least)
+                lengths = G.rule_lengths(rules, vocabulary)
+                assert (G.Grammar(rules, lengths, vocabulary).expand(body) == ids).all()
+                for start, length in ((0, n), (n // 3, n // 2), (n, 0), (0, 1)):
+                    assert (G.slice_ids(body, rules, lengths, vocabulary, start, length) == ids[start:start + length]).all()
+
+
+def test_slice_of_an_unknown_document_is_empty(spark):
+    from transient_lake.llm import grammar_store as G
+    from transient_lake.llm.queries import tokenizer_path
+    from transient_lake.session import scratch_path
+    path = scratch_path(spark, "slices")
+    docs = spark.createDataFrame([(i, f"some text {i} " * 30) for i in range(40)] + [(None, "x")], "doc_id long, text string")
+    G.write_ids(docs, path, tokenizer_path("word_bpe_49k.json"), 1)
+    whole = G.read_slice(spark, path, 7)
+    assert G.read_slice(spark, path, 7, 5, 9) == whole[5:14] and G.read_slice(spark, path, 7, 10_000) == []
+    assert G.read_slice(spark, path, 99) == []
+
+
+def test_pieces_are_exact_on_random_texts():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from transient_lake.llm import token_counts, tokenize
+    from transient_lake.llm.queries import tokenizer_path
+    rng = random.Random(9)
+    letters = list("ab Z9éß,.;:!?'\"()<>|\n\t\r \x01\x85 …€’s-_") + ["<|endoftext|>", "<|STARTOFTEXT|>", "don't", "  ", "x,", "y. "]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(6_000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder, library = tokenize.PieceEncoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+        counter = token_counts.CountEncoder(tokenizer_path(name), {})
+        for t in texts:
+            want = library.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(encoder.encode(t), "<u4").tolist() == want, repr(t)
+            assert counter.count(t) == len(want), repr(t)

@@ -4,7 +4,9 @@ Documents are encoded, an end id appended, and written in ascending id order
 as a Parquet data set of blocks.  A block holds the ids of consecutive
 documents (about ``block_tokens`` of them, so memory is bounded) compressed by
 its own grammar: frequent id pairs are replaced by nonterminals, again and
-again, until no pair occurs ``min_count`` times.  One round replaces many pairs
+again, down to the number of occurrences at which a rule costs more bytes than
+it saves (7 for 16-bit symbols), and while symbols still fit into 16 bits (wider
+ones would double the body).  One round replaces many pairs
 at once: of overlapping occurrences the one of the more frequent pair wins,
 runs of one id are taken from the left, and a pair that lost too many of its
 occurrences waits for the next round.
@@ -12,6 +14,7 @@ occurrences waits for the next round.
 File format (one row per block; integers little-endian, unsigned):
 
 * part, block: place in the order; part_start: ids of the part before it;
+* first_id, last_id: the smallest and largest id, by which a reader skips blocks;
 * doc_ids (array, null ids first), doc_lengths: 32 bits each, end id included;
 * vocabulary: the first nonterminal's number;
 * rules: for nonterminal ``vocabulary + i`` its two symbols, 32 bits each;
@@ -39,10 +42,15 @@ from pyspark.sql.window import Window
 
 from .tokenize import encoder
 
-SCHEMA = ("part int, block int, part_start long, n_docs int, doc_ids array<long>, doc_lengths binary, vocabulary int, "
+SCHEMA = ("part int, block int, part_start long, n_docs int, first_id long, last_id long, doc_ids array<long>, doc_lengths binary, vocabulary int, "
           "rules binary, rule_lengths binary, body_bytes int, body binary, n_tokens long")
 BLOCK_TOKENS = 2_000_000
-MIN_COUNT = 24
+#: Bytes of a rule in the file: two symbols and its length.
+RULE_BYTES = 12
+#: Occurrences from which pairs are replaced, step by step, before the least that pays.
+STEPS = (64, 20)
+#: A step is over when a round would replace less than 1 / TAIL of the symbols.
+TAIL = 50
 _NONE = np.iinfo(np.int32).max
 
 
@@ -51,55 +59,103 @@ def _pairs(seq: np.ndarray, bits: int) -> np.ndarray:
     return (seq[:-1].astype(kind) << kind(bits)) | seq[1:].astype(kind)
 
 
-def _ranks(pairs: np.ndarray, by_rank: np.ndarray) -> np.ndarray:
-    """Rank of every pair among ``by_rank`` (best first), ``_NONE`` if it has
-    none.  Looked up in a hash table with one pair a slot; of pairs that share
-    a slot the best is found, the others wait for the next round."""
+def _known_pairs(pairs: np.ndarray, by_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, ranks) of the pairs that are among ``by_rank`` (best first).
+    Looked up in a hash table with one pair a slot; of pairs that share a slot
+    the best is found, the others wait for the next round."""
     kind, log = by_rank.dtype.type, max(8, int(len(by_rank) * 8).bit_length())
     odd, shift = (kind(0x9E3779B1), kind(32 - log)) if kind is np.uint32 else (kind(0x9E3779B97F4A7C15), kind(64 - log))
     slot = (by_rank[::-1] * odd) >> shift
     held, rank = np.zeros(1 << log, dtype=kind), np.full(1 << log, _NONE, dtype=np.int32)
     held[slot] = by_rank[::-1]  # of equal slots the last, the best, stays
     rank[slot] = np.arange(len(by_rank) - 1, -1, -1, dtype=np.int32)
-    at = (pairs * odd) >> shift
-    return np.where(held[at] == pairs, rank[at], _NONE)
+    at = pairs * odd
+    at >>= shift
+    at = at.astype(np.intp)
+    places = np.flatnonzero(np.take(held, at, mode="clip") == pairs)
+    ranks = np.take(rank, at[places], mode="clip")
+    real = ranks != _NONE  # an empty slot looks like the pair (0, 0)
+    return (places, ranks) if real.all() else (places[real], ranks[real])
+
+
+def _frequent(pairs: np.ndarray, min_count: int) -> np.ndarray:
+    """Pairs that occur ``min_count`` times or more, the most frequent first."""
+    ordered = np.sort(pairs)
+    first = np.flatnonzero(ordered[1:] != ordered[:-1])
+    first = np.concatenate([[0], first + 1])
+    count = np.diff(first, append=len(ordered))
+    frequent = count >= min_count
+    known = ordered[first[frequent]]
+    return known[np.argsort(-count[frequent], kind="stable")]
+
+
+def _chosen(places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Which occurrences are replaced: those that no overlapping one beats by
+    its rank; of a run of one id every second, from its left."""
+    beside = places[1:] == places[:-1] + 1
+    alike = beside & (ranks[1:] == ranks[:-1])
+    out = np.ones(len(places), dtype=bool)
+    out[1:] &= ~beside | (ranks[:-1] >= ranks[1:])
+    out[:-1] &= ~beside | (ranks[:-1] <= ranks[1:])
+    if alike.any():
+        at = np.arange(len(places))
+        run = np.maximum.accumulate(np.where(np.append(True, ~alike), at, 0))
+        out &= (at - run) % 2 == 0
+    return out
 
 
-def compress(ids: np.ndarray, vocabulary: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """(body, rules) of a sequence of ids below ``vocabulary``; rules has two symbols a row."""
+def compress(ids: np.ndarray, vocabulary: int, min_count: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(body, rules) of a sequence of ids below ``vocabulary``; rules has two
+    symbols a row.  Pairs are replaced down to ``min_count`` occurrences; by
+    default down to where a rule costs more bytes than it saves, and while
+    symbols fit into the bytes of the vocabulary's own."""
     seq, rules, next_symbol = ids.astype(np.uint32), [], vocabulary
-    while len(seq) > 1:
+    narrow = vocabulary < 1 << 16
+    room = (1 << 16) - vocabulary if narrow and min_count is None else np.iinfo(np.int32).max
+    least = RULE_BYTES // (2 if narrow else 4) + 1 if min_count is None else min_count
+    steps = [c for c in STEPS if c > least and min_count is None] + [least]
+    while len(seq) > 1 and room > 0:
         bits = 16 if next_symbol <= 1 << 16 else 32
         pairs = _pairs(seq, bits)
-        ordered = np.sort(pairs)
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        count = np.diff(np.append(first, len(ordered)))
-        frequent = count >= min_count
-        if not frequent.any():
-            break
-        known, count = ordered[first[frequent]], count[frequent]
-        by_rank = known[np.argsort(-count, kind="stable")]
-        rank = _ranks(pairs, by_rank)
-        # an occurrence is replaced if no overlapping one has a better rank; runs of one id from their left
-        place = np.arange(len(rank), dtype=np.int32)
-        run_start = np.maximum.accumulate(np.where(np.append(True, rank[1:] != rank[:-1]), place, 0))
-        left = np.append(True, rank[:-1] >= rank[1:])
-        right = np.append(rank[:-1] <= rank[1:], True)
-        chosen = (rank != _NONE) & left & right & ((place - run_start) % 2 == 0)
-        where = np.flatnonzero(chosen)
-        kept = np.bincount(rank[where], minlength=len(by_rank)) >= max(2, min_count // 2)
-        if not kept.any():
-            break
-        where = where[kept[rank[where]]]
+        by_rank = _frequent(pairs, steps[0])
+        if not len(by_rank):
+            if len(steps) == 1:
+                break
+            steps.pop(0)
+            continue
+        places, ranks = _known_pairs(pairs, by_rank)
+        use = _chosen(places, ranks)
+        where, ranks = places[use], ranks[use]
+        kept = np.bincount(ranks, minlength=len(by_rank)) >= max(2, steps[0] // 2)
+        if len(steps) > 1 and np.count_nonzero(kept[ranks]) * TAIL < len(seq):
+            steps.pop(0)  # the next threshold has more to replace, these among them
+            continue
+        if not kept.any():  # overlaps left too few uses of each: the best pair goes alone
+            by_rank = by_rank[:1]
+            where = places[_alone(places, pairs, by_rank[0])]
+            ranks, kept = np.zeros(len(where), dtype=np.int32), np.ones(1, dtype=bool)
+            if len(where) < 2:
+                break
+        kept &= np.cumsum(kept) <= room
+        where, ranks = where[kept[ranks]], ranks[kept[ranks]]
         symbol = next_symbol + np.cumsum(kept) - 1  # by rank
         pair = by_rank[kept].astype(np.uint64)
         rules.append(np.column_stack([pair >> np.uint64(bits), pair & np.uint64((1 << bits) - 1)]).astype(np.uint32))
         next_symbol += int(kept.sum())
-        seq[where] = symbol[rank[where]]
-        seq = np.delete(seq, where + 1)
+        room -= int(kept.sum())
+        seq[where] = symbol[ranks]
+        stays = np.ones(len(seq), dtype=bool)
+        stays[where + 1] = False
+        seq = seq[stays]
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32)
 
 
+def _alone(places: np.ndarray, pairs: np.ndarray, pair: np.generic) -> np.ndarray:
+    """Indexes into ``places`` of the occurrences of one pair that do not overlap."""
+    own = np.flatnonzero(pairs[places] == pair)
+    return own[_chosen(places[own], np.zeros(len(own), dtype=np.int32))]
+
+
 def rule_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
     """Ids that each nonterminal expands to."""
     out = np.zeros(len(rules), dtype=np.int64)
@@ -135,31 +191,43 @@ class Grammar:
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.repeat(self.start[symbols] - (ends - size), size) + np.arange(total)]
 
-    def slice(self, body: np.ndarray, start: int, length: int) -> np.ndarray:
-        """Ids ``start`` to ``start + length`` of a body, expanding only the symbols over them."""
-        ends = np.cumsum(self.size[body])
-        a = int(np.searchsorted(ends, start, "right"))
-        b = int(np.searchsorted(ends, start + length - 1, "right")) + 1 if length else a
-        skip = start - (int(ends[a - 1]) if a else 0)
-        return self.expand(body[a:b])[skip:skip + length]
 
-
-def _row(part: int, block: int, part_start: int, ids: list, texts: list[bytes], vocabulary: int, min_count: int) -> tuple:
+def slice_ids(body: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocabulary: int, start: int, length: int) -> np.ndarray:
+    """Ids ``start`` to ``start + length`` of a body, expanding only the symbols over them."""
+    size = np.ones(len(body), dtype=np.int64)
+    deep = body >= vocabulary
+    size[deep] = lengths[body[deep] - vocabulary]
+    ends = np.cumsum(size)
+    a = int(np.searchsorted(ends, start, "right"))
+    b = int(np.searchsorted(ends, start + length - 1, "right")) + 1 if length > 0 else a
+    skip = start - (int(ends[a - 1]) if a else 0)
+    part = body[a:b].astype(np.uint32)
+    while (deep := part >= vocabulary).any():
+        at = np.cumsum(deep + 1)
+        out = np.empty(at[-1], dtype=np.uint32)
+        out[at[~deep] - 1] = part[~deep]
+        out[at[deep] - 2], out[at[deep] - 1] = rules[part[deep] - vocabulary].T
+        part = out
+    return part[skip:skip + length]
+
+
+def _row(part: int, block: int, part_start: int, ids: list, texts: list[bytes], vocabulary: int, min_count: int | None) -> tuple:
     flat = np.frombuffer(b"".join(texts), dtype="<u4")
     body, rules = compress(flat, vocabulary, min_count)
     width = 2 if vocabulary + len(rules) <= 1 << 16 else 4
-    return (part, block, part_start, len(ids), ids, np.asarray([len(t) // 4 for t in texts], dtype="<u4").tobytes(),
+    known = [i for i in ids if i is not None]
+    return (part, block, part_start, len(ids), min(known, default=None), max(known, default=None), ids, np.asarray([len(t) // 4 for t in texts], dtype="<u4").tobytes(),
             vocabulary, rules.astype("<u4").tobytes(), rule_lengths(rules, vocabulary).astype("<u4").tobytes(), width,
             body.astype(f"<u{width}").tobytes(), len(flat))
 
 
-_KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary(),
+_KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary(),
           pa.binary(), pa.int32(), pa.binary(), pa.int64())
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text",
-              block_tokens: int = BLOCK_TOKENS, min_count: int = MIN_COUNT) -> None:
+              block_tokens: int = BLOCK_TOKENS, min_count: int | None = None) -> None:
     """Encode all documents in ascending id order and write them to ``path``."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
@@ -229,13 +297,18 @@ def _few(parts: DataFrame, most: int = 1_000_000) -> bool:
 
 
 def read_slice(spark: SparkSession, path: str, doc_id: int, start: int = 0, length: int | None = None) -> list[int]:
-    """Ids of part of one document (the first of that id), by its block's expansion lengths."""
-    row = (spark.read.schema(SCHEMA).parquet(path).where(F.array_contains("doc_ids", doc_id))
-           .orderBy("part", "block").limit(1).collect()[0].asDict())
-    body, grammar, lengths = _block(row)
+    """Ids of part of one document (the first of that id; none for an unknown
+    id).  Blocks are skipped by their id ranges, and of the block found only
+    the symbols over the slice are expanded."""
+    rows = (spark.read.schema(SCHEMA).parquet(path).where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+            .where(F.array_contains("doc_ids", doc_id)).orderBy("part", "block").limit(1).collect())
+    if not rows:
+        return []
+    row = rows[0].asDict()
+    lengths = np.frombuffer(row["doc_lengths"], dtype="<u4").astype(np.int64)
     at = row["doc_ids"].index(doc_id)
-    begins = int(lengths[:at].sum())
-    stop = int(lengths[at]) if length is None else min(start + length, int(lengths[at]))
-    return grammar.slice(body, begins + start, stop - start).tolist()
-
-
+    n = int(lengths[at])
+    start, stop = min(start, n), n if length is None else min(start + length, n)
+    return slice_ids(np.frombuffer(row["body"], dtype=f"<u{row['body_bytes']}"), np.frombuffer(row["rules"], dtype="<u4").reshape(-1, 2),
+                     np.frombuffer(row["rule_lengths"], dtype="<u4").astype(np.int64), row["vocabulary"],
+                     int(lengths[:at].sum()) + start, max(0, stop - start)).tolist()

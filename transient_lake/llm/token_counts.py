@@ -45,7 +45,7 @@ class CountEncoder:
             return 0
         e = self.ids
         if e.by_word:
-            return sum(self._known(text.encode().split()))
+            return sum(self._known(e.word_pieces(text)))
         if e.at_special is not None and e.at_special.search(text):
             parts = e.at_special.split(text)
             return sum(1 if i % 2 else self._plain(p) for i, p in enumerate(parts))
@@ -74,7 +74,7 @@ class CountEncoder:
         return got
 
     def _single_spaced(self, text: str) -> int:
-        if len(text) < 2:
+        if len(text) < 2 or "\x01" in text:
             return self._run(text) if text else 0
         return sum(self._known(byte_pieces(text))) - 1  # without the added line feed
 
@@ -101,12 +101,12 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, text: str = "text", rows:
         for b in batches:
             for t in b["t"].iloc[:left]:
                 if t and e.by_word:
-                    seen.update(t.encode().split())
+                    seen.update(e.word_pieces(t))
                 elif t:
                     parts = _RUNS.split(t)
-                    seen.update(byte_pieces(parts[0]))
+                    seen.update(byte_pieces(parts[0]) if "\x01" not in t else [])
                     for run, words in zip(parts[1::2], parts[2::2]):
-                        if words:
+                        if words and "\x01" not in t:
                             seen.update(byte_pieces(run[-1] + words))
             left -= len(b)
             if left <= 0:

@@ -35,6 +35,13 @@ CACHE_ENTRIES = 450_000
 _LONGEST_CACHED = 128
 #: Letters that every Unicode version has and that are their own normal form, then ASCII punctuation but the apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)\Z")
+#: A run of ASCII punctuation (no apostrophe) between an ASCII letter or digit and a separator of pieces is a
+#: pre-token in both vocabularies.
+_MARKS = rb"([!-&(-/:-@\[-`{-~](?<=[A-Za-z0-9].)[!-&(-/:-@\[-`{-~]*)"
+_BYTE_TAIL = re.compile(_MARKS + rb"(?=[ \n]|\Z)")
+_WORD_TAIL = re.compile(_MARKS + rb"(?=[ \t\n\r]|\Z)")
+#: Leads a piece that has no blank before it.
+_BARE = b"\x01"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -70,16 +77,18 @@ class RecentCache:
 
     def all(self, keys: list, make, keep) -> list:
         """Values of the keys; unknown ones are made, and kept if ``keep(key)``."""
-        got = list(map(self.young.get, keys))
-        if None in got:
-            new = {}
-            for k in {k for k, v in zip(keys, got) if v is None}:
-                new[k] = value = self.old.get(k)
+        got, i = list(map(self.young.get, keys)), -1
+        for _ in range(got.count(None)):
+            i = got.index(None, i + 1)
+            k = keys[i]
+            value = self.young.get(k)  # a repeated key was made just before
+            if value is None:
+                value = self.old.get(k)
                 if value is None:
-                    new[k] = value = make(k)
+                    value = make(k)
                 if keep(k):
                     self.put(k, value)
-            got = [new[k] if v is None else v for k, v in zip(keys, got)]
+            got[i] = value
         return got
 
     def __len__(self) -> int:
@@ -117,6 +126,7 @@ class PieceEncoder:
         specials = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
         self.special = {s: np.asarray([i], dtype="<u4").tobytes() for s, i in specials.items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
+        self.special_bytes = [s.encode().lower() for s in specials]
         self.by_word = self.tok.model.end_of_word_suffix is not None
         self.cache = RecentCache()
         self.lead = "" if self.by_word else _BYTE_LETTERS[32]  # what a blank before a word is
@@ -125,12 +135,20 @@ class PieceEncoder:
         if not text:
             return b""
         if self.by_word:
-            return b"".join(self._known(text.encode().split()))
+            return b"".join(self._known(self.word_pieces(text)))
         if self.at_special is not None and self.at_special.search(text):
             parts = self.at_special.split(text)
             return b"".join(self.special[p] if i % 2 else self._plain(p) for i, p in enumerate(parts))
         return self._plain(text)
 
+    def word_pieces(self, text: str) -> list[bytes]:
+        """What stands between white space, A-Z in lower case (as the library
+        does) and the punctuation behind a word for itself."""
+        data = text.encode()
+        if self.special and any(s in data.lower() for s in self.special_bytes):
+            return data.split()
+        return _WORD_TAIL.sub(rb" \1", data.lower()).split()
+
     def _plain(self, text: str) -> bytes:
         if not _RUNS.search(text):
             return self._single_spaced(text)
@@ -145,7 +163,8 @@ class PieceEncoder:
         return b"".join(out)
 
     def _single_spaced(self, text: str) -> bytes:
-        if len(text) < 2:  # one white-space character would join the added line feed
+        # one white-space character would join the added line feed; a text's own \x01 is no mark
+        if len(text) < 2 or "\x01" in text:
             return _ids(self.tok.encode(text, add_special_tokens=False))
         # a led line feed is a token of its own: the first word gets one, which is taken off again
         return b"".join(self._known(byte_pieces(text)))[4:]
@@ -158,6 +177,8 @@ class PieceEncoder:
         if piece.isalpha():  # ASCII letters stand for themselves
             word = piece.lower() if self.by_word else piece
             return array("I", [t.id for t in self.tok.model.tokenize(self.lead + word.decode())]).tobytes()
+        if piece[:1] == _BARE and not self.by_word:  # ASCII punctuation stands for itself
+            return array("I", [t.id for t in self.tok.model.tokenize(piece[1:].decode())]).tobytes()
         text = piece.decode()
         plain = _PLAIN.match(text)
         if plain is None or not text:
@@ -185,13 +206,17 @@ class PieceEncoder:
         return array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
 
     def _text(self, piece: bytes) -> str:
+        if piece[:1] == _BARE and not self.by_word:
+            return piece[1:].decode()
         return piece.decode() if self.by_word or piece[:1] == b"\n" else " " + piece.decode()
 
 
 def byte_pieces(text: str) -> list[bytes]:
     """Pieces of a text without white-space runs, the first led by an added
-    line feed.  ``w`` stands for a blank and w, ``\\nw`` for itself."""
-    pieces = text.encode().replace(b"\n", b" \n").split(b" ")
+    line feed.  ``w`` stands for a blank and w, ``\\nw`` for itself, ``\\x01m`` for
+    the punctuation m behind a word (the text has no such character itself)."""
+    data = _BYTE_TAIL.sub(b" \x01\\1", text.encode())
+    pieces = data.replace(b"\n", b" \n").split(b" ")
     pieces[0] = b"\n" + pieces[0]
     return pieces
 
