@@ -172,3 +172,52 @@ def test_oracle(spark, name):
     assert columns == want_columns
     assert len(got) == len(want)
     assert got == want
+
+
+def test_quality_classifier(spark):
+    """Weights, Gumbel keys, k and the rows kept, from the definitions."""
+    import struct
+
+    from transient_lake.llm import classifier as C
+
+    sf = "/root/testdata/sf0.001"
+    rows = pq.read_table(f"{sf}/documents.parquet").to_pylist()
+    labels = pq.read_table(f"{sf}/labels.parquet").to_pylist()
+
+    def h(value: bytes, seed: int) -> int:
+        return xxhash.xxh64_intdigest(value, seed)
+
+    def of_id(d: int, seed: int) -> int:
+        return h(struct.pack("<q", d), seed)
+
+    def buckets(text):
+        w = [h(x, 7) for x in (text or "").encode().split()]
+        mix, spread, m = int(C._MIX), int(C._SPREAD), 2 ** 64
+        return [x >> 48 for x in w + [((a * mix % m) ^ b) * spread % m for a, b in zip(w, w[1:])]]
+
+    good = sorted({r["doc_id"] for r in labels if r["quality"] == 1 and not r["toxic"]})
+    held = {d for d in good if h(b"half", of_id(d, 42)) & 1}
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    copies = Counter((r["text"] or "").translate(fold) for r in rows)
+    found = {r["doc_id"]: buckets(r["text"]) for r in rows}
+    raw, target = np.ones(C.BUCKETS), np.ones(C.BUCKETS)
+    fitted = set(good) - held
+    for r in rows:
+        share = 1 / copies[(r["text"] or "").translate(fold)]
+        for b in found[r["doc_id"]]:
+            raw[b] += share
+            target[b] += r["doc_id"] in fitted
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    weight = {d: ratio[f].sum() / (len(f) + C.NEUTRAL) * C.SCALE for d, f in found.items()}
+    start = h(struct.pack("<i", 23), 42)
+    key = {d: w - np.log(-np.log(((of_id(d, start) >> 11) + 0.5) / 2 ** 53)) for d, w in weight.items()}
+    level = np.quantile([weight[d] for d in held if d in weight], 1 - C.KEEP_GOOD)
+    k = sum(w >= level for w in weight.values())
+    least = sorted(key.values())[-k]
+    got = {r["doc_id"]: r for r in QUERIES["op6_quality_classifier"](spark, sf).collect()}
+    assert set(got) == set(weight)
+    for d, r in got.items():
+        assert r["log_weight"] == pytest.approx(weight[d], abs=1e-3)
+        assert r["gumbel_key"] == pytest.approx(key[d], abs=1e-3)
+        assert r["kept"] == (key[d] >= least) or abs(key[d] - least) < 1e-3
+    assert abs(sum(r["kept"] for r in got.values()) - k) <= 1
