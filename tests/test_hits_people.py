@@ -275,3 +275,47 @@ def test_bad_dates_are_skipped_not_fatal(spark):
                                  "obj_id long, field string, source string, value string, filter string, mag_rate double")
     cond = {"discovery_date": [{"source": "tns", "date_limit": "2024-01-10", "operator": ">"}]}
     assert [r.obj_id for r in S.match_alert_conditions_long(rows, cond).collect()] == [2]
+
+
+def test_a_deletion_takes_everything_that_hangs_on_it(spark):
+    users = spark.createDataFrame([(1, "a"), (2, "b")], "user_id long, username string")
+    identities = spark.createDataFrame([("orcid", "x", 1), ("orcid", "y", 2)], "provider string, provider_user_id string, user_id long")
+    teams = spark.createDataFrame([(10, "t", 1), (11, "u", 2)], "team_id long, name string, created_by long")
+    mem = spark.createDataFrame([(10, 1, "owner"), (10, 2, "member")], "team_id long, user_id long, role string")
+    tags = spark.createDataFrame([(100, "p", 1, None), (101, "q", None, 10), (102, "r", 2, None)],
+                                 "tag_id long, name string, owner_user_id long, owner_team_id long")
+    asg = spark.createDataFrame([("o1", 100, 2), ("o1", 101, 1), ("o2", 102, 1), ("o3", 102, None)], "object_id string, tag_id long, applied_by long")
+    tables = {"users": users, "identities": identities, "teams": teams, "memberships": mem, "tags": tags, "assignments": asg}
+    rows = lambda left: {n: sorted(map(tuple, df.collect()), key=str) for n, df in left.items()}
+    gone = spark.createDataFrame([(1,), (1,), (77,)], "user_id long")
+    assert rows(P.cascade_delete(tables, {"users": gone})) == {
+        "users": [(2, "b")], "identities": [("orcid", "y", 2)], "teams": sorted([(10, "t", None), (11, "u", 2)], key=str),
+        "memberships": [(10, 2, "member")], "tags": sorted([(101, "q", None, 10), (102, "r", 2, None)], key=str),
+        "assignments": sorted([("o1", 101, None), ("o2", 102, None), ("o3", 102, None)], key=str)}
+    left = rows(P.cascade_delete(tables, {"teams": teams.where("team_id = 10"), "tags": tags.where("tag_id = 102")}))
+    assert left["tags"] == [(100, "p", 1, None)] and left["assignments"] == [("o1", 100, 2)] and left["memberships"] == []
+    assert len(left["users"]) == 2 and len(left["identities"]) == 2
+    kinds = {(r.kind, r.key) for r in P.audit_constraints(users.where("user_id = 2"), identities, teams.where("team_id = 11"), mem,
+                                                          tags.where("tag_id <> 100"), asg).collect()}
+    assert {("identity without user", "orcid|x"), ("membership without team", "10|1"), ("membership without user", "10|1"),
+            ("tag without owner team", "101"), ("assignment without tag", "o1|100"), ("assignment applied by no user", "o2|102")} <= kinds
+
+
+def test_two_updates_of_a_team_are_one_row(spark):
+    teams = spark.createDataFrame([(1, "t", "d"), (2, "u", None)], "team_id long, name string, description string")
+    up = spark.createDataFrame([(1, " b ", True, None, False), (1, "a", True, "new", True), (1, "  ", True, "x", True), (2, None, False, None, True)],
+                               "team_id long, name string, set_name boolean, description string, set_description boolean")
+    out, bad = P.apply_team_updates(teams, up)
+    assert sorted(map(tuple, out.collect())) == [(1, "a", "new"), (2, "u", None)] and [r.team_id for r in bad.collect()] == [1]
+
+
+def test_who_may_take_a_tag_off(spark):
+    tags = spark.createDataFrame([(100, 1, None), (101, None, 10)], "tag_id long, owner_user_id long, owner_team_id long")
+    mem = spark.createDataFrame([(10, 2, "member")], "team_id long, user_id long, role string")
+    asg = spark.createDataFrame([("o", 100, 1), ("o", 101, 2)], "object_id string, tag_id long, applied_by long")
+    req = spark.createDataFrame([("o", 100, 2), ("o", 101, 2), ("o", 101, 1), ("x", 100, 1), ("o", 999, 1)], "object_id string, tag_id long, user_id long")
+    left, judged = P.remove_assignments(req, asg, tags, mem)
+    assert [tuple(r) for r in left.collect()] == [("o", 100, 1)]
+    assert {(r.object_id, r.tag_id, r.user_id): r.reason for r in judged.collect()} == {
+        ("o", 100, 2): "no permission for this tag", ("o", 101, 2): None, ("o", 101, 1): "no permission for this tag",
+        ("x", 100, 1): "no such assignment", ("o", 999, 1): "no such assignment"}
