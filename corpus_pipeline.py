@@ -13,11 +13,19 @@ from transient_lake.llm import classifier, exact_dedup, mixing, packing, simhash
 from transient_lake.llm.queries import table, tokenizer_path
 from transient_lake.session import scratch_path
 
+#: Rows of whole texts that a Python worker gets at a time; Spark's default of 10,000 holds some 100 MB of them twice.
+TEXT_ROWS = 2_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a worker holds of the texts (a session setting)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
+    small_batches(spark)
     return classifier.resample(docs, table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
 
 
@@ -28,6 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the smallest id."""
+    small_batches(spark)
     return simhash.one_of_each(docs, k=3, distance=3).select(*COLUMNS)
 
 
@@ -38,6 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their place in packed sequences."""
+    small_batches(spark)
     return packing.digest(packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2, capacity=1024))
 
 
