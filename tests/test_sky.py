@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transient_lake.functions import sky as fsky
+from transient_lake.operators import search as S
 from transient_lake.operators import sky
 
 
@@ -176,3 +177,26 @@ def test_a_cone_reads_the_files_of_its_cells(spark, tmp_path):
     assert one.select(F.input_file_name()).distinct().count() <= 4 < all_files / 20
     near = sky_store.nearest_match(objects.where("source_id < 50").withColumnRenamed("source_id", "obj_id"), path, 5.0, 10.0, cat_id="source_id")
     assert {(r.obj_id, r.match_id) for r in near.collect()} == {(i, i) for i in range(50)}
+
+
+def test_page_reach_lets_the_whole_page_through(spark):
+    rows = [(g, float(i % 40) * 0.01 * g, f"o{i:03d}") for g in (1, 2, 7) for i in range(300)]
+    hits = spark.createDataFrame([*rows, (9, 0.5, "x")], "cone_id int, distance_deg double, obj_name string")
+    reach = S.page_reach(hits, page=2, size=20)
+    assert {r.cone_id: r.n_pages for r in reach.collect()} == {1: 15, 2: 15, 7: 15, 9: 1}
+    cut = hits.join(reach, "cone_id").where("distance_deg <= reach").select(*hits.columns)
+    assert cut.count() < hits.count() / 2
+    want = S.page_slice(hits, page=2, size=20).select("cone_id", "rank", "obj_name", "n_pages").collect()
+    got = S.page_slice(cut, page=2, size=20, counts=reach).select("cone_id", "rank", "obj_name", "n_pages").collect()
+    assert sorted(got) == sorted(want) and len(got) == 60
+
+
+def test_cones_of_the_whole_sky_are_many_keys(spark):
+    level = spark.createDataFrame([(180.0,), (3.0,), (0.5,)], "r double").select(sky._level(F.col("r")).alias("l"))
+    assert [r.l for r in level.collect()] == [sky.MAX_LEVEL, sky.MAX_LEVEL, -1]
+    objects = spark.createDataFrame([(f"o{i}", float(i % 360), i / 5.0 - 89.9) for i in range(900)],
+                                    "source_id string, ra_deg double, dec_deg double")
+    cones = spark.createDataFrame([(1, 10.0, 0.0, 648000.0), (2, 0.5, 89.5, 7200.0)],
+                                  "cone_id int, ra double, dec_c double, radius_arcsec double")
+    found = {r.cone_id: r["count"] for r in sky.cone_search(objects, cones).groupBy("cone_id").count().collect()}
+    assert found[1] == 900 and found[2] >= 8

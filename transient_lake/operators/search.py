@@ -222,8 +222,28 @@ def alerts_page(meta: DataFrame, n_rows, offset=0, after: tuple | None = None) -
                        F.get_json_object(tns, "$.discovery_data_source").alias("discovery_source"))
 
 
+#: Bins of a doubling of the distance.
+PAGE_BINS = 16
+
+
+def page_reach(results: DataFrame, page: int, size: int = CONES_PER_PAGE, group: str = "cone_id",
+               by: str = "distance_deg") -> DataFrame:
+    """(group, n_pages, reach): each group's page count (at least 1) and a
+    bound of ``by`` that no row up to the end of the page is beyond.  Rows are
+    counted by logarithmic bins of ``by`` within the tasks that find them, so
+    what is shuffled is bins, not rows."""
+    binned = F.greatest(F.lit(-1074 * PAGE_BINS), F.floor(F.log2(F.when(F.col(by) > 0, F.col(by))) * PAGE_BINS)).cast("int")
+    counts = results.groupBy(group, binned.alias("_bin")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    top = F.pow(F.lit(2.0), (F.col("_bin") + 1) / PAGE_BINS) * (1 + 1e-9)
+    return counts.groupBy(group).agg(
+        F.greatest(F.lit(1), F.ceil(F.sum("_n") / F.lit(size))).cast("long").alias("n_pages"),
+        F.max(F.when(F.col("_before") < page * size, top)).alias("reach"))
+
+
 def page_slice(results: DataFrame, page: int, size: int = CONES_PER_PAGE, group: str = "cone_id",
-               order=("distance_deg", "obj_name")) -> DataFrame:
+               order=("distance_deg", "obj_name"), counts: DataFrame | None = None) -> DataFrame:
     """Page ``page`` (1-based) of each group's ordered results, with the
     group's page count (at least 1).
 
@@ -231,16 +251,20 @@ def page_slice(results: DataFrame, page: int, size: int = CONES_PER_PAGE, group:
     ``SLICES`` hash slices, in parallel; the second ranks what is left.  A
     row on the page is among the first ``page * size`` of its slice, so at
     any depth a task gets one slice of a group and then at most
-    ``SLICES * page * size`` rows of it, never a whole group."""
+    ``SLICES * page * size`` rows of it, never a whole group.
+
+    ``counts``: (group, n_pages) when they are known (``page_reach``); the
+    results then need to hold no more than what its reach lets through."""
     last = page * size
     sliced = results.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)))
     first = Window.partitionBy(group, "_slice").orderBy(*order)
     cut = sliced.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= last).drop("_nth", "_slice")
     ranked = (cut.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
               .where(F.col("rank") <= last).withColumn("rank", F.col("rank").cast("long")))
-    counts = results.groupBy(group).agg(
-        F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(size))).cast("long").alias("n_pages"))
-    return ranked.where(F.col("rank") > last - size).join(counts, group)
+    if counts is None:
+        counts = results.groupBy(group).agg(
+            F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(size))).cast("long").alias("n_pages"))
+    return ranked.where(F.col("rank") > last - size).join(counts.select(group, "n_pages"), group)
 
 
 # --- long forms (one row per array element) -------------------------------

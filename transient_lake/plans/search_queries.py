@@ -10,6 +10,7 @@ from ..functions import sky as fsky
 from ..operators import catalogue as cat
 from ..operators import search as S
 from ..operators import sky
+from ..session import checkpoint_dir
 from ..sources import testdata as td
 from .registry import register
 from .sky_queries import _hav_sql, dms_sql, hms_sql
@@ -165,6 +166,13 @@ select * from ranked where rank > 20 and rank <= 40
 def q_cone_page(spark, sf_dir):
     """T3 + T1: page 2 (20 per page) of every cone's hits, nearest first,
     with each cone's page count."""
-    hits = sky.cone_search(td.objects(spark, sf_dir), td.cones(spark, sf_dir))
-    hits = hits.withColumn("distance_deg", round_half_up("distance_deg", 8))
-    return S.page_slice(hits, page=2, size=20)
+    checkpoint_dir(spark)
+    objects, cones = td.objects(spark, sf_dir), td.cones(spark, sf_dir)
+
+    def hits(of):
+        return sky.cone_search(objects, of).withColumn("distance_deg", round_half_up("distance_deg", 8))
+    # all hits are counted; those that can be on the page are found again, in cones cut to their reach
+    counts = S.page_reach(hits(cones), page=2, size=20).checkpoint()
+    cut = cones.join(counts, "cone_id").withColumn(
+        "radius_arcsec", F.least("radius_arcsec", (F.col("reach") + 1e-8) * 3600.0)).select(*cones.columns)
+    return S.page_slice(hits(cut), page=2, size=20, counts=counts)
