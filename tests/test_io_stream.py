@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -388,3 +389,41 @@ def test_documents_are_ingested_and_updated(spark, tmp_path):
     again = J.document_store(envelope, store, table).read().collect()
     assert {r["obj_id"]: [(p["survey"], p["mjd"], p["mag"]) for p in r["lightcurve"]] for r in again} == {
         k: v[1] for k, v in first.items()}
+
+
+def test_stream_join_keeps_few_copies_of_a_row(spark):
+    n = td.sky_alerts(spark, SF_SMALL).count()
+    base = tempfile.mkdtemp()
+    q = (J.crossmatch_stream(td.sky_alerts(spark, SF_SMALL, stream=True), 4.0).writeStream.format("parquet")
+         .option("checkpointLocation", base + "/ck").trigger(availableNow=True).start(base + "/out"))
+    q.awaitTermination()
+    assert n < max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]) < 5 * n
+
+
+def test_timers_of_many_objects_in_one_call():
+    class State:
+        exists, hasTimedOut, kept, wakes = False, False, None, None
+
+        def getCurrentWatermarkMs(self):
+            return self.clock
+
+        def update(self, kept):
+            self.exists, self.kept = True, kept
+
+        def remove(self):
+            self.exists, self.kept = False, None
+
+        def setTimeoutTimestamp(self, at):
+            self.wakes = at
+
+        get = property(lambda self: self.kept)
+    day, state = 86_400_000, State()
+    run = J._timers([("a", 1), ("b", 3)], 0)
+    state.clock = day
+    first = next(run((5,), iter([pd.DataFrame({"archive_id": ["x", "y", "x"], "update_ms": [0, day, -day]})]), state))
+    assert [*zip(first["archive_id"], first["source_name"])] == [("x", "a")]  # y is due on the second day, x's older update is left out
+    assert state.wakes == 2 * day - 1
+    state.clock, state.hasTimedOut = 4 * day, True
+    then = next(run((5,), iter([]), state))
+    assert sorted(zip(then["archive_id"], then["source_name"])) == [("x", "b"), ("y", "a"), ("y", "b")]
+    assert not state.exists
