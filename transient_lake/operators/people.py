@@ -297,13 +297,20 @@ def resolve_tag(requests: DataFrame, memberships: DataFrame, tags: DataFrame) ->
     """(request_id, user_id, tag_id | tag_name [+ owner_team_id]) ->
     the visible tag, else a 'unknown_tag' error."""
     t = tags.select("tag_id", "name", "owner_user_id", "owner_team_id")
+
+    def first_tag(key: list[str]) -> DataFrame:
+        # of the tags that a request can mean the first counts: one row a key meets the requests, not all of them
+        rest = [c for c in t.columns if c not in key]
+        return (t.na.drop(subset=key).groupBy(*key).agg(F.min(F.struct("tag_id", *[c for c in rest if c != "tag_id"])).alias("_t"))
+                .select(*key, *[F.col(f"_t.{c}").alias(c) for c in rest]))
+
     by_id = requests.where(F.col("tag_id").isNotNull()).select("request_id", "user_id", "tag_id").join(t, "tag_id")
     by_team = (requests.where(F.col("tag_id").isNull() & F.col("owner_team_id").isNotNull())
                .select("request_id", "user_id", F.col("tag_name").alias("name"), "owner_team_id")
-               .join(t, ["name", "owner_team_id"]))
+               .join(first_tag(["name", "owner_team_id"]), ["name", "owner_team_id"]))
     by_self = (requests.where(F.col("tag_id").isNull() & F.col("owner_team_id").isNull())
                .select("request_id", "user_id", F.col("tag_name").alias("name"), F.col("user_id").alias("owner_user_id"))
-               .join(t, ["name", "owner_user_id"]))
+               .join(first_tag(["name", "owner_user_id"]), ["name", "owner_user_id"]))
     cols = ["request_id", "user_id", "tag_id", "name", "owner_user_id", "owner_team_id"]
     cand = by_id.select(*cols).unionByName(by_team.select(*cols)).unionByName(by_self.select(*cols))
     first = cand.groupBy("request_id", "user_id").agg(F.min_by(F.struct(*cols[2:]), "tag_id").alias("t")).select(
