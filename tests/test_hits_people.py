@@ -11,6 +11,9 @@ from transient_lake.operators import hits as H
 from transient_lake.operators import people as P
 from transient_lake.operators import retention as R
 from transient_lake.operators.components import LAST_RUN, star_components
+from transient_lake.sources import testdata as td
+
+from .conftest import SF_SMALL
 
 PAIR = ("obj_id_1 string, source_1 string, ra_deg_1 double, dec_deg_1 double, timestamp_1 timestamp, "
         "obj_id_2 string, source_2 string, ra_deg_2 double, dec_deg_2 double, timestamp_2 timestamp")
@@ -319,3 +322,28 @@ def test_who_may_take_a_tag_off(spark):
     assert {(r.object_id, r.tag_id, r.user_id): r.reason for r in judged.collect()} == {
         ("o", 100, 2): "no permission for this tag", ("o", 101, 2): None, ("o", 101, 1): "no permission for this tag",
         ("x", 100, 1): "no such assignment", ("o", 999, 1): "no such assignment"}
+
+
+def test_a_request_meets_one_tag_of_its_name(spark):
+    tags = spark.createDataFrame([(i, "n", None, 1) for i in range(5, 205)] + [(4, "n", 7, None)],
+                                 "tag_id long, name string, owner_user_id long, owner_team_id int")
+    req = spark.createDataFrame([(i, 7, None, "n", 1 if i % 2 else None) for i in range(200)],
+                                "request_id long, user_id long, tag_id long, tag_name string, owner_team_id int")
+    mem = spark.createDataFrame([(1, 7, "member")], "team_id int, user_id long, role string")
+    out = P.resolve_tag(req, mem, tags)
+    assert {(r.request_id % 2, r.tag_id) for r in out.collect()} == {(1, 5), (0, 4)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(struct(tag_id" in plan  # reduced before the join
+
+
+def test_components_label_long_ids_by_the_smallest(spark):
+    ids = [f"{'x' * 40}{(i * 37) % 60:03d}" for i in range(60)]
+    edges = spark.createDataFrame([(ids[i], ids[i + 1]) for i in range(59) if i % 20 != 19] + [("s", "s"), ("s", None)],
+                                  "src string, dst string")
+    labels = {r.node: r.label for r in star_components(edges).collect()}
+    assert labels == {"s": "s", **{ids[i]: min(ids[i // 20 * 20:i // 20 * 20 + 20]) for i in range(60)}}
+
+
+def test_assignments_are_grouped_by_key_first(spark):
+    plan = td.assignments(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
