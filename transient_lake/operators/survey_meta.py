@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
 
+from ..session import partitions
 from .sky import nearest_match
 
 # ZTF (Fink) fields kept as object metadata.
@@ -83,7 +84,8 @@ def alerce_best_class(probs: DataFrame, classifiers: DataFrame, key: str = "oid"
     # several rank-1 rows: first by class name and version, then the most
     # probable (NULL last)
     order = F.struct("class_name", "classifier_version", F.col("probability").isNull(), -F.col("probability"))
-    best = p.groupBy(key, "survey").agg(F.min_by(
+    # by key first: a task then aggregates one shuffle partition, not all that it read of the table
+    best = p.repartition(partitions(probs.sparkSession), key).groupBy(key, "survey").agg(F.min_by(
         F.struct("classifier_name", "class_name", "probability", "classifier_version"), order).alias("b"))
     out = best.groupBy(key).agg(*[
         F.max(F.when(F.col("survey") == s, F.col(f"b.{f}"))).alias(f"{s}_{n}")
