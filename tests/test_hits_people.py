@@ -347,3 +347,38 @@ def test_components_label_long_ids_by_the_smallest(spark):
 def test_assignments_are_grouped_by_key_first(spark):
     plan = td.assignments(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_visible_tags_of_cells_are_those_of_the_plain_join(spark, monkeypatch):
+    monkeypatch.setattr(P, "SLICE", 5)
+    monkeypatch.setattr(P, "PART", 3)
+    monkeypatch.setattr(P, "TILE", 2)
+    member_rows = [(10, u, "member") for u in range(40)] + [(11, 3, "owner"), (11, 3, "member"), (11, 3, "member"), (12, 1, "owner"),
+                                                            (None, 2, "member"), (10, None, "member"), (10, 99, "member")]
+    tag_rows = ([(t, f"Tag{t % 7}", None, 10) for t in range(30)] + [(7, "Tag7b", None, 10), (50, "P", 3, None), (51, None, None, 11),
+                (None, "N", None, 11), (52, "orphan", None, 13), (53, "both", 1, 11), (54, "neither", None, None)])
+    mem = spark.createDataFrame(member_rows, "team_id int, user_id long, role string")
+    tags = spark.createDataFrame(tag_rows, "tag_id long, name string, owner_user_id long, owner_team_id long")
+    req = spark.createDataFrame([(u,) for u in range(40)] * 2, "user_id long")
+    want = [(u, *t) for u in range(40) for t in tag_rows if t[2] == u]
+    want += [(u, *t) for team, u, _ in member_rows if u is not None and u < 40 for t in tag_rows if team is not None and t[3] == team]
+    got = P.visible_tags(req, mem, tags)
+    assert got.columns == ["user_id", *tags.columns]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    teams = spark.createDataFrame([(10, "a"), (11, "b"), (11, "B")], "team_id int, name string")
+    users = spark.createDataFrame([(3, "three")], "user_id long, username string")
+    rows = P.visible_tag_rows(req, mem, tags, users, teams).where("user_id = 3").collect()
+    assert len(rows) == 31 + 3 * 3 * 2 + 1 and {(r.tag_order, r.owner_name) for r in rows if r.tag_id == 53} == {("both", "b"), ("both", "B")}
+    assert [(r.tag_order, r.owner_type, r.owner_name) for r in rows if r.tag_id == 50] == [("p", "user", "three")]
+
+
+def test_one_team_is_listed_by_many_tasks_in_runs_of_a_tag(spark):
+    req = spark.range(20_000).select(F.col("id").alias("user_id"))
+    mem = req.selectExpr("if(user_id < 0, 2, 1) as team_id", "user_id", "'member' as role")
+    tags = spark.range(10).selectExpr("id as tag_id", "concat('t', id) as name", "cast(null as long) as owner_user_id",
+                                      "if(id < 0, 2, 1) as owner_team_id")
+    got = P.visible_tags(req, mem, tags).select("user_id", "tag_id", F.spark_partition_id().alias("task")).toPandas()
+    assert len(got) == 200_000 and not got.duplicated(["user_id", "tag_id"]).any()
+    assert got["task"].nunique() > 1
+    runs = (got["tag_id"].diff() != 0).sum()
+    assert runs < 10 * 60  # ten tags by some 42 tiles of 504 members; member by member it would be 200,000
