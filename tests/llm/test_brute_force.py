@@ -166,7 +166,8 @@ def test_oracle(spark, name):
     from tools.oracle_check import rows_of
 
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want_columns, want = rows_of(con.execute(ORACLE[name]).df())
     columns, got = rows_of(QUERIES[name](spark, SF).toPandas())
     assert columns == want_columns
