@@ -285,6 +285,16 @@ def test_simhash_edges(docs, empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def test_anchor_rows_are_not_broadcast(spark):
+    # a small table by Spark's estimate, each row of which goes to some 34 anchors
+    points = spark.range(500).select(F.xxhash64("id").alias("fp"))
+    links = simhash.links(points)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    links.collect()
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_copies_of_one_text(spark):
     rng = random.Random(2)
     words = [f"w{rng.randint(0, 400)}" for _ in range(400)]

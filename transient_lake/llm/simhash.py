@@ -188,7 +188,8 @@ def links(points: DataFrame, distance: int = 3, crowd: int = CROWD) -> DataFrame
     key = ["half", "anchor"]
     # anchors without company or without an own fingerprint give no link; counts combine map-side
     n = placed.groupBy(*key).agg(F.count("*").alias("n"), F.max("own").alias("owned")).where("n > 1 and owned").drop("owned")
-    met = placed.join(n, key)
+    # Spark sizes both sides like the points, before each became some 34 rows, and would broadcast them
+    met = placed.hint("merge").join(n, key)
     blocks = F.ceil(F.col("n") / crowd).cast("int")
     met = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     with_block = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
