@@ -133,6 +133,24 @@ def test_incremental_collation_over_many_batches_equals_batch(spark):
     assert as_hits(streamed) == as_hits(members)
 
 
+def test_collation_stream_keeps_join_state_on_disk(spark):
+    src, d = _tmp(), _tmp()
+    at = dt.datetime(2024, 1, 5)
+    rows = [("a", "ztf", 10.0, 5.0, at), ("b", "lsst", 10.0005, 5.0, at), ("c", "atlas", 200.0, -3.0, at)]
+    alerts = spark.createDataFrame(rows, "obj_id string, source string, ra_deg double, dec_deg double, timestamp timestamp")
+    alerts.coalesce(1).write.parquet(os.path.join(src, "alerts"))
+    stream = spark.readStream.schema(alerts.schema).parquet(os.path.join(src, "alerts"))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    q = J.collate_hits_stream(J.crossmatch_stream(stream, 4.0), os.path.join(d, "hits"), os.path.join(d, "ck"), buckets=4)
+    q.awaitTermination()
+    state = q.recentProgress[0]["stateOperators"][0]
+    assert state["numRowsTotal"] > 0 and any(k.startswith("rocksdb") for k in state["customMetrics"])
+    assert spark.conf.get(store) == before  # other streams of the session start as they did
+    members = J.HitTables(spark, os.path.join(d, "hits"), 4).members.read().collect()
+    assert sorted(m.obj_id for m in members) == ["a", "b"] and len({m.xmatch_id for m in members}) == 1
+
+
 def test_stream_join_state_is_evicted(spark):
     """Replayed week by week, the cross-match stream drops join state older
     than the watermark and still finds every bounded pair."""
