@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transient_lake.functions import sky as fsky
+from transient_lake.functions.numeric import round_half_up
 from transient_lake.operators import search as S
 from transient_lake.operators import sky
 
@@ -200,3 +201,76 @@ def test_cones_of_the_whole_sky_are_many_keys(spark):
                                   "cone_id int, ra double, dec_c double, radius_arcsec double")
     found = {r.cone_id: r["count"] for r in sky.cone_search(objects, cones).groupBy("cone_id").count().collect()}
     assert found[1] == 900 and found[2] >= 8
+
+
+def test_cells_of_whole_sky_cones_are_not_broadcast(spark):
+    objects = spark.createDataFrame([("a", 10.0, 5.0), ("b", 200.0, -89.0)], "source_id string, ra_deg double, dec_deg double")
+    cones = spark.range(45).selectExpr("id as cone_id", "0.0D as ra", "0.0D as dec_c", "648000.0D as radius_arcsec")
+    found = sky.cone_search(objects, cones)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert found.count() == 90
+    few = sky.cone_search(objects, cones.where("cone_id = 0"))
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString() and few.count() == 2
+
+
+def test_cone_edges_are_decided_by_the_distance(spark):
+    """Cones whose radius is the distance of an object, or the next number to it."""
+    rng = random.Random(8)
+    at = [(0.0, 90.0), (123.0, -90.0), (359.9999, 0.0), (0.0, 0.0), (180.0, 0.0), (0.0, -30.0), (180.0, 30.0)]
+    at += [(rng.uniform(0, 360), rng.uniform(-90, 90)) for _ in range(10)]
+    at += [(r + rng.uniform(-1e-7, 1e-7), max(-90.0, min(90.0, d + rng.uniform(-1e-7, 1e-7)))) for r, d in at]
+    objects = spark.createDataFrame([(str(i), r % 360, d) for i, (r, d) in enumerate(at)], "source_id string, ra_deg double, dec_deg double")
+    centres = objects.selectExpr("source_id as centre", "ra_deg as ra", "dec_deg as dec_c")
+    far = centres.crossJoin(objects).select("ra", "dec_c", fsky.angular_sep_deg("ra", "dec_c", "ra_deg", "dec_deg").alias("d")).collect()
+    wide = [r for r in far if r.d >= 2.0]  # each has thousands of cells
+    far = [r for r in far if r.d < 2.0] + [r for r in wide if r.d > 179.9][:6] + wide[::60]
+    rows = [(r.ra, r.dec_c, x) for r in far for x in (r.d * 3600, math.nextafter(r.d * 3600, 0), math.nextafter(r.d * 3600, 1e9))]
+    rows += [(r, d, x) for r, d in at[:8] for x in (0.0, 648000.0, 700000.0)]
+    cones = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "cone_id long, ra double, dec_c double, radius_arcsec double")
+    dist = fsky.angular_sep_deg("ra", "dec_c", "ra_deg", "dec_deg")
+    want = (cones.crossJoin(objects).where((dist <= F.col("radius_arcsec") / 3600.0)
+                                           & (F.abs(F.col("dec_deg") - F.col("dec_c")) <= F.col("radius_arcsec") / 3600.0))
+            .select("cone_id", "source_id", dist.alias("d")))
+    got = sky.cone_search(objects, cones).select("cone_id", "obj_name", "distance_deg")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_cone_cells_count_what_the_search_finds(spark):
+    rng = random.Random(4)
+    at = [(rng.gauss(50, 0.3), rng.gauss(10, 0.3)) for _ in range(2500)] + [(rng.uniform(0, 360), rng.uniform(89, 90)) for _ in range(500)]
+    at += [(50.0, 10.0)] * 60 + [(rng.uniform(-0.2, 0.2) % 360, -0.1) for _ in range(200)]
+    objects = spark.createDataFrame([(str(i), r, d) for i, (r, d) in enumerate(at)] + [("x", None, 1.0)], "source_id string, ra_deg double, dec_deg double")
+    cones = spark.createDataFrame(
+        [(i, r, d, x) for i, (r, d, x) in enumerate([(50.0, 10.0, 1800.0), (50.2, 10.1, 700.0), (50.0, 10.0, 1e-3), (200.0, 89.9, 3000.0),
+                                                     (0.0, -0.1, 400.0), (359.9, 0.0, 600.0), (10.0, 0.0, 648000.0), (50.0, 10.0, -1.0)])]
+        + [(1, 50.2, 10.1, 700.0), (9, 1.0, 1.0, None)], "cone_id int, ra double, dec_c double, radius_arcsec double")
+    found = {}
+    for r in sky.cone_search(objects, cones).collect():
+        found.setdefault(r.cone_id, []).append(r.distance_deg)
+    cells = {}
+    for r in sky.cone_cells(objects, cones).collect():
+        cells.setdefault(r.cone_id, []).append((r.distance_deg, r.n))
+    assert {c: sum(n for _, n in x) for c, x in cells.items()} == {c: len(x) for c, x in found.items()}
+    assert len(found[0]) > 1500 and len(cells[0]) < len(found[0]) * 0.8
+    for c, x in cells.items():  # up to a bound there are at least the rows that it stands for
+        total = 0
+        for bound, n in sorted(x):
+            total += n
+            assert sum(d <= bound for d in found[c]) >= total
+    reach = S.page_reach(sky.cone_cells(objects, cones), page=2, size=20, rows="n")
+    assert {r.cone_id: r.n_pages for r in reach.collect()} == {c: max(1, math.ceil(len(x) / 20)) for c, x in found.items()}
+
+
+def test_rounding_is_binary_and_half_away_from_zero(spark):
+    rng = random.Random(6)
+    xs = [0.0, -0.0, -0.3, 0.49999999999999994, 36.855, 1e300, 2.0 ** 52 - 0.5, math.inf, None, *[k / 2 for k in range(-9, 10)],
+          *[math.nextafter(k + 0.5, to) for k in range(-5, 5) for to in (-9, 9)], *[rng.uniform(-400, 400) for _ in range(200)]]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for p in (0, 2, 8):
+        scale = float(10 ** p)
+        old = F.round(F.col("x") * scale, 0) / scale  # by way of the decimal text
+        both = df.select(old.cast("string").alias("a"), round_half_up("x", p).cast("string").alias("b"))
+        assert all(r.a == r.b for r in both.collect())
+        plan = df.select(round_half_up("x", p))._jdf.queryExecution().optimizedPlan().toString()
+        assert "round(" not in plan
