@@ -227,13 +227,14 @@ PAGE_BINS = 16
 
 
 def page_reach(results: DataFrame, page: int, size: int = CONES_PER_PAGE, group: str = "cone_id",
-               by: str = "distance_deg") -> DataFrame:
+               by: str = "distance_deg", rows: str | None = None) -> DataFrame:
     """(group, n_pages, reach): each group's page count (at least 1) and a
     bound of ``by`` that no row up to the end of the page is beyond.  Rows are
     counted by logarithmic bins of ``by`` within the tasks that find them, so
-    what is shuffled is bins, not rows."""
+    what is shuffled is bins, not rows.  ``rows``: column of the number of rows
+    that a row stands for, none of them beyond its ``by`` (``sky.cone_cells``)."""
     binned = F.greatest(F.lit(-1074 * PAGE_BINS), F.floor(F.log2(F.when(F.col(by) > 0, F.col(by))) * PAGE_BINS)).cast("int")
-    counts = results.groupBy(group, binned.alias("_bin")).agg(F.count("*").alias("_n"))
+    counts = results.groupBy(group, binned.alias("_bin")).agg((F.count("*") if rows is None else F.sum(rows)).alias("_n"))
     w = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     top = F.pow(F.lit(2.0), (F.col("_bin") + 1) / PAGE_BINS) * (1 + 1e-9)

@@ -171,8 +171,8 @@ def q_cone_page(spark, sf_dir):
 
     def hits(of):
         return sky.cone_search(objects, of).withColumn("distance_deg", round_half_up("distance_deg", 8))
-    # all hits are counted; those that can be on the page are found again, in cones cut to their reach
-    counts = S.page_reach(hits(cones), page=2, size=20).checkpoint()
+    # all hits are counted, whole cells of them at once; those that can be on the page are found in cones cut to their reach
+    counts = S.page_reach(sky.cone_cells(objects, cones), page=2, size=20, rows="n").checkpoint()
     cut = cones.join(counts, "cone_id").withColumn(
         "radius_arcsec", F.least("radius_arcsec", (F.col("reach") + 1e-8) * 3600.0)).select(*cones.columns)
     return S.page_slice(hits(cut), page=2, size=20, counts=counts)
